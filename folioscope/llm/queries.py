@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat_format, quality_ledger, token_count
+from folioscope.llm import chat_format, packing, quality_ledger, token_count, token_table
 from folioscope.llm.common import fresh, prepare, table
 
 
@@ -31,6 +31,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
+
+
+def op7_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh(spark, "tokens")
+    token_table.write_token_table(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
+    return token_table.digests(spark, path)
+
+
 #: Appended to the conversations by op10: texts that look like another template's control strings.
 EXTRA_CONVERSATION = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
@@ -48,6 +58,8 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op7_token_table": op7_token_table,
     "op10_chat_format": op10_chat_format,
 }
 
