@@ -32,3 +32,26 @@ def crc_mod(n: int, column: str = "doc_id") -> Column:
 
 def crc_mod_py(value: int, n: int) -> int:
     return zlib.crc32(str(value).encode()) % n
+
+
+def numbered(docs: DataFrame, *more: str) -> DataFrame:
+    """rid, doc_id, text (and ``more``), where rid is unique and ordered as doc_id.
+
+    Where doc_id is unique and never null it is the rid itself, at the cost of
+    one look at the ids. Otherwise rows are sorted by (doc_id, text), nulls
+    first, numbered shard by shard, and kept in the shared folder.
+    """
+    from pyspark.sql import Window
+
+    rows = texts(docs, *more)
+    seen = rows.select("doc_id").groupBy("doc_id").count().agg(F.max("count").alias("most"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    if (seen["most"] or 0) <= 1 and not seen["nulls"]:
+        return rows.select(F.col("doc_id").alias("rid"), *rows.columns)
+    sorted_rows = written(
+        rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").withColumn("at", F.monotonically_increasing_id()), "numbered"
+    )
+    # The high bits of at name the shard, the low 33 the place in it.
+    shards = sorted_rows.groupBy(F.shiftright("at", 33).alias("shard")).agg(F.count("*").alias("n"))
+    bases = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
+    low = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return sorted_rows.withColumn("shard", F.shiftright("at", 33)).join(bases, "shard").select((F.col("base") + low).alias("rid"), *rows.columns)
