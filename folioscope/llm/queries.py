@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat_format, packing, phrase_index, quality_ledger, suffix_dedup, token_count, token_table
+from folioscope.llm import chat_format, jaccard_join, packing, phrase_index, quality_ledger, suffix_dedup, token_count, token_table
 from folioscope.llm.common import fresh, prepare, table
 
 
@@ -40,6 +40,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.link_components(table(spark, sf_dir, "documents"), n=4, threshold=(85, 100))
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh(spark, "tokens")
     token_table.write_token_table(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_token_table": op7_token_table,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
