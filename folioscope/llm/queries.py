@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat_format, jaccard_join, packing, phrase_index, quality_ledger, suffix_dedup, token_count, token_table
-from folioscope.llm.common import fresh, prepare, table
+from folioscope.llm import chat_format, jaccard_join, language_id, packing, phrase_index, quality_ledger, suffix_dedup, token_count, token_table, toxicity
+from folioscope.llm.common import crc_mod, fresh, prepare, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -35,6 +35,12 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(toxicity.sample(docs, labels, crc_mod(5) != 0))
+    return toxicity.score(docs, model).select("doc_id", (crc_mod(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffix_dedup.stripped(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -51,6 +57,13 @@ def op7_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table.digests(spark, path)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pieces = language_id.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    model = language_id.train(language_id.sample(docs, crc_mod(3) != 1), pieces)
+    return language_id.predict(docs, model).select("doc_id", (crc_mod(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrase_index.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -77,9 +90,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_table": op7_token_table,
+    "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
 }
