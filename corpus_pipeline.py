@@ -1,19 +1,53 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+``STAGES`` are (name, function) pairs; a function takes (spark, docs, sf_dir) and
+returns a DataFrame, which is written as Parquet and read again as the next one's
+docs. All but the last keep the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import quality_ledger
+from folioscope.llm import jaccard_join, packing, phrase_index, quality_ledger, suffix_dedup
 from folioscope.llm.common import prepare, table, written
+from folioscope.llm.queries import tokenizer_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the production policy rejects go."""
     return quality_ledger.filter_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents (five words, 0.8) the first stays."""
+    return jaccard_join.representatives(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 100 bytes or more that occur earlier are cut out."""
+    return suffix_dedup.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item go."""
+    return phrase_index.decontaminate(docs, table(spark, sf_dir, "benchmark"), columns=tuple(docs.columns)).where("n_hit = 0").select("row.*")
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What is left becomes sequences of at most 4096 tokens."""
+    return packing.pack(docs, tokenizer_path(), end_id=1)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit_packing),
+]
 
+#: Exact suffix repeats, similarity joins over whole tables and packing have no practical SQL.
 ORACLE_SQL = None
 
 

@@ -1,18 +1,52 @@
 """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
 The ids are the tokenizers library's. White space always separates pieces in
-this vocabulary, so each distinct run between white space is encoded once by the
-library and kept in a bounded table; a text's ids are its runs' ids joined.
+this vocabulary, so each distinct run between white space is encoded once and
+kept in a bounded table; a text's ids are its runs' ids joined. A letters-only
+run is one piece, and so is a tail of marks behind it: they are looked up apart,
+and many unknown ones go through the library in one call, cut again at the
+tokens that end a word.
 """
 
 from __future__ import annotations
 
 import os
+import re
+
+import numpy as np
 
 from folioscope.llm.token_count import _SEPARATORS
 
-#: Runs in one generation of the table of known runs.
-KEPT = 300_000
+#: Runs in one generation of the table.
+KEPT = 600_000
+#: Texts whose unknown words are looked up together.
+TOGETHER = 64
+#: Marks that make one piece when they follow a word.
+_TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
+#: A full stop or comma between a letter and white space is a piece of its own.
+_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?!\S)").sub
+
+
+class Known:
+    """A bounded table in two generations."""
+
+    def __init__(self, kept: int):
+        self.kept, self.young, self.old = kept, {}, {}
+
+    def unknown(self, keys: set[str]) -> list[str]:
+        """Those of keys that no generation has; the others are made young."""
+        young, old, out = self.young, self.old, []
+        for k in keys.difference(young):
+            found = old.get(k)
+            if found is None:
+                out.append(k)
+            else:
+                young[k] = found
+        return out
+
+    def age(self) -> None:
+        if len(self.young) >= self.kept:
+            self.old, self.young = self.young, {}
 
 
 class Encoder:
@@ -21,35 +55,80 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.kept = kept
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known = Known(kept)
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        for token, number in vocab.items():
+            self.ends[number] = token.endswith("</w>")
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if any(c in text for c in _SEPARATORS):
-            return self._library([text])[0]
-        runs = text.split()
-        young = self.young
-        if new := set(runs).difference(young):
-            unknown = []
-            for r in new:
-                found = self.old.get(r)
-                if found is None:
-                    unknown.append(r)
+    def _learn(self, runs: set[str]) -> None:
+        """Put all runs into the table."""
+        new = self.known.unknown(runs)
+        if not new:
+            return
+        words, tailed, odd = [], [], []
+        for r in new:
+            if r.isalpha():
+                words.append(r)
+                continue
+            core = r.rstrip(_TAIL)
+            (tailed if core.isalpha() else odd).append((r, core))
+        # A word and the marks behind it are two pieces.
+        parts = {c for _, c in tailed}
+        if parts:
+            words += self.known.unknown(parts.difference(words))
+        self._learn_words(words)
+        young = self.known.young
+        tails = list({r[len(c):] for r, c in tailed})
+        ids = dict(zip(tails, self._library(tails), strict=True)) if tails else {}
+        for r, core in tailed:
+            young[r] = young[core] + ids[r[len(core):]]
+        if odd:
+            young.update(zip((r for r, _ in odd), self._library([r for r, _ in odd]), strict=True))
+
+    def _learn_words(self, new: list[str]) -> None:
+        young = self.known.young
+        for i in range(0, len(new), 1000):
+            some = new[i: i + 1000]
+            ids = np.asarray(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(some):
+                data = ids.tobytes()
+                ends = (cut * 4).tolist()
+                young.update((w, data[a:b]) for w, a, b in zip(some, [0, *ends[:-1]], ends, strict=True))
+            else:
+                young.update(zip(some, self._library(some), strict=True))
+
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(texts), TOGETHER):
+            split: list[list[str]] = []
+            plain: dict[int, bytes] = {}
+            for k, t in enumerate(texts[i: i + TOGETHER]):
+                if not t:
+                    split.append([])
+                elif any(c in t for c in _SEPARATORS):
+                    split.append([])
+                    plain[k] = self._library([t])[0]
                 else:
-                    young[r] = found
-            if unknown:
-                young.update(zip(unknown, self._library(unknown), strict=True))
-        out = b"".join(map(young.__getitem__, runs))
-        if len(young) >= self.kept:
-            self.old, self.young = young, {}
+                    try:  # Latin-1 is in normal form C, and its lower case is found letter by letter
+                        t.encode("latin-1")
+                        t = _STOP(r" \1", t.lower())
+                    except UnicodeEncodeError:
+                        pass
+                    split.append(t.split())
+            self._learn(set().union(*split))
+            get = self.known.young.__getitem__
+            out += [plain[k] if k in plain else b"".join(map(get, runs)) for k, runs in enumerate(split)]
+            self.known.age()
         return out
 
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_many([text])[0]
+
 
 _encoders: dict[str, Encoder] = {}
 

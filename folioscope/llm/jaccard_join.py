@@ -293,14 +293,25 @@ def _verify(n: int, num: int, den: int):
     return verify
 
 
-def link_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100), more: tuple[str, ...] = ()) -> DataFrame:
+def link_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """doc_id, rid, n_shingles, component_rid, component_id of every document.
 
     Two documents link when the Jaccard similarity of their n-word shingle sets
     is at least threshold (a fraction).
     """
+    return link_rows(numbered(docs), n, threshold)
+
+
+def representatives(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
+    """The first document of every group of linked ones, with all its columns."""
+    rows = numbered(docs, *[c for c in docs.columns if c not in ("doc_id", "text")])
+    first = link_rows(rows, n, threshold).where("rid = component_rid").select("rid")
+    return rows.join(first, "rid", "left_semi").select(docs.columns)
+
+
+def link_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """:func:`link_components` of numbered rows (rid, doc_id, text)."""
     num, den = threshold
-    rows = numbered(docs, *more)
     text = rows.select("rid", "text")
     described = written(rows.select("rid", "doc_id", "text").mapInArrow(_describe(n), "rid long, doc_id long, n long, f1 long, f2 long, cells binary"), "sets")
     full = described.where(F.col("n") > 0)

@@ -50,8 +50,8 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY)
         enc, width = encoder(tokenizer), 4 * capacity
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), map(pa.StringScalar.as_py, batch.column("text")), strict=True):
-                ids = (enc.encode(text) if text else b"") + end
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode_many(batch.column("text").to_pylist()), strict=True):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at: at + width]
                     for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.types import BinaryType, LongType, StringType
 
 from folioscope.llm import kernel as K
 from folioscope.llm.common import numbered, written
@@ -299,7 +299,7 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot_runs: int =
     return whole.unionByName(near).unionByName(far)
 
 
-def _strip(span: int):
+def _strip(span: int, as_text: bool):
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
@@ -320,19 +320,44 @@ def _strip(span: int):
                 kept.append(data[at:])
                 for column, value in zip(out, (len(data), removed, n_spans, b"".join(kept)), strict=True):
                     column.append(value)
+            left = pa.array([x.decode("utf-8", "ignore") for x in out[3]], pa.string()) if as_text else pa.array(out[3], pa.binary())
             n = batch.num_columns
             keep = [batch.column(i) for i in range(n) if batch.schema.names[i] not in ("text", "spans")]
             names = [x for x in batch.schema.names if x not in ("text", "spans")]
-            yield pa.RecordBatch.from_arrays([*keep, *[pa.array(c, pa.int64()) for c in out[:3]], pa.array(out[3], pa.binary())], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([*keep, *[pa.array(c, pa.int64()) for c in out[:3]], left], [*names, "n_bytes", "n_removed", "n_spans", "kept"])
 
     return strip
 
 
-def stripped(docs: DataFrame, span: int = SPAN, gram: int = GRAM, more: tuple[str, ...] = (), hot_runs: int = HOT) -> DataFrame:
-    """Every document with what is left of it: doc_id, more..., n_bytes, n_removed, n_spans, kept (bytes)."""
+def stripped(docs: DataFrame, span: int = SPAN, gram: int = GRAM, more: tuple[str, ...] = (), hot_runs: int = HOT, as_text: bool = False) -> DataFrame:
+    """Every document with what is left of it: doc_id, more..., n_bytes, n_removed, n_spans, kept.
+
+    What is left is bytes, or with ``as_text`` a string without the torn
+    characters at the cuts. ``more`` must not name the columns added here.
+    """
     rows = numbered(docs, *more)
     found = repeats(rows.select("rid", "text"), span, gram, hot_runs)
     spans = found.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     joined = rows.join(spans, "rid", "left").drop("rid")
-    schema = joined.drop("text", "spans").schema.add("n_bytes", LongType()).add("n_removed", LongType()).add("n_spans", LongType()).add("kept", BinaryType())
-    return joined.mapInArrow(_strip(span), schema)
+    schema = joined.drop("text", "spans").schema.add("n_bytes", LongType()).add("n_removed", LongType()).add("n_spans", LongType()).add("kept", StringType() if as_text else BinaryType())
+    return joined.mapInArrow(_strip(span, as_text), schema)
+
+
+def deduplicated(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """The documents, all columns kept, with their texts' repeats removed.
+
+    Documents of which nothing is left go; n_chars, where there is one, follows
+    the text. Columns travel in one struct, so that their names can't clash.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select("doc_id", "text", F.struct(*others).alias("others")) if others else docs
+    left = stripped(rows, span, gram, more=("others",) if others else (), as_text=True).where("n_bytes = 0 OR kept <> ''")
+    columns = []
+    for c in docs.columns:
+        if c == "text":
+            columns.append(F.col("kept").alias("text"))
+        elif c == "n_chars":
+            columns.append(F.length("kept").cast(docs.schema[c].dataType).alias(c))
+        else:
+            columns.append(F.col("doc_id") if c == "doc_id" else F.col("others")[c].alias(c))
+    return left.select(columns)

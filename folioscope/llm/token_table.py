@@ -57,7 +57,7 @@ def write_token_table(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
             column, ids = batch.column("text"), batch.column("doc_id")
             step = 256
             for i in range(0, len(column), step):
-                parts = [(enc.encode(t) if t else b"") + end for t in column[i: i + step].to_pylist()]
+                parts = [ids_ + end for ids_ in enc.encode_many(column[i: i + step].to_pylist())]
                 n = np.asarray([len(p) // 4 for p in parts], np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
