@@ -11,11 +11,17 @@ one more signature for all, against the deletions of those that run short. A set
 that falls short even so is joined under another hash of the universe.
 
 Sets that are equal are one class from the start. Signatures meet by key; each
-group links its members to its least member only. Those star pairs are filtered
-by a bound on the difference (counts of 64 cells) and verified exactly on the
-texts. Groups that still hold several components afterwards, and only those, are
-compared across components, filtered by the same bound, and verified: no pair
-within a component is ever made, and no link between components can be missed.
+group pairs its members with its least member, the lead, only. Those star pairs
+are filtered by a bound on the difference (counts of hashed cells) and verified
+exactly on the texts. Where members of one lead are in several components
+afterwards, they are compared by what each differs in from the lead: with t the
+distance (1 - similarity) at which sets link, sets within 3t of the lead carry
+their differences, which give exact intersections; sets beyond 2t can't link with
+sets within t, and meet in their signature's group once more, filtered by the
+bound and verified. No pair within a component is verified twice, none is made
+for all members of a group, and no link between components can be missed, as the
+Jaccard distance is a metric. Leads with very many members are compared block by
+block.
 
 Defined cases: null and empty texts have an empty set and link with nothing; a
 text of fewer than n words is one shingle; ids may repeat or be null (rows are
@@ -31,16 +37,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import kernel as K
 from folioscope.llm.common import numbered, written
 from folioscope.llm.components import components
 
+#: Least cells of a set; larger sets have about half as many as elements.
 CELLS = 64
 #: Members of one group that are compared at once.
 BLOCK = 512
+#: Members of one lead compared in one task.
+MEMBERS = 20_000
 
 
 def sets_of(buf: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,12 +163,14 @@ def _describe(n: int):
                 if len(d):
                     sums[0][size > 0] = np.add.reduceat(K.mix(h), first)
                     sums[1][size > 0] = np.add.reduceat(K.mix(h ^ K.U(0x9E6C63D0676A9A99)), first)
-                cells = np.bincount(d * CELLS + (h & K.U(CELLS - 1)).astype(np.int64), minlength=rows * CELLS)
+                width = np.maximum(CELLS, 1 << np.ceil(np.log2(np.maximum(size, 2) / 2)).astype(np.int64))
+                base = np.cumsum(width) - width
+                cells = np.bincount(base[d] + (h & (width[d] - 1).astype(K.U)).astype(np.int64), minlength=int(width.sum()))
                 packed = np.minimum(cells, 255).astype(np.uint8).tobytes()
                 out = K.batched(batch, part)
                 yield pa.RecordBatch.from_arrays(
                     [out.column("rid"), out.column("doc_id"), pa.array(size), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)),
-                     pa.array([packed[i: i + CELLS] for i in range(0, rows * CELLS, CELLS)], pa.binary())],
+                     pa.array([packed[i: i + w] for i, w in zip(base.tolist(), width.tolist(), strict=True)], pa.binary())],
                     ["rid", "doc_id", "n", "f1", "f2", "cells"],
                 )
 
@@ -209,68 +220,117 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig0, lead0 = sig[-1], lead[-1]
 
 
-def _bound(cells_a: np.ndarray, cells_b: np.ndarray, na: np.ndarray, nb: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Whether two sets may link: sizes, and the difference that their cells prove."""
-    small, large = np.minimum(na, nb), np.maximum(na, nb)
-    proved = np.abs(cells_a.astype(np.int16) - cells_b).sum(-1)
-    return (den * small >= num * large) & (proved <= most_different(na, nb, num, den))
-
-
-def _cells(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), CELLS)
+def folded(cells: bytes, width: int) -> np.ndarray:
+    """Counts in fewer cells; both widths are powers of two."""
+    return np.frombuffer(cells, np.uint8).astype(np.int32).reshape(-1, width).sum(0)
 
 
 def _may_link(num: int, den: int):
+    """Pairs whose cells don't prove a similarity below num / den."""
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: B023, E731
-            ok = _bound(_cells(batch.column("cells_a")), _cells(batch.column("cells_b")), get("n_a"), get("n_b"), num, den)
-            yield pa.RecordBatch.from_arrays([pa.array(get("a")[ok]), pa.array(get("b")[ok])], ["a", "b"])
+            ok = np.zeros(len(batch), bool)
+            most = most_different(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), num, den)
+            for i, (x, y) in enumerate(zip(batch.column("cells_a").to_pylist(), batch.column("cells_b").to_pylist(), strict=True)):
+                width = min(len(x), len(y))
+                ok[i] = np.abs(folded(x, width) - folded(y, width)).sum() <= most[i]
+            where = pa.array(ok)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(where), batch.column("b").filter(where)], ["a", "b"])
 
     return keep
 
 
-def _across(num: int, den: int):
-    """Pairs of a group that lie in different components and may link; rows come sorted by group."""
+def _runs_of(key: np.ndarray) -> Iterator[tuple[int, int]]:
+    edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    yield from zip(edge.tolist(), [*edge[1:].tolist(), len(key)], strict=True)
 
-    def pairs(sig, rep, comp, n, cells) -> Iterator[pa.RecordBatch]:
-        edge = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-        a_out, b_out = [], []
-        for lo, hi in zip(edge, np.append(edge[1:], len(sig)), strict=True):
-            for i in range(lo, hi, BLOCK):
-                for j in range(i, hi, BLOCK):
-                    x, y = slice(i, min(i + BLOCK, hi)), slice(j, min(j + BLOCK, hi))
-                    # Rows are sorted by rep, so a pair in two blocks comes in one order only.
-                    maybe = (comp[x][:, None] != comp[y][None, :]) & (rep[x][:, None] < rep[y][None, :])
-                    r, c = np.nonzero(maybe)
-                    for k in range(0, len(r), 1 << 16):
-                        rr, cc = r[k: k + (1 << 16)] + i, c[k: k + (1 << 16)] + j
-                        ok = _bound(cells[rr], cells[cc], n[rr], n[cc], num, den)
-                        a_out.append(np.minimum(rep[rr[ok]], rep[cc[ok]]))
-                        b_out.append(np.maximum(rep[rr[ok]], rep[cc[ok]]))
-        none = np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out or [none])), pa.array(np.concatenate(b_out or [none]))], ["a", "b"])
+
+def _by_group(columns: tuple[str, ...], judge):
+    """Whole groups of rows that come sorted by the first column, whatever the batches."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carry = None
         for batch in batches:
             if not len(batch):
                 continue
-            now = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "rep", "comp", "n")), _cells(batch.column("cells"))]
+            now = [np.asarray(batch.column(c).to_pylist(), object) if pa.types.is_binary(batch.column(c).type) else batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
             if carry is not None:
                 now = [np.concatenate([x, y]) for x, y in zip(carry, now, strict=True)]
-            cut = int(np.searchsorted(now[0], now[0][-1]))
+            cut = len(now[0]) - int(np.argmax((now[0] != now[0][-1])[::-1])) if (now[0] != now[0][-1]).any() else 0
             carry = [x[cut:] for x in now]
             if cut:
-                yield from pairs(*[x[:cut] for x in now])
+                yield from judge(*[x[:cut] for x in now])
         if carry is not None:
-            yield from pairs(*carry)
+            yield from judge(*carry)
 
     return stream
 
 
+def _pairs(a: list, b: list) -> pa.RecordBatch:
+    none = np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"])
+
+
+def _across(num: int, den: int):
+    """Pairs of a signature's group in different components whose cells don't rule out a link."""
+
+    def judge(sig, rep, comp, n, cells) -> Iterator[pa.RecordBatch]:
+        a_out, b_out = [], []
+        for lo, hi in _runs_of(sig):
+            width = min(map(len, cells[lo:hi]))
+            counts = np.stack([folded(c, width) for c in cells[lo:hi]])
+            for i in range(lo, hi, BLOCK):
+                for j in range(i, hi, BLOCK):
+                    x, y = slice(i, min(i + BLOCK, hi)), slice(j, min(j + BLOCK, hi))
+                    small, large = np.minimum(n[x][:, None], n[y][None, :]), np.maximum(n[x][:, None], n[y][None, :])
+                    # Rows are sorted by rep, so a pair comes in one order only.
+                    maybe = (comp[x][:, None] != comp[y][None, :]) & (rep[x][:, None] < rep[y][None, :]) & (den * small >= num * large)
+                    r, c = np.nonzero(maybe)
+                    step = max(1, (1 << 22) // width)
+                    for k in range(0, len(r), step):
+                        rr, cc = r[k: k + step] + i, c[k: k + step] + j
+                        ok = np.abs(counts[rr - lo] - counts[cc - lo]).sum(1) <= most_different(n[rr], n[cc], num, den)
+                        a_out.append(rep[rr[ok]])
+                        b_out.append(rep[cc[ok]])
+        yield _pairs(a_out, b_out)
+
+    return _by_group(("sig", "rep", "comp", "n", "cells"), judge)
+
+
+def _around(num: int, den: int):
+    """Links across components among sets with known differences from one lead."""
+
+    def judge(key, rep, comp, n, n_lead, difference, removed) -> Iterator[pa.RecordBatch]:
+        a_out, b_out = [], []
+        for lo, hi in _runs_of(key):
+            who, where, size = rep[lo:hi], comp[lo:hi], n[lo:hi]
+            parts = [np.frombuffer(d, np.int64) for d in difference[lo:hi]]
+            owner = np.repeat(np.arange(hi - lo), [len(p) for p in parts])
+            _, number = np.unique(np.concatenate(parts), return_inverse=True)
+            order = np.argsort(number, kind="stable")
+            holders = owner[order]
+            ends = np.searchsorted(number[order], np.arange(number.max() + 2 if len(number) else 1))
+            first = np.searchsorted(owner, np.arange(hi - lo + 1))
+            values, counts = np.unique(where, return_counts=True)
+            for i in np.flatnonzero(where != values[np.argmax(counts)]).tolist():
+                own = number[first[i]: first[i + 1]]
+                lists = [holders[ends[k]: ends[k + 1]] for k in own.tolist()]
+                shared = np.bincount(np.concatenate(lists) if lists else np.zeros(0, np.int64), minlength=hi - lo)
+                common = n_lead[lo] - removed[lo:hi] - removed[lo + i] + shared
+                ok = (where != where[i]) & (den * common >= num * (size + size[i] - common))
+                a_out.append(np.minimum(who[ok], who[i]))
+                b_out.append(np.maximum(who[ok], who[i]))
+        yield _pairs(a_out, b_out)
+
+    return _by_group(("key", "rep", "comp", "n", "n_lead", "difference", "removed"), judge)
+
+
 def _verify(n: int, num: int, den: int):
-    """Exact intersections of the sets of two texts; rows come sorted by a."""
+    """What pairs (a, b) with similarity of num / den or more share; rows come sorted by a.
+
+    ``removed`` elements are a's alone; ``difference`` holds those of either alone.
+    """
 
     def one(text: str | None) -> np.ndarray:
         data = np.frombuffer((text or "").encode(), np.uint8)
@@ -279,16 +339,24 @@ def _verify(n: int, num: int, den: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, mine = None, None
         for batch in batches:
-            a, b = (batch.column(c).to_pylist() for c in ("a", "b"))
+            a = batch.column("a").to_pylist()
             keep = np.zeros(len(batch), bool)
+            rows: list[tuple] = []
             for i, (x, text) in enumerate(zip(a, map(pa.StringScalar.as_py, batch.column("text_b")), strict=True)):
                 if x != known:
                     known, mine = x, one(batch.column("text_a")[i].as_py())
                 other = one(text)
-                common = len(mine) + len(other) - len(np.union1d(mine, other))
-                keep[i] = den * common >= num * (len(mine) + len(other) - common)
+                difference = np.setxor1d(mine, other, assume_unique=True)
+                common = (len(mine) + len(other) - len(difference)) // 2
+                keep[i] = den * common >= num * (common + len(difference))
+                if keep[i]:
+                    rows.append((len(mine), len(other), common, difference.tobytes()))
             where = pa.array(keep)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(where), batch.column("b").filter(where)], ["a", "b"])
+            more = list(zip(*rows, strict=True)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a").filter(where), batch.column("b").filter(where), *[pa.array(c, pa.int64()) for c in more[:3]], pa.array(more[3], pa.binary())],
+                ["a", "b", "n_a", "n_b", "common", "difference"],
+            )
 
     return verify
 
@@ -341,31 +409,59 @@ def link_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
         subject = text.join(known.where(within).select("rid"), "rid", "left_semi")
         seed += 1
 
-    def paired(candidates: DataFrame) -> DataFrame:
-        side = lambda s: sets.select(F.col("rid").alias(s), F.col("rep").alias(f"rep_{s}"), F.col("n").alias(f"n_{s}"), F.col("cells").alias(f"cells_{s}"))
-        met = candidates.join(side("a"), "a").join(side("b"), "b").where("rep_a <> rep_b AND {0} * least(n_a, n_b) >= {1} * greatest(n_a, n_b)".format(den, num))
-        named = met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"), "n_a", "n_b", "cells_a", "cells_b")
-        return named.mapInArrow(_may_link(num, den), "a long, b long").distinct()
+    near = den - 2 * (den - num)  # a set further from the lead can't link with a set linked to it
+    carried = max(1, den - 3 * (den - num))  # nor one further than this with a set that is near
 
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
+    def verified(pairs: DataFrame, least: int, label: str) -> DataFrame:
         with_b = pairs.join(text.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
         with_both = with_b.join(text.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-        return written(with_both.mapInArrow(_verify(n, num, den), "a long, b long"), label)
-
-    stars = written(paired(groups.select(F.col("lead").alias("a"), F.col("rid").alias("b")).distinct()), "stars")
-    links = verified(stars, "links-stars")
+        return written(with_both.mapInArrow(_verify(n, least, den), "a long, b long, n_a long, n_b long, common long, difference binary"), label)
+
+    def similar(least: int) -> Column:
+        return F.expr(f"{den} * common >= {least} * (n_a + n_b - common)")
+
+    # Star pairs: leads and members as classes; sizes first, then cells, then texts.
+    side = lambda s, *more: sets.select(F.col("rid").alias(s), F.col("rep").alias(f"rep_{s}"), F.col("n").alias(f"n_{s}"), *more)
+    classed = (
+        groups.select(F.col("lead").alias("a"), F.col("rid").alias("b")).distinct()
+        .join(side("a"), "a").join(side("b"), "b")
+        .where(f"rep_a <> rep_b AND {den} * least(n_a, n_b) >= {carried} * greatest(n_a, n_b)")
+        .select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    )
+    cells = lambda s: sets.where("rid = rep").select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("cells").alias(f"cells_{s}"))
+    stars = classed.join(cells("a"), "a").join(cells("b"), "b").mapInArrow(_may_link(carried, den), "a long, b long")
+    rays = verified(stars, carried, "rays")
+    links = rays.where(similar(num)).select("a", "b")
     comp = components(links, "joined")
 
-    # Groups that still hold several components.
-    placed = sets.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rid", "rep", "n", "cells", F.coalesce("component", "rep").alias("comp"))
+    placed = sets.where("rid = rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", "cells", F.coalesce("component", "rep").alias("comp"))
     placed = written(placed, "placed-sets")
-    members = groups.select("sig", "rid").unionByName(groups.select("sig", F.col("lead").alias("rid"))).distinct()
-    located = members.join(placed.select("rid", "rep", "comp"), "rid")
-    mixed = located.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-    residue = located.join(mixed, "sig").select("sig", "rep", "comp").distinct()
-    residue = residue.join(placed.where("rid = rep").select("rep", "n", "cells"), "rep")
+
+    # Members of one lead in several components, by their differences from it.
+    member = rays.join(placed.select(F.col("rep").alias("b"), "comp"), "b").join(placed.select(F.col("rep").alias("a"), F.col("comp").alias("comp_a")), "a")
+    mixed = member.groupBy("a").agg(F.min(F.least("comp", "comp_a")).alias("lo"), F.max(F.greatest("comp", "comp_a")).alias("hi"), F.count("*").alias("members")).where("lo <> hi")
+    blocks = F.ceil(F.col("members") / MEMBERS).cast("int")
+    block = F.pmod(F.xxhash64("b"), blocks)
+    dealt = (
+        member.join(mixed.select("a", "members"), "a")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select(
+            F.xxhash64("a", F.least(block, F.col("other").cast("long")), F.greatest(block, F.col("other").cast("long"))).alias("key"),
+            F.col("b").alias("rep"), "comp", F.col("n_b").alias("n"), F.col("n_a").alias("n_lead"), "difference", (F.col("n_a") - F.col("common")).alias("removed"), "a",
+        )
+    )
+    around = dealt.repartition("key").sortWithinPartitions("key", "a", "rep").drop("a").mapInArrow(_around(num, den), "a long, b long")
+
+    # Sets far from their lead, in what is left of their signature's group.
+    found = groups.join(sets.select("rid", "rep"), "rid").join(sets.select(F.col("rid").alias("lead"), F.col("rep").alias("lead_rep")), "lead")
+    found = found.where("rep <> lead_rep").select("sig", "rep", F.least("rep", "lead_rep").alias("a"), F.greatest("rep", "lead_rep").alias("b"))
+    far = found.join(rays.where(similar(near)).select("a", "b"), ["a", "b"], "left_anti").select("sig", "rep").distinct()
+    located = far.join(placed.select("rep", "comp"), "rep")
+    several = located.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
+    residue = located.join(several, "sig").join(placed.select("rep", "n", "cells"), "rep").select("sig", "rep", "comp", "n", "cells")
     across = residue.repartition("sig").sortWithinPartitions("sig", "rep").mapInArrow(_across(num, den), "a long, b long").distinct()
-    rest = verified(across.join(stars, ["a", "b"], "left_anti"), "links-rest")
+    rest = verified(across, num, "links-rest").select("a", "b").unionByName(around)
+    rest = written(rest, "links-more")
     if not rest.isEmpty():
         comp = components(links.unionByName(rest), "joined-all")
 
