@@ -23,8 +23,15 @@ def register(name: str, sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return dict(_SQL)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from folioscope.plans import controls, layout, memory, retrieval, scoring, statistics  # noqa: F401
