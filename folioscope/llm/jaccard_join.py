@@ -372,9 +372,12 @@ def link_components(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (8
 
 def representatives(docs: DataFrame, n: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """The first document of every group of linked ones, with all its columns."""
-    rows = numbered(docs, *[c for c in docs.columns if c not in ("doc_id", "text")])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]  # in a struct, so that no name clashes
+    held = docs.select("doc_id", "text", F.struct(*others).alias("others")) if others else docs
+    rows = numbered(held, *(["others"] if others else []))
     first = link_rows(rows, n, threshold).where("rid = component_rid").select("rid")
-    return rows.join(first, "rid", "left_semi").select(docs.columns)
+    kept = rows.join(first, "rid", "left_semi")
+    return kept.select(*[F.col(c) if c in ("doc_id", "text") else F.col("others")[c].alias(c) for c in docs.columns])
 
 
 def link_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:

@@ -82,18 +82,21 @@ class Model:
 
     def features(self, text: str | None) -> list[float]:
         plain, toxic = self._lengths()
-        saved = np.asarray([len(plain(w)) - len(toxic(w)) for w in windows(text)] or [0])
+        saved = np.asarray([len(plain(w)) - len(toxic(w)) for w in windows(text)])
+        if not len(saved):
+            return [0.0] * 6 + [float("nan")]  # no evidence, and no length to judge
         top = np.sort(saved)[-3:]
         return [float(x) for x in (top[-1], top.mean(), saved.mean(), (saved >= 2).mean(), (saved >= 3).mean(), (saved >= 4).mean(), np.log1p(len(saved)))]
 
     def score(self, rows: np.ndarray) -> np.ndarray:
-        z = (rows - np.asarray(self.centre)) / np.asarray(self.scale)
+        z = np.nan_to_num((rows - np.asarray(self.centre)) / np.asarray(self.scale))
         return 1 / (1 + np.exp(-np.clip(z @ np.asarray(self.weights[:-1]) + self.weights[-1], -30, 30)))
 
 
 def _logistic(rows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    centre, scale = rows.mean(0), rows.std(0) + 1e-9
-    a = np.c_[(rows - centre) / scale, np.ones(len(rows))]
+    centre, scale = np.nanmean(rows, 0), np.nanstd(rows, 0)
+    scale[scale < 1e-6] = 1.0  # a constant says nothing
+    a = np.c_[np.nan_to_num((rows - centre) / scale), np.ones(len(rows))]
     w = np.zeros(a.shape[1])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
@@ -135,7 +138,8 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
     """Fit on (text, label) rows: calibrated across two halves, dictionaries from both."""
     labels = [int(y) for _, y in rows]
     prior = sum(labels) / len(labels) if labels else 0.0
-    halves = rows[::2], rows[1::2]
+    kinds = [[r for r in rows if r[1] == y] for y in (0, 1)]  # both halves get half of each kind
+    halves = kinds[0][::2] + kinds[1][::2], kinds[0][1::2] + kinds[1][1::2]
     if any(len({y for _, y in half}) < 2 for half in halves):
         return Model(prior=prior)
     features, known = [], []
