@@ -14,13 +14,15 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from folioscope.llm.token_count import _SEPARATORS
 
 #: Runs in one generation of the table.
 KEPT = 600_000
 #: Texts whose unknown words are looked up together.
-TOGETHER = 64
+TOGETHER = 128
 #: Marks that make one piece when they follow a word.
 _TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 #: A full stop or comma between a letter and white space is a piece of its own.
@@ -93,7 +95,7 @@ class Encoder:
         young = self.known.young
         for i in range(0, len(new), 1000):
             some = new[i: i + 1000]
-            ids = np.asarray(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.asarray(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(some):
                 data = ids.tobytes()
@@ -120,14 +122,70 @@ class Encoder:
                     except UnicodeEncodeError:
                         pass
                     split.append(t.split())
-            self._learn(set().union(*split))
-            get = self.known.young.__getitem__
-            out += [plain[k] if k in plain else b"".join(map(get, runs)) for k, runs in enumerate(split)]
+            get = self.known.young.get
+            found = [list(map(get, runs)) for runs in split]
+            missing = {r for runs, ids in zip(split, found, strict=True) if None in ids for r, x in zip(runs, ids, strict=True) if x is None}
+            if missing:
+                self._learn(missing)
+                have = self.known.young.__getitem__
+                for runs, ids in zip(split, found, strict=True):
+                    if None in ids:
+                        ids[:] = [have(r) if x is None else x for r, x in zip(runs, ids, strict=True)]
+            out += [plain[k] if k in plain else b"".join(ids) for k, ids in enumerate(found)]
             self.known.age()
         return out
 
-    def encode(self, text: str | None) -> bytes:
-        return self.encode_many([text])[0]
+    def lookup(self, runs: list[str]) -> list[bytes]:
+        """The ids of distinct runs."""
+        found = list(map(self.known.young.get, runs))
+        missing = [r for r, x in zip(runs, found, strict=True) if x is None]
+        if missing:
+            self._learn(set(missing))
+            have = self.known.young
+            found = [have[r] if x is None else x for r, x in zip(runs, found, strict=True)]
+        self.known.age()
+        return found
+
+    def encode_column(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(offsets, ids) of a column of texts, each followed by the end id.
+
+        Splitting and finding the distinct runs is Arrow's; the table is asked for
+        each distinct run once, and the ids are gathered by position.
+        """
+        if column.null_count:
+            column = column.fill_null("")
+        end = np.asarray([end_id], "<u4")
+        if pc.any(pc.match_substring_regex(column, "[\x1c-\x1f]")).as_py():
+            parts = [x + end.tobytes() for x in self.encode_many(column.to_pylist())]
+            return np.cumsum([0, *[len(p) // 4 for p in parts]]), np.frombuffer(b"".join(parts), "<u4")
+        data = pa.concat_arrays([column]).buffers()[2]  # this stretch's bytes alone
+        bytes_ = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+        if not (bytes_ >= 0xC4).any():  # Latin-1, see above
+            column = pc.replace_substring_regex(pc.utf8_lower(column), "([a-zß-öø-ÿ])([.,])(\\s)", "\\1 \\2\\3")
+        words = pc.utf8_split_whitespace(column)
+        texts = words.offsets.to_numpy().astype(np.int64)
+        texts -= texts[0]
+        coded = words.flatten().dictionary_encode()
+        ids = self.lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        pool = np.frombuffer(b"".join([*ids, end.tobytes()]), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        size = np.append(size, 1)
+        start = np.cumsum(size) - size
+        which = np.insert(coded.indices.to_numpy().astype(np.int64), texts[1:], len(ids))
+        n = size[which]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        gathered = pool[np.repeat(start[which] - upto[:-1], n) + np.arange(upto[-1])]
+        return upto[texts + np.arange(len(texts))], gathered
+
+    def encode_batches(self, column: pa.Array, end_id: int, limit: int = 4 << 20):
+        """(first row, offsets, ids) of consecutive stretches of a column, bounded in bytes."""
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        at = 0
+        while at < len(column):
+            to = max(at + 1, int(np.searchsorted(upto, upto[at] + limit, "right")) - 1)
+            yield at, *self.encode_column(column[at:to], end_id)
+            at = to
 
 
 _encoders: dict[str, Encoder] = {}

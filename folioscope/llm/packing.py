@@ -44,20 +44,20 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """The pieces of all documents, without their ids. No shuffle."""
-    end = np.asarray([end_id], "<u4").tobytes()
-
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, width = encoder(tokenizer), 4 * capacity
+        enc = encoder(tokenizer)
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode_many(batch.column("text").to_pylist()), strict=True):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at: at + width]
-                    for column, value in zip(out, (doc, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        column.append(value)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for row, offsets, ids in enc.encode_batches(batch.column("text"), end_id):
+                out: list[list] = [[], [], [], [], []]
+                bounds = offsets.tolist()
+                for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                    for number, at in enumerate(range(a, b, capacity)):
+                        to = min(at + capacity, b)
+                        for column, value in zip(out, (row + k, number, at - a, to - at, zlib.crc32(ids[at:to])), strict=True):
+                            column.append(value)
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                columns = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(columns[0]), *columns[1:]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return texts(docs).mapInArrow(pieces, PIECES)
 

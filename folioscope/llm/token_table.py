@@ -42,29 +42,18 @@ LAYOUT = {
 }
 
 
-def _list_column(parts: list[bytes]) -> pa.ListArray:
-    ends = np.zeros(len(parts) + 1, np.int32)
-    np.cumsum([len(p) // 4 for p in parts], out=ends[1:])
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
-
-
 def write_token_table(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
-    end = np.asarray([end_id], "<u4").tobytes()
-
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            column, ids = batch.column("text"), batch.column("doc_id")
-            step = 256
-            for i in range(0, len(column), step):
-                parts = [ids_ + end for ids_ in enc.encode_many(column[i: i + step].to_pylist())]
-                n = np.asarray([len(p) // 4 for p in parts], np.int64)
-                starts = at + np.cumsum(n) - n
-                at += int(n.sum())
+            for row, offsets, ids in enc.encode_batches(batch.column("text"), end_id):
+                n = np.diff(offsets)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view("<i4")))
                 yield pa.RecordBatch.from_arrays(
-                    [ids[i: i + step], pa.array(np.full(len(parts), shard, np.int32)), pa.array(starts), pa.array(n), _list_column(parts)],
+                    [batch.column("doc_id")[row: row + len(n)], pa.array(np.full(len(n), shard, np.int32)), pa.array(at + offsets[:-1]), pa.array(n), lists],
                     ["doc_id", "shard", "shard_start", "n_tokens", "ids"],
                 )
+                at += int(offsets[-1])
 
     rows = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(encode, SCHEMA).write.options(**LAYOUT).parquet(path)
