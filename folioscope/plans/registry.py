@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from folioscope.plans import controls, layout, memory, retrieval, scoring, statistics  # noqa: F401
+    from folioscope.plans import controls, coverage, layout, memory, retrieval, scoring, statistics  # noqa: F401
