@@ -29,8 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import prepare, texts
-from folioscope.llm.token_count import Generations
+from folioscope.llm.common import lean, prepare, texts
 
 SAMPLE = 400
 WORDS = 6_000
@@ -38,11 +37,22 @@ ROUNDS = 3
 #: Longest piece in characters, and the probability of a character that no piece covers.
 LONGEST, UNCOVERED = 12, 1e-7
 UND = "und"
+#: Words whose likelihoods a worker keeps, and the longest that are scored together.
+KEPT = 400_000
+TOGETHER = 36
 _MARK = "▁"
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
+def letters(text: str | None) -> list[str]:
+    """The words of a text; none if no character is a letter (superscripts are not)."""
+    words = _WORDS((text or "").lower())
+    if any(map(str.isalpha, words)) or any(c.isalpha() for w in words for c in w):
+        return words
+    return []
+
+
 def vocabulary(path: str) -> list[str]:
     """Pieces of letters, with or without a word-start mark, of a SentencePiece model."""
     from sentencepiece import SentencePieceProcessor
@@ -105,6 +115,35 @@ class Model:
                 log += float(np.log(peak))
         return [log + (float(np.log(a)) if a > 0 else -745.0) for a in alpha[n]]
 
+    def forward_many(self, words: list[str]) -> np.ndarray:
+        """:meth:`forward` of many words, those of one length together."""
+        out = np.empty((len(words), len(self.languages)))
+        by_length: dict[int, list[int]] = defaultdict(list)
+        for k, w in enumerate(words):
+            by_length[len(w) + 1].append(k)
+        none, single = len(self.probabilities), len(self.probabilities) + 1
+        table = np.vstack([self.probabilities, np.zeros(len(self.languages)), self.none])
+        get = self.pieces.get
+        for n, members in by_length.items():
+            if n > TOGETHER:
+                for k in members:
+                    out[k] = self.forward(words[k])
+                continue
+            spans = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + LONGEST) + 1)]
+            for at in range(0, len(members), 2048):
+                some = members[at: at + 2048]
+                marked = [_MARK + words[k] for k in some]
+                alpha = np.zeros((n + 1, len(some), len(self.languages)))
+                alpha[0] = 1.0
+                for i, j in spans:
+                    default = single if j == i + 1 else none
+                    found = np.asarray([get(w[i:j], default) for w in marked])
+                    live = np.flatnonzero(found != none)
+                    if len(live):
+                        alpha[j, live] += alpha[i, live] * table[found[live]]
+                out[some] = np.log(np.maximum(alpha[n], 1e-320))
+        return out
+
     @property
     def rows(self) -> list[list[float]]:
         if "_rows" not in self.__dict__:
@@ -119,6 +158,27 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
 
+class Likelihoods:
+    """A bounded table of words' log-likelihoods; a full one is started anew."""
+
+    def __init__(self, model: Model):
+        self.model, self.rows = model, np.zeros((KEPT, max(1, len(model.languages))))
+        self.places: dict[str, int] = {}
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.places]
+        if len(self.places) + len(new) > len(self.rows):
+            self.places, new = {}, list(words)
+            if len(new) > len(self.rows):
+                self.rows = np.zeros((len(new), self.rows.shape[1]))
+        at = len(self.places)
+        self.rows[at: at + len(new)] = self.model.forward_many(new)
+        self.places.update(zip(new, range(at, at + len(new)), strict=True))
+
+    def total(self, words: list[str]) -> np.ndarray:
+        return self.rows[np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))].sum(0)
+
+
 def _expected(lattices: list[list[tuple[int, int, int]]], lengths: list[int], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
     """Expected uses of every piece over all segmentations of the counted words."""
     used = np.zeros(len(p))
@@ -174,18 +234,23 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        known = m.__dict__.setdefault("_known", Generations(lambda w: np.asarray(m.forward(w)), 200_000))
+        known = m.__dict__.setdefault("_known", Likelihoods(m))
         for batch in batches:
-            langs, scores = [], []
-            for text in map(pa.StringScalar.as_py, batch.column("text")):
-                words = _WORDS((text or "").lower())
-                if not words or not m.languages:
-                    langs.append(UND), scores.append(0.0)
-                    continue
-                total = np.sum([known[w] for w in words], axis=0)
-                best = int(np.argmax(total))
-                share = np.exp(np.maximum((total - total[best]) / len(words), -50))
-                langs.append(m.languages[best]), scores.append(float(1 / share.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
-
-    return texts(docs).mapInArrow(guess, "doc_id long, lang_pred string, score double")
+            column = batch.column("text")
+            for at in range(0, len(batch), 256):
+                split = [letters(t) for t in column[at: at + 256].to_pylist()]
+                if m.languages:
+                    known.learn(set().union(*split))
+                langs, scores = [], []
+                for words in split:
+                    if not words or not m.languages:
+                        langs.append(UND), scores.append(0.0)
+                        continue
+                    total = known.total(words)
+                    best = int(np.argmax(total))
+                    share = np.exp(np.maximum((total - total[best]) / len(words), -50))
+                    langs.append(m.languages[best]), scores.append(float(1 / share.sum()))
+                ids = batch.column("doc_id")[at: at + 256]
+                yield pa.RecordBatch.from_arrays([ids, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+
+    return texts(docs).mapInArrow(lean(guess), "doc_id long, lang_pred string, score double")

@@ -361,7 +361,7 @@ def test_language_id(spark):
     train = [(make(lang), lang) for lang in parts for _ in range(30)]
     model = language_id.train(train, language_id.vocabulary(tokenizer_path("piece_bpe_32k.model")))
     rows = [(i, make(lang), lang) for i, lang in enumerate([*parts] * 10)]
-    docs = frame(spark, [(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (902, "12 !?"), (903, "q" * 500)])
+    docs = frame(spark, [(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (902, "12 !? ½²"), (903, "q" * 500)])
     got = {r["doc_id"]: r for r in language_id.predict(docs, model).collect()}
     assert np.mean([got[i]["lang_pred"] == lang for i, _, lang in rows]) >= 0.95
     assert all((got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0) for i in (900, 901, 902))
