@@ -14,6 +14,10 @@ PAGE_STOP = (
 )
 ARTICLES = ("a", "an", "the")
 
+# Marks that a recogniser glues to the next word, and to the one before.
+SPACE_AFTER = r"([.,;:!?)\]\"”’])(?=[A-Za-z0-9À-ɏ])"
+SPACE_BEFORE = r"(?<=[A-Za-z0-9À-ɏ])([(\[“‘])"
+
 #: ASCII punctuation as a regular-expression class.
 PUNCT = r"[!-/:-@\[-`{-~]"
 
@@ -77,8 +81,8 @@ def contains_quote(container: Column, quote: Column) -> Column:
 
 def repair_spacing(text: Column) -> Column:
     """Spaces that a recogniser dropped next to punctuation, put back."""
-    after = F.regexp_replace(text, r"([.,;:!?)\]\"”’])(?=[A-Za-z0-9À-ɏ])", "$1 ")
-    before = F.regexp_replace(after, r"(?<=[A-Za-z0-9À-ɏ])([(\[“‘])", " $1")
+    after = F.regexp_replace(text, SPACE_AFTER, "$1 ")
+    before = F.regexp_replace(after, SPACE_BEFORE, " $1")
     return F.trim(F.regexp_replace(before, r"\s{2,}", " "))
 
 
