@@ -7,10 +7,10 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.session import discard, fresh, shared_dir, ship, table, written  # noqa: F401
+from folioscope.session import fresh, shared_dir, ship, table, written  # noqa: F401
 
 #: Bytes of one Arrow batch handed to a Python worker.
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -55,3 +55,28 @@ def numbered(docs: DataFrame, *more: str) -> DataFrame:
     bases = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("base"))
     low = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     return sorted_rows.withColumn("shard", F.shiftright("at", 33)).join(bases, "shard").select((F.col("base") + low).alias("rid"), *rows.columns)
+
+
+def lean(run):
+    """A worker function that gives freed memory back to the system when its task is done.
+
+    Workers live on from task to task, and allocators keep what was freed.
+    """
+
+    def run_and_release(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow
+
+            gc.collect()
+            pyarrow.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return run_and_release

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from folioscope.llm.token_count import _SEPARATORS
 
 #: Runs in one generation of the table.
-KEPT = 600_000
+KEPT = 350_000
 #: Texts whose unknown words are looked up together.
 TOGETHER = 128
 #: Marks that make one piece when they follow a word.

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import kernel as K
-from folioscope.llm.common import numbered, written
+from folioscope.llm.common import lean, numbered, written
 from folioscope.llm.components import components
 
 #: Least cells of a set; larger sets have about half as many as elements.
@@ -384,7 +384,7 @@ def link_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """:func:`link_components` of numbered rows (rid, doc_id, text)."""
     num, den = threshold
     text = rows.select("rid", "text")
-    described = written(rows.select("rid", "doc_id", "text").mapInArrow(_describe(n), "rid long, doc_id long, n long, f1 long, f2 long, cells binary"), "sets")
+    described = written(rows.select("rid", "doc_id", "text").mapInArrow(lean(_describe(n)), "rid long, doc_id long, n long, f1 long, f2 long, cells binary"), "sets")
     full = described.where(F.col("n") > 0)
     classes = full.groupBy("n", "f1", "f2").agg(F.min("rid").alias("rep"))
     # rep is the least row with the same set; its cells stand for the class.
@@ -394,10 +394,10 @@ def link_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     groups, seed = None, 0
     subject = text
     while True:
-        signed = subject.mapInArrow(_sign(n, num, den, seed), "sig long, rid long, short boolean")
+        signed = subject.mapInArrow(lean(_sign(n, num, den, seed)), "sig long, rid long, short boolean")
         # Rows that fall short travel beside the groups, by one shuffle.
         keyed = signed.repartition("sig").sortWithinPartitions("short", "sig", "rid")
-        live = written(keyed.mapInArrow(_grouped_or_short, "sig long, lead long, rid long"), f"groups-{seed}", compression="zstd")
+        live = written(keyed.mapInArrow(lean(_grouped_or_short), "sig long, lead long, rid long"), f"groups-{seed}", compression="zstd")
         found = live.where(F.col("lead").isNotNull())
         groups = found if groups is None else groups.unionByName(found)
         lacking = live.where(F.col("lead").isNull()).select("rid").distinct()
@@ -418,7 +418,7 @@ def link_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     def verified(pairs: DataFrame, least: int, label: str) -> DataFrame:
         with_b = pairs.join(text.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
         with_both = with_b.join(text.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-        return written(with_both.mapInArrow(_verify(n, least, den), "a long, b long, n_a long, n_b long, common long, difference binary"), label)
+        return written(with_both.mapInArrow(lean(_verify(n, least, den)), "a long, b long, n_a long, n_b long, common long, difference binary"), label)
 
     def similar(least: int) -> Column:
         return F.expr(f"{den} * common >= {least} * (n_a + n_b - common)")
@@ -432,7 +432,7 @@ def link_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
         .select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
     )
     cells = lambda s: sets.where("rid = rep").select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("cells").alias(f"cells_{s}"))
-    stars = classed.join(cells("a"), "a").join(cells("b"), "b").mapInArrow(_may_link(carried, den), "a long, b long")
+    stars = classed.join(cells("a"), "a").join(cells("b"), "b").mapInArrow(lean(_may_link(carried, den)), "a long, b long")
     rays = verified(stars, carried, "rays")
     links = rays.where(similar(num)).select("a", "b")
     comp = components(links, "joined")
@@ -453,7 +453,7 @@ def link_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
             F.col("b").alias("rep"), "comp", F.col("n_b").alias("n"), F.col("n_a").alias("n_lead"), "difference", (F.col("n_a") - F.col("common")).alias("removed"), "a",
         )
     )
-    around = dealt.repartition("key").sortWithinPartitions("key", "a", "rep").drop("a").mapInArrow(_around(num, den), "a long, b long")
+    around = dealt.repartition("key").sortWithinPartitions("key", "a", "rep").drop("a").mapInArrow(lean(_around(num, den)), "a long, b long")
 
     # Sets far from their lead, in what is left of their signature's group.
     found = groups.join(sets.select("rid", "rep"), "rid").join(sets.select(F.col("rid").alias("lead"), F.col("rep").alias("lead_rep")), "lead")
@@ -462,7 +462,7 @@ def link_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     located = far.join(placed.select("rep", "comp"), "rep")
     several = located.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
     residue = located.join(several, "sig").join(placed.select("rep", "n", "cells"), "rep").select("sig", "rep", "comp", "n", "cells")
-    across = residue.repartition("sig").sortWithinPartitions("sig", "rep").mapInArrow(_across(num, den), "a long, b long").distinct()
+    across = residue.repartition("sig").sortWithinPartitions("sig", "rep").mapInArrow(lean(_across(num, den)), "a long, b long").distinct()
     rest = verified(across, num, "links-rest").select("a", "b").unionByName(around)
     rest = written(rest, "links-more")
     if not rest.isEmpty():

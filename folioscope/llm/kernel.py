@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text makes a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 U = np.uint64
 _P = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64

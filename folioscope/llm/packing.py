@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import texts, written
+from folioscope.llm.common import lean, texts, written
 from folioscope.llm.encoding import encoder
 
 CAPACITY = 4096
@@ -59,7 +59,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY)
                 columns = [pa.array(c, t) for c, t in zip(out, types, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(columns[0]), *columns[1:]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return texts(docs).mapInArrow(pieces, PIECES)
+    return texts(docs).mapInArrow(lean(pieces), PIECES)
 
 
 # --- one block's genetic algorithm -------------------------------------------------------------
@@ -212,7 +212,7 @@ def _pack_blocks(items: DataFrame, n: int, capacity: int, label: str, salt: int)
     state = held.select("block", island, "items", empty)
     for epoch in range(EPOCHS):
         state = state.repartition("block", "island")
-        results = state.mapInArrow(lambda b: _islands(b, capacity), "block long, island int, score struct<bins:long,fill:double>, assigned array<int>")
+        results = state.mapInArrow(lean(lambda b: _islands(b, capacity)), "block long, island int, score struct<bins:long,fill:double>, assigned array<int>")
         results = written(results, f"{label}-epoch{epoch}")
         if epoch + 1 < EPOCHS:
             # Elite migration: an island goes on from its own elite and its neighbour's on the ring.
@@ -220,7 +220,7 @@ def _pack_blocks(items: DataFrame, n: int, capacity: int, label: str, salt: int)
             elites = moved.groupBy("block", "island").agg(F.collect_list("assigned").alias("elites"))
             state = held.select("block", island, "items").join(elites, ["block", "island"])
     best = results.groupBy("block").agg(F.max_by("assigned", F.struct("score", -F.col("island"))).alias("assigned"))
-    return held.join(best, "block").mapInArrow(lambda b: _place(b, capacity), "pid long, length long, block long, bin long, offset long, settled boolean")
+    return held.join(best, "block").mapInArrow(lean(lambda b: _place(b, capacity)), "pid long, length long, block long, bin long, offset long, settled boolean")
 
 
 def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
 
 from folioscope.llm import kernel as K
-from folioscope.llm.common import fresh, prepare, texts
+from folioscope.llm.common import fresh, lean, prepare, texts
 
 #: Words in a window.
 WINDOW = 10
@@ -148,7 +148,7 @@ def build(docs: DataFrame, path: str, keep: np.ndarray | None, columns: tuple[st
                     ["row", "n_words", "terms", "lists", "places"],
                 )
 
-    rows.mapInArrow(segments, schema).write.option("compression", "zstd").parquet(path)
+    rows.mapInArrow(lean(segments), schema).write.option("compression", "zstd").parquet(path)
 
 
 # --- searching ----------------------------------------------------------------------------------
@@ -249,7 +249,7 @@ def matches(spark: SparkSession, path: str, parts: list[Windows]) -> DataFrame:
                 )
 
     schema = StructType().add("row", row_type).add("n_words", LongType()).add("n_hit", LongType()).add("items", ArrayType(StringType()))
-    return stored.mapInArrow(search, schema)
+    return stored.mapInArrow(lean(search), schema)
 
 
 def near_matches(spark: SparkSession, path: str, phrase: str, span: int) -> DataFrame:
@@ -266,7 +266,7 @@ def near_matches(spark: SparkSession, path: str, phrase: str, span: int) -> Data
             for segment, rows in segments_of(batch):
                 yield pa.RecordBatch.from_arrays([rows.take(pa.array(segment.near(terms, span)))], ["row"])
 
-    return stored.mapInArrow(search, StructType().add("row", stored.schema["row"].dataType.elementType)).select("row.*")
+    return stored.mapInArrow(lean(search), StructType().add("row", stored.schema["row"].dataType.elementType)).select("row.*")
 
 
 

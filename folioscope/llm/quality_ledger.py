@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import kernel as K
-from folioscope.llm.common import texts
+from folioscope.llm.common import lean, texts
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_ascii_letters", "n_marked_words")
 
@@ -125,7 +125,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements, and fail_bits with every rule's outcome."""
-    measured = texts(docs).mapInArrow(_measure, SCHEMA)
+    measured = texts(docs).mapInArrow(lean(_measure), SCHEMA)
     bits = " + ".join(f"CASE WHEN {rule} THEN {1 << k}L ELSE 0L END" for k, rule in enumerate(RULES.values()))
     return measured.withColumn("fail_bits", F.expr(bits))
 
@@ -179,4 +179,4 @@ def filter_documents(docs: DataFrame, policy: Policy = PRODUCTION) -> DataFrame:
     for m in MEASURES:
         schema.add(m, LongType())
     bits = " + ".join(f"CASE WHEN {rule} THEN {1 << k}L ELSE 0L END" for k, rule in enumerate(RULES.values()))
-    return numbered.mapInArrow(judged, schema).where(passes(policy, F.expr(bits))).select("row.*")
+    return numbered.mapInArrow(lean(judged), schema).where(passes(policy, F.expr(bits))).select("row.*")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType
 
 from folioscope.llm import kernel as K
-from folioscope.llm.common import numbered, written
+from folioscope.llm.common import lean, numbered, written
 
 SPAN, GRAM = 100, 32
 #: Rows whose suffixes are looked at for the splitters, and splitters per shuffle partition.
@@ -148,7 +148,7 @@ def _emit(docs: DataFrame, splitters: np.ndarray, span: int, gram: int) -> DataF
                     ["bucket", "h", "u", "rid", "at"],
                 )
 
-    return docs.select("rid", "text").mapInArrow(rows, SUFFIXES)
+    return docs.select("rid", "text").mapInArrow(lean(rows), SUFFIXES)
 
 
 def _splitters(docs: DataFrame, span: int, gram: int) -> np.ndarray:
@@ -274,7 +274,7 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot_runs: int =
     if not gram <= span < gram + 127:
         raise ValueError("span must be at least gram and less than gram + 127")
     found = _emit(docs, _splitters(docs, span, gram), span, gram).repartition("bucket")
-    runs = written(found.mapInArrow(_sorted_bucket, "h long, rid long, at long"), "suffix-runs")
+    runs = written(found.mapInArrow(lean(_sorted_bucket), "h long, rid long, at long"), "suffix-runs")
     p = F.shiftright("at", 14)
     left = F.shiftright("at", 7).bitwiseAND(F.lit(127).cast("long"))
     right = F.col("at").bitwiseAND(F.lit(127).cast("long"))
@@ -287,11 +287,11 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot_runs: int =
         .groupBy("rid").agg(F.collect_list(F.struct("h", "at", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("runs"))
         .join(docs.select("rid", "text"), "rid")
     )
-    fetched = written(by_text.select("rid", "text", "runs").mapInArrow(_contexts(span), "h long, rid long, at long, data binary, key binary"), "suffix-edges", compression="zstd")
+    fetched = written(by_text.select("rid", "text", "runs").mapInArrow(lean(_contexts(span)), "h long, rid long, at long, data binary, key binary"), "suffix-edges", compression="zstd")
     near = (
         fetched.where(F.col("key").isNull()).select("h", "rid", "at", "data")
         .repartition("h").sortWithinPartitions("h", "rid", "at")
-        .mapInArrow(_compare(span, gram), "rid long, lo long, hi long")
+        .mapInArrow(lean(_compare(span, gram)), "rid long, lo long, hi long")
     )
     windows = fetched.where(F.col("key").isNotNull()).select("key", "rid", F.col("at").alias("q"))
     first = windows.groupBy("key").agg(F.min(F.struct("rid", "q")).alias("first"))
@@ -340,7 +340,7 @@ def stripped(docs: DataFrame, span: int = SPAN, gram: int = GRAM, more: tuple[st
     spans = found.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     joined = rows.join(spans, "rid", "left").drop("rid")
     schema = joined.drop("text", "spans").schema.add("n_bytes", LongType()).add("n_removed", LongType()).add("n_spans", LongType()).add("kept", StringType() if as_text else BinaryType())
-    return joined.mapInArrow(_strip(span, as_text), schema)
+    return joined.mapInArrow(lean(_strip(span, as_text)), schema)
 
 
 def deduplicated(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import prepare, texts
+from folioscope.llm.common import lean, prepare, texts
 from folioscope.llm.encoding import encoder
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
@@ -56,7 +56,7 @@ def write_token_table(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
                 at += int(offsets[-1])
 
     rows = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(encode, SCHEMA).write.options(**LAYOUT).parquet(path)
+    rows.mapInArrow(lean(encode), SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
 def shard_bases(spark: SparkSession, path: str) -> DataFrame:
@@ -90,7 +90,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             )
 
     read = spark.read.schema(SCHEMA).parquet(path).select("doc_id", "shard", "shard_start", "ids")
-    rows = read.mapInArrow(crc, "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
+    rows = read.mapInArrow(lean(crc), "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
     return rows.join(shard_bases(spark, path), "shard").select("doc_id", (F.col("base") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
 
 

@@ -35,7 +35,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import prepare, texts
+from folioscope.llm.common import lean, prepare, texts
 
 SAMPLE = 8_000
 WINDOW = 5
@@ -179,4 +179,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 got = np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(got, pa.float64())], ["doc_id", "score"])
 
-    return texts(docs).mapInArrow(rate, "doc_id long, score double")
+    return texts(docs).mapInArrow(lean(rate), "doc_id long, score double")
