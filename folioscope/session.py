@@ -52,12 +52,3 @@ def written(df: DataFrame, label: str, **options) -> DataFrame:
 def fresh(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/folioscope/{label}-{uuid.uuid4().hex}"
 
-
-def discard(df: DataFrame) -> None:
-    """Remove the files behind a table made by :func:`written`."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/folioscope/" in folder:
-            p = jvm.org.apache.hadoop.fs.Path(folder)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
