@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import tokens
+from folioscope.functions.text import BLOCK_STOP, PAGE_STOP, tokens
 
 
 def term_counts(rows: DataFrame, keys: list[str], text: Column, profile: str = "block") -> DataFrame:
     """(keys..., token, tf): one row per key and token, combined before the shuffle."""
-    return rows.select(*keys, F.explode(tokens(text, profile)).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
+    found = rows.select(*keys, F.explode(tokens(text, "all")).alias("token"))
+    if profile == "block":  # filtered as rows, in generated code, rather than inside the array
+        found = found.where(~F.col("token").isin(*BLOCK_STOP))
+    elif profile == "page":
+        found = found.where(~F.col("token").isin(*PAGE_STOP) & (F.length("token") >= 2))
+    return found.groupBy(*keys, "token").agg(F.count("*").alias("tf"))
 
 
 def idf(n: Column, df: Column) -> Column:
