@@ -5,15 +5,17 @@ text's windows (``WINDOW`` words each) are compressed with both, and the bytes
 that the toxic dictionary saves are the evidence; a logistic calibration over
 their distribution gives a score between 0 and 1, and 0.5 is the threshold.
 
-The ordinary dictionary is trained on ordinary rows as they are. The toxic one is
-trained on what recurs in toxic rows and hardly in ordinary ones (document
-frequency at least ``RECURS`` there and ``LIFT`` times that of ordinary rows); it
-extends the ordinary dictionary, so that plain text costs the same under both and
-a difference means toxic text.
+The ordinary dictionary is trained on ordinary rows as they are, the toxic one on
+the toxic rows' own text: its runs of up to ``WINDOW`` words, without the words
+that speak less for toxic rows (log-likelihood ratio of the word or its stem) than
+a level of ``EVIDENCE``; level 0 leaves the text whole. It extends the ordinary
+dictionary, so that plain text costs the same under both and a difference means
+toxic text.
 
 Training reads at most ``SAMPLE`` labelled rows, those of least hash of doc_id.
 The calibration is fitted across two halves, each scored by the other's
-dictionaries; the dictionaries used are both halves'. Every text is scored whole.
+dictionaries, and the level is the one with the least loss there; the dictionaries
+used are both halves'. Every text is scored whole.
 
 Defined cases: a null or empty text has no window and gets the calibration's
 score of no evidence; rows with a null label or id are not learnt from; without
@@ -24,10 +26,12 @@ one pass without a shuffle.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +43,8 @@ from folioscope.llm.common import lean, prepare, texts
 
 SAMPLE = 8_000
 WINDOW = 5
-ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 4 << 10
-RECURS, LIFT = 0.02, 30
+ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 16 << 10
+EVIDENCE = (0, 4, 8, 12, 24)
 STEM = 5
 LEVEL = 3
 
@@ -82,17 +86,22 @@ class Model:
 
     def features(self, text: str | None) -> list[float]:
         plain, toxic = self._lengths()
-        saved = np.asarray([len(plain(w)) - len(toxic(w)) for w in windows(text)])
-        if not len(saved):
-            return [0.0] * 6 + [float("nan")]  # no evidence, and no length to judge
-        top = np.sort(saved)[-3:]
-        return [float(x) for x in (top[-1], top.mean(), saved.mean(), (saved >= 2).mean(), (saved >= 3).mean(), (saved >= 4).mean(), np.log1p(len(saved)))]
+        return _summary([len(plain(w)) - len(toxic(w)) for w in windows(text)])
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         z = np.nan_to_num((rows - np.asarray(self.centre)) / np.asarray(self.scale))
         return 1 / (1 + np.exp(-np.clip(z @ np.asarray(self.weights[:-1]) + self.weights[-1], -30, 30)))
 
 
+def _summary(saved: list[int]) -> list[float]:
+    """A text's features: what its windows save."""
+    if not saved:
+        return [0.0] * 6 + [float("nan")]  # no evidence, and no length to judge
+    x = np.asarray(saved)
+    top = np.sort(x)[-3:]
+    return [float(v) for v in (top[-1], top.mean(), x.mean(), (x >= 2).mean(), (x >= 3).mean(), (x >= 4).mean(), np.log1p(len(x)))]
+
+
 def _logistic(rows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     centre, scale = np.nanmean(rows, 0), np.nanstd(rows, 0)
     scale[scale < 1e-6] = 1.0  # a constant says nothing
@@ -116,8 +125,16 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
     return whole[-size:]
 
 
-def dictionaries(rows: list[tuple[str | None, int]]) -> Model:
-    """Both dictionaries from (text, label) rows."""
+def _evidence(k1: int, k0: int, n1: int, n0: int) -> float:
+    """Log-likelihood ratio of a term in k1 of n1 toxic and k0 of n0 ordinary rows; negative where ordinary rows have more."""
+    share = (k1 + k0) / (n1 + n0)
+    part = lambda k, e: k * math.log(k / e) if k else 0.0
+    ratio = 2 * sum(part(k, n * share) + part(n - k, n * (1 - share)) for k, n in ((k1, n1), (k0, n0)))
+    return ratio if k1 * n0 > k0 * n1 else -ratio
+
+
+def dictionaries(rows: list[tuple[str | None, int]], levels: tuple[float, ...] = EVIDENCE) -> list[Model]:
+    """Both dictionaries from (text, label) rows, at each level of evidence."""
     seen: tuple[Counter, Counter] = (Counter(), Counter())
     n = [0, 0]
     plain: list[bytes] = []
@@ -127,30 +144,53 @@ def dictionaries(rows: list[tuple[str | None, int]]) -> Model:
         if not y:
             data = (text or "").lower().encode()
             plain += [data[i: i + 400] for i in range(0, len(data), 400)]
-    least = max(3, RECURS * n[1])
-    marked = [w for w, k in seen[1].items() if k >= least and k / n[1] >= LIFT * (seen[0][w] + 0.5) / n[0]]
-    # Samples of the toxic text: what recurs in it, most frequent last, where zstandard reaches it cheapest.
-    ranked = sorted(marked, key=lambda w: (seen[1][w], w))
-    return Model(ordinary=_dictionary(plain, ORDINARY_BYTES), toxic=_dictionary([f" {w} ".encode() for w in ranked], TOXIC_BYTES))
+    speaks = {w: _evidence(k, seen[0][w], n[1], n[0]) for w, k in seen[1].items()}
+    toxic = [[(w, max(speaks[w], speaks[w[:STEM]])) for w in _WORDS((text or "").lower())] for text, y in rows if y]
+    ordinary = _dictionary(plain, ORDINARY_BYTES)
+    out = []
+    for level in levels:
+        runs: Counter = Counter()
+        for words in toxic:
+            for kept, run in groupby(words, lambda x: not level or x[1] >= level):
+                run = [w for w, _ in run] if kept else []
+                runs.update(" ".join(run[i: i + WINDOW]) for i in range(0, len(run), WINDOW))
+        # The most frequent last, where zstandard reaches it cheapest.
+        ranked = sorted(runs, key=lambda r: (runs[r], r))
+        out.append(Model(ordinary=ordinary, toxic=_dictionary([f" {r} ".encode() for r in ranked], TOXIC_BYTES)))
+    return out
 
 
 def train(rows: list[tuple[str | None, int]]) -> Model:
-    """Fit on (text, label) rows: calibrated across two halves, dictionaries from both."""
+    """Fit on (text, label) rows: level and calibration across two halves, dictionaries from both."""
     labels = [int(y) for _, y in rows]
     prior = sum(labels) / len(labels) if labels else 0.0
     kinds = [[r for r in rows if r[1] == y] for y in (0, 1)]  # both halves get half of each kind
     halves = kinds[0][::2] + kinds[1][::2], kinds[0][1::2] + kinds[1][1::2]
     if any(len({y for _, y in half}) < 2 for half in halves):
         return Model(prior=prior)
-    features, known = [], []
+    features: list[list[list[float]]] = [[] for _ in EVIDENCE]
+    known = []
     for one, other in (halves, halves[::-1]):
-        model = dictionaries(one)
-        features += [model.features(t) for t, _ in other]
+        models = dictionaries(one)
+        plain, _ = models[0]._lengths()
+        toxic = [m._lengths()[1] for m in models]
+        for text, _ in other:
+            cut = windows(text)
+            base = [len(plain(w)) for w in cut]
+            for found, short in zip(features, toxic, strict=True):
+                found.append(_summary([b - len(short(w)) for b, w in zip(base, cut, strict=True)]))
         known += [y for _, y in other]
-    model = dictionaries(rows)
-    model.prior = prior
-    centre, scale, weights = _logistic(np.asarray(features), np.asarray(known, float))
-    model.centre, model.scale, model.weights = centre.tolist(), scale.tolist(), weights.tolist()
+    truth = np.asarray(known, float)
+    best = None
+    for level, found in zip(EVIDENCE, features, strict=True):
+        centre, scale, weights = (x.tolist() for x in _logistic(np.asarray(found), truth))
+        p = Model(centre=centre, scale=scale, weights=weights).score(np.asarray(found))
+        loss = -np.mean(np.log(np.where(truth == 1, p, 1 - p)))
+        if best is None or loss < best[0]:
+            best = loss, level, centre, scale, weights
+    _, level, centre, scale, weights = best
+    (model,) = dictionaries(rows, (level,))
+    model.centre, model.scale, model.weights, model.prior = centre, scale, weights, prior
     return model
 
 

@@ -354,6 +354,21 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(docs, toxicity.train([("x", 1), ("y", 1)])).collect()} == {1.0}
 
 
+def test_toxicity_of_a_broad_vocabulary():
+    """Toxic words that are each in under 2% of the toxic rows still tell."""
+    rng = np.random.default_rng(1)
+    vile = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz")) + rng.choice(list("aeiou")) for _ in range(4)) for _ in range(800)]
+    rows = []
+    for i in range(3000):
+        words = re.sub(r"\d", lambda m: chr(97 + int(m[0])), sentence(rng, 60)).split()
+        for k in rng.choice(60, 6 if i % 6 == 0 else 0, replace=False):
+            words[k] = str(rng.choice(vile))
+        rows.append((" ".join(words), int(i % 6 == 0)))
+    model = toxicity.train(rows[:2400])
+    held = [(float(s) >= 0.5, y) for s, (_, y) in zip(model.score(np.asarray([model.features(t) for t, _ in rows[2400:]])), rows[2400:], strict=True)]
+    assert np.mean([s for s, y in held if y]) > 0.8 and np.mean([not s for s, y in held if not y]) > 0.95
+
+
 def test_language_id(spark):
     rng = np.random.default_rng(0)
     parts = {"xx": ["ing", "the", "er", "tion"], "yy": ["sch", "ung", "keit", "ver"], "zz": ["eau", "oi", "ment", "que"]}
