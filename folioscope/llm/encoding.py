@@ -5,7 +5,8 @@ this vocabulary, so each distinct run between white space is encoded once and
 kept in a bounded table; a text's ids are its runs' ids joined. A letters-only
 run is one piece, and so is a tail of marks behind it: they are looked up apart,
 and many unknown ones go through the library in one call, cut again at the
-tokens that end a word.
+tokens that end a word. Special strings are matched before letters are made lower
+case, so a text that holds one in any letter case is encoded as it stands.
 """
 
 from __future__ import annotations
@@ -58,6 +59,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.known = Known(kept)
+        self.special = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, number in vocab.items():
@@ -118,7 +120,9 @@ class Encoder:
                 else:
                     try:  # Latin-1 is in normal form C, and its lower case is found letter by letter
                         t.encode("latin-1")
-                        t = _STOP(r" \1", t.lower())
+                        low = t.lower()
+                        if not any(x in low for x in self.special):
+                            t = _STOP(r" \1", low)
                     except UnicodeEncodeError:
                         pass
                     split.append(t.split())
@@ -161,7 +165,12 @@ class Encoder:
         data = pa.concat_arrays([column]).buffers()[2]  # this stretch's bytes alone
         bytes_ = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
         if not (bytes_ >= 0xC4).any():  # Latin-1, see above
-            column = pc.replace_substring_regex(pc.utf8_lower(column), "([a-zß-öø-ÿ])([.,])(\\s)", "\\1 \\2\\3")
+            low = pc.utf8_lower(column)
+            found = [pc.match_substring(low, x) for x in self.special]
+            low = pc.replace_substring_regex(low, "([a-zß-öø-ÿ])([.,])(\\s)", "\\1 \\2\\3")
+            for hit in found:
+                low = pc.if_else(hit, column, low) if hit.true_count else low
+            column = low
         words = pc.utf8_split_whitespace(column)
         texts = words.offsets.to_numpy().astype(np.int64)
         texts -= texts[0]

@@ -63,6 +63,18 @@ def test_heap_counts_and_encoder_match_the_library(tokenizer):
     assert [np.frombuffer(b, "<u4").tolist() for b in small.encode_many(texts)] == want
 
 
+def test_special_strings_in_any_letter_case(tokenizer):
+    texts = ["Alpha. <|ENDOFTEXT|> beta, x", "a<|EndOfText|>b <|StartOfText|>. C", "<|endoftext|> Same. one", "Plain. text, here", ""]
+    count = token_count.Counter(tokenizer_path()).count
+    for neighbours in ([], ["日本 Ω"], ["É é. x"]):
+        column = texts + neighbours
+        want = [e.ids for e in tokenizer.encode_batch(column, add_special_tokens=False)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in encoding.Encoder(tokenizer_path()).encode_many(column)] == want
+        offsets, ids = encoding.Encoder(tokenizer_path()).encode_column(pa.array(column), 2)
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [[*w, 2] for w in want]
+        assert [count(t) for t in column] == [len(w) for w in want]
+
+
 def test_token_counts(spark, tokenizer):
     rows = edge_rows()
     got = {r["doc_id"]: r for r in token_count.token_counts(frame(spark, rows), tokenizer_path()).collect()}
