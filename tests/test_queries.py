@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from folioscope.plans import registry
+from folioscope.plans.surrogates import sql_tokens
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -48,6 +49,14 @@ def test_runs(spark, name):
     assert registry.queries()[name](spark, DIR).count() > 0
 
 
+def test_sketches_of_every_pair_that_shares_a_token(spark, duck):
+    got = registry.queries()["sketch_similarity"](spark, DIR).collect()
+    words = lambda t, key: f"SELECT DISTINCT {key}, unnest({sql_tokens('text')}) AS token FROM {t}"
+    want = duck.execute(f"SELECT DISTINCT doc_id, item_id FROM ({words('documents', 'doc_id')}) JOIN ({words('benchmark', 'item_id')}) USING (token)").fetchall()
+    assert sorted((r["doc_id"], r["qid"]) for r in got) == sorted(want)
+    assert all(-1.000001 <= r["dot"] <= 1.000001 for r in got)
+
+
 def test_entry(spark):
     import __spark_entry__
 
