@@ -42,13 +42,47 @@ def written(df: DataFrame, label: str, **options) -> DataFrame:
     """Write ``df`` to a new table in the shared folder and read it back.
 
     Cuts the lineage: a lost executor re-reads these files instead of
-    recomputing what led to them.
+    recomputing what led to them. :func:`discard` deletes the table.
     """
     path = fresh(df.sparkSession, label)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.table_path = path
+    return back
+
+
+_made: list[str] = []
 
 
 def fresh(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/folioscope/{label}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder."""
+    path = f"{shared_dir(spark)}/folioscope/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _made:
+        _made.remove(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written` that nothing reads any more."""
+    for df in tables:
+        path = df.__dict__.pop("table_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def mark() -> int:
+    """A point in time for :func:`discard_since`."""
+    return len(_made)
+
 
+def discard_since(spark: SparkSession, at: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete what was written after ``at``, but for ``keep``; without ``at``, all that this session left."""
+    kept = getattr(keep, "table_path", None)
+    for path in [p for p in _made[at:] if p != kept]:
+        _delete(spark, path)
