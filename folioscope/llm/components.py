@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import written
+from folioscope.llm.common import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,7 +29,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(id, component) for every id with an edge; component is the least id reachable.
 
-    ``edges`` (a, b) are undirected; loops and repeats are allowed.
+    ``edges`` (a, b) are undirected; loops and repeats are allowed, rows with a
+    null end are no edge, and an empty table gives no row.
     """
     now = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = written(now, f"{label}-0"), None
@@ -38,6 +39,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         if mark == before or not mark[0]:
             break
         before = mark
-        now = written(_star(_star(now, True), False), f"{label}-{k}")
+        now, old = written(_star(_star(now, True), False), f"{label}-{k}"), now
+        discard(old)
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)

@@ -2,12 +2,13 @@
 
 A batch of texts is viewed, without copying, as one byte buffer with offsets;
 words, shingles and k-byte windows are then found for all its texts at once.
-Hashes are 64-bit polynomial fingerprints of exact byte ranges: prefix sums of
-``T[byte] * P**i`` make the fingerprint of any range two look-ups.
+Hashes are 64-bit fingerprints of exact byte ranges, mixed word by word so that
+no arrangement of few letters makes unlike ranges alike.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,32 +18,12 @@ import pyarrow as pa
 CHUNK = 1 << 20
 
 U = np.uint64
-_P = U(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
-_PINV = U(pow(int(_P), -1, 1 << 64))
-_TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.int64).astype(U) * U(2) + U(1)
-
+_SEED, _STEP = U(0xD6E8FEB86659FD93), U(0x9FB21C651E98DF25)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"): ord("Z") + 1] += 32
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int, inverse: bool = False) -> np.ndarray:
-    """P**0 .. P**n (or of its inverse); grown on demand and kept."""
-    key = "inv" if inverse else "fwd"
-    have = _powers.get(key)
-    if have is None or len(have) <= n:
-        size = max(n + 1, CHUNK + 4096)
-        step = np.full(size, _PINV if inverse else _P, U)
-        step[0] = U(1)
-        have = np.multiply.accumulate(step)
-        if size <= 4 * CHUNK:
-            _powers[key] = have
-    return have
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so that all bits depend on all bits."""
     x = x ^ (x >> U(30))
@@ -53,18 +34,71 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def words_at(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place as one little-endian number; zeros follow the end."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    return np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+
+
 class Fingerprints:
-    """Fingerprints of byte ranges of one buffer."""
+    """Fingerprints of byte ranges of one buffer.
+
+    A range of up to ``SHORT`` bytes is read eight bytes at a time and mixed word
+    by word with its length; a longer one is digested by BLAKE2b.
+    """
+
+    SHORT = 64
 
     def __init__(self, buf: np.ndarray):
-        n = len(buf)
-        self.sums = np.zeros(n + 1, U)
-        np.cumsum(_TABLE[buf] * powers(n)[:n], out=self.sums[1:])
-        self.inverse = powers(n, True)
+        self.buf, self.words = buf, words_at(buf)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        size = end - start
+        bits = np.minimum(size, 8).astype(U) * U(8)
+        mask = np.where(bits == 64, ~U(0), (U(1) << (bits & U(63))) - U(1))
+        h = mix(mix((self.words[start] & mask) ^ _SEED) + size.astype(U) * _STEP)
+        left, at = np.flatnonzero((size > 8) & (size <= self.SHORT)), 8
+        while len(left):  # the last eight bytes of a range may overlap those before
+            place = np.minimum(start[left] + at, end[left] - 8)
+            h[left] = mix(h[left] * _STEP + self.words[place])
+            at += 8
+            left = left[size[left] > at]
+        for i in np.flatnonzero(size > self.SHORT).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(self.buf[start[i]: end[i]], digest_size=8).digest(), "little")
+        return h
+
+
+class Rolling:
+    """Fingerprints of ranges of eight bytes or more, from those of every place by doubling.
+
+    A range is described by its length and the longest power-of-two blocks that
+    start and end it, which cover it.
+    """
+
+    def __init__(self, buf: np.ndarray, longest: int):
+        level = mix(words_at(buf)[: max(0, len(buf) - 7)] ^ _SEED)
+        self.levels, width = {8: level}, 8
+        while 2 * width <= longest and len(level) > width:
+            level = mix(level[:-width] * _STEP + level[width:])
+            width *= 2
+            self.levels[width] = level
+
+    def every(self, width: int) -> np.ndarray:
+        """Fingerprints of the ``width`` bytes from every place."""
+        block = max(k for k in self.levels if k <= width)
+        level = self.levels[block]
+        if block == width:
+            return level
+        return mix(mix(level[: len(level) - (width - block)] * _STEP + level[width - block:]) + U(width))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.inverse[start]
-        return mix(raw + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+        size, out = end - start, np.zeros(len(start), U)
+        for block, level in self.levels.items():
+            top = block == max(self.levels)
+            rows = np.flatnonzero((size >= block) & ((size < 2 * block) | top))
+            out[rows] = mix(mix(level[start[rows]] * _STEP + level[end[rows] - block]) + size[rows].astype(U))
+        return out
 
 
 def string_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
@@ -110,9 +144,11 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def per_text(weights: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sum of a per-byte weight within each text."""
-    total = np.zeros(len(weights) + 1, np.int64)
-    np.cumsum(weights, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    total = np.zeros(len(offsets) - 1, np.int64)
+    full = np.flatnonzero(offsets[1:] > offsets[:-1])  # these follow one another without a gap
+    if len(full):
+        total[full] = np.add.reduceat(weights, offsets[full], dtype=np.int64)
+    return total
 
 
 def shingles(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +158,7 @@ def shingles(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np
     last = len(words) - n + 1
     h = words[:last].copy()
     for k in range(1, n):
-        h = mix(h * U(0x9FB21C651E98DF25) + words[k: k + last])
+        h = mix(h * _STEP + words[k: k + last])
     return h, doc[:last] == doc[n - 1: n - 1 + last]
 
 
