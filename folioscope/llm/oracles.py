@@ -13,15 +13,14 @@ dup AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n
 m AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-    coalesce(dup.n_lines, 0) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_ascii_letters,
-    len(list_filter(ws, lambda x: regexp_matches(x, '[#*$%&|<>!]$'))) AS n_marked_words
+    coalesce(dup.n_lines, 0) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_ascii_letters
   FROM d JOIN w USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)
 ),
 b AS (
   SELECT *,
     ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (100 * n_symbols > 20 * n_words)::BIGINT
       + 8 * (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)::BIGINT + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words))::BIGINT
-      + 32 * (n_ascii_letters >= 50 AND 100 * n_upper > 60 * n_ascii_letters)::BIGINT + 64 * (100 * n_marked_words > 50 * n_words)::BIGINT)::BIGINT AS fail_bits
+      + 32 * (n_ascii_letters >= 50 AND 100 * n_upper > 60 * n_ascii_letters)::BIGINT)::BIGINT AS fail_bits
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b

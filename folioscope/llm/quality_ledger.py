@@ -7,12 +7,13 @@ policy would keep without one of its rules) come from the bits alone, without
 reading a text again.
 
 Words are maximal runs of bytes other than space and 0x09-0x0D. Repeats within
-a document are found by 64-bit fingerprints of exact byte ranges.
+a document are found by 64-bit fingerprints of exact byte ranges (see ``kernel``).
 
 Defined cases: a null or empty text has no word and fails ``few_words``; ids may
 repeat or be null (rows are judged one by one); an empty table gives an empty
 ledger; other columns are not read. The work is one pass without a shuffle, in
-chunks of bounded size, so neither long texts nor hot keys gather anywhere.
+chunks of bounded size, so no hot key gathers anywhere; a text longer than a chunk
+is one of its own and takes about 20 bytes of memory a byte.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from folioscope.llm import kernel as K
 from folioscope.llm.common import lean, texts
 
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_ascii_letters", "n_marked_words")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_ascii_letters")
 
 SCHEMA = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
 
@@ -41,7 +42,6 @@ RULES: dict[str, str] = {
     "repeated_lines": "n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines",
     "odd_word_length": "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words)",
     "shouting": "n_ascii_letters >= 50 AND 100 * n_upper > 60 * n_ascii_letters",
-    "marked_words": "100 * n_marked_words > 50 * n_words",
 }
 
 
@@ -57,14 +57,11 @@ class Policy:
 
 
 BASE = Policy("base", 1, ("few_words", "repeated_words"))
-PRODUCTION = Policy("production", 1, tuple(RULES))
-POLICIES = (BASE, PRODUCTION, Policy("no_markup", 1, ("few_words", "repeated_words", "symbol_heavy", "marked_words")))
+PRODUCTION = Policy("production", 2, tuple(RULES))
+POLICIES = (BASE, PRODUCTION, Policy("no_markup", 2, ("few_words", "repeated_words", "symbol_heavy")))
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-#: Marks that junk rows attach to word ends.
-_MARK = np.zeros(256, bool)
-_MARK[list(b"#*$%&|<>!")] = True
 _BYTE = np.arange(256)
 _UPPER = (_BYTE >= 65) & (_BYTE <= 90)
 _ALPHA = _UPPER | ((_BYTE >= 97) & (_BYTE <= 122))
@@ -95,7 +92,6 @@ def measure_chunk(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
         "n_symbols": K.per_text(_SYMBOL[buf], offsets),
         "n_upper": K.per_text(_UPPER[buf], offsets),
         "n_ascii_letters": K.per_text(_ALPHA[buf], offsets),
-        "n_marked_words": count(doc[_MARK[buf[end - 1]]] if len(end) else doc),
     }
     tri, whole = K.shingles(words, doc, 3)
     at = np.flatnonzero(whole)
@@ -105,9 +101,7 @@ def measure_chunk(buf: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
         covered[at[again] + k] = True
     out["n_repeat_words"] = count(doc[covered])
     ls, le, ld = K.runs(buf != 10, offsets)
-    held = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(inside, out=held[1:])
-    worded = held[le] > held[ls]
+    worded = np.searchsorted(start, le) > np.searchsorted(start, ls)
     ls, le, ld = ls[worded], le[worded], ld[worded]
     _, later = _duplicates(prints.of(ls, le), ld)
     out["n_lines"] = count(ld)
