@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,11 @@ import pyarrow.compute as pc
 from folioscope.llm.token_count import _SEPARATORS
 
 #: Runs in one generation of the table.
-KEPT = 350_000
+KEPT = 200_000
+#: Runs that one call of the library encodes: its results are far larger than the ids.
+CALL = 1000
+#: Bytes of text encoded at once; a longer text is cut at white space.
+STRETCH = 1 << 20
 #: Texts whose unknown words are looked up together.
 TOGETHER = 128
 #: Marks that make one piece when they follow a word.
@@ -52,6 +57,11 @@ class Known:
             self.old, self.young = self.young, {}
 
 
+def _letters(run: str) -> bool:
+    """Whether a run is letters alone once it is in normal form C and lower case."""
+    return run.isalpha() and (run.isascii() or unicodedata.normalize("NFC", run).lower().isalpha())
+
+
 class Encoder:
     def __init__(self, path: str, kept: int = KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -66,7 +76,10 @@ class Encoder:
             self.ends[number] = token.endswith("</w>")
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for i in range(0, len(texts), CALL):
+            out += [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts[i: i + CALL], add_special_tokens=False)]
+        return out
 
     def _learn(self, runs: set[str]) -> None:
         """Put all runs into the table."""
@@ -75,11 +88,11 @@ class Encoder:
             return
         words, tailed, odd = [], [], []
         for r in new:
-            if r.isalpha():
+            if _letters(r):
                 words.append(r)
                 continue
             core = r.rstrip(_TAIL)
-            (tailed if core.isalpha() else odd).append((r, core))
+            (tailed if _letters(core) else odd).append((r, core))
         # A word and the marks behind it are two pieces.
         parts = {c for _, c in tailed}
         if parts:
@@ -95,8 +108,8 @@ class Encoder:
 
     def _learn_words(self, new: list[str]) -> None:
         young = self.known.young
-        for i in range(0, len(new), 1000):
-            some = new[i: i + 1000]
+        for i in range(0, len(new), CALL):
+            some = new[i: i + CALL]
             ids = np.asarray(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(some):
@@ -175,25 +188,42 @@ class Encoder:
         texts = words.offsets.to_numpy().astype(np.int64)
         texts -= texts[0]
         coded = words.flatten().dictionary_encode()
-        ids = self.lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = self.lookup(coded.dictionary.to_pylist())
         pool = np.frombuffer(b"".join([*ids, end.tobytes()]), "<u4")
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        size = np.append(size, 1)
-        start = np.cumsum(size) - size
-        which = np.insert(coded.indices.to_numpy().astype(np.int64), texts[1:], len(ids))
+        size = np.append(np.fromiter(map(len, ids), np.int32, len(ids)) // 4, np.int32(1))
+        start = np.cumsum(size, dtype=np.int32) - size
+        which = np.insert(coded.indices.to_numpy(), texts[1:], len(ids))
         n = size[which]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        gathered = pool[np.repeat(start[which] - upto[:-1], n) + np.arange(upto[-1])]
-        return upto[texts + np.arange(len(texts))], gathered
+        upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        place = np.arange(upto[-1], dtype=np.int32)
+        place += np.repeat(start[which] - upto[:-1].astype(np.int32), n)
+        return upto[texts + np.arange(len(texts))], pool[place]
+
+    def encode_long(self, text: str, end_id: int, limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`encode_column` of one long text, cut at blanks, which no piece spans."""
+        parts, at = [], 0
+        while at < len(text):
+            to = len(text)
+            if at + limit < to:
+                blank = text.rfind(" ", at + 1, at + limit)
+                blank = blank if blank > 0 else text.find(" ", at + limit)
+                to = blank if blank > 0 else to
+            parts.append(self.encode_column(pa.array([text[at:to]]), end_id)[1][:-1])
+            at = to
+        ids = np.append(np.concatenate(parts), np.asarray([end_id], "<u4"))
+        return np.asarray([0, len(ids)]), ids
 
-    def encode_batches(self, column: pa.Array, end_id: int, limit: int = 4 << 20):
+    def encode_batches(self, column: pa.Array, end_id: int, limit: int = STRETCH):
         """(first row, offsets, ids) of consecutive stretches of a column, bounded in bytes."""
         sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(sizes)])
         at = 0
         while at < len(column):
             to = max(at + 1, int(np.searchsorted(upto, upto[at] + limit, "right")) - 1)
-            yield at, *self.encode_column(column[at:to], end_id)
+            if to == at + 1 and sizes[at] > limit:
+                yield at, *self.encode_long(column[at].as_py(), end_id, limit)
+            else:
+                yield at, *self.encode_column(column[at:to], end_id)
             at = to
 
 

@@ -10,7 +10,9 @@ needs the rows before its own.
 
 Defined cases: a null or empty text holds the end id alone; a null doc_id sorts
 first; rows that tie on doc_id are ordered by text; an empty table gives an
-empty file; other columns are not read. Long texts are encoded whole.
+empty file; other columns are not read. Long texts are encoded stretch by
+stretch. A shard's number follows from the bytes of all texts, so that no task
+sorts more than a bounded share of them.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import lean, prepare, texts
+from folioscope.llm.common import lean, partitions, prepare, texts
 from folioscope.llm.encoding import encoder
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
@@ -36,7 +38,7 @@ LAYOUT = {
     "parquet.enable.dictionary": "false",
     "parquet.enable.dictionary#ids.list.element": "true",
     "parquet.dictionary.page.size": str(1 << 20),
-    "parquet.block.size": str(32 << 20),
+    "parquet.block.size": str(8 << 20),
     "parquet.page.size": str(256 << 10),
     "parquet.page.row.count.limit": "500",
 }
@@ -55,7 +57,8 @@ def write_token_table(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
                 )
                 at += int(offsets[-1])
 
-    rows = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = texts(docs)
+    rows = rows.repartitionByRange(partitions(rows), "doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(lean(encode), SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
