@@ -3,11 +3,12 @@
 Documents are encoded and cut into pieces of at most ``capacity`` tokens. Full
 pieces are sequences by themselves. The others are dealt at random into blocks of
 bounded size; each block is packed by several islands, each with a population of
-its own. A chromosome is a list of bins: crossover injects whole well-filled bins
-of one parent into the other, drops the bins that then hold duplicates, and
-best-fits the displaced pieces. Between epochs each island gets its neighbour's
-elite. The fittest island's packing is the block's; pieces of its under-filled
-bins are dealt and packed once more across blocks.
+its own, which starts from random-order fits. A chromosome is a list of bins:
+crossover injects whole well-filled bins of one parent into the other, drops the
+bins that then hold duplicates, and best-fits the displaced pieces, longest first.
+Between epochs each island gets its neighbour's elite. The fittest island's
+packing is the block's; pieces of its under-filled bins are dealt and packed once
+more across blocks.
 
 Defined cases: a null or empty text is the end id alone; documents are told apart
 by row, so doc_id may repeat or be null; equal lengths are ordered by piece
@@ -34,8 +35,9 @@ CAPACITY = 4096
 BLOCK = 4000
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 4
-GENERATIONS = 6
+POPULATION = 6
+#: Generations without a gain after which an island's epoch ends.
+PATIENCE = 15
 #: Bins filled below this share are dealt again across blocks.
 SETTLED = 0.985
 
@@ -66,103 +68,103 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY)
 
 
 class Bins:
-    """A packing under construction: bins ordered by what room they have left."""
+    """A packing: bins of piece numbers, ordered by what room they have left.
 
-    def __init__(self, capacity: int):
-        self.capacity = capacity
-        self.items: list[list[int]] = []
-        self.room: list[int] = []
-        self.order: list[int] = []  # room << 32 | bin, ascending
+    Bins are never changed in place, so that parents and children share them.
+    """
 
-    def add(self, items: list[int], load: int) -> None:
-        insort(self.order, (self.capacity - load) << 32 | len(self.items))
-        self.items.append(items)
-        self.room.append(self.capacity - load)
+    def __init__(self, capacity: int, items: list[list[int]], room: list[int]):
+        self.capacity, self.items, self.room = capacity, items, room
+        self.order = sorted(r << 32 | b for b, r in enumerate(room))
 
     def best_fit(self, item: int, length: int) -> None:
-        at = bisect_left(self.order, length << 32)
-        if at == len(self.order):
-            self.add([item], length)
+        """Into the fullest bin that has room, else into a new one."""
+        order = self.order
+        at = bisect_left(order, length << 32)
+        if at == len(order):
+            insort(order, (self.capacity - length) << 32 | len(self.items))
+            self.items.append([item])
+            self.room.append(self.capacity - length)
             return
-        b = self.order.pop(at) & 0xFFFFFFFF
-        self.items[b].append(item)
+        b = order.pop(at) & 0xFFFFFFFF
+        self.items[b] = [*self.items[b], item]
         self.room[b] -= length
-        insort(self.order, self.room[b] << 32 | b)
+        insort(order, self.room[b] << 32 | b)
 
     def fitness(self) -> tuple[int, float]:
-        """Fewer bins first; then fuller bins (mean square fill), which leave room to gain."""
-        if not self.items:
-            return 0, 0.0
-        fill = 1 - np.asarray(self.room) / self.capacity
-        return -len(self.items), float(np.mean(fill * fill))
+        """Fewer bins first; then fuller bins (sum of squared rooms), which leave room to gain."""
+        return -len(self.items), float(sum(r * r for r in self.room))
 
 
 def fit_all(lengths: list[int], order: list[int], capacity: int) -> Bins:
-    bins = Bins(capacity)
+    bins = Bins(capacity, [], [])
     for i in order:
         bins.best_fit(i, lengths[i])
     return bins
 
 
 def crossover(a: Bins, b: Bins, lengths: list[int], rng: np.random.Generator) -> Bins:
-    """Whole well-filled bins of b, the bins of a they don't touch, best fit for the rest."""
-    room = np.asarray(b.room)
-    full = np.flatnonzero(room <= np.median(room))
-    chosen = full[rng.random(len(full)) < rng.uniform(0.2, 0.6)]
-    child, taken = Bins(a.capacity), np.zeros(len(lengths), bool)
-    for k in chosen.tolist():
-        child.add(list(b.items[k]), a.capacity - b.room[k])
-        taken[b.items[k]] = True
+    """Some whole well-filled bins of b, the bins of a they don't touch, best fit for the rest.
+
+    The emptiest bins of a, and a few at random, are opened too: their pieces are
+    displaced like those that lose their bin to an injected one, and are put back
+    longest first.
+    """
+    full = [x & 0xFFFFFFFF for x in b.order[: max(1, len(b.order) // 2)]]
+    injected = [full[k] for k in rng.choice(len(full), max(1, int(len(full) * rng.uniform(0.02, 0.15))), replace=False).tolist()]
+    items, room, taken = [b.items[k] for k in injected], [b.room[k] for k in injected], bytearray(len(lengths))
+    for held in items:
+        for i in held:
+            taken[i] = 1
+    opened = {x & 0xFFFFFFFF for x in a.order[-max(2, int(len(a.order) * rng.uniform(0.01, 0.2))):]}
+    opened.update(rng.choice(len(a.items), int(len(a.items) * rng.uniform(0, 0.2)), replace=False).tolist())
     displaced: list[int] = []
-    for k, items in enumerate(a.items):
-        hit = taken[items]
-        if hit.any():
-            displaced += [i for i, h in zip(items, hit.tolist(), strict=True) if not h]
+    for k, held in enumerate(a.items):
+        if k in opened or any(map(taken.__getitem__, held)):
+            displaced += [i for i in held if not taken[i]]
         else:
-            child.add(list(items), a.capacity - a.room[k])
-    # The emptiest bins of the child are opened too, so that best fit has something to gain.
-    worst = [x & 0xFFFFFFFF for x in child.order[-2:]]
-    for k in worst:
-        displaced += child.items[k]
-    kept, moved = Bins(a.capacity), set(worst)
-    for k, items in enumerate(child.items):
-        if k not in moved:
-            kept.add(items, a.capacity - child.room[k])
+            items.append(held)
+            room.append(a.room[k])
+    child = Bins(a.capacity, items, room)
     for i in sorted(displaced, key=lengths.__getitem__, reverse=True):
-        kept.best_fit(i, lengths[i])
-    return kept
+        child.best_fit(i, lengths[i])
+    return child
 
 
 def from_assignment(assigned: list[int], lengths: list[int], capacity: int) -> Bins:
     groups: dict[int, list[int]] = {}
     for i, b in enumerate(assigned):
         groups.setdefault(b, []).append(i)
-    bins = Bins(capacity)
-    for items in groups.values():
-        bins.add(items, sum(lengths[i] for i in items))
-    return bins
+    return Bins(capacity, list(groups.values()), [capacity - sum(lengths[i] for i in items) for items in groups.values()])
+
 
+def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[int]], population: int = POPULATION, patience: int = PATIENCE) -> tuple[Bins, int]:
+    """The fittest packing and the crossovers made for it.
 
-def evolve(lengths: list[int], capacity: int, seed: int, elites: list[list[int]], population: int = POPULATION, generations: int = GENERATIONS) -> Bins:
+    Parents are the elites that came, and random-order fits. A generation crosses
+    the fittest with another parent, and the child replaces the least fit if it
+    is fitter. It ends after ``patience`` generations without a fitter child
+    (the same number at any size); at the lower bound, which can't be beaten,
+    after the first one.
+    """
     rng = np.random.default_rng(seed)
     least = -(-sum(lengths) // capacity)
     people = [from_assignment(e, lengths, capacity) for e in elites]
-    noise = 0.0 if seed % ISLANDS == 0 else 0.1
     while len(people) < population:
-        keys = np.asarray(lengths) * (1 + noise * rng.random(len(lengths)))
-        people.append(fit_all(lengths, np.argsort(-keys, kind="stable").tolist(), capacity))
-        if len(people[-1].items) == least:
-            return people[-1]  # nothing can be better
-        noise += 0.15
-    for _ in range(generations):
-        people.sort(key=Bins.fitness, reverse=True)
-        if len(people[0].items) == least:
-            break
-        i, j = 0, 1 + int(rng.integers(len(people) - 1))
-        if rng.random() < 0.5:
-            i, j = j, i
-        people[-1] = crossover(people[i], people[j], lengths, rng)
-    return max(people, key=Bins.fitness)
+        people.append(fit_all(lengths, rng.permutation(len(lengths)).tolist(), capacity))
+    ranked = sorted(((p.fitness(), k, p) for k, p in enumerate(people)), reverse=True)
+    made = idle = 0
+    while idle < patience and (not made or -ranked[0][0][0] > least):
+        other = 1 + int(rng.integers(len(ranked) - 1))
+        pair = (ranked[0][2], ranked[other][2])
+        child = crossover(*(pair if rng.random() < 0.7 else pair[::-1]), lengths, rng)
+        made += 1
+        fit = child.fitness()
+        idle = 0 if fit > ranked[0][0] else idle + 1
+        if fit > ranked[-1][0]:
+            ranked[-1] = (fit, population + made, child)
+            ranked.sort(reverse=True)
+    return ranked[0][2], made
 
 
 # --- islands over Spark ------------------------------------------------------------------------
@@ -172,14 +174,14 @@ def _islands(batches: Iterator[pa.RecordBatch], capacity: int) -> Iterator[pa.Re
     for batch in batches:
         for row in batch.to_pylist():
             lengths = [x["length"] for x in row["items"]]
-            best = evolve(lengths, capacity, row["block"] * ISLANDS + row["island"], row["elites"] or [])
+            best, made = evolve(lengths, capacity, row["block"] * ISLANDS + row["island"] + (1 << 40) * len(row["elites"] or []), row["elites"] or [])
             assigned = np.empty(len(lengths), np.int32)
             for b, items in enumerate(best.items):
                 assigned[items] = b
             bins, fill = best.fitness()
             yield pa.RecordBatch.from_pylist(
-                [{"block": row["block"], "island": row["island"], "score": {"bins": bins, "fill": fill}, "assigned": assigned.tolist()}],
-                schema=pa.schema([("block", pa.int64()), ("island", pa.int32()), ("score", pa.struct([("bins", pa.int64()), ("fill", pa.float64())])), ("assigned", pa.list_(pa.int32()))]),
+                [{"block": row["block"], "island": row["island"], "score": {"bins": bins, "fill": fill}, "crossovers": made, "assigned": assigned.tolist()}],
+                schema=pa.schema([("block", pa.int64()), ("island", pa.int32()), ("score", pa.struct([("bins", pa.int64()), ("fill", pa.float64())])), ("crossovers", pa.int64()), ("assigned", pa.list_(pa.int32()))]),
             )
 
 
@@ -212,7 +214,7 @@ def _pack_blocks(items: DataFrame, n: int, capacity: int, label: str, salt: int)
     state = held.select("block", island, "items", empty)
     for epoch in range(EPOCHS):
         state = state.repartition("block", "island")
-        results = state.mapInArrow(lean(lambda b: _islands(b, capacity)), "block long, island int, score struct<bins:long,fill:double>, assigned array<int>")
+        results = state.mapInArrow(lean(lambda b: _islands(b, capacity)), "block long, island int, score struct<bins:long,fill:double>, crossovers long, assigned array<int>")
         results = written(results, f"{label}-epoch{epoch}")
         if epoch + 1 < EPOCHS:
             # Elite migration: an island goes on from its own elite and its neighbour's on the ring.
@@ -232,12 +234,11 @@ def assign(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return full
     first = written(_pack_blocks(part, n, capacity, "pack", 1), "placed")
     done, again = first, None
-    if n > BLOCK:
-        rest = first.where(~F.col("settled")).select("pid", "length")
-        left = rest.count()
-        if left:
-            done = first.where("settled")
-            again = _pack_blocks(rest, left, capacity, "repack", 2)
+    rest = first.where(~F.col("settled")).select("pid", "length")
+    left = rest.count()
+    if left:
+        done = first.where("settled")
+        again = _pack_blocks(rest, left, capacity, "repack", 2)
     number = lambda kind: (F.col("block") * (1 << 20) + F.col("bin")) * 2 + kind
     out = full.unionByName(done.select("pid", number(0).alias("sequence_id"), "offset"))
     return out if again is None else out.unionByName(again.select("pid", number(1).alias("sequence_id"), "offset"))
