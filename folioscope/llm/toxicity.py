@@ -1,37 +1,36 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text. A
-text's windows (``WINDOW`` words each) are compressed with both, and the bytes
-that the toxic dictionary saves are the evidence; a logistic calibration over
-their distribution gives a score between 0 and 1, and 0.5 is the threshold.
-
-The ordinary dictionary is trained on ordinary rows as they are, the toxic one on
-the toxic rows' own text: its runs of up to ``WINDOW`` words, without the words
-that speak less for toxic rows (log-likelihood ratio of the word or its stem) than
-a level of ``EVIDENCE``; level 0 leaves the text whole. It extends the ordinary
-dictionary, so that plain text costs the same under both and a difference means
-toxic text.
-
-Training reads at most ``SAMPLE`` labelled rows, those of least hash of doc_id.
-The calibration is fitted across two halves, each scored by the other's
-dictionaries, and the level is the one with the least loss there; the dictionaries
-used are both halves'. Every text is scored whole.
+Zstandard dictionaries are trained on toxic and on ordinary text, apart and of
+equal size. A text's windows (``WINDOW`` words, a new one every ``STEP``) are
+compressed with both; the bytes that one saves against the other are the
+evidence. A logistic calibration over their distribution gives a score between 0
+and 1, shifted so that 0.5 is the threshold of the best F1.
+
+A dictionary has two parts, both made by zstandard's trainer. Its base is trained
+on ordinary windows, so that plain prose costs the same under both. What
+follows is trained on the kind's own text: on the stretches whose byte strings
+are at least ``ratio`` times as frequent there as in the other kind's text, as
+whole texts of either kind are mostly prose that tells nothing (see the README
+for the figures). ``PAIRS`` such pairs, of several ratios and sizes, are compared.
+
+Training reads at most ``SAMPLE`` labelled rows and ``SAMPLE_BYTES`` of text of
+each kind, those of least hash. The calibration is fitted across two halves, each
+scored by the other's dictionaries; the dictionaries used are both halves'. Every
+text is scored whole.
 
 Defined cases: a null or empty text has no window and gets the calibration's
 score of no evidence; rows with a null label or id are not learnt from; without
-rows of both kinds the score is the share of toxic rows (0 without rows); repeated
-labels are separate rows; ids may repeat; other columns are not read. Scoring is
-one pass without a shuffle.
+rows of both kinds in both halves the score is the share of toxic rows (0 without
+rows); too little text to train on is a dictionary itself; a document with
+unlike labels is learnt from under each; ids may repeat; other columns are not
+read. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,35 +38,46 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import lean, prepare, texts
+from folioscope.llm.common import bounded_sample, lean, prepare, texts
 
-SAMPLE = 8_000
-WINDOW = 5
-ORDINARY_BYTES, TOXIC_BYTES = 64 << 10, 16 << 10
-EVIDENCE = (0, 4, 8, 12, 24)
-STEM = 5
-LEVEL = 3
+SAMPLE, SAMPLE_BYTES = 6_000, 12 << 20
+WINDOW, STEP = 12, 6
+#: Words of a training window of the base.
+BASE_WINDOW = 20
+#: Bytes of a string whose frequencies are compared.
+GRAM = 6
 
-_WORDS = re.compile(r"[^\W\d_]+").findall
 
+@dataclass(frozen=True)
+class Pair:
+    """Bytes of the base and of a kind's own part, and the least ratio of frequencies."""
 
-def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
-    words = _WORDS((text or "").lower())
-    return [f" {' '.join(words[i: i + size])} ".encode() for i in range(0, len(words), size)]
+    base: int
+    own: int
+    ratio: float
 
 
-def terms(text: str | None) -> set[str]:
-    """The words of a text and their stems: inflections of a rare word recur together."""
-    words = set(_WORDS((text or "").lower()))
-    return words | {w[:STEM] for w in words}
+PAIRS = (Pair(4096, 1024, 16), Pair(8192, 1024, 24), Pair(4096, 700, 12))
+
+_WORDS = re.compile(r"[^\W\d_]+").findall
+#: Matches of six bytes and more, found greedily; nothing but the block in a frame that can be left out.
+_PARAMETERS = {
+    "strategy": zstandard.STRATEGY_GREEDY, "min_match": GRAM, "window_log": 17, "hash_log": 14, "chain_log": 14, "search_log": 5, "target_length": 8,
+    "write_content_size": False, "write_checksum": False, "write_dict_id": False,
+}
+
+
+def windows(text: str | None, size: int = WINDOW, step: int = STEP) -> list[bytes]:
+    words = _WORDS((text or "").lower())
+    return [f" {' '.join(words[i: i + size])} ".encode() for i in range(0, max(1, len(words) - size + step), step)] if words else []
 
 
 @dataclass
 class Model:
     """Dictionaries and calibration; a few tens of kilobytes at any corpus size."""
 
-    ordinary: bytes = b""
-    toxic: bytes = b""
+    #: (ordinary, toxic) of every pair
+    dictionaries: list[tuple[bytes, bytes]] = field(default_factory=list)
     centre: list[float] = field(default_factory=list)
     scale: list[float] = field(default_factory=list)
     weights: list[float] = field(default_factory=list)
@@ -77,29 +87,33 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
     def _lengths(self):
-        if "_pair" not in self.__dict__:
-            make = lambda d: zstandard.ZstdCompressor(
-                level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False
-            ).compress
-            self._pair = make(self.ordinary), make(self.ordinary + self.toxic)
-        return self._pair
+        if "_pairs" not in self.__dict__:
+            self._pairs = [tuple(map(_compressor, pair)) for pair in self.dictionaries]
+        return self._pairs
 
     def features(self, text: str | None) -> list[float]:
-        plain, toxic = self._lengths()
-        return _summary([len(plain(w)) - len(toxic(w)) for w in windows(text)])
+        cut = windows(text)
+        out: list[float] = []
+        for plain, toxic in self._lengths():
+            out += _summary([len(plain(w)) - len(toxic(w)) for w in cut])
+        return [*out, float(np.log1p(len(cut))) if cut else float("nan")]  # no window, no length to judge
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         z = np.nan_to_num((rows - np.asarray(self.centre)) / np.asarray(self.scale))
         return 1 / (1 + np.exp(-np.clip(z @ np.asarray(self.weights[:-1]) + self.weights[-1], -30, 30)))
 
 
+def _compressor(dictionary: bytes):
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), compression_params=zstandard.ZstdCompressionParameters(**_PARAMETERS)).compress
+
+
 def _summary(saved: list[int]) -> list[float]:
-    """A text's features: what its windows save."""
+    """The distribution of what a text's windows save."""
     if not saved:
-        return [0.0] * 6 + [float("nan")]  # no evidence, and no length to judge
-    x = np.asarray(saved)
-    top = np.sort(x)[-3:]
-    return [float(v) for v in (top[-1], top.mean(), x.mean(), (x >= 2).mean(), (x >= 3).mean(), (x >= 4).mean(), np.log1p(len(x)))]
+        return [0.0] * 8
+    x = np.sort(np.asarray(saved, float))
+    shares = [float((x >= k).mean()) for k in (2, 3, 5)]
+    return [float(x[-1]), float(x[-4:].mean()), float(x.mean()), float(np.maximum(x - np.median(x), 0).mean()), float(x[-max(1, len(x) // 10):].mean()), *shares]
 
 
 def _logistic(rows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,92 +128,107 @@ def _logistic(rows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     return centre, scale, w
 
 
-def _dictionary(samples: list[bytes], size: int) -> bytes:
-    """A trained dictionary; where there is too little text to train on, the text itself."""
-    whole = b"".join(samples)
-    if len(whole) > 8 * size and len(samples) >= 16:
-        try:
-            return zstandard.train_dictionary(size, samples, level=LEVEL).as_bytes()
-        except zstandard.ZstdError:
-            pass
-    return whole[-size:]
-
-
-def _evidence(k1: int, k0: int, n1: int, n0: int) -> float:
-    """Log-likelihood ratio of a term in k1 of n1 toxic and k0 of n0 ordinary rows; negative where ordinary rows have more."""
-    share = (k1 + k0) / (n1 + n0)
-    part = lambda k, e: k * math.log(k / e) if k else 0.0
-    ratio = 2 * sum(part(k, n * share) + part(n - k, n * (1 - share)) for k, n in ((k1, n1), (k0, n0)))
-    return ratio if k1 * n0 > k0 * n1 else -ratio
-
-
-def dictionaries(rows: list[tuple[str | None, int]], levels: tuple[float, ...] = EVIDENCE) -> list[Model]:
-    """Both dictionaries from (text, label) rows, at each level of evidence."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    n = [0, 0]
-    plain: list[bytes] = []
-    for text, y in rows:
-        seen[y].update(terms(text))
-        n[y] += 1
-        if not y:
-            data = (text or "").lower().encode()
-            plain += [data[i: i + 400] for i in range(0, len(data), 400)]
-    speaks = {w: _evidence(k, seen[0][w], n[1], n[0]) for w, k in seen[1].items()}
-    toxic = [[(w, max(speaks[w], speaks[w[:STEM]])) for w in _WORDS((text or "").lower())] for text, y in rows if y]
-    ordinary = _dictionary(plain, ORDINARY_BYTES)
+def _threshold(scores: np.ndarray, truth: np.ndarray) -> float:
+    """The logit at which precision and recall of the toxic rows balance best (F1); it becomes a score of 0.5."""
+    order = np.argsort(-scores, kind="stable")
+    hits = np.cumsum(truth[order])
+    f1 = 2 * hits / (np.arange(1, len(order) + 1) + truth.sum())
+    best = min(int(np.argmax(f1)), len(order) - 2)
+    cut = float(np.clip(scores[order[best: best + 2]].mean(), 1e-6, 1 - 1e-6))
+    return float(np.log(cut / (1 - cut)))
+
+
+def _trained(samples: list[bytes], size: int, segment: int, string: int) -> bytes:
+    """zstandard's dictionary of the samples; their last bytes where they are too few to train on."""
+    samples = [x for x in samples if len(x) >= 8]
+    try:
+        return zstandard.train_dictionary(size, samples, k=segment, d=string, level=3).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def _strings(data: bytes) -> np.ndarray:
+    """All strings of ``GRAM`` bytes as numbers."""
+    raw = np.frombuffer(data, np.uint8).astype(np.uint64)
+    n = max(0, len(raw) - GRAM + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(GRAM):
+        out = (out << np.uint64(8)) | raw[i: i + n]
+    return out
+
+
+def _frequencies(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings and their share, counted a megabyte at a time."""
+    keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for i in range(0, len(rows), 400):
+        found, n = np.unique(np.concatenate([_strings(r) for r in rows[i: i + 400]]), return_counts=True)
+        keys, place = np.unique(np.concatenate([keys, found]), return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+    return keys, counts / max(1, counts.sum())
+
+
+def _own_stretches(rows: list[bytes], own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], floor: float, ratio: float) -> list[bytes]:
+    """The stretches of a kind's text, a byte wider on either side, whose strings are frequent there alone."""
+    keys, share = own
+    at = np.minimum(np.searchsorted(other[0], keys), max(0, len(other[0]) - 1))
+    elsewhere = np.where(other[0][at] == keys, other[1][at], 0.0) if len(other[0]) else np.zeros(len(keys))
+    kept = keys[share > ratio * (elsewhere + floor)]
+    out: list[bytes] = []
+    if not len(kept):
+        return out
+    for data in rows:
+        found = _strings(data)
+        hit = kept[np.minimum(np.searchsorted(kept, found), len(kept) - 1)] == found
+        depth = np.zeros(len(data) + 1, np.int64)
+        depth[: len(hit)] += hit
+        depth[GRAM: GRAM + len(hit)] -= hit
+        edge = np.flatnonzero(np.diff(np.r_[0, (np.cumsum(depth)[: len(data)] > 0).astype(np.int8), 0]))
+        out += [data[max(0, a - 1): b + 1] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+    return out
+
+
+def dictionaries(rows: list[tuple[str | None, int]], pairs: tuple[Pair, ...] = PAIRS) -> list[tuple[bytes, bytes]]:
+    """(ordinary, toxic) dictionaries of every pair from (text, label) rows."""
+    plain = [[f" {' '.join(_WORDS((text or '').lower()))} ".encode() for text, y in rows if y == kind] for kind in (0, 1)]
+    shares = [_frequencies(p) for p in plain]
+    floors = [1 / max(1, sum(map(len, p))) for p in plain]
+    prose = [w for text, y in rows if not y for w in windows(text, BASE_WINDOW, BASE_WINDOW)]
+    bases = {size: _trained(prose, size, 48, 8) for size in {p.base for p in pairs}}
     out = []
-    for level in levels:
-        runs: Counter = Counter()
-        for words in toxic:
-            for kept, run in groupby(words, lambda x: not level or x[1] >= level):
-                run = [w for w, _ in run] if kept else []
-                runs.update(" ".join(run[i: i + WINDOW]) for i in range(0, len(run), WINDOW))
-        # The most frequent last, where zstandard reaches it cheapest.
-        ranked = sorted(runs, key=lambda r: (runs[r], r))
-        out.append(Model(ordinary=ordinary, toxic=_dictionary([f" {r} ".encode() for r in ranked], TOXIC_BYTES)))
+    for p in pairs:
+        own = [_trained(_own_stretches(plain[k], shares[k], shares[1 - k], floors[1 - k], p.ratio), p.own, 16, 6) for k in (0, 1)]
+        out.append((bases[p.base] + own[0], bases[p.base] + own[1]))
     return out
 
 
 def train(rows: list[tuple[str | None, int]]) -> Model:
-    """Fit on (text, label) rows: level and calibration across two halves, dictionaries from both."""
+    """Fit on (text, label) rows: the calibration across two halves, the dictionaries on both."""
     labels = [int(y) for _, y in rows]
     prior = sum(labels) / len(labels) if labels else 0.0
     kinds = [[r for r in rows if r[1] == y] for y in (0, 1)]  # both halves get half of each kind
     halves = kinds[0][::2] + kinds[1][::2], kinds[0][1::2] + kinds[1][1::2]
     if any(len({y for _, y in half}) < 2 for half in halves):
         return Model(prior=prior)
-    features: list[list[list[float]]] = [[] for _ in EVIDENCE]
-    known = []
+    features, known = [], []
     for one, other in (halves, halves[::-1]):
-        models = dictionaries(one)
-        plain, _ = models[0]._lengths()
-        toxic = [m._lengths()[1] for m in models]
-        for text, _ in other:
-            cut = windows(text)
-            base = [len(plain(w)) for w in cut]
-            for found, short in zip(features, toxic, strict=True):
-                found.append(_summary([b - len(short(w)) for b, w in zip(base, cut, strict=True)]))
+        model = Model(dictionaries(one))
+        features += [model.features(text) for text, _ in other]
         known += [y for _, y in other]
     truth = np.asarray(known, float)
-    best = None
-    for level, found in zip(EVIDENCE, features, strict=True):
-        centre, scale, weights = (x.tolist() for x in _logistic(np.asarray(found), truth))
-        p = Model(centre=centre, scale=scale, weights=weights).score(np.asarray(found))
-        loss = -np.mean(np.log(np.where(truth == 1, p, 1 - p)))
-        if best is None or loss < best[0]:
-            best = loss, level, centre, scale, weights
-    _, level, centre, scale, weights = best
-    (model,) = dictionaries(rows, (level,))
-    model.centre, model.scale, model.weights, model.prior = centre, scale, weights, prior
-    return model
-
-
-def sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE) -> list[tuple[str | None, int]]:
-    """At most ``most`` labelled rows; the ids are chosen from the labels alone."""
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where(learn & F.col("y").isin(0, 1))
-    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(most)
-    found = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
-    return [(r["text"], r["y"]) for r in sorted(found, key=lambda r: (hash((r["doc_id"], 7)), r["doc_id"]))]
+    centre, scale, weights = (x.tolist() for x in _logistic(np.asarray(features), truth))
+    found = Model(centre=centre, scale=scale, weights=weights).score(np.asarray(features))
+    weights[-1] -= _threshold(found, truth)
+    return Model(dictionaries(rows), centre, scale, weights, prior)
+
+
+def sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str | None, int]]:
+    """At most ``most`` labelled rows and ``most_bytes`` of text of each kind.
+
+    Labels name documents by id alone; the labelled ids, without texts, meet the
+    documents by a join that is broadcast only where Spark knows them to be small.
+    """
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where(learn & F.col("y").isin(0, 1)).distinct()
+    return bounded_sample(texts(docs).join(ids, "doc_id"), most, most_bytes)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
