@@ -5,12 +5,13 @@ its ``gram``-byte strings with the least fingerprint. Equal windows choose equal
 anchors at equal distances, so it is enough to sort the suffixes at anchors,
 about 3 in 100 of all. One suffix stands for a run of consecutive windows.
 
-1. Suffixes are dealt to buckets by sampled splitters over their leading bytes
-   (ties split by fingerprint). Copies within a batch are settled before that, so
+1. Suffixes are dealt to buckets by sampled splitters over their first 16 bytes;
+   equal ones are never split. Copies within a batch are settled before that, so
    that a hot passage sends one suffix per batch, not one per copy.
 2. Buckets sort locally by multikey quicksort, whose characters are machine
-   words: the fingerprint of the gram, that of the whole run, document, place. Of
-   equal runs all but the first are repeats, window by window.
+   words: the bytes of the gram, eight at a time, then the fingerprint of the
+   whole run, document, place. Neighbours whose grams and runs agree are copies:
+   of equal runs all but the first are repeats, window by window.
 3. Runs that share a gram but not all windows meet again at their boundaries:
    their bytes are fetched, and each window is compared with those at the same
    distance from an equal gram. A gram that more than ``HOT`` such runs share is
@@ -20,10 +21,11 @@ about 3 in 100 of all. One suffix stands for a run of consecutive windows.
 A byte is removed if a repeat covers it. All comparisons use the input texts.
 
 Defined cases: null and empty texts, and those shorter than ``span``, lose
-nothing; an invalid order can't arise, as doc_id orders documents (nulls first)
+nothing; an invalid order can't arise, as doc_id orders documents (nulls last)
 and rows that tie are ordered by text; a repeated row is a later copy of the
 first and loses its windows; an empty table gives no row; other columns pass
-through unread.
+through unread. A text longer than a chunk is worked through in pieces that overlap
+by ``span`` less one bytes, so memory does not grow with it.
 """
 
 from __future__ import annotations
@@ -38,15 +40,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType
 
 from folioscope.llm import kernel as K
-from folioscope.llm.common import lean, numbered, written
+from folioscope.llm.common import lean, numbered, partitions, written
 
 SPAN, GRAM = 100, 32
-#: Rows whose suffixes are looked at for the splitters, and splitters per shuffle partition.
-SAMPLED_ROWS, PER_PARTITION = 400, 8
+#: Rows whose suffixes are looked at for the splitters (about, chosen by hash), suffixes
+#: that one of them gives at most, and splitters per shuffle partition.
+SAMPLED_ROWS, PER_ROW, PER_PARTITION = 2000, 32, 8
 #: Boundary runs of one gram compared in one task.
 HOT = 100_000
 
-SUFFIXES = "bucket int, h long, u long, rid long, at long"
+def suffix_schema(gram: int) -> str:
+    return "bucket int, " + ", ".join(f"w{k} long" for k in range(gram // 8)) + ", u long, rid long, at long"
 
 
 def pack_at(p: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -67,44 +71,52 @@ def leftmost_minima(order: np.ndarray, width: int) -> np.ndarray:
 
 
 def suffixes(buf: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, gram's fingerprint, run's fingerprint, anchor, first, last window, leading bytes).
+    """(text, words of the gram, run's fingerprint, anchor, first, last window).
 
     Windows are numbered by their first byte within their text. A window's
-    anchor starts at it or up to span - gram bytes later.
+    anchor starts at it or up to span - gram bytes later. The gram's bytes are
+    one row of big-endian words, so that their order is that of the suffixes.
     """
     none = np.zeros(0, np.int64)
+    nothing = none, np.zeros((0, gram // 8), K.U), none.view(K.U), none, none, none
     if len(buf) < span:
-        return none, none.view(K.U), none.view(K.U), none, none, none, none.view(K.U)
-    prints = K.Fingerprints(buf)
-    starts = np.arange(len(buf) - gram + 1)
-    h = prints.of(starts, starts + gram)
-    anchor = leftmost_minima((h >> K.U(32)).astype(np.uint32), span - gram + 1)
+        return nothing
+    prints = K.Rolling(buf, 2 * span)
+    anchor = leftmost_minima((prints.every(gram) >> K.U(32)).astype(np.uint32), span - gram + 1)
     doc_of = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     n = len(anchor)
     q = np.flatnonzero(doc_of[:n] == doc_of[span - 1: span - 1 + n])
     p = anchor[q].astype(np.int64)
     if not len(q):
-        return none, none.view(K.U), none.view(K.U), none, none, none, none.view(K.U)
+        return nothing
     fresh = np.ones(len(q), bool)
     fresh[1:] = (p[1:] != p[:-1]) | (q[1:] != q[:-1] + 1)
     first = np.flatnonzero(fresh)
     last = np.append(first[1:], len(q)) - 1
     p, lo, hi = p[first], q[first], q[last]
     u = K.mix(prints.of(lo, hi + span) + ((p - lo) << 8 | (hi - lo)).astype(K.U))
-    lead = np.zeros(len(p), K.U)
-    for k in range(5):
-        lead = (lead << K.U(8)) | buf[p + k].astype(K.U)
-    lead = (lead << K.U(24)) | (h[p] >> K.U(40))
+    words = K.words_at(buf)
+    lead = np.stack([words[p + 8 * k].byteswap() for k in range(gram // 8)], axis=1)
     doc = doc_of[p].astype(np.int64)
     base = offsets[doc]
-    return doc, h[p], u, p - base, lo - base, hi - base, lead
+    return doc, lead, u, p - base, lo - base, hi - base
 
 
-def multikey_quicksort(keys: list[np.ndarray], small: int = 4096) -> np.ndarray:
+def pieces(buf: np.ndarray, offsets: np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first byte, bytes, offsets): a chunk as it is, or the overlapping pieces of one long text."""
+    if len(offsets) != 2 or len(buf) <= 2 * K.CHUNK:
+        yield 0, buf, offsets
+        return
+    for at in range(0, len(buf) - span + 1, K.CHUNK):
+        part = buf[at: at + K.CHUNK + span - 1]
+        yield at, part, np.asarray([0, len(part)])
+
+
+def multikey_quicksort(keys: list[np.ndarray], small: int = 512) -> np.ndarray:
     """The order of rows as strings of the words keys[0], keys[1], ...
 
     Ternary partitioning by one word at a time; only rows equal in it go on to
-    the next word. Short or last stretches are finished by one library sort.
+    the next word. Short stretches are finished by one library sort.
     """
     n = len(keys[0])
     order = np.arange(n)
@@ -114,7 +126,7 @@ def multikey_quicksort(keys: list[np.ndarray], small: int = 4096) -> np.ndarray:
         if b - a < 2 or k == len(keys):
             continue
         part = order[a:b]
-        if b - a <= small or k == len(keys) - 1:
+        if b - a <= small:
             order[a:b] = part[np.lexsort([c[part] for c in reversed(keys[k:])])]
             continue
         word = keys[k][part]
@@ -128,70 +140,105 @@ def multikey_quicksort(keys: list[np.ndarray], small: int = 4096) -> np.ndarray:
     return order
 
 
-def _emit(docs: DataFrame, splitters: np.ndarray, span: int, gram: int) -> DataFrame:
+def leading(lead: np.ndarray) -> np.ndarray:
+    """The first 16 bytes of suffixes, in byte order."""
+    return np.ascontiguousarray(lead[:, :2]).astype(">u8").view("S16").ravel()
+
+
+def _emit(docs: DataFrame, splitters: list[bytes], span: int, gram: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(splitters)
+    width = gram // 8
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cuts = shared.value
+        cuts = np.asarray(shared.value, "S16")
+        names = ["bucket", *[f"w{k}" for k in range(width)], "u", "rid", "at"]
         for batch in batches:
             ids = batch.column("rid").to_numpy(zero_copy_only=False)
-            for part, buf, offsets in K.string_chunks(batch, "text"):
-                doc, h, u, p, lo, hi, lead = suffixes(buf, offsets, span, gram)
-                rid = ids[part][doc] if len(doc) else doc
-                # Of equal runs in this chunk all but the earliest are repeats already.
-                order = np.lexsort([p, rid, u])
-                again = np.zeros(len(order), bool)
-                again[order[1:]] = (u[order[1:]] == u[order[:-1]]) & (h[order[1:]] == h[order[:-1]])
-                bucket = np.where(again, -1 - (rid & 1023), np.searchsorted(cuts, lead, "right"))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(u.view(np.int64)), pa.array(rid), pa.array(pack_at(p, p - lo, p - hi))],
-                    ["bucket", "h", "u", "rid", "at"],
-                )
-
-    return docs.select("rid", "text").mapInArrow(lean(rows), SUFFIXES)
-
+            for part, whole, ends in K.string_chunks(batch, "text"):
+                for base, buf, offsets in pieces(whole, ends, span):
+                    doc, lead, u, p, lo, hi = suffixes(buf, offsets, span, gram)
+                    rid = ids[part][doc] if len(doc) else doc
+                    # Of equal runs in this chunk all but the earliest are repeats already.
+                    order = np.lexsort([p, rid, u])
+                    again = np.zeros(len(order), bool)
+                    again[order[1:]] = (u[order[1:]] == u[order[:-1]]) & (lead[order[1:]] == lead[order[:-1]]).all(1)
+                    bucket = np.where(again, -1 - (rid & 1023), np.searchsorted(cuts, leading(lead), "right"))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(bucket.astype(np.int32)), *[pa.array(np.ascontiguousarray(lead[:, k]).view(np.int64)) for k in range(width)],
+                         pa.array(u.view(np.int64)), pa.array(rid), pa.array(pack_at(base + p, p - lo, p - hi))],
+                        names,
+                    )
+
+    return docs.select("rid", "text").mapInArrow(lean(rows), suffix_schema(gram))
+
+
+def _splitters(docs: DataFrame, span: int, gram: int, wanted: int) -> list[bytes]:
+    """Quantiles of the leading bytes of the suffixes of rows chosen by hash.
+
+    The executors read the rows and send leading bytes alone, ``PER_ROW`` of a
+    row at most, so that the driver holds a few megabytes however long they are.
+    """
+    n = docs.count()
+    every = -(-n // SAMPLED_ROWS) or 1
 
-def _splitters(docs: DataFrame, span: int, gram: int) -> np.ndarray:
-    """Quantiles of the leading bytes of the suffixes of a bounded sample of rows."""
-    spark = docs.sparkSession
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions")) * PER_PARTITION
-    sample = [r[0] or "" for r in docs.select("text").limit(SAMPLED_ROWS).collect()]
-    data = [t.encode() for t in sample]
-    offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
-    lead = np.sort(suffixes(np.frombuffer(b"".join(data), np.uint8), offsets, span, gram)[-1])
-    if not len(lead):
-        return lead
-    return np.unique(lead[np.linspace(0, len(lead) - 1, wanted + 1).astype(np.int64)[1:-1]])
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, whole, ends in K.string_chunks(batch, "text"):
+                found = []
+                for _, buf, offsets in pieces(whole, ends, span):
+                    doc, lead, *_ = suffixes(buf, offsets, span, gram)
+                    first, last = (np.searchsorted(doc, np.arange(len(offsets) - 1), side) for side in ("left", "right"))
+                    at = [np.unique(np.linspace(a, b - 1, PER_ROW).astype(np.int64)) for a, b in zip(first, last, strict=True) if b > a]
+                    found += leading(lead[np.concatenate(at)]).tolist() if at else []
+                step = -(-len(found) // (PER_ROW * (len(ends) - 1))) or 1
+                yield pa.RecordBatch.from_arrays([pa.array(found[::step], pa.binary())], ["lead"])
+
+    some = docs.where(F.pmod(F.xxhash64("rid"), F.lit(every)) == 0).select("text").mapInArrow(lean(heads), "lead binary")
+    found = np.sort(np.asarray([bytes(r[0]) for r in some.collect()], "S16"))
+    if not len(found):
+        return []
+    return np.unique(found[np.linspace(0, len(found) - 1, wanted + 1).astype(np.int64)[1:-1]]).tolist()
+
+
+def _sorted_bucket(width: int):
+    """Repeats (h null) and boundary runs of the buckets of one partition."""
 
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        del held
+        get = lambda c: t.column(c).combine_chunks().to_numpy(zero_copy_only=False)
+        grams, u, rid, at = [get(f"w{k}").view(K.U) for k in range(width)], get("u").view(K.U), get("rid"), get("at")
+        settled = get("bucket") < 0
+        del t
+        open_ = np.flatnonzero(~settled)
+        order = open_[multikey_quicksort([c[open_] for c in (*grams, u, rid, at)])]
+        same_gram = np.ones(len(order), bool)
+        same_gram[:1] = False
+        for c in grams:  # neighbours' common prefix covers the gram
+            c = c[order]
+            same_gram[1:] &= c[1:] == c[:-1]
+        us = u[order]
+        same_run = same_gram.copy()
+        same_run[1:] &= us[1:] == us[:-1]
+        repeat = np.concatenate([np.flatnonzero(settled), order[same_run]])
+        firsts = np.flatnonzero(~same_run)
+        shared = same_gram[firsts]  # another run of this gram comes before
+        shared[:-1] |= same_gram[firsts[1:]]
+        edge = order[firsts[shared]]
+        h = np.zeros(len(edge), K.U)
+        for c in grams:
+            h = K.mix(h * K.U(0x9FB21C651E98DF25) + c[edge])
+        for rows, known in ((repeat, True), (edge, False)):
+            for i in range(0, len(rows), 100_000):
+                some = rows[i: i + 100_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(some), pa.int64()) if known else pa.array(h[i: i + 100_000].view(np.int64)), pa.array(rid[some]), pa.array(at[some])], ["h", "rid", "at"]
+                )
 
-def _sorted_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeats (h null) and boundary runs of the buckets of one partition."""
-    held = [b for b in batches if len(b)]
-    if not held:
-        return
-    t = pa.Table.from_batches(held)
-    del held
-    bucket, h, u, rid, at = (t.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("bucket", "h", "u", "rid", "at"))
-    del t
-    settled = bucket < 0
-    open_ = np.flatnonzero(~settled)
-    order = open_[multikey_quicksort([h[open_], u[open_], rid[open_], at[open_]])]
-    hs, us = h[order], u[order]
-    same_h = np.zeros(len(order), bool)
-    same_h[1:] = hs[1:] == hs[:-1]
-    same_u = same_h.copy()
-    same_u[1:] &= us[1:] == us[:-1]
-    repeat = np.concatenate([np.flatnonzero(settled), order[same_u]])
-    firsts = np.flatnonzero(~same_u)
-    shared = same_h[firsts]  # another run of this gram comes before
-    shared[:-1] |= same_h[firsts[1:]]
-    edge = order[firsts[shared]]
-    for rows, known in ((repeat, True), (edge, False)):
-        for i in range(0, len(rows), 100_000):
-            some = rows[i: i + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(some), pa.int64()) if known else pa.array(h[some]), pa.array(rid[some]), pa.array(at[some])], ["h", "rid", "at"]
-            )
+    return settle
 
 
 def _contexts(span: int):
@@ -235,7 +282,7 @@ def _compare(span: int, gram: int):
         p, left, right = at >> 14, (at >> 7) & 127, at & 127
         lengths = np.asarray([len(d) for d in data], np.int64)
         offsets = np.concatenate([[0], np.cumsum(lengths)])
-        prints = K.Fingerprints(np.frombuffer(b"".join(data), np.uint8))
+        prints = K.Rolling(np.frombuffer(b"".join(data), np.uint8), span)
         dup = np.zeros((n, reach + 1), bool)
         for a in range(reach):  # windows that start a bytes before their anchor
             rows = np.flatnonzero((left >= a) & (right <= a))
@@ -271,10 +318,11 @@ def _compare(span: int, gram: int):
 
 def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot_runs: int = HOT) -> DataFrame:
     """(rid, lo, hi): runs of window starts lo..hi of ``docs`` (rid, text) that repeat an earlier window."""
-    if not gram <= span < gram + 127:
-        raise ValueError("span must be at least gram and less than gram + 127")
-    found = _emit(docs, _splitters(docs, span, gram), span, gram).repartition("bucket")
-    runs = written(found.mapInArrow(lean(_sorted_bucket), "h long, rid long, at long"), "suffix-runs")
+    if gram % 8 or gram < 16 or not gram <= span < gram + 127:
+        raise ValueError("gram must be a multiple of 8 from 16 on, and span at least gram and less than gram + 127")
+    parts = partitions(docs)
+    found = _emit(docs, _splitters(docs, span, gram, parts * PER_PARTITION), span, gram).repartition(parts, "bucket")
+    runs = written(found.mapInArrow(lean(_sorted_bucket(gram // 8)), "h long, rid long, at long"), "suffix-runs")
     p = F.shiftright("at", 14)
     left = F.shiftright("at", 7).bitwiseAND(F.lit(127).cast("long"))
     right = F.col("at").bitwiseAND(F.lit(127).cast("long"))
