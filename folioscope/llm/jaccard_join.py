@@ -8,7 +8,9 @@ through an equal, non-empty segment. A set with more empty segments also
 publishes the one-deletion neighbourhood of its segments, where a difference of
 one still meets, which counts a segment twice. ``spare`` is allocated by cost:
 one more signature for all, against the deletions of those that run short. A set
-that falls short even so is joined under another hash of the universe.
+that falls short even so is joined under another hash of the universe, and what still
+falls short after ``SEEDS`` of them by its least H + 1 elements in one order of the
+universe, of which linked sets always share one.
 
 Sets that are equal are one class from the start. Signatures meet by key; each
 group pairs its members with its least member, the lead, only. Those star pairs
@@ -25,8 +27,9 @@ block.
 
 Defined cases: null and empty texts have an empty set and link with nothing; a
 text of fewer than n words is one shingle; ids may repeat or be null (rows are
-numbered apart); equal sets link; an empty table gives no row; other columns are
-not read. Texts are read whole.
+numbered apart, null ids last, so that a component has a null id only if none of
+its documents has one); equal sets link; an empty table gives no row; other
+columns are not read. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -41,9 +44,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import kernel as K
-from folioscope.llm.common import lean, numbered, written
+from folioscope.llm.common import discard, lean, numbered, written
 from folioscope.llm.components import components
 
+#: Hashes of the universe that are tried before sets that fall short are joined by prefix.
+SEEDS = 3
 #: Least cells of a set; larger sets have about half as many as elements.
 CELLS = 64
 #: Members of one group that are compared at once.
@@ -108,8 +113,11 @@ def bands(num: int, den: int, largest: int = 1 << 33) -> tuple[np.ndarray, np.nd
     return np.asarray(low[:-1], np.int64), np.asarray(need, np.int64), np.asarray(segments, np.int64)
 
 
-def signatures(d: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, signature) of all sets, and the texts that fall short under this seed."""
+def signatures(d: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den: int, seed: int = 0, prefix: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, signature) of all sets, and the texts that fall short under this seed.
+
+    With ``prefix`` the signatures are a set's least H + 1 elements: no set falls short.
+    """
     low, need, segments = bands(num, den)
     h = K.mix(h + K.U(0x632BE59BD9B4E019 * (2 * seed + 1) % (1 << 64)))
     order = np.lexsort([h, d])  # a segment is a range of mixed values, so elements come segment by segment
@@ -126,6 +134,12 @@ def signatures(d: np.ndarray, h: np.ndarray, size: np.ndarray, num: int, den: in
         dd, hh, vv = d[has], h[has], value[has]
         if not len(dd):
             continue
+        if prefix:
+            rank = np.arange(len(dd)) - np.searchsorted(dd, dd)
+            least = np.flatnonzero(rank < need[level[dd]])
+            docs.append(dd[least])
+            sigs.append(K.mix(vv[least] ^ K.mix(level[dd[least]].astype(K.U) + K.U(0x3C6EF372FE94F82B))))
+            continue
         seg = (((hh >> K.U(32)) * m[dd].astype(K.U)) >> K.U(32)).astype(np.int64)
         key = base[dd] + seg
         first = np.ones(len(key), bool)
@@ -177,20 +191,23 @@ def _describe(n: int):
     return describe
 
 
-def _sign(n: int, num: int, den: int, seed: int):
+def _sign(n: int, num: int, den: int, seed: int, prefix: bool):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("rid").to_numpy(zero_copy_only=False)
             for part, buf, offsets in K.string_chunks(batch, "text"):
                 d, h, size = sets_of(buf, offsets, n)
-                if len(d):  # equal sets of this chunk publish once
+                if len(d):  # equal sets of this chunk publish once, by their least row
                     at = np.flatnonzero(size)
                     sums = np.add.reduceat(K.mix(h), np.searchsorted(d, at))
+                    order = np.lexsort([ids[part][at], sums])
+                    first = np.ones(len(at), bool)
+                    first[1:] = sums[order[1:]] != sums[order[:-1]]
                     lead = np.zeros(len(size), bool)
-                    lead[at[np.unique(sums, return_index=True)[1]]] = True
+                    lead[at[order[first]]] = True
                     keep = lead[d]
                     d, h, size = d[keep], h[keep], np.where(lead, size, 0)
-                doc, sig, short = signatures(d, h, size, num, den, seed)
+                doc, sig, short = signatures(d, h, size, num, den, seed, prefix)
                 rid = ids[part]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([sig.view(np.int64), np.zeros(len(short), np.int64)])), pa.array(np.concatenate([rid[doc], rid[short]])),
@@ -389,21 +406,22 @@ def link_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     classes = full.groupBy("n", "f1", "f2").agg(F.min("rid").alias("rep"))
     # rep is the least row with the same set; its cells stand for the class.
     known = written(full.join(classes, ["n", "f1", "f2"]).select("rid", "rep", "n", "cells"), "classes")
-    sets = known.select("rid", "rep", "n", "cells")
+    sets = known
 
-    groups, seed = None, 0
+    groups, seed, parts = None, 0, []
     subject = text
     while True:
-        signed = subject.mapInArrow(lean(_sign(n, num, den, seed)), "sig long, rid long, short boolean")
+        signed = subject.mapInArrow(lean(_sign(n, num, den, seed, seed == SEEDS)), "sig long, rid long, short boolean")
         # Rows that fall short travel beside the groups, by one shuffle.
         keyed = signed.repartition("sig").sortWithinPartitions("short", "sig", "rid")
         live = written(keyed.mapInArrow(lean(_grouped_or_short), "sig long, lead long, rid long"), f"groups-{seed}", compression="zstd")
         found = live.where(F.col("lead").isNotNull())
         groups = found if groups is None else groups.unionByName(found)
         lacking = live.where(F.col("lead").isNull()).select("rid").distinct()
-        if seed >= 16 or lacking.isEmpty():
+        parts.append(live)
+        if seed == SEEDS or lacking.isEmpty():
             break
-        # Another hash of the universe for every set of the sizes that fell short.
+        # Another hash of the universe, in the end the prefixes, for every set of the sizes that fell short.
         sizes = [r[0] for r in lacking.join(known, "rid").select("n").distinct().collect()]
         spans = sorted({(int(s * num // den), int(s * den // num) + 1) for s in sizes})
         within = F.lit(False)
@@ -467,6 +485,7 @@ def link_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     rest = written(rest, "links-more")
     if not rest.isEmpty():
         comp = components(links.unionByName(rest), "joined-all")
+    discard(*parts, rays, placed)
 
     final = (
         described.select("rid", "doc_id", F.col("n").alias("n_shingles"))
