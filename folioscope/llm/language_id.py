@@ -6,15 +6,15 @@ forward pass; a text's is the product over its words, as no piece spans words. T
 probabilities are fitted by expectation-maximisation: a backward pass gives each
 piece's expected uses under all segmentations.
 
-Training reads at most ``SAMPLE`` rows per language, those of least hash of
-doc_id, and keeps the ``WORDS`` most frequent words of each; prediction reads
-every text whole. Words are runs of letters in lower case; word starts are marked
+Training reads at most ``SAMPLE`` rows and ``SAMPLE_BYTES`` of text per language,
+those of least hash of doc_id, and all their words; prediction reads every text
+whole. Words are runs of letters in lower case; word starts are marked
 as in the vocabulary. Letters without a piece have a small fixed probability.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows
 with a null language or id are not learnt from; without a language to learn, every
-text is ``und``; equal likelihoods go to the first language by name; ids may repeat;
-other columns are not read. Prediction is one pass without a shuffle.
+text is ``und``; equal likelihoods go to the first language by name; ids may repeat,
+also with unlike languages, as a row is learnt from under its own; other columns are not read. Prediction is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -26,13 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import lean, prepare, texts
+from folioscope.llm.common import bounded_sample, lean, prepare, texts
 
-SAMPLE = 400
-WORDS = 6_000
+SAMPLE, SAMPLE_BYTES = 400, 4 << 20
 ROUNDS = 3
 #: Longest piece in characters, and the probability of a character that no piece covers.
 LONGEST, UNCOVERED = 12, 1e-7
@@ -206,7 +205,7 @@ def train(rows: list[tuple[str | None, str]], pieces: list[str]) -> Model:
     index = {p: k for k, p in enumerate(pieces)}
     model = Model(languages, index, np.zeros((len(pieces), len(languages))))
     for column, lang in enumerate(languages):
-        common = sorted(words[lang].items(), key=lambda x: (-x[1], x[0]))[:WORDS]
+        common = sorted(words[lang].items())
         lattices = [model.lattice(_MARK + w) for w, _ in common]
         lengths = [len(w) + 1 for w, _ in common]
         counts = np.asarray([c for _, c in common], float)
@@ -218,13 +217,9 @@ def train(rows: list[tuple[str | None, str]], pieces: list[str]) -> Model:
     return model
 
 
-def sample(docs: DataFrame, learn: Column, most: int = SAMPLE) -> list[tuple[str | None, str]]:
-    """At most ``most`` rows of each language; ids are chosen before any text is read."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("y")).where(learn & F.col("y").isNotNull())
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = ids.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).select("doc_id", "y")
-    found = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
-    return [(r["text"], r["y"]) for r in sorted(found, key=lambda r: (r["y"], r["doc_id"], r["text"] or ""))]
+def sample(docs: DataFrame, learn: Column, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str | None, str]]:
+    """At most ``most`` rows and ``most_bytes`` of text of each language, each row with its own language."""
+    return bounded_sample(texts(docs, "lang").withColumn("y", F.col("lang").cast("string")).where(learn & F.col("y").isNotNull()), most, most_bytes)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
