@@ -9,10 +9,13 @@ frequent, gathers postings beyond its segment's.
 
 A phrase is found by intersecting the offset-adjusted lists of its terms, from
 the rarest one in the segment; a proximity match asks for all terms within a span
-of words. Test items are compiled to windows on the driver and broadcast in
-parts of at most ``PART`` windows: a benchmark of any size is searched, in as
-many passes over the index as it has parts. By default the index keeps the
-postings of terms that the test set uses; the others can never be read.
+of words. Test items are compiled to windows on the driver, item by item, and
+broadcast in parts of about ``PART`` windows. A worker holds one part at a time:
+a benchmark of any size is searched, in as many passes over a task's segments as
+it has parts. Windows are looked up by their rarest term in the test set, so a
+segment meets those alone whose rarest term it holds. By default the index keeps
+the postings of terms that the test set uses, as the others can never be read,
+while these are ``KEPT_TERMS`` at most; beyond that it keeps all postings.
 
 Words are maximal runs of digits, letters a-z (A-Z lower-cased) and all
 characters from U+0080; terms are 64-bit fingerprints of a word's bytes. Ten
@@ -27,10 +30,11 @@ each count; repeated rows are judged one by one; empty tables give empty results
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
@@ -42,8 +46,10 @@ from folioscope.llm.common import fresh, lean, prepare, texts
 WINDOW = 10
 #: Bytes of text in an index segment.
 SEGMENT = 1 << 20
-#: Windows that one broadcast part holds at most (about 100 bytes each).
+#: Windows that one broadcast part holds, but for its last item's (about 150 bytes each).
 PART = 200_000
+#: Terms that are broadcast to restrict the index.
+KEPT_TERMS = 1_000_000
 #: Places between the documents of a segment; longer than any window or span.
 GAP = 64
 
@@ -70,33 +76,49 @@ def places_of(doc: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Windows:
-    """A part of the test set: distinct windows as term rows, and the items that hold each."""
+    """Distinct windows of one width as term rows, with the items that hold each.
+
+    They are sorted by their rarest term, the one that fewest windows hold.
+    """
+
+    def __init__(self, width: int, rows: np.ndarray, owners: list[list[str]]):
+        terms, ids, counts = np.unique(rows, return_inverse=True, return_counts=True)
+        ids = ids.reshape(rows.shape)
+        rarest = ids[np.arange(len(rows)), np.argmin(counts[ids], axis=1)]
+        order = np.argsort(rarest, kind="stable")
+        self.width, self.rows, self.owners = width, rows[order], [owners[k] for k in order.tolist()]
+        anchors, first = np.unique(rarest[order], return_index=True)
+        self.anchors, self.first = terms[anchors], np.append(first, len(rows))
+
+    def met_by(self, terms: np.ndarray) -> np.ndarray:
+        """Windows whose rarest term is among ``terms`` (sorted)."""
+        if not len(terms):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(terms, self.anchors), len(terms) - 1)
+        hit = np.flatnonzero(terms[at] == self.anchors)
+        return np.concatenate([np.zeros(0, np.int64), *[np.arange(self.first[k], self.first[k + 1]) for k in hit.tolist()]])
 
-    def __init__(self, width: int, rows: np.ndarray, owners: list[list[int]], names: list[str]):
-        self.width, self.rows, self.owners, self.names = width, rows, owners, names
-        self.terms = np.unique(rows)
 
+def compile_items(items: Iterable[tuple[object, str | None]], window: int = WINDOW) -> Iterator[list[Windows]]:
+    """The windows of all items, part by part; a part holds one table per width."""
+    found: dict[int, dict[bytes, list[str]]] = {}
 
-def compile_items(items: list[tuple[object, str | None]], window: int = WINDOW) -> list[Windows]:
-    """Windows of all items, by length; each part's size is bounded."""
-    found: dict[int, dict[bytes, list[int]]] = {}
-    names = [str(i) for i, _ in items]
-    for number, (_, text) in enumerate(items):
+    def part() -> list[Windows]:
+        return [Windows(width, np.frombuffer(b"".join(rows), K.U).reshape(len(rows), width), list(rows.values())) for width, rows in sorted(found.items())]
+
+    for name, text in items:
         data = np.frombuffer((text or "").encode(), np.uint8)
         terms, _ = words_of(data, np.asarray([0, len(data)]))
         width = min(window, len(terms))
         for at in range(len(terms) - width + 1 if width else 0):
             owners = found.setdefault(width, {}).setdefault(terms[at: at + width].tobytes(), [])
-            if not owners or owners[-1] != number:
-                owners.append(number)
-    parts = []
-    for width, rows in sorted(found.items()):
-        keys = list(rows)
-        for at in range(0, len(keys), PART):
-            some = keys[at: at + PART]
-            table = np.frombuffer(b"".join(some), K.U).reshape(len(some), width)
-            parts.append(Windows(width, table, [rows[k] for k in some], names))
-    return parts
+            if not owners or owners[-1] != str(name):
+                owners.append(str(name))
+        if sum(map(len, found.values())) >= PART:
+            yield part()
+            found = {}
+    if found:
+        yield part()
 
 
 # --- building -----------------------------------------------------------------------------------
@@ -176,11 +198,11 @@ class Segment:
 
     def phrases(self, part: Windows) -> Iterator[tuple[int, np.ndarray]]:
         """(window, starting places) of the windows that occur."""
-        numbers = self.lookup(part.rows)
+        met = part.met_by(self.terms)
+        numbers = self.lookup(part.rows[met])
         alive = np.flatnonzero((numbers >= 0).all(1))
         sizes = np.diff(self.lists)
-        for w in alive.tolist():
-            row = numbers[w]
+        for w, row in zip(met[alive].tolist(), numbers[alive], strict=True):
             order = np.argsort(sizes[row], kind="stable").tolist()
             starts = self.places(row[order[0]]) - order[0]
             for k in order[1:]:
@@ -215,7 +237,7 @@ def segments_of(batch: pa.RecordBatch) -> Iterator[tuple[Segment, pa.Array]]:
         yield Segment(get("terms").view(K.U), get("lists"), steps, get("n_words")), batch.column("row")[i].values
 
 
-def matches(spark: SparkSession, path: str, parts: list[Windows]) -> DataFrame:
+def matches(spark: SparkSession, path: str, parts: list[Broadcast]) -> DataFrame:
     """Per indexed document: row, n_words, n_hit, and the items that occur in it.
 
     Each task answers for whole segments, hence for whole documents. More than
@@ -224,27 +246,28 @@ def matches(spark: SparkSession, path: str, parts: list[Windows]) -> DataFrame:
     prepare(spark)
     stored = spark.read.parquet(path)
     row_type = stored.schema["row"].dataType.elementType
-    shared = [spark.sparkContext.broadcast(p) for p in parts]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for segment, rows in segments_of(batch):
-                n = len(segment.n_words)
-                hit = np.zeros(int((segment.n_words + GAP).sum()) + 1, bool)
-                items: dict[int, set[str]] = {}
-                for b in shared:
-                    part = b.value
-                    for w, starts in segment.phrases(part):
-                        for k in range(part.width):
-                            hit[starts + k] = True
-                        names = [part.names[o] for o in part.owners[w]]
-                        for d in np.unique(np.searchsorted(segment.base, starts, "right") - 1).tolist():
-                            items.setdefault(d, set()).update(names)
-                hits = np.zeros(len(hit) + 1, np.int64)
-                np.cumsum(hit, out=hits[1:])
-                n_hit = hits[segment.base + segment.n_words] - hits[segment.base]
+            held = list(segments_of(batch))
+            hits = [np.zeros(int((segment.n_words + GAP).sum()) + 1, bool) for segment, _ in held]
+            items: list[dict[int, set[str]]] = [{} for _ in held]
+            for b in parts:
+                for part in b.value:
+                    for (segment, _), hit, found in zip(held, hits, items, strict=True):
+                        for w, starts in segment.phrases(part):
+                            for k in range(part.width):
+                                hit[starts + k] = True
+                            for d in np.unique(np.searchsorted(segment.base, starts, "right") - 1).tolist():
+                                found.setdefault(d, set()).update(part.owners[w])
+                if len(parts) > 1:
+                    b.__dict__.pop("_value", None)  # one part at a time; it is read again from the local copy
+            for (segment, rows), hit, found in zip(held, hits, items, strict=True):
+                upto = np.zeros(len(hit) + 1, np.int64)
+                np.cumsum(hit, out=upto[1:])
+                n_hit = upto[segment.base + segment.n_words] - upto[segment.base]
                 yield pa.RecordBatch.from_arrays(
-                    [rows, pa.array(segment.n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(items.get(d, ())) for d in range(n)], pa.list_(pa.string()))],
+                    [rows, pa.array(segment.n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(found.get(d, ())) for d in range(len(n_hit))], pa.list_(pa.string()))],
                     ["row", "n_words", "n_hit", "items"],
                 )
 
@@ -269,18 +292,20 @@ def near_matches(spark: SparkSession, path: str, phrase: str, span: int) -> Data
     return stored.mapInArrow(lean(search), StructType().add("row", stored.schema["row"].dataType.elementType)).select("row.*")
 
 
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, columns: tuple[str, ...] = ("doc_id",), label: str = "index") -> DataFrame:
     """Index ``docs``, search every item of ``benchmark``, and give :func:`matches`.
 
-    The test set, which doesn't grow with the corpus, is read by the driver; its
-    windows are compiled and broadcast in parts of bounded size.
+    The items pass through the driver one by one; it holds a part of their
+    windows, and the distinct terms of all.
     """
     spark = docs.sparkSession
-    items = [(r[0], r[1]) for r in benchmark.select(F.col("item_id"), F.col("text").cast("string")).toLocalIterator()]
-    parts = compile_items(items, window)
-    keep = np.unique(np.concatenate([p.terms for p in parts])) if parts else np.zeros(0, K.U)
+    items = ((r[0], r[1]) for r in benchmark.select(F.col("item_id"), F.col("text").cast("string")).toLocalIterator())
+    parts, keep = [], np.zeros(0, K.U)
+    for part in compile_items(items, window):
+        parts.append(spark.sparkContext.broadcast(part))
+        if keep is not None:
+            keep = np.unique(np.concatenate([keep, *[w.rows.ravel() for w in part]]))
+            keep = None if len(keep) > KEPT_TERMS else keep
     path = fresh(spark, label)
     build(docs, path, keep, columns)
     return matches(spark, path, parts)
