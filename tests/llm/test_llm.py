@@ -51,7 +51,7 @@ def tokenizer():
     return Tokenizer.from_file(tokenizer_path())
 
 
-TRICKY = ["a<|endoftext|>b <|startoftext|> <|endof", "\x1cfoo\x1d bar's I'M don't.", "ΑΣ ΣΑΣ", "İstanbul é́", "١٢٣ 12x3", "日本語", "x​y  z", "🙂🙂 ok!!!", "ﬁ ǅ ẞ", "x' y'' 'S 's", "a_b foo- -foo, x."]
+TRICKY = ["İ. İ, aİ!", "क़. कa क़क़", "a<|endoftext|>b <|startoftext|> <|endof", "\x1cfoo\x1d bar's I'M don't.", "ΑΣ ΣΑΣ", "İstanbul é́", "١٢٣ 12x3", "日本語", "x​y  z", "🙂🙂 ok!!!", "ﬁ ǅ ẞ", "x' y'' 'S 's", "a_b foo- -foo, x."]
 
 
 def test_heap_counts_and_encoder_match_the_library(tokenizer):
@@ -145,8 +145,43 @@ def test_crossover_keeps_every_piece():
     child = packing.crossover(a, b, lengths, rng)
     assert sorted(i for items in child.items for i in items) == list(range(300))
     assert all(256 - r == sum(lengths[i] for i in items) <= 256 for r, items in zip(child.room, child.items, strict=True))
-    best = packing.evolve(lengths, 256, 0, [])
-    assert len(best.items) <= min(len(a.items), len(b.items))
+    best, made = packing.evolve(lengths, 256, 0, [])
+    assert made >= 1 and len(best.items) <= min(len(a.items), len(b.items))
+
+
+def test_evolution_beats_best_fit():
+    """Triples that fill a bin exactly: best fit, longest first, wastes bins that crossover wins back."""
+    rng = np.random.default_rng(0)
+    lengths = []
+    for _ in range(60):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(max(251, 501 - a), min(499, 749 - a) + 1))
+        lengths += [a, b, 1000 - a - b]
+    plain = packing.fit_all(lengths, np.argsort(-np.asarray(lengths)).tolist(), 1000)
+    for seed in range(3):
+        best, made = packing.evolve(lengths, 1000, seed, [], patience=30)
+        parents = np.random.default_rng(seed)
+        parent = min(len(packing.fit_all(lengths, parents.permutation(180).tolist(), 1000).items) for _ in range(packing.POPULATION))
+        assert made > 30 and 60 <= len(best.items) < min(parent, len(plain.items))
+    assigned = [0] * len(lengths)
+    for k, items in enumerate(best.items):
+        for i in items:
+            assigned[i] = k
+    again, _ = packing.evolve(lengths, 1000, 9, [assigned], patience=30)
+    assert len(again.items) <= len(best.items)
+
+
+def test_islands_cross_and_migrate(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(packing, "BLOCK", 60)
+    pieces = spark.createDataFrame([(i, int(n)) for i, n in enumerate(rng.integers(5, 90, 300))], "pid long, length long")
+    seen = []
+    keep = packing.written
+    monkeypatch.setattr(packing, "written", lambda df, label, **o: seen.append((label, keep(df, label, **o))) or seen[-1][1])
+    out = packing.assign(pieces, 100).collect()
+    assert sorted(r["pid"] for r in out) == list(range(300))
+    epochs = [df for label, df in seen if "epoch" in label]
+    assert len(epochs) >= 4 and all(r["crossovers"] >= 1 for df in epochs for r in df.collect())
 
 
 def test_token_table_round_trip(spark, tokenizer, tmp_path):
@@ -235,6 +270,47 @@ def plain_components(rows, n, num, den):
     return {i: (len(sets[i]), root(i)) for i in ids}
 
 
+def unlike_but_regular():
+    """Two strings of two letters that fool polynomial fingerprints."""
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_regular_strings_stay_apart(spark):
+    a, b = unlike_but_regular()
+    docs = frame(spark, [(1, f"{a}\n{b}"), (2, a), (3, b), (4, None)])
+    book = {r["doc_id"]: r for r in quality_ledger.ledger(docs).collect()}
+    assert book[1]["n_dup_lines"] == 0
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.link_components(docs, 4, (85, 100)).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    bench = spark.createDataFrame([(1, b)], "item_id long, text string")
+    assert {r["row"]["doc_id"]: r["n_hit"] for r in phrase_index.decontaminate(docs, bench).collect()} == {1: 1, 2: 0, 3: 1, 4: 0}
+
+
+def test_fingerprints_tell_ranges_apart():
+    rng = np.random.default_rng(0)
+    buf = rng.integers(97, 99, 3000).astype(np.uint8)
+    start, size = rng.integers(0, 2700, 50_000), rng.integers(0, 200, 50_000)
+    for prints, least in ((kernel.Fingerprints(buf), 0), (kernel.Rolling(buf, 200), 8)):
+        on = size >= least
+        seen = {}
+        for a, n, h in zip(start[on].tolist(), size[on].tolist(), prints.of(start[on], start[on] + size[on]).tolist(), strict=True):
+            assert seen.setdefault(buf[a: a + n].tobytes(), h) == h
+        assert len(set(seen.values())) == len(seen)
+    for width in (8, 32, 100):
+        every = kernel.Rolling(buf, 200).every(width)
+        assert len(set(every.tolist())) == len({buf[i: i + width].tobytes() for i in range(len(every))})
+
+
+def test_null_ids_come_last_in_a_component(spark):
+    rng = np.random.default_rng(8)
+    text = sentence(rng, 60)
+    docs = frame(spark, [(None, text), (6, text), (5, text), (None, "alone " * 9), (7, "other")])
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard_join.link_components(docs, 4, (85, 100)).collect()]
+    assert sorted(got, key=str) == sorted([(None, 5), (6, 5), (5, 5), (None, None), (7, 7)], key=str)
+
+
 def near_rows(seed):
     """Chains of edits of a few bases, so that links run through other copies."""
     rng = np.random.default_rng(seed)
@@ -264,6 +340,14 @@ def test_jaccard_join_in_blocks(spark, monkeypatch):
     assert got == plain_components(rows, 4, 85, 100)
 
 
+def test_jaccard_join_by_prefix(spark, monkeypatch):
+    """Sets that fall short under every hash are joined exactly."""
+    monkeypatch.setattr(jaccard_join, "SEEDS", 0)
+    rows = near_rows(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(frame(spark, rows), 4, (85, 100)).collect()}
+    assert got == plain_components(rows, 4, 85, 100)
+
+
 def test_signatures_find_every_close_pair():
     """Sets that differ in at most H elements share a signature, short sets included."""
     rng = np.random.default_rng(0)
@@ -294,7 +378,7 @@ def test_components(spark):
     assert {got[i] for i in range(51)} == {0} and {got[i] for i in (100, 101, 102)} == {100} and {got[i] for i in range(200, 260)} == {200}
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = np.random.default_rng(9)
     items = [(i, sentence(rng, int(n))) for i, n in enumerate([4, 10, 25, 40])] + [(9, None), (10, "!!"), (11, sentence(rng, 12)), (12, "the the the the the the the the the the the")]
     rows = edge_rows(6)
@@ -318,6 +402,10 @@ def test_decontamination(spark):
         want.append((i, len(w), len(hit), tuple(sorted(names))))
     assert have == sorted(want)
     assert all(r["n_hit"] == 0 for r in phrase_index.decontaminate(frame(spark, rows), bench.limit(0)).collect())
+    for name, value in (("PART", 20), ("KEPT_TERMS", 3)):  # many parts; an index of all terms
+        monkeypatch.setattr(phrase_index, name, value)
+        got = phrase_index.decontaminate(frame(spark, rows), bench).collect()
+        assert sorted((r["row"]["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got) == sorted(want)
 
 
 def test_proximity(spark, tmp_path):
@@ -366,19 +454,29 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(docs, toxicity.train([("x", 1), ("y", 1)])).collect()} == {1.0}
 
 
-def test_toxicity_of_a_broad_vocabulary():
-    """Toxic words that are each in under 2% of the toxic rows still tell."""
+def test_toxicity_dictionaries_are_trained():
     rng = np.random.default_rng(1)
-    vile = ["".join(rng.choice(list("bcdfghjklmnpqrstvwxz")) + rng.choice(list("aeiou")) for _ in range(4)) for _ in range(800)]
     rows = []
-    for i in range(3000):
+    for i in range(1500):
         words = re.sub(r"\d", lambda m: chr(97 + int(m[0])), sentence(rng, 60)).split()
         for k in rng.choice(60, 6 if i % 6 == 0 else 0, replace=False):
-            words[k] = str(rng.choice(vile))
+            words[k] = str(rng.choice(["scoundrel", "blockhead", "nitwitted", "dunderhead"]))
         rows.append((" ".join(words), int(i % 6 == 0)))
-    model = toxicity.train(rows[:2400])
-    held = [(float(s) >= 0.5, y) for s, (_, y) in zip(model.score(np.asarray([model.features(t) for t, _ in rows[2400:]])), rows[2400:], strict=True)]
-    assert np.mean([s for s, y in held if y]) > 0.8 and np.mean([not s for s, y in held if not y]) > 0.95
+    model = toxicity.train(rows[:1000])
+    magic = (0xEC30A437).to_bytes(4, "little")
+    assert len(model.dictionaries) == len(toxicity.PAIRS)
+    for plain, toxic in model.dictionaries:
+        assert plain.startswith(magic) and toxic.startswith(magic) and plain != toxic
+        assert b"scoundrel" in toxic and b"scoundrel" not in plain
+    # The features against windows compressed one by one.
+    text = rows[0][0]
+    got = model.features(text)
+    plain, toxic = (toxicity._compressor(d) for d in model.dictionaries[0])
+    saved = sorted(len(plain(w)) - len(toxic(w)) for w in toxicity.windows(text))
+    assert got[0] == saved[-1] and got[2] == pytest.approx(sum(saved) / len(saved))
+    held = [(float(model.score(np.asarray([model.features(t)]))[0]) >= 0.5, y) for t, y in rows[1000:]]
+    assert np.mean([p == bool(y) for p, y in held]) > 0.95
+    assert toxicity.windows("a b c", 2, 1) == [b" a b ", b" b c "] and toxicity.windows("1 2") == []
 
 
 def test_language_id(spark):
@@ -404,6 +502,54 @@ def test_forward_sums_all_segmentations():
     assert model.forward_many(["ab"])[0, 0] == pytest.approx(math.log(want))
 
 
+def plain_em(words, pieces, rounds):
+    """Piece probabilities by listing every segmentation of every word."""
+    def cuts(w):
+        if not w:
+            return [[]]
+        return [[w[:j], *rest] for j in range(1, len(w) + 1) if w[:j] in pieces for rest in cuts(w[j:])]
+
+    p = {x: 1 / len(pieces) for x in pieces}
+    for _ in range(rounds):
+        used = dict.fromkeys(pieces, 0.01)
+        for w, c in words.items():
+            ways = cuts("▁" + w)
+            weight = [math.prod(p[x] for x in way) for way in ways]
+            for way, m in zip(ways, weight, strict=True):
+                for x in way:
+                    used[x] += c * m / sum(weight)
+        total = sum(used.values())
+        p = {x: v / total for x, v in used.items()}
+    return p, cuts
+
+
+def test_language_model_against_all_segmentations(spark):
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "c"]
+    rows = [("ab aab ba ab", "x"), ("c ca bc", "y"), ("ab c", "y"), (None, "x")]
+    model = language_id.train(rows, pieces)
+    tables = {}
+    for column, lang in enumerate(model.languages):
+        words = Counter(w for t, y in rows if y == lang and t for w in t.split())
+        p, cuts = plain_em(words, pieces, language_id.ROUNDS)
+        tables[lang] = p
+        assert [model.probabilities[model.pieces[x], column] for x in pieces] == pytest.approx([p[x] for x in pieces])
+    texts_ = ["ab ba", "c bc c", "abab", ""]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(frame(spark, list(enumerate(texts_))), model).collect()}
+    for i, t in enumerate(texts_):
+        score = {lang: sum(math.log(sum(math.prod(p[x] for x in way) for way in cuts("▁" + w))) for w in t.split()) for lang, p in tables.items()}
+        assert got[i] == (max(sorted(score), key=score.get) if t else "und")
+
+
+def test_samples_keep_each_rows_own_label(spark):
+    rows = [(1, "aaa", "x"), (1, "bbb", "y"), (1, "bbb", "y"), (2, None, "x"), (3, "z" * 600_000, "x"), (None, "n", "x"), (4, "d", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learn = F.col("doc_id") > 0
+    assert sorted(language_id.sample(docs, learn), key=str) == sorted([("aaa", "x"), ("bbb", "y"), ("bbb", "y"), (None, "x")], key=str)
+    assert len(language_id.sample(docs, learn, most=1)) == 2
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (9, 1), (3, None)], "doc_id long, toxic int")
+    assert len(toxicity.sample(docs, labels, learn)) == 7
+
+
 def test_string_chunks_cut_between_texts():
     col = pa.array(["ab", None, "", "cdef", "g"] * 3)
     batch = pa.RecordBatch.from_arrays([col], ["text"]).slice(1, 11)
@@ -414,14 +560,112 @@ def test_string_chunks_cut_between_texts():
     assert got == [t or "" for t in batch.column("text").to_pylist()]
 
 
-def test_pipeline(spark):
+def test_long_texts(spark, tokenizer):
+    """A text far beyond a chunk, in every operator over documents."""
+    rng = np.random.default_rng(11)
+    body = " ".join(np.char.add(rng.choice(WORDS, 400_000), rng.integers(0, 40_000, 400_000).astype(str)).tolist())
+    rows = [(1, body), (2, body[700_000:702_000]), (3, "short one"), (4, body + " tail")]
+    assert len(body) > 2 * kernel.CHUNK
+    docs = frame(spark, rows, 2)
+    library = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in rows}
+    assert {r["doc_id"]: r["n_tokens"] + 1 for r in token_count.token_counts(docs, tokenizer_path()).collect()} == {i: len(x) for i, x in library.items()}
+    book = {r["doc_id"]: r for r in quality_ledger.ledger(docs).collect()}
+    for i, t in rows:
+        assert [book[i][m] for m in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] == [*plain_measures(t).values()][:5]
+    offsets, ids = encoding.Encoder(tokenizer_path()).encode_long(body, 2, 100_000)
+    assert ids.tolist() == library[1] and offsets.tolist() == [0, len(library[1])]
+    assert sum(r["length"] for r in packing.pack(docs, tokenizer_path(), 1).collect()) == sum(map(len, library.values()))
+    removed = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in suffix_dedup.stripped(docs).collect()}
+    assert removed == {1: (0, 0), 2: (2000, 1), 3: (0, 0), 4: (len(body), 1)}
+    assert {r["doc_id"]: r["component_id"] for r in jaccard_join.link_components(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
+    bench = spark.createDataFrame([(7, " ".join(body.split()[300_000:300_012]))], "item_id long, text string")
+    assert {r["row"]["doc_id"]: r["n_hit"] for r in phrase_index.decontaminate(docs, bench).collect()} == {1: 12, 2: 0, 3: 0, 4: 12}
+
+
+def test_long_conversation(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k} <|end|>") for k in range(600)]
+    examples = chat_format.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = chat_format.digest(examples).first()
+    assert got["n_turns"] == 600 and got["loss_chars"] == sum(len(t) for _, k, _, t in rows if k % 2)
+    assert got["formatted_chars"] > 600 * 600 / 4 * 20
+
+
+def plain_pipeline(docs, items, tokenizer):
+    """The pipeline by plain means: rows (doc_id, text) that are left after each stage, then the pieces."""
+    left = []
+    for i, t in docs:
+        m = plain_measures(t)
+        letters, upper = len(re.findall("[A-Za-z]", t or "")), len(re.findall("[A-Z]", t or ""))
+        n = m["n_words"]
+        bad = n < 50 or 100 * m["n_repeat_words"] > 50 * n or 100 * m["n_symbols"] > 20 * n or (m["n_lines"] >= 4 and 100 * m["n_dup_lines"] > 50 * m["n_lines"])
+        bad = bad or not 2 * n <= m["word_chars"] <= 20 * n or (letters >= 50 and 100 * upper > 60 * letters)
+        if not bad:
+            left.append((i, t))
+    stages = [sorted(left)]
+    comp = plain_components(left, 5, 80, 100)
+    stages.append([(i, t) for i, t in stages[-1] if comp[i][1] == i])
+    cut = plain_repeats(stages[-1])
+    stages.append([(i, cut[i][3].decode("utf-8", "ignore")) for i, t in stages[-1] if not t or cut[i][3].decode("utf-8", "ignore")])
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    grams = lambda w, k: {tuple(w[j: j + k]) for j in range(len(w) - k + 1)}
+    held = [(min(10, len(w)), grams(w, min(10, len(w)))) for w in map(words, items) if w]
+    clean = []
+    for i, t in stages[-1]:
+        w = words(t)
+        mine = {k: grams(w, k) for k in {k for k, _ in held}}
+        if not any(mine[k] & g for k, g in held):
+            clean.append((i, t))
+    stages.append(clean)
+    pieces = Counter()
+    for i, t in clean:
+        ids = np.asarray([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        for k, at in enumerate(range(0, len(ids), 4096)):
+            pieces[i, k, at, len(ids[at: at + 4096]), zlib.crc32(ids[at: at + 4096].tobytes())] += 1
+    return stages, pieces
+
+
+def test_pipeline(spark, tokenizer):
+    """Every stage against its plain version, on documents that each stage has work with."""
     import corpus_pipeline
 
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    now = docs
+    home = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{home}/documents.parquet")
+    items = [r["text"] for r in spark.read.parquet(f"{home}/benchmark.parquet").collect()]
+    rng = np.random.default_rng(12)
+    prose = [sentence(rng, 120) for _ in range(6)]
+    passage = sentence(rng, 60)
+    made = [*prose, prose[0], prose[1].replace(" ", "  ", 1), " ".join(["changed", *prose[2].split()[1:]]), f"{sentence(rng, 60)} {passage} {sentence(rng, 60)}", f"{sentence(rng, 70)} {passage}", f"{sentence(rng, 60)} {items[0]} {sentence(rng, 60)}", "", None, "tail " * 90]
+    more = spark.createDataFrame([(100_000 + i, t, "en", "made", len(t or "")) for i, t in enumerate(made)], "doc_id long, text string, lang string, source string, n_chars long")
+    now = docs.unionByName(more.select(*[F.col(c).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])).persist()
+    rows = [(r["doc_id"], r["text"]) for r in now.collect()]
+    stages, pieces = plain_pipeline(rows, items, tokenizer)
+    assert [len(rows), *map(len, stages)] == sorted([len(rows), *map(len, stages)], reverse=True) and len({len(s) for s in stages}) >= 3
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        now = stage(spark, now, "/root/testdata/sf0.001").persist()
+        now = stage(spark, now, home).persist()
         if k < 4:
             assert now.schema.simpleString() == docs.schema.simpleString()
-            assert 0 < now.count() <= docs.count()
-    assert now.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+            assert sorted((r["doc_id"], r["text"]) for r in now.collect()) == sorted(stages[k])
+    got = now.collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == pieces
+    bins = Counter()
+    for r in got:
+        bins[r["sequence_id"]] += r["length"]
+    assert max(bins.values()) <= 4096 and len(bins) <= -(-sum(bins.values()) // 4096) + 1
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null ids and texts, repeated rows and an empty table pass through every stage."""
+    import corpus_pipeline
+
+    home = "/root/testdata/sf0.001"
+    rng = np.random.default_rng(13)
+    text = sentence(rng, 90)
+    rows = [(None, text), (None, text), (3, text), (3, text), (4, None), (5, ""), (6, sentence(rng, 80)), (None, None)]
+    for held in (rows, []):
+        now = spark.createDataFrame([(i, t, None, None, None) for i, t in held], "doc_id long, text string, lang string, source string, n_chars long")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            now = stage(spark, now, home).persist()
+            if k == 1 and held:
+                assert sorted(r["doc_id"] for r in now.collect()) == [3, 6]
+            if not held:
+                assert now.count() == 0
