@@ -13,6 +13,8 @@ from folioscope.session import discard, discard_since, fresh, mark, shared_dir,
 ARROW_BYTES = 4 << 20
 #: Bytes of text whose rows one shuffle partition holds.
 PARTITION_BYTES = 32 << 20
+#: About how many bytes of text a byte of a table's files stands for.
+COMPRESSION = 2
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -28,11 +30,24 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def partitions(docs: DataFrame, per: int = PARTITION_BYTES) -> int:
-    """Shuffle partitions for the texts of ``docs``: by their bytes, the session's number at least."""
-    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    """Shuffle partitions for the texts of ``docs``: by their bytes, the session's number at least.
+
+    The bytes are those of the files behind ``docs``, times what text compresses
+    by; only where there are no files are the texts measured.
+    """
+    spark, folders = docs.sparkSession, sorted({f.rsplit("/", 1)[0] for f in docs.inputFiles()})
+    if folders:
+        size = COMPRESSION * (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folders).agg(F.sum("length")).first()[0] or 0)
+    else:
+        size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
     return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // per))
 
 
+def more_than_set(docs: DataFrame, wanted: int) -> tuple[int, ...]:
+    """``wanted`` as an argument of a repartitioning where the session's number is less; else that, which Spark may coalesce."""
+    return (wanted,) if wanted > int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else ()
+
+
 def crc_mod(n: int, column: str = "doc_id") -> Column:
     """crc32 of the id as decimal text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

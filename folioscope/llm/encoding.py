@@ -1,65 +1,92 @@
-"""Token ids of whole texts, as little-endian unsigned 32-bit bytes.
+"""Token ids of whole texts, as little-endian unsigned 32-bit numbers.
 
 The ids are the tokenizers library's. White space always separates pieces in
 this vocabulary, so each distinct run between white space is encoded once and
 kept in a bounded table; a text's ids are its runs' ids joined. A letters-only
-run is one piece, and so is a tail of marks behind it: they are looked up apart,
-and many unknown ones go through the library in one call, cut again at the
-tokens that end a word. Special strings are matched before letters are made lower
-case, so a text that holds one in any letter case is encoded as it stands.
+run is one piece, and so is a tail of marks behind it: they are encoded apart, and
+many unknown ones go through the library in one call, cut again at the tokens that
+end a word. Special strings are matched before letters are made lower case, so a
+text that holds one in any letter case is encoded as it stands.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from folioscope.llm.token_count import _SEPARATORS
+from folioscope.llm import kernel as K
 
-#: Runs in one generation of the table.
-KEPT = 200_000
+#: Runs that a worker's table holds, at some 40 bytes each.
+KEPT = 1_000_000
 #: Runs that one call of the library encodes: its results are far larger than the ids.
 CALL = 1000
 #: Bytes of text encoded at once; a longer text is cut at white space.
-STRETCH = 1 << 20
-#: Texts whose unknown words are looked up together.
-TOGETHER = 128
+STRETCH = 2 << 20
 #: Marks that make one piece when they follow a word.
 _TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
-#: A full stop or comma between a letter and white space is a piece of its own.
-_STOP = re.compile(r"(?<=[a-zß-öø-ÿ])([.,])(?!\S)").sub
+#: Arrow takes these for white space; the tokenizer doesn't.
+_SEPARATORS = "[\x1c-\x1f]"
 
 
-class Known:
-    """A bounded table in two generations."""
+class Table:
+    """Ids of known runs in flat arrays, found by two fingerprints of a run's bytes."""
 
     def __init__(self, kept: int):
-        self.kept, self.young, self.old = kept, {}, {}
-
-    def unknown(self, keys: set[str]) -> list[str]:
-        """Those of keys that no generation has; the others are made young."""
-        young, old, out = self.young, self.old, []
-        for k in keys.difference(young):
-            found = old.get(k)
-            if found is None:
-                out.append(k)
-            else:
-                young[k] = found
-        return out
+        self.kept = kept
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.checks = np.zeros(0, K.U), np.zeros(0, K.U)
+        self.start, self.size, self.used = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool)
+        self.pool, self.filled = np.zeros(1 << 16, "<u4"), 0
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The row of each run, or -1."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        rows = np.where((self.keys[at] == keys) & (self.checks[at] == checks), at, -1)
+        self.used[rows[rows >= 0]] = True
+        return rows
+
+    def add(self, keys: np.ndarray, checks: np.ndarray, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Keep the ids of new runs; where they are in the pool."""
+        data = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        start = self.filled + np.cumsum(size, dtype=np.int32) - size
+        if self.filled + len(data) > len(self.pool):
+            self.pool = np.append(self.pool[: self.filled], np.zeros(max(self.filled, 2 * len(data)), "<u4"))
+        self.pool[self.filled: self.filled + len(data)] = data
+        self.filled += len(data)
+        order = np.argsort(keys, kind="stable")
+        place = np.searchsorted(self.keys, keys[order])
+        new = {"keys": keys, "checks": checks, "start": start, "size": size, "used": np.ones(len(keys), bool)}
+        for name, values in new.items():
+            setattr(self, name, np.insert(getattr(self, name), place, values[order]))
+        return start, size
 
     def age(self) -> None:
-        if len(self.young) >= self.kept:
-            self.old, self.young = self.young, {}
+        """A full table keeps the runs asked for since it was last full, if they are few enough."""
+        if len(self.keys) <= self.kept:
+            return
+        stay = np.flatnonzero(self.used)
+        if 2 * len(stay) > self.kept:
+            self.clear()
+            return
+        size = self.size[stay]
+        upto = np.cumsum(size, dtype=np.int32)
+        gathered = self.pool[np.repeat(self.start[stay] - (upto - size), size) + np.arange(upto[-1] if len(upto) else 0)]
+        self.keys, self.checks, self.start, self.size = self.keys[stay], self.checks[stay], upto - size, size
+        self.pool, self.filled, self.used = gathered, len(gathered), np.zeros(len(stay), bool)
 
 
 def _letters(run: str) -> bool:
     """Whether a run is letters alone once it is in normal form C and lower case."""
-    return run.isalpha() and (run.isascii() or unicodedata.normalize("NFC", run).lower().isalpha())
+    return unicodedata.normalize("NFC", run).lower().isalpha()
 
 
 class Encoder:
@@ -68,8 +95,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known = Known(kept)
+        self.known = Table(kept)
         self.special = [t.content.lower() for t in self.library.get_added_tokens_decoder().values()]
+        if not all(x.startswith("<|") for x in self.special):
+            raise ValueError("special strings of another form")
         vocab = self.library.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for token, number in vocab.items():
@@ -81,87 +110,56 @@ class Encoder:
             out += [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts[i: i + CALL], add_special_tokens=False)]
         return out
 
-    def _learn(self, runs: set[str]) -> None:
-        """Put all runs into the table."""
-        new = self.known.unknown(runs)
-        if not new:
-            return
-        words, tailed, odd = [], [], []
-        for r in new:
-            if _letters(r):
-                words.append(r)
-                continue
-            core = r.rstrip(_TAIL)
-            (tailed if _letters(core) else odd).append((r, core))
-        # A word and the marks behind it are two pieces.
-        parts = {c for _, c in tailed}
-        if parts:
-            words += self.known.unknown(parts.difference(words))
-        self._learn_words(words)
-        young = self.known.young
-        tails = list({r[len(c):] for r, c in tailed})
-        ids = dict(zip(tails, self._library(tails), strict=True)) if tails else {}
-        for r, core in tailed:
-            young[r] = young[core] + ids[r[len(core):]]
-        if odd:
-            young.update(zip((r for r, _ in odd), self._library([r for r, _ in odd]), strict=True))
-
-    def _learn_words(self, new: list[str]) -> None:
-        young = self.known.young
-        for i in range(0, len(new), CALL):
-            some = new[i: i + CALL]
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of runs of letters, many to a call."""
+        out: list[bytes] = []
+        for i in range(0, len(words), CALL):
+            some = words[i: i + CALL]
             ids = np.asarray(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(some):
-                data = ids.tobytes()
-                ends = (cut * 4).tolist()
-                young.update((w, data[a:b]) for w, a, b in zip(some, [0, *ends[:-1]], ends, strict=True))
+                data, ends = ids.tobytes(), (cut * 4).tolist()
+                out += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             else:
-                young.update(zip(some, self._library(some), strict=True))
+                out += self._library(some)
+        return out
 
-    def encode_many(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), TOGETHER):
-            split: list[list[str]] = []
-            plain: dict[int, bytes] = {}
-            for k, t in enumerate(texts[i: i + TOGETHER]):
-                if not t:
-                    split.append([])
-                elif any(c in t for c in _SEPARATORS):
-                    split.append([])
-                    plain[k] = self._library([t])[0]
-                else:
-                    try:  # Latin-1 is in normal form C, and its lower case is found letter by letter
-                        t.encode("latin-1")
-                        low = t.lower()
-                        if not any(x in low for x in self.special):
-                            t = _STOP(r" \1", low)
-                    except UnicodeEncodeError:
-                        pass
-                    split.append(t.split())
-            get = self.known.young.get
-            found = [list(map(get, runs)) for runs in split]
-            missing = {r for runs, ids in zip(split, found, strict=True) if None in ids for r, x in zip(runs, ids, strict=True) if x is None}
-            if missing:
-                self._learn(missing)
-                have = self.known.young.__getitem__
-                for runs, ids in zip(split, found, strict=True):
-                    if None in ids:
-                        ids[:] = [have(r) if x is None else x for r, x in zip(runs, ids, strict=True)]
-            out += [plain[k] if k in plain else b"".join(ids) for k, ids in enumerate(found)]
-            self.known.age()
+    def encode_runs(self, runs: list[str]) -> list[bytes]:
+        """The ids of distinct runs without white space."""
+        words, tailed, odd = [], [], []
+        for k, r in enumerate(runs):
+            if r.isalpha() and (r.isascii() or _letters(r)):
+                words.append(k)
+                continue
+            core = r.rstrip(_TAIL)
+            if core.isalpha() and (core.isascii() or _letters(core)):
+                tailed.append((k, core, r[len(core):]))
+            else:
+                odd.append(k)
+        out: list[bytes] = [b""] * len(runs)
+        # A word and the marks behind it are two pieces.
+        cores, tails = list({c for _, c, _ in tailed}), list({t for *_, t in tailed})
+        found = self._words([*[runs[k] for k in words], *cores])
+        for k, ids in zip(words, found, strict=False):
+            out[k] = ids
+        core_ids, tail_ids = dict(zip(cores, found[len(words):], strict=True)), dict(zip(tails, self._library(tails), strict=True))
+        for k, core, tail in tailed:
+            out[k] = core_ids[core] + tail_ids[tail]
+        for k, ids in zip(odd, self._library([runs[k] for k in odd]), strict=True):
+            out[k] = ids
         return out
 
-    def lookup(self, runs: list[str]) -> list[bytes]:
-        """The ids of distinct runs."""
-        found = list(map(self.known.young.get, runs))
-        missing = [r for r, x in zip(runs, found, strict=True) if x is None]
-        if missing:
-            self._learn(set(missing))
-            have = self.known.young
-            found = [have[r] if x is None else x for r, x in zip(runs, found, strict=True)]
-        self.known.age()
-        return found
+    def lookup(self, runs: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of distinct runs start in the table's pool, and how many they are."""
+        offsets = np.frombuffer(runs.buffers()[1], np.int32, len(runs) + 1, runs.offset * 4).astype(np.int64)
+        prints = K.Fingerprints(np.frombuffer(runs.buffers()[2] or b"", np.uint8))
+        keys, checks = (prints.of(offsets[:-1], offsets[1:], seed) for seed in (0, 1))
+        rows = self.known.find(keys, checks)
+        new = np.flatnonzero(rows < 0)
+        start, size = (c[rows] if len(c) else np.zeros(len(rows), np.int32) for c in (self.known.start, self.known.size))
+        if len(new):
+            start[new], size[new] = self.known.add(keys[new], checks[new], self.encode_runs(runs.take(pa.array(new)).to_numpy(zero_copy_only=False).tolist()))
+        return start, size
 
     def encode_column(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids) of a column of texts, each followed by the end id.
@@ -171,15 +169,22 @@ class Encoder:
         """
         if column.null_count:
             column = column.fill_null("")
-        end = np.asarray([end_id], "<u4")
-        if pc.any(pc.match_substring_regex(column, "[\x1c-\x1f]")).as_py():
-            parts = [x + end.tobytes() for x in self.encode_many(column.to_pylist())]
-            return np.cumsum([0, *[len(p) // 4 for p in parts]]), np.frombuffer(b"".join(parts), "<u4")
+        if not len(column):
+            return np.zeros(1, np.int64), np.zeros(0, "<u4")
+        apart = pc.match_substring_regex(column, _SEPARATORS)
+        if apart.true_count:
+            offsets, ids = self.encode_column(pc.if_else(apart, "", column), end_id)
+            parts = np.split(ids, offsets[1:-1])
+            for k in np.flatnonzero(apart.to_numpy(zero_copy_only=False)).tolist():
+                parts[k] = np.append(np.frombuffer(self._library([column[k].as_py()])[0], "<u4"), np.asarray([end_id], "<u4"))
+            return np.cumsum([0, *map(len, parts)]), np.concatenate(parts)
         data = pa.concat_arrays([column]).buffers()[2]  # this stretch's bytes alone
         bytes_ = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
-        if not (bytes_ >= 0xC4).any():  # Latin-1, see above
+        if not (bytes_ >= 0xC4).any():
+            # Latin-1 is in normal form C, and its lower case is found letter by letter;
+            # a full stop or comma between a letter and white space is a piece of its own.
             low = pc.utf8_lower(column)
-            found = [pc.match_substring(low, x) for x in self.special]
+            found = [pc.match_substring(low, x) for x in self.special] if pc.any(pc.match_substring(low, "<|")).as_py() else []
             low = pc.replace_substring_regex(low, "([a-zß-öø-ÿ])([.,])(\\s)", "\\1 \\2\\3")
             for hit in found:
                 low = pc.if_else(hit, column, low) if hit.true_count else low
@@ -188,11 +193,11 @@ class Encoder:
         texts = words.offsets.to_numpy().astype(np.int64)
         texts -= texts[0]
         coded = words.flatten().dictionary_encode()
-        ids = self.lookup(coded.dictionary.to_pylist())
-        pool = np.frombuffer(b"".join([*ids, end.tobytes()]), "<u4")
-        size = np.append(np.fromiter(map(len, ids), np.int32, len(ids)) // 4, np.int32(1))
-        start = np.cumsum(size, dtype=np.int32) - size
-        which = np.insert(coded.indices.to_numpy(), texts[1:], len(ids))
+        start, size = self.lookup(coded.dictionary)
+        start, size = np.append(start, np.int32(self.known.filled)), np.append(size, np.int32(1))
+        pool = np.append(self.known.pool[: self.known.filled], np.asarray([end_id], "<u4"))
+        self.known.age()
+        which = np.insert(coded.indices.to_numpy(), texts[1:], len(start) - 1)
         n = size[which]
         upto = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
         place = np.arange(upto[-1], dtype=np.int32)

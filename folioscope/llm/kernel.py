@@ -53,11 +53,11 @@ class Fingerprints:
     def __init__(self, buf: np.ndarray):
         self.buf, self.words = buf, words_at(buf)
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def of(self, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
         size = end - start
         bits = np.minimum(size, 8).astype(U) * U(8)
         mask = np.where(bits == 64, ~U(0), (U(1) << (bits & U(63))) - U(1))
-        h = mix(mix((self.words[start] & mask) ^ _SEED) + size.astype(U) * _STEP)
+        h = mix(mix((self.words[start] & mask) ^ _SEED ^ U(seed << 8)) + size.astype(U) * _STEP)
         left, at = np.flatnonzero((size > 8) & (size <= self.SHORT)), 8
         while len(left):  # the last eight bytes of a range may overlap those before
             place = np.minimum(start[left] + at, end[left] - 8)
@@ -65,7 +65,7 @@ class Fingerprints:
             at += 8
             left = left[size[left] > at]
         for i in np.flatnonzero(size > self.SHORT).tolist():
-            h[i] = int.from_bytes(hashlib.blake2b(self.buf[start[i]: end[i]], digest_size=8).digest(), "little")
+            h[i] = int.from_bytes(hashlib.blake2b(self.buf[start[i]: end[i]], digest_size=8, salt=bytes([seed])).digest(), "little")
         return h
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType
 
 from folioscope.llm import kernel as K
-from folioscope.llm.common import lean, numbered, partitions, written
+from folioscope.llm.common import lean, more_than_set, numbered, partitions, written
 
 SPAN, GRAM = 100, 32
 #: Rows whose suffixes are looked at for the splitters (about, chosen by hash), suffixes
@@ -321,7 +321,7 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot_runs: int =
     if gram % 8 or gram < 16 or not gram <= span < gram + 127:
         raise ValueError("gram must be a multiple of 8 from 16 on, and span at least gram and less than gram + 127")
     parts = partitions(docs)
-    found = _emit(docs, _splitters(docs, span, gram, parts * PER_PARTITION), span, gram).repartition(parts, "bucket")
+    found = _emit(docs, _splitters(docs, span, gram, parts * PER_PARTITION), span, gram).repartition(*more_than_set(docs, parts), "bucket")
     runs = written(found.mapInArrow(lean(_sorted_bucket(gram // 8)), "h long, rid long, at long"), "suffix-runs")
     p = F.shiftright("at", 14)
     left = F.shiftright("at", 7).bitwiseAND(F.lit(127).cast("long"))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.llm.common import lean, partitions, prepare, texts
+from folioscope.llm.common import lean, more_than_set, partitions, prepare, texts
 from folioscope.llm.encoding import encoder
 
 SCHEMA = "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>"
@@ -58,7 +58,7 @@ def write_token_table(docs: DataFrame, path: str, tokenizer: str, end_id: int) -
                 at += int(offsets[-1])
 
     rows = texts(docs)
-    rows = rows.repartitionByRange(partitions(rows), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.repartitionByRange(*more_than_set(rows, partitions(rows)), "doc_id").sortWithinPartitions("doc_id", "text")
     rows.mapInArrow(lean(encode), SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
