@@ -35,12 +35,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import bounded_sample, lean, prepare, texts
 
-SAMPLE, SAMPLE_BYTES = 6_000, 12 << 20
+SAMPLE, SAMPLE_BYTES = 4_000, 8 << 20
 WINDOW, STEP = 12, 6
 #: Words of a training window of the base.
 BASE_WINDOW = 20
@@ -224,11 +224,13 @@ def train(rows: list[tuple[str | None, int]]) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str | None, int]]:
     """At most ``most`` labelled rows and ``most_bytes`` of text of each kind.
 
-    Labels name documents by id alone; the labelled ids, without texts, meet the
-    documents by a join that is broadcast only where Spark knows them to be small.
+    Labels name documents by id alone, so ids are chosen among the labels, ``most``
+    of each kind, and broadcast to the documents.
     """
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where(learn & F.col("y").isin(0, 1)).distinct()
-    return bounded_sample(texts(docs).join(ids, "doc_id"), most, most_bytes)
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where(learn & F.col("y").isin(0, 1))
+    rank = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = ids.distinct().withColumn("k", rank).where(F.col("k") <= most).select("doc_id", "y")
+    return bounded_sample(texts(docs).join(F.broadcast(chosen), "doc_id"), most, most_bytes)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
