@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 
@@ -51,6 +52,16 @@ def written(df: DataFrame, label: str, **options) -> DataFrame:
     return back
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done with.
+
+    It does so when the driver collects their owners, which may take long where
+    the driver has little to do.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 _made: list[str] = []
 
 
