@@ -7,7 +7,7 @@ import zlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.session import discard, discard_since, fresh, mark, shared_dir, ship, table, written  # noqa: F401
+from folioscope.session import discard, discard_since, fresh, mark, release, shared_dir, ship, table, written  # noqa: F401
 
 #: Bytes of one Arrow batch handed to a Python worker.
 ARROW_BYTES = 4 << 20

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType
 
 from folioscope.llm import kernel as K
-from folioscope.llm.common import lean, more_than_set, numbered, partitions, written
+from folioscope.llm.common import lean, more_than_set, numbered, partitions, release, written
 
 SPAN, GRAM = 100, 32
 #: Rows whose suffixes are looked at for the splitters (about, chosen by hash), suffixes
@@ -162,6 +162,7 @@ def _emit(docs: DataFrame, splitters: list[bytes], span: int, gram: int) -> Data
                     order = np.lexsort([p, rid, u])
                     again = np.zeros(len(order), bool)
                     again[order[1:]] = (u[order[1:]] == u[order[:-1]]) & (lead[order[1:]] == lead[order[:-1]]).all(1)
+                    lead[again], u[again] = 0, 0  # nothing is asked of these any more
                     bucket = np.where(again, -1 - (rid & 1023), np.searchsorted(cuts, leading(lead), "right"))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(bucket.astype(np.int32)), *[pa.array(np.ascontiguousarray(lead[:, k]).view(np.int64)) for k in range(width)],
@@ -321,8 +322,11 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot_runs: int =
     if gram % 8 or gram < 16 or not gram <= span < gram + 127:
         raise ValueError("gram must be a multiple of 8 from 16 on, and span at least gram and less than gram + 127")
     parts = partitions(docs)
-    found = _emit(docs, _splitters(docs, span, gram, parts * PER_PARTITION), span, gram).repartition(*more_than_set(docs, parts), "bucket")
-    runs = written(found.mapInArrow(lean(_sorted_bucket(gram // 8)), "h long, rid long, at long"), "suffix-runs")
+    splitters = _splitters(docs, span, gram, parts * PER_PARTITION)
+    dealt = _emit(docs, splitters, span, gram).repartition(*more_than_set(docs, parts), "bucket")
+    runs = written(dealt.mapInArrow(lean(_sorted_bucket(gram // 8)), "h long, rid long, at long"), "suffix-runs")
+    del dealt
+    release(docs.sparkSession)  # the suffixes' shuffle is the largest, and done with
     p = F.shiftright("at", 14)
     left = F.shiftright("at", 7).bitwiseAND(F.lit(127).cast("long"))
     right = F.col("at").bitwiseAND(F.lit(127).cast("long"))
@@ -336,6 +340,7 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot_runs: int =
         .join(docs.select("rid", "text"), "rid")
     )
     fetched = written(by_text.select("rid", "text", "runs").mapInArrow(lean(_contexts(span)), "h long, rid long, at long, data binary, key binary"), "suffix-edges", compression="zstd")
+    release(docs.sparkSession)
     near = (
         fetched.where(F.col("key").isNull()).select("h", "rid", "at", "data")
         .repartition("h").sortWithinPartitions("h", "rid", "at")
