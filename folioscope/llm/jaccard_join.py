@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm import kernel as K
-from folioscope.llm.common import discard, lean, numbered, written
+from folioscope.llm.common import discard, lean, numbered, release, written
 from folioscope.llm.components import components
 
 #: Hashes of the universe that are tried before sets that fall short are joined by prefix.
@@ -418,6 +418,7 @@ def link_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
         found = live.where(F.col("lead").isNotNull())
         groups = found if groups is None else groups.unionByName(found)
         lacking = live.where(F.col("lead").isNull()).select("rid").distinct()
+        release(rows.sparkSession)  # the signatures' shuffle is done with
         parts.append(live)
         if seed == SEEDS or lacking.isEmpty():
             break
@@ -452,11 +453,13 @@ def link_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     cells = lambda s: sets.where("rid = rep").select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("cells").alias(f"cells_{s}"))
     stars = classed.join(cells("a"), "a").join(cells("b"), "b").mapInArrow(lean(_may_link(carried, den)), "a long, b long")
     rays = verified(stars, carried, "rays")
+    release(rows.sparkSession)
     links = rays.where(similar(num)).select("a", "b")
     comp = components(links, "joined")
 
     placed = sets.where("rid = rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", "cells", F.coalesce("component", "rep").alias("comp"))
     placed = written(placed, "placed-sets")
+    release(rows.sparkSession)
 
     # Members of one lead in several components, by their differences from it.
     member = rays.join(placed.select(F.col("rep").alias("b"), "comp"), "b").join(placed.select(F.col("rep").alias("a"), F.col("comp").alias("comp_a")), "a")
@@ -483,6 +486,7 @@ def link_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     across = residue.repartition("sig").sortWithinPartitions("sig", "rep").mapInArrow(lean(_across(num, den)), "a long, b long").distinct()
     rest = verified(across, num, "links-rest").select("a", "b").unionByName(around)
     rest = written(rest, "links-more")
+    release(rows.sparkSession)
     if not rest.isEmpty():
         comp = components(links.unionByName(rest), "joined-all")
     discard(*parts, rays, placed)
