@@ -42,7 +42,8 @@ def coarse_cell(x0: Column, y0: Column, x1: Column, y1: Column, w: Column, h: Co
 
 
 def cell_name(page: Column, cell: Column) -> Column:
-    return F.format_string("p%d_g%d%d", page, F.floor(cell / 3).cast("int"), F.pmod(cell, F.lit(3)).cast("int"))
+    """``p<page>_g<row><column>``; null without a cell."""
+    return F.when(page.isNotNull() & cell.isNotNull(), F.format_string("p%d_g%d%d", page, F.floor(cell / 3).cast("int"), F.pmod(cell, F.lit(3)).cast("int")))
 
 
 def box_features(x0: Column, y0: Column, x1: Column, y1: Column, w: Column, h: Column) -> dict[str, Column]:

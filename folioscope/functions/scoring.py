@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import normalize_answer
+from folioscope.functions.text import normalize_answer, strip
 
 
 def soft_accuracy(pred: Column, answers: Column) -> Column:
@@ -26,7 +26,7 @@ def relaxed_numeric(pred: Column, answers: Column, rel: float = 0.01, absolute:
     ``compat`` parses after punctuation has become spaces, so that signs and
     decimal points are lost; otherwise numbers are parsed as written.
     """
-    form = (lambda c: normalize_answer(c)) if compat else (lambda c: F.trim(c))
+    form = (lambda c: normalize_answer(c)) if compat else strip
     p = form(pred).try_cast("double")
 
     def close(a: Column) -> Column:
@@ -37,15 +37,24 @@ def relaxed_numeric(pred: Column, answers: Column, rel: float = 0.01, absolute:
 
 
 def anls(pred: Column, answers: Column, threshold: float = 0.5) -> Column:
-    """Best 1 - distance / length over the answers, 0 from the threshold on."""
-    p = normalize_answer(F.coalesce(pred, F.lit("")))
+    """Best 1 - distance / length over the answers, 0 from the threshold on.
 
-    def one(a: Column) -> Column:
-        n = normalize_answer(a)
-        far = F.levenshtein(p, n) / F.greatest(F.length(p), F.length(n), F.lit(1)).cast("double")
-        return F.when((n != "") & (far < threshold), 1.0 - far).otherwise(0.0)
+    Texts are normalised once. Lengths that differ too much settle a pair;
+    only the others are measured.
+    """
+    forms = F.transform(answers, normalize_answer)
+
+    def best(p: Column) -> Column:
+        def one(n: Column) -> Column:
+            longest = F.greatest(F.length(p), F.length(n), F.lit(1))
+            apart = F.abs(F.length(p) - F.length(n)) / longest.cast("double")
+            far = F.levenshtein(p, n) / longest.cast("double")
+            return F.when((n != "") & (apart < threshold), F.when(far < threshold, 1.0 - far).otherwise(0.0)).otherwise(0.0)
+
+        return F.when(p == "", 0.0).otherwise(F.coalesce(F.array_max(F.transform(forms, one)), F.lit(0.0)))
 
-    return F.when(p == "", 0.0).otherwise(F.coalesce(F.array_max(F.transform(answers, one)), F.lit(0.0)))
+    # An array of one, so that the prediction is a lambda's variable, and found once.
+    return F.get(F.transform(F.array(normalize_answer(F.coalesce(pred, F.lit("")))), best), F.lit(0))
 
 
 def choice_match(pred: Column, answers: Column) -> Column:

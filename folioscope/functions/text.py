@@ -18,6 +18,16 @@ ARTICLES = ("a", "an", "the")
 SPACE_AFTER = r"([.,;:!?)\]\"”’])(?=[A-Za-z0-9À-ɏ])"
 SPACE_BEFORE = r"(?<=[A-Za-z0-9À-ɏ])([(\[“‘])"
 
+#: White space as a regular-expression class body; ``\\s`` and trim() know ASCII's, or blanks, alone.
+WS = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: What an answer that abstains says, and marks of a final answer in order of preference.
+ABSTENTIONS = (
+    r"not answerable|no information|does not (contain|provide|mention|include)|cannot be (determined|answered|found)|"
+    r"not (provided|mentioned|available|specified|stated)|unable to (determine|answer|find)|isn't (any )?information|there is no"
+)
+FINAL_MARKERS = ("Final answer:", "final answer:", "Final Answer:", "最终答案：", "最终答案:")
+NO_ANSWER = "not answerable"
+
 #: ASCII punctuation as a regular-expression class.
 PUNCT = r"[!-/:-@\[-`{-~]"
 
@@ -34,8 +44,13 @@ def tokens(text: Column, profile: str = "block") -> Column:
     raise ValueError(f"unknown profile {profile!r}")
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
+
+
 def squeeze(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, f"[{WS}]+", " "))
 
 
 def normalize_answer(text: Column) -> Column:
@@ -57,26 +72,39 @@ def nfkc(text):
 
 
 def normalize_leak(text: Column) -> Column:
-    """NFKC, lower case, everything but letters and digits to single spaces."""
-    return squeeze(F.regexp_replace(F.lower(nfkc(F.coalesce(text, F.lit("")))), r"[^\p{L}\p{N}]+", " "))
+    """NFKC, lower case, everything but a-z and 0-9 to single spaces."""
+    return squeeze(F.regexp_replace(F.lower(nfkc(F.coalesce(text, F.lit("")))), r"[^a-z0-9]+", " "))
 
 
 def normalize_quote(text: Column) -> Column:
-    """NFKC, without soft hyphens and hyphens inside words, single spaces."""
+    """NFKC, without soft hyphens, and hyphens or dashes (with blanks about them) between word characters; single spaces."""
     plain = F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), "­", "")
-    return squeeze(F.regexp_replace(plain, r"(?<=\w)-\s*(?=\w)", ""))
+    return squeeze(F.regexp_replace(plain, r"(?U)(?<=\w)\s*[-‐‑‒–—]\s*(?=\w)", ""))
 
 
-def compact(text: Column) -> Column:
-    """Letters and digits alone, in lower case."""
-    return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", "")
+def compact(normal: Column) -> Column:
+    """Digits, a-z and unified ideographs alone, of a text in its quote form."""
+    return F.regexp_replace(F.lower(normal), r"[^0-9a-z\u4e00-\u9fff]+", "")
 
 
-def contains_quote(container: Column, quote: Column) -> Column:
-    """Containment as written, else of the compact forms; a blank quote is never contained."""
-    asis = F.contains(squeeze(F.lower(container)), squeeze(F.lower(quote)))
+def contains_normal(container: Column, quote: Column) -> Column:
+    """Containment of texts in their quote form: as they are, else compact; a blank one never."""
+    asis = F.contains(F.lower(container), F.lower(quote))
     bare = (compact(quote) != "") & F.contains(compact(container), compact(quote))
-    return F.coalesce((squeeze(quote) != "") & (asis | bare), F.lit(False))
+    return F.coalesce((container != "") & (quote != "") & (asis | bare), F.lit(False))
+
+
+def contains_quote(container: Column, quote: Column) -> Column:
+    return contains_normal(normalize_quote(container), normalize_quote(quote))
+
+
+def snippet(container: Column, quote: Column, size: int = 220) -> Column:
+    """The quote with a third of ``size`` before it and half after; the head where it isn't found."""
+    text, wanted = normalize_quote(container), normalize_quote(quote)
+    at = F.instr(F.lower(text), F.lower(wanted))
+    first = F.greatest(F.lit(0), at - 1 - size // 3)
+    last = F.least(F.length(text), at - 1 + F.length(wanted) + size // 2)
+    return F.when((wanted == "") | (at <= 0), F.substring(text, 1, size)).otherwise(F.substr(text, first + 1, last - first))
 
 
 def repair_spacing(text: Column) -> Column:
@@ -87,28 +115,30 @@ def repair_spacing(text: Column) -> Column:
 
 
 def first_non_empty(*texts: Column) -> Column:
-    return F.coalesce(*[F.nullif(F.trim(t), F.lit("")) for t in texts])
+    return F.coalesce(*[F.nullif(strip(t), F.lit("")) for t in texts])
 
 
 def choice_letter(text: Column) -> Column:
-    """The first standalone A-E, upper case, or null."""
-    return F.nullif(F.upper(F.regexp_extract(F.trim(text), r"(?i)\b([A-E])\b", 1)), F.lit(""))
+    """The first standalone A-E, or the one behind the word answer, upper case; else null."""
+    found = lambda pattern: F.nullif(F.upper(F.regexp_extract(text, pattern, 1)), F.lit(""))
+    return F.coalesce(found(r"(?iU)\b([A-E])\b"), found(r"(?iU)answer\s*[:：]?\s*([A-E])\b"))
 
 
 def strip_think(text: Column) -> Column:
-    """Without reasoning blocks; the whole text where nothing else is left."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?is)<think>.*?</think>", "")
-    tail = F.trim(F.substring_index(bare, "</think>", -1))
-    return F.when(tail != "", tail).otherwise(F.trim(F.coalesce(text, F.lit(""))))
+    """Without reasoning blocks, or what precedes the last closing mark; the whole text where nothing else is left."""
+    text = F.coalesce(text, F.lit(""))
+    tail = strip(F.substring_index(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), "</think>", -1))
+    return F.when(tail != "", tail).otherwise(strip(text))
 
 
-def final_answer(text: Column, markers: tuple[str, ...] = ("Final answer:", "final answer:", "Final Answer:")) -> Column:
-    """First line after the last marker; the text itself without one."""
+def final_answer(text: Column, markers: tuple[str, ...] = FINAL_MARKERS) -> Column:
+    """First line behind the last occurrence of the first marker that occurs; the text itself without one."""
     text = F.coalesce(text, F.lit(""))
     out = text
     for m in reversed(markers):
-        tail = F.trim(F.substring_index(text, m, -1))
-        out = F.when(F.contains(text, F.lit(m)), F.when(tail != "", F.trim(F.substring_index(tail, "\n", 1))).otherwise(text)).otherwise(out)
+        tail = strip(F.substring_index(text, m, -1))
+        line = strip(F.regexp_extract(tail, r"^[^\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]*", 0))
+        out = F.when(F.contains(text, F.lit(m)), F.when(tail != "", line).otherwise(text)).otherwise(out)
     return out
 
 
@@ -120,19 +150,20 @@ def token_coverage(need: Column, have: Column) -> Column:
     return F.when(F.size(need) > 0, hit / F.size(need).cast("double"))
 
 
-def packed_length(text: Column, cap: int) -> Column:
-    """Characters of a packed line: trimmed, capped, and marked with three dots where cut."""
-    line = F.replace(F.trim(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit(" "))
-    if cap <= 0:
-        return F.length(line)
-    return F.when(F.length(line) > cap, F.length(F.rtrim(F.substring(line, 1, cap))) + 3).otherwise(F.length(line))
+def _line(text: Column) -> Column:
+    return F.replace(strip(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit(" "))
 
 
 def packed_text(text: Column, cap: int) -> Column:
-    line = F.replace(F.trim(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit(" "))
+    """A packed line: stripped, capped, and marked with three dots where cut."""
+    line = _line(text)
     if cap <= 0:
         return line
-    return F.when(F.length(line) > cap, F.concat(F.rtrim(F.substring(line, 1, cap)), F.lit("..."))).otherwise(line)
+    return F.when(F.length(line) > cap, F.concat(F.regexp_replace(F.substring(line, 1, cap), f"[{WS}]+$", ""), F.lit("..."))).otherwise(line)
+
+
+def packed_length(text: Column, cap: int) -> Column:
+    return F.length(packed_text(text, cap))
 
 
 def stable_score(*parts: Column) -> Column:
@@ -143,5 +174,19 @@ def stable_score(*parts: Column) -> Column:
 
 
 def abstains(text: Column) -> Column:
-    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    return t.isin("", "none", "n/a") | t.rlike(r"not (answerable|mentioned|provided|available|specified|enough)|unanswerable|cannot be (answered|determined)|no (answer|information)")
+    """Whether an answer says that there is none, or says nothing."""
+    text = F.coalesce(text, F.lit(""))
+    return F.lower(strip(text)).isin("", "none", "n/a") | text.rlike(f"(?i){ABSTENTIONS}")
+
+
+def is_unanswerable(answers: Column) -> Column:
+    """Whether the first reference answer is the no-answer label."""
+    return F.coalesce(F.lower(strip(F.try_element_at(answers, F.lit(1)))) == NO_ANSWER, F.lit(False))
+
+
+def interval(cell: Column) -> Column:
+    """struct(lo, hi) of a bracketed pair in a table cell; null without one."""
+    plain = F.replace(F.replace(cell, F.lit("−"), F.lit("-")), F.lit("–"), F.lit("-"))
+    number = r"([-+]?\d+(?:\.\d+)?)"
+    part = lambda i: F.nullif(F.regexp_extract(plain, rf"[\[(]\s*{number}\s*,\s*{number}\s*[\])]", i), F.lit("")).cast("double")
+    return F.when(part(1).isNotNull(), F.struct(part(1).alias("lo"), part(2).alias("hi")))

@@ -37,7 +37,7 @@ def donor_page(page: Column, donor_pages: Column) -> Column:
     return F.pmod(page - 1, donor_pages) + 1
 
 
-def leaked(packed: Column, answers: Column, least: int) -> Column:
+def leaked(packed: Column, answers: Column, least: int | Column) -> Column:
     """Whether any normalised answer of at least ``least`` characters is in the packed text."""
     return F.coalesce(F.exists(answers, lambda a: (F.length(a) >= least) & F.contains(packed, a)), F.lit(False))
 
@@ -48,3 +48,11 @@ def bins(value: Column, edges: tuple[float, ...]) -> Column:
     for k in range(len(edges) - 1, 0, -1):
         out = F.when(value < edges[k], k - 1).otherwise(out)
     return F.when(value.isNotNull(), out).cast("long")
+
+
+def ranges(value: Column, bounds: tuple[tuple[float, float], ...]) -> Column:
+    """0-based number of the first inclusive range that holds the value; null in none."""
+    out = F.lit(None).cast("long")
+    for k in range(len(bounds) - 1, -1, -1):
+        out = F.when(value.between(*bounds[k]), F.lit(k).cast("long")).otherwise(out)
+    return out

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from folioscope.functions.text import contains_quote
+from folioscope.functions.text import contains_normal, normalize_quote, strip
 
 PREDICTION = "struct<result: string, claims: array<struct<claim_id: string, text: string>>, evidence: array<struct<evidence_id: string, page_id: int, block_id: string, quote: string, supports: array<string>>>>"
 
@@ -56,15 +56,19 @@ def repaired_json(text: pd.Series) -> pd.Series:
 def cited(predictions: DataFrame, column: str) -> DataFrame:
     """One row per cited piece of evidence of (sample, document_id, column)."""
     parsed = predictions.withColumn("p", F.from_json(repaired_json(column), PREDICTION))
-    return parsed.select("sample", "document_id", F.posexplode_outer("p.evidence").alias("n", "e")).select("sample", "document_id", "n", "e.evidence_id", "e.page_id", "e.block_id", "e.quote").where("n IS NOT NULL")
+    return parsed.select("sample", "document_id", F.posexplode_outer("p.evidence").alias("n", "e")).select("sample", "document_id", "n", F.coalesce(F.nullif(strip(F.col("e.evidence_id")), F.lit("")), F.concat(F.lit("e"), (F.col("n") + 1).cast("string"))).alias("evidence_id"), "e.page_id", "e.block_id", "e.quote", "e.supports").where("n IS NOT NULL")
 
 
 def complete(evidence: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Missing page, block and quote from the canonical evidence of the same id."""
-    known = canonical.select("sample", "evidence_id", F.col("page_id").alias("k_page"), F.col("block_id").alias("k_block"), F.col("quote").alias("k_quote"))
+    """Missing page, block, quote and supports from the canonical evidence of the same id; all in their quote form."""
+    known = canonical.select("sample", "evidence_id", F.col("page_id").alias("k_page"), F.col("block_id").alias("k_block"), F.col("quote").alias("k_quote"), F.col("supports").alias("k_supports"))
     rows = evidence.join(known, ["sample", "evidence_id"], "left")
-    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-    return rows.select("sample", "document_id", "n", "evidence_id", F.coalesce("page_id", "k_page").alias("page_id"), F.coalesce(blank("block_id"), "k_block").alias("block_id"), F.coalesce(blank("quote"), "k_quote").alias("quote"))
+    form = lambda c: F.nullif(normalize_quote(F.col(c)), F.lit(""))
+    held = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), strip), lambda x: F.coalesce(x != "", F.lit(False)))
+    return rows.select(
+        "sample", "document_id", "n", "evidence_id", F.coalesce("page_id", "k_page").alias("page_id"), F.coalesce(form("block_id"), form("k_block")).alias("block_id"),
+        F.coalesce(form("quote"), form("k_quote"), F.lit("")).alias("quote"), F.when(F.size(held("supports")) > 0, held("supports")).otherwise(held("k_supports")).alias("supports"),
+    )
 
 
 def citation_validity(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -73,8 +77,9 @@ def citation_validity(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
     The join is on document and page; a page's blocks are reduced to two flags
     per citation before anything else is kept.
     """
-    rows = evidence.alias("e").join(blocks.select("document_id", "page_id", F.col("block_id").alias("b_block"), F.col("text").alias("b_text")), ["document_id", "page_id"], "left")
-    hit = contains_quote(F.coalesce("b_text", F.lit("")), F.coalesce("quote", F.lit("")))
+    forms = blocks.select("document_id", "page_id", F.col("block_id").alias("b_block"), normalize_quote(F.col("text")).alias("b_form"))
+    rows = evidence.withColumn("q_form", normalize_quote(F.col("quote"))).join(forms, ["document_id", "page_id"], "left")
+    hit = contains_normal(F.col("b_form"), F.col("q_form"))
     flags = rows.groupBy("sample", "document_id", "n", "page_id", "block_id", "quote").agg(
         F.coalesce(F.bool_or(hit & (F.col("b_block") == F.col("block_id"))), F.lit(False)).alias("exact"), F.coalesce(F.bool_or(hit), F.lit(False)).alias("on_page")
     )

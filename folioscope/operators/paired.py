@@ -85,7 +85,7 @@ def bootstrap_index(rep: Column, i: Column, n: Column) -> Column:
     return F.pmod(F.pmod((rep + 1) * F.lit(1103515245) + (i + 1) * F.lit(12345) + (rep + 7) * (i + 3) * (i + 3) * F.lit(7919), F.lit(2147483647)), n)
 
 
-def bootstrap_mean(values: DataFrame, value: str, order: list[str], replicates: int = 1000) -> DataFrame:
+def bootstrap_mean(values: DataFrame, value: str, order: list[str], replicates: int = 10_000) -> DataFrame:
     """Percentile interval of the mean from resamples.
 
     Values (a study's rows, far fewer than a corpus's) are held as one array per

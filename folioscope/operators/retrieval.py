@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from folioscope.functions.text import BLOCK_STOP, PAGE_STOP, tokens
 
 
-def term_counts(rows: DataFrame, keys: list[str], text: Column, profile: str = "block") -> DataFrame:
-    """(keys..., token, tf): one row per key and token, combined before the shuffle."""
+def term_counts(rows: DataFrame, keys: list[str], text: Column, profile: str = "block", vocabulary: DataFrame | None = None) -> DataFrame:
+    """(keys..., token, tf): one row per key and token, combined before the shuffle.
+
+    With a ``vocabulary`` (token) all other tokens go before anything is counted
+    or shuffled; Spark broadcasts it if its size allows.
+    """
     found = rows.select(*keys, F.explode(tokens(text, "all")).alias("token"))
     if profile == "block":  # filtered as rows, in generated code, rather than inside the array
         found = found.where(~F.col("token").isin(*BLOCK_STOP))
     elif profile == "page":
         found = found.where(~F.col("token").isin(*PAGE_STOP) & (F.length("token") >= 2))
+    if vocabulary is not None:
+        found = found.join(vocabulary.select("token").distinct(), "token", "left_semi")
     return found.groupBy(*keys, "token").agg(F.count("*").alias("tf"))
 
 
@@ -29,13 +35,13 @@ def lexical_scores(query_terms: DataFrame, unit_terms: DataFrame, totals: DataFr
 
     query_terms: (qid, token, q_tf); unit_terms: (scope..., unit..., token, tf);
     totals: (scope..., n_units). Without ``scope``, N and df are the corpus's;
-    with ``scope`` = ['qid'] they are those of each query's own candidates. Only
-    tokens that some query uses are joined, so the unit side is filtered before
-    any count is shuffled.
+    with ``scope`` = ['qid'] they are those of each query's own candidates. Unit
+    terms that no query uses are dropped here; :func:`term_counts` with a
+    vocabulary drops them before they are counted.
     """
     scope = scope or []
     vocabulary = query_terms.select(*scope, "token").distinct()
-    used = unit_terms.join(vocabulary, [*scope, "token"])
+    used = unit_terms.join(vocabulary, [*scope, "token"], "left_semi")
     frequency = used.groupBy(*scope, "token").agg(F.count("*").alias("df"))
     weighed = query_terms.join(frequency, [*scope, "token"])
     weighed = weighed.join(totals, scope) if scope else weighed.crossJoin(F.broadcast(totals))  # totals is one row
@@ -78,15 +84,46 @@ def late_interaction(query_vectors: DataFrame, page_vectors: DataFrame, k: int)
     """Sum over query vectors of the best dot product on each page; top k pages.
 
     query_vectors: (qid, q_pos, q_vec), a stated query set; page_vectors: (page_id,
-    p_vec). Page vectors stay where they are; the queries are joined to them by
-    broadcast if their size allows, and partial maxima combine before the shuffle.
+    p_vec). The queries are dealt into blocks of ``BLOCK`` vectors, each one row;
+    every page vector meets every block once, and partial maxima combine before
+    the shuffle. No block grows with the data.
     """
-    scored = page_vectors.join(query_vectors, how="cross").select("qid", "q_pos", "page_id", dot(F.col("q_vec"), F.col("p_vec")).alias("s"))
+    blocks = query_blocks(query_vectors, "q_pos", ["qid", "q_pos", "q_vec"])
+    parts = blocks.count()
+    dealt = page_vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, parts - 1)).cast("long"))))
+    scored = dealt.join(blocks, "block").select("page_id", "p_vec", F.explode("queries").alias("q")).select("q.qid", "q.q_pos", "page_id", dot(F.col("q.q_vec"), F.col("p_vec")).alias("s"))
     best = scored.groupBy("qid", "page_id", "q_pos").agg(F.max("s").alias("s"))
     pages = best.groupBy("qid", "page_id").agg(F.sum("s").alias("score"))
     return top_k(pages, ["qid"], [F.round("score", 6).desc(), F.col("page_id")], k)
 
 
+#: Query vectors in one block.
+BLOCK = 512
+
+
+def query_blocks(queries: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(block, queries): a stated query set as arrays of about ``BLOCK`` rows, blocks numbered from 0."""
+    n = -(-queries.count() // BLOCK) or 1
+    return queries.withColumn("block", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("block").agg(F.collect_list(F.struct(*columns)).alias("queries")).select(
+        (F.row_number().over(Window.orderBy("block")) - 1).cast("long").alias("block"), "queries"
+    )  # one row a block
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, vec_id, cosine, rank): exact cosine neighbours, a query itself left out.
+
+    vectors: (vec_id, embedding); queries: (qid, a), a stated set, in blocks. A
+    partition keeps its own k best of each query before anything is shuffled, so
+    what is shuffled grows with partitions and queries, not with all pairs.
+    """
+    blocks = query_blocks(queries, "qid", ["qid", "a"])
+    parts = blocks.count()
+    dealt = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, parts - 1)).cast("long"))))
+    pairs = dealt.join(blocks, "block").select("vec_id", "embedding", F.explode("queries").alias("q")).where(F.col("q.qid") != F.col("vec_id"))
+    scored = pairs.select(F.col("q.qid").alias("qid"), "vec_id", F.round(cosine(F.col("q.a"), F.col("embedding")), 6).alias("cosine"))
+    return top_k(scored, ["qid"], [F.col("cosine").desc(), F.col("vec_id")], k)
+
+
 def baseline_order(kind: str, pages: Column, gold: Column, seed: str = "0") -> Column:
     """Control rankings: as given, gold first, or by a stable hash."""
     if kind == "first":

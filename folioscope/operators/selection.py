@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import packed_length, packed_text, stable_score
+from folioscope.functions.text import packed_length, packed_text, stable_score, strip
 from folioscope.operators.retrieval import top_k
 
 SELECTORS = ("random", "random_chars", "all")
@@ -46,10 +46,10 @@ def lexical_char_budget(rows: DataFrame, sample: str, k: int, cap: int) -> DataF
 def pack(rows: DataFrame, sample: str, cap: int) -> DataFrame:
     """Lines tagged with their page, by page position then score, joined; and the facts behind them."""
     fact = F.struct(F.col("page_rank"), (-F.col("sel_score")).alias("neg"), F.col("order_index"), F.col("page_id"), F.col("block_id"), packed_text(F.col("text"), cap).alias("line"))
-    held = rows.where(F.trim(F.coalesce("text", F.lit(""))) != "").groupBy(sample).agg(F.array_sort(F.collect_list(fact)).alias("facts"))
+    held = rows.where(strip(F.coalesce("text", F.lit(""))) != "").groupBy(sample).agg(F.array_sort(F.collect_list(fact)).alias("facts"))
     return held.select(
         sample, F.size("facts").cast("long").alias("num_facts"),
-        F.array_join(F.transform("facts", lambda f: F.concat(F.lit("[p"), f.page_id.cast("string"), F.lit("] "), f.line)), "\n").alias("memory"),
+        F.array_join(F.transform("facts", lambda f: F.concat(F.lit("[第"), f.page_id.cast("string"), F.lit("页] "), f.line)), "\n").alias("memory"),
         F.transform("facts", lambda f: f.block_id).alias("block_ids"),
     )
 
@@ -61,19 +61,6 @@ def union_selection(first: DataFrame, second: DataFrame, sample: str, k: int) ->
     return ranked.groupBy(*keys).agg(F.min(F.struct("arm", "rank")).alias("at")).select(*keys, F.col("at.arm").alias("arm"), F.col("at.rank").alias("rank"))
 
 
-def prompt(question: Column, memory: Column, mode: str = "pages") -> Column:
-    """The reader's text; a blank memory leaves the question alone."""
-    heads = {"pages": "", "memory": "Document notes:\n", "memory_only": "Answer from these notes only:\n"}
-    if mode == "pages":
-        return question
-    return F.when(F.trim(F.coalesce(memory, F.lit(""))) == "", question).otherwise(F.concat(F.lit(heads[mode]), memory, F.lit("\n\nQuestion: "), question))
-
-
-def numbered_evidence(texts: Column, cap: int) -> Column:
-    """``[1] text`` lines of capped texts."""
-    return F.array_join(F.transform(texts, lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), packed_text(t, cap))), "\n")
-
-
 def keep_ratio(rows: DataFrame, group: list[str], score: str, tie: list[str], ratio: float, least: int = 1, half_even: bool = False) -> DataFrame:
     """Per group the max(least, n * ratio) highest scores; whole numbers by floor, or half-even rounding."""
     w = Window.partitionBy(*group)

@@ -38,11 +38,8 @@ def derangement(spark: SparkSession, sf_dir: str) -> DataFrame:
 def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = lambda i: F.lower(F.try_element_at(F.split("text", " "), F.lit(i)))
     rows = table(spark, sf_dir, "benchmark").select(F.lower("text").alias("packed"), F.array(word(2), F.concat(word(4), F.lit("#"))).alias("answers"))
-    out = None
-    for least in (3, 5, 7, 9):
-        part = rows.agg(F.lit(least).cast("long").alias("least"), F.count("*").alias("n"), F.count_if(controls.leaked(F.col("packed"), F.col("answers"), least)).alias("leaked"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    cases = rows.withColumn("least", F.explode(F.array(*[F.lit(k).cast("long") for k in (3, 5, 7, 9)])))
+    return cases.groupBy("least").agg(F.count("*").alias("n"), F.count_if(controls.leaked(F.col("packed"), F.col("answers"), F.col("least"))).alias("leaked"))
 
 
 @register("dose_response", f"""WITH {S.SQL_ARMS}, b AS (SELECT CASE WHEN n_chars < 500 THEN 0 WHEN n_chars < 1000 THEN 1 WHEN n_chars < 2000 THEN 2 WHEN n_chars < 5000 THEN 3 ELSE 4 END::BIGINT AS bin, base, arm FROM arms)

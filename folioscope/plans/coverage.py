@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscope.functions.text import contains_quote, packed_text, token_coverage, tokens
+from folioscope.functions import prompts as P
+from folioscope.functions.text import contains_quote, packed_text
 from folioscope.operators import controls, grounding, losses, retrieval, selection, sets
+from folioscope.plans import retrieval as R
 from folioscope.plans import surrogates as S
 from folioscope.plans.registry import register
 from folioscope.session import table
@@ -14,7 +16,7 @@ from folioscope.sources import readers
 
 
 @register("tolerant_casts", """WITH e AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN (event_id % 5 - 1)::VARCHAR WHEN 1 THEN (event_id % 9)::VARCHAR || '.7' WHEN 2 THEN 'page' ELSE ' 12 ' END AS c FROM events)
-    SELECT event_id, CASE WHEN trunc(try_cast(trim(c) AS DOUBLE))::INT >= 1 THEN trunc(try_cast(trim(c) AS DOUBLE))::INT END AS page FROM e""")
+    SELECT event_id, CASE WHEN regexp_full_match(trim(c), '[+-]?[0-9]+') AND trim(c)::INT >= 1 THEN trim(c)::INT END AS page FROM e""")
 def tolerant_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, m = F.col("event_id"), F.pmod("event_id", F.lit(4))
     c = F.when(m == 0, (F.pmod(e, F.lit(5)) - 1).cast("string")).when(m == 1, F.concat(F.pmod(e, F.lit(9)).cast("string"), F.lit(".7"))).when(m == 2, "page").otherwise(" 12 ")
@@ -78,10 +80,11 @@ def page_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", "n_pages", F.array_join(F.transform("l", lambda x: x.line), "\n").alias("memory"))
 
 
-@register("prompts", """SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text ELSE 'Document notes:' || chr(10) || 'note ' || item_id || chr(10) || chr(10) || 'Question: ' || text END AS prompt FROM benchmark""")
+@register("prompts", f"""SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text ELSE '{P.TEXT_HEAD["keyword"]}{P.ANSWER_TAIL}' || chr(10) || 'note ' || item_id || chr(10) || chr(10) || text END AS prompt,
+    '{P.RERANK_HEAD}' || chr(10) || chr(10) || '问题：' || chr(10) || text || chr(10) || chr(10) || '候选证据块文本：' || chr(10) || CASE WHEN item_id % 3 = 0 THEN '（无文本）' ELSE 'note ' || item_id END AS rerank FROM benchmark""")
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     memory = F.when(F.pmod("item_id", F.lit(3)) == 0, " ").otherwise(F.concat(F.lit("note "), F.col("item_id").cast("string")))
-    return table(spark, sf_dir, "benchmark").select("item_id", selection.prompt(F.col("text"), memory, "memory").alias("prompt"))
+    return table(spark, sf_dir, "benchmark").select("item_id", P.mode_prompt(F.col("text"), memory, "pages_memory").alias("prompt"), P.rerank_prompt(F.col("text"), memory).alias("rerank"))
 
 
 @register("group_context", """WITH r AS (SELECT source, doc_id, n_chars / 1000::DOUBLE AS s FROM documents), m AS (SELECT *, avg(s) OVER w AS mean_score, max(s) OVER w AS max_score FROM r WINDOW w AS (PARTITION BY source))
@@ -118,20 +121,25 @@ def evenly_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where((F.col("order_index") == at(0.5)) | (F.col("order_index") == at(1.5)) | (F.col("order_index") == at(2.5))).select("doc_id", "block_id")
 
 
-@register("store_recall", f"""WITH {S.SQL_BLOCKS}, p AS (SELECT b.doc_id, item_id, order_index, {S.sql_tokens('i.text')} AS need, {S.sql_tokens('b.text')} AS have FROM blocks b JOIN benchmark i ON b.doc_id % 40 = i.item_id % 40),
-    k AS (SELECT *, unnest(list_distinct(need)) AS t FROM p),
-    c AS (SELECT doc_id, item_id, order_index, sum(least(len(list_filter(need, lambda x: x = t)), len(list_filter(have, lambda x: x = t)))) / max(len(need))::DOUBLE AS r FROM k GROUP BY ALL)
-    SELECT doc_id, item_id, count(*) AS n_blocks, round(max(r), 6) AS best_block_recall FROM c GROUP BY ALL""")
+@register("store_recall", f"""WITH {R._CANDIDATES}, nq AS (SELECT qid, sum(q_tf) AS need FROM q GROUP BY qid),
+    h AS (SELECT qid, doc_id, block_id, sum(least(q_tf, tf)) AS hit FROM ct JOIN q USING (qid, token) GROUP BY ALL),
+    b AS (SELECT c.qid, c.doc_id, c.block_id, coalesce(hit, 0) / need::DOUBLE AS r FROM c JOIN nq USING (qid) LEFT JOIN h USING (qid, doc_id, block_id))
+    SELECT doc_id, qid AS item_id, count(*) AS n_blocks, round(max(r), 6) AS best_block_recall FROM b GROUP BY ALL""")
 def store_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best block recall of an excerpt over a document's blocks."""
-    b = S.blocks(spark, sf_dir).select("doc_id", "order_index", tokens(F.col("text")).alias("have"), F.pmod("doc_id", F.lit(40)).alias("m"))
-    i = table(spark, sf_dir, "benchmark").select("item_id", tokens(F.col("text")).alias("need"), F.pmod("item_id", F.lit(40)).alias("m"))
-    rows = b.join(i, "m").withColumn("r", token_coverage(F.col("need"), F.col("have"))).where("r IS NOT NULL")
-    return rows.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_blocks"), F.round(F.max("r"), 6).alias("best_block_recall"))
-
-
+    """Best block recall of an item's tokens over the blocks of its best documents."""
+    found, _ = R.candidates(spark, sf_dir)
+    asked = S.questions(spark, sf_dir)
+    key = ["qid", "doc_id", "block_id"]
+    have = retrieval.term_counts(found, key, F.col("text"))
+    hits = have.join(asked, ["qid", "token"]).groupBy(*key).agg(F.sum(F.least("q_tf", "tf")).alias("hit"))
+    need = asked.groupBy("qid").agg(F.sum("q_tf").alias("need"))
+    rows = found.select(*key).join(need, "qid").join(hits, key, "left").withColumn("r", F.coalesce("hit", F.lit(0)) / F.col("need").cast("double"))
+    return rows.groupBy("doc_id", F.col("qid").alias("item_id")).agg(F.count("*").alias("n_blocks"), F.round(F.max("r"), 6).alias("best_block_recall"))
+
+
+#: The quote form of texts without characters that NFKC changes, and without hyphens between word characters.
 _SQZ = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
-_CMP = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}]+', '', 'g')"
+_CMP = r"regexp_replace(lower({0}), '[^0-9a-z\x{{4e00}}-\x{{9fff}}]+', '', 'g')"
 
 
 @register("citations", f"""WITH {S.SQL_BLOCKS}, q AS (SELECT doc_id, page_id, substr(text, 1, 24) AS quote, CASE WHEN doc_id % 3 = 0 THEN block_id ELSE 'p1_b1' END AS cited FROM blocks WHERE order_index = 0),
@@ -157,9 +165,9 @@ def structured_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grounding.cited(rows, "pred").select("sample", "evidence_id", "page_id", "block_id", "quote")
 
 
-@register("quote_containment", f"""SELECT doc_id, contains({_CMP.format('text')}, {_CMP.format("substr(text, 5, 15)")}) AND trim(substr(text, 5, 15)) <> '' AND {_CMP.format("substr(text, 5, 15)")} <> '' AS held FROM documents WHERE length(text) > 40""")
+@register("quote_containment", f"""SELECT doc_id, coalesce({_SQZ.format("substr(text, 5, 15)")} <> '' AND (contains({_SQZ.format('text')}, {_SQZ.format("substr(text, 5, 15)")}) OR ({_CMP.format("substr(text, 5, 15)")} <> '' AND contains({_CMP.format('text')}, {_CMP.format("substr(text, 5, 15)")}))), false) AS held FROM documents""")
 def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("length(text) > 40").select("doc_id", contains_quote(F.col("text"), F.substring("text", 5, 15)).alias("held"))
+    return table(spark, sf_dir, "documents").select("doc_id", contains_quote(F.col("text"), F.substring("text", 5, 15)).alias("held"))
 
 
 @register("error_reasons", """SELECT reason, n FROM (SELECT left(event_type || ' failed because of a very long explanation that goes on and on', 60) AS reason, count(*) AS n FROM events WHERE event_id % 3 = 0 GROUP BY ALL ORDER BY n DESC, reason LIMIT 5)""")

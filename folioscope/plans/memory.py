@@ -38,9 +38,13 @@ def packed_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order statistics at floor(q * n), found by rank over counted values rather than by collecting them."""
     per = S.blocks(spark, sf_dir).groupBy("doc_id").agg(F.sum(packed_length(F.col("text"), 300)).cast("long").alias("chars"))
     counted = per.groupBy("chars").agg(F.count("*").alias("m"))
+    # Prefix sums in two levels: within ranges of a thousand characters, and over the ranges' totals.
     from pyspark.sql import Window
 
-    upto = counted.withColumn("upto", F.sum("m").over(Window.orderBy("chars")))
+    ranged = counted.withColumn("range", F.floor(F.col("chars") / 1000))
+    bases = ranged.groupBy("range").agg(F.sum("m").alias("held"))
+    bases = bases.select("range", (F.sum("held").over(Window.orderBy("range")) - F.col("held")).alias("base"))
+    upto = ranged.withColumn("own", F.sum("m").over(Window.partitionBy("range").orderBy("chars"))).join(bases, "range").withColumn("upto", F.col("base") + F.col("own"))
     total = per.agg(F.count("*").alias("n"), F.round(F.avg("chars"), 6).alias("mean"))
     at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.lit(q) * F.col("n")), F.col("chars")))
     return upto.crossJoin(F.broadcast(total)).groupBy("n", "mean").agg(at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"))
@@ -49,15 +53,12 @@ def packed_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("lexical_memory", f"""WITH {R._CANDIDATES}, src2 AS (SELECT qid, doc_id, rank - 1 AS doc_rank FROM r WHERE rank <= 4),
     o AS (SELECT cs.*, page_id, order_index, text, (doc_rank * 100000 + page_id) AS page_rank, round(score, 6) AS ls FROM cs JOIN c USING (qid, doc_id, block_id) JOIN src2 USING (qid, doc_id)),
     k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY ls DESC, page_rank, order_index) AS rn FROM o)
-    SELECT qid, count(*) AS num_facts, string_agg('[p' || page_id || '] ' || CASE WHEN length({_LINE}) > 300 THEN rtrim(substr({_LINE}, 1, 300)) || '...' ELSE {_LINE} END, chr(10) ORDER BY page_rank, ls DESC, order_index) AS memory
+    SELECT qid, count(*) AS num_facts, string_agg('[第' || page_id || '页] ' || CASE WHEN length({_LINE}) > 300 THEN rtrim(substr({_LINE}, 1, 300)) || '...' ELSE {_LINE} END, chr(10) ORDER BY page_rank, ls DESC, order_index) AS memory
     FROM k WHERE rn <= 8 AND trim(text) <> '' GROUP BY qid""")
 def lexical_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item's eight best blocks packed to text, by page position then score."""
-    from folioscope.operators.retrieval import top_k
-
     found, scores = R.candidates(spark, sf_dir)
-    ranks = top_k(R._scores(spark, sf_dir), ["qid"], R._order(), 4).select("qid", "doc_id", (F.col("rank") - 1).alias("doc_rank"))
-    rows = scores.join(found, ["qid", "doc_id", "block_id"]).join(ranks, ["qid", "doc_id"])
+    rows = scores.join(found, ["qid", "doc_id", "block_id"])
     rows = rows.withColumn("page_rank", F.col("doc_rank") * 100000 + F.col("page_id")).withColumn("lexical_score", F.round("score", 6))
     return selection.pack(selection.lexical_selection(rows, "qid", 8), "qid", 300).select("qid", "num_facts", "memory")
 

@@ -24,8 +24,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DES
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    terms = retrieval.term_counts(docs, ["doc_id"], F.col("text"))
-    return retrieval.lexical_scores(S.questions(spark, sf_dir), terms, docs.agg(F.count("*").alias("n_units")), ["doc_id"])
+    asked = S.questions(spark, sf_dir)
+    terms = retrieval.term_counts(docs, ["doc_id"], F.col("text"), vocabulary=asked)
+    return retrieval.lexical_scores(asked, terms, docs.agg(F.count("*").alias("n_units")), ["doc_id"])
 
 
 def _order(unit: str = "doc_id"):
@@ -73,8 +74,8 @@ cs AS (SELECT qid, doc_id, block_id, sum(q_tf * least(3, tf) * (ln((1::DOUBLE +
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Blocks of each item's four best documents, and their scores within that set."""
-    source = retrieval.top_k(_scores(spark, sf_dir), ["qid"], _order(), 4).select("qid", "doc_id")
+    """Blocks of each item's four best documents (ranked from 0), and their scores within that set."""
+    source = retrieval.top_k(_scores(spark, sf_dir), ["qid"], _order(), 4).select("qid", "doc_id", (F.col("rank") - 1).alias("doc_rank"))
     found = S.blocks(spark, sf_dir).join(source, "doc_id")
     terms = retrieval.term_counts(found, ["qid", "doc_id", "block_id"], F.col("text"))
     totals = found.groupBy("qid").agg(F.count("*").alias("n_units"))
@@ -116,17 +117,16 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine neighbours of a stated query set (ids divisible by 20) among all vectors."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("a"))
-    pairs = e.join(q, F.col("qid") != F.col("vec_id")).select("qid", "vec_id", F.round(retrieval.cosine(F.col("a"), F.col("embedding")), 6).alias("cosine"))
-    return retrieval.top_k(pairs, ["qid"], [F.col("cosine").desc(), F.col("vec_id")], 5)
+    return retrieval.nearest(e.select("vec_id", "embedding"), q, 5)
 
 
-@register("late_interaction", """WITH q AS (SELECT label AS qid, vec_id AS q_pos, embedding AS a FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT vec_id // 10 AS page_id, embedding AS b FROM embeddings),
+@register("late_interaction", """WITH q AS (SELECT label AS qid, vec_id AS q_pos, embedding AS a FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT vec_id // 10 AS page_id, embedding AS b FROM embeddings),
     b AS (SELECT qid, page_id, q_pos, max(list_dot_product(a::DOUBLE[], b::DOUBLE[])) AS s FROM q, p GROUP BY ALL),
     t AS (SELECT qid, page_id, sum(s) AS score FROM b GROUP BY ALL)
     SELECT qid, page_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, page_id) AS rank FROM t) WHERE rank <= 4""")
 def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("label").alias("qid"), F.col("vec_id").alias("q_pos"), F.col("embedding").alias("q_vec"))
+    q = e.where("vec_id % 20 = 0").select(F.col("label").alias("qid"), F.col("vec_id").alias("q_pos"), F.col("embedding").alias("q_vec"))
     pages = e.select(F.floor(F.col("vec_id") / 10).cast("long").alias("page_id"), F.col("embedding").alias("p_vec"))
     return retrieval.late_interaction(q, pages, 4).select("qid", "page_id", F.round("score", 6).alias("score"), "rank")
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import scoring
-from folioscope.functions.text import abstains, choice_letter, final_answer, normalize_answer, normalize_leak, normalize_quote, repair_spacing, token_coverage, tokens
+from folioscope.functions.text import abstains, choice_letter, final_answer, normalize_answer, normalize_leak, normalize_quote, repair_spacing
+from folioscope.operators.retrieval import term_counts
+from folioscope.plans import retrieval as R
 from folioscope.plans import surrogates as S
 from folioscope.plans.registry import register
 from folioscope.session import table
@@ -23,16 +25,10 @@ def answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.answers(spark, sf_dir).select("sample", scoring.soft_accuracy(p, a).alias("soft"), scoring.exact_match(p, a).alias("exact"), scoring.relaxed_numeric(p, a).alias("relaxed"))
 
 
-_ASCII = "regexp_replace({0}, '[^ -~]', '', 'g')"
-
-
-@register("anls", f"""WITH {S.SQL_ANSWERS}, c AS (SELECT sample, {_ASCII.format('pred')} AS pred, list_transform(answers, lambda a: {_ASCII.format('a')}) AS answers FROM answers),
-    n AS (SELECT sample, {_P} AS p, unnest(list_transform(answers, lambda a: {_A})) AS g FROM c),
-    d AS (SELECT sample, p, g, levenshtein(p, g) / greatest(length(p), length(g), 1)::DOUBLE AS far FROM n)
-    SELECT sample, round(max(CASE WHEN p <> '' AND g <> '' AND far < 0.5 THEN 1 - far ELSE 0 END), 6)::DOUBLE AS anls FROM d GROUP BY sample""")
+@register("anls")
 def anls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plain = lambda c: F.regexp_replace(c, "[^ -~]", "")
-    return S.answers(spark, sf_dir).select("sample", F.round(scoring.anls(plain(F.col("pred")), F.transform("answers", plain)), 6).alias("anls"))
+    """Over whole texts; DuckDB's edit distance counts bytes, so the tests compare with a plain one by characters."""
+    return S.answers(spark, sf_dir).select("sample", F.round(scoring.anls(F.col("pred"), F.col("answers")), 6).alias("anls"))
 
 
 @register("normalized_answers", f"SELECT item_id, {S.sql_normalize('text')} AS answer, nullif(upper(regexp_extract(trim(text), '(?i)\\b([A-E])\\b', 1)), '') AS choice FROM benchmark")
@@ -61,19 +57,19 @@ def judge_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.round("m.judge", 6).alias("judge"), F.round("m.grounded", 6).alias("grounded"), "m.strict", "snapped")
 
 
-@register("token_coverage", f"""WITH p AS (SELECT d.doc_id, b.item_id, {S.sql_tokens('b.text')} AS need, {S.sql_tokens('d.text')} AS have FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40),
-    k AS (SELECT doc_id, item_id, need, have, unnest(list_distinct(need)) AS t FROM p)
-    SELECT doc_id, item_id, round(sum(least(len(list_filter(need, lambda x: x = t)), len(list_filter(have, lambda x: x = t)))) / max(len(need))::DOUBLE, 6) AS coverage FROM k GROUP BY ALL""")
+@register("token_coverage", f"""WITH {R._SCORES}, nq AS (SELECT qid, sum(q_tf) AS need FROM q GROUP BY qid)
+    SELECT doc_id, qid AS item_id, round(sum(least(q_tf, tf)) / max(need)::DOUBLE, 6) AS coverage FROM q JOIN d USING (token) JOIN nq USING (qid) GROUP BY ALL""")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Multiset coverage of an item's tokens by the documents of its residue class."""
-    d = table(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("have"), F.pmod("doc_id", F.lit(40)).alias("m"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", tokens(F.col("text")).alias("need"), F.pmod("item_id", F.lit(40)).alias("m"))
-    out = d.join(b, "m").select("doc_id", "item_id", F.round(token_coverage(F.col("need"), F.col("have")), 6).alias("coverage"))
-    return out.where("coverage IS NOT NULL")
+    """Multiset coverage of an item's tokens by every document that has one of them."""
+    asked = S.questions(spark, sf_dir)
+    have = term_counts(table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"), vocabulary=asked)
+    need = asked.groupBy("qid").agg(F.sum("q_tf").alias("need"))
+    hits = have.join(asked, "token").groupBy("doc_id", "qid").agg(F.sum(F.least("q_tf", "tf")).alias("hit"))
+    return hits.join(need, "qid").select("doc_id", F.col("qid").alias("item_id"), F.round(F.col("hit") / F.col("need").cast("double"), 6).alias("coverage"))
 
 
 @register("abstentions", """WITH t AS (SELECT conv_id, turn, lower(trim(coalesce(text, ''))) AS t FROM conversations)
-    SELECT conv_id, turn, t IN ('', 'none', 'n/a') OR regexp_matches(t, 'not (answerable|mentioned|provided|available|specified|enough)|unanswerable|cannot be (answered|determined)|no (answer|information)') AS abstains FROM t""")
+    SELECT conv_id, turn, t IN ('', 'none', 'n/a') OR regexp_matches(t, 'not answerable|no information|does not (contain|provide|mention|include)|cannot be (determined|answered|found)|not (provided|mentioned|available|specified|stated)|unable to (determine|answer|find)|isn''t (any )?information|there is no') AS abstains FROM t""")
 def abstentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", abstains(F.col("text")).alias("abstains"))
 

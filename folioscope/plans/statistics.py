@@ -30,9 +30,9 @@ def mcnemar_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(paired.mcnemar(S.arms(spark, sf_dir), F.col("base"), F.col("arm"), ["lang"], variance="null"), "lang")
 
 
-@register("mcnemar_strata", f"WITH {S.SQL_ARMS}, m AS (SELECT source, {_MCNEMAR} FROM arms GROUP BY source HAVING count(*) >= 10) SELECT *, {_EXACT} FROM m")
+@register("mcnemar_strata", f"WITH {S.SQL_ARMS}, m AS (SELECT source, {_MCNEMAR} FROM arms GROUP BY source) SELECT *, {_EXACT} FROM m")
 def mcnemar_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(paired.mcnemar(S.arms(spark, sf_dir), F.col("base"), F.col("arm"), ["source"]).where("n >= 10"), "source")
+    return _shown(paired.mcnemar(S.arms(spark, sf_dir), F.col("base"), F.col("arm"), ["source"]), "source")
 
 
 @register("mcnemar_p")
@@ -58,9 +58,9 @@ def two_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("bootstrap_ci", f"""WITH {S.SQL_ARMS}, v AS (SELECT list((arm::INT - base::INT)::DOUBLE ORDER BY doc_id) AS v, count(*) AS n FROM arms),
-    m AS (SELECT rep, list_sum(list_transform(range(n), lambda i: v[(((rep + 1) * 1103515245 + (i + 1) * 12345 + (rep + 7) * (i + 3) * (i + 3) * 7919) % 2147483647) % n + 1])) / n AS m FROM v, range(1000) t(rep)),
+    m AS (SELECT rep, list_sum(list_transform(range(n), lambda i: v[(((rep + 1) * 1103515245 + (i + 1) * 12345 + (rep + 7) * (i + 3) * (i + 3) * 7919) % 2147483647) % n + 1])) / n AS m FROM v, range(10000) t(rep)),
     o AS (SELECT list(m ORDER BY m) AS m FROM m)
-    SELECT 1000::BIGINT AS replicates, round(m[26], 6) AS lo, round(m[976], 6) AS hi FROM o""")
+    SELECT 10000::BIGINT AS replicates, round(m[251], 6) AS lo, round(m[9751], 6) AS hi FROM o""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = S.arms(spark, sf_dir).select("doc_id", (F.col("arm").cast("int") - F.col("base").cast("int")).alias("d"))
     return paired.bootstrap_mean(rows, "d", ["doc_id"]).select("replicates", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
+
+from folioscope.functions.text import strip
 
 DOCUMENT = """document_id string, schema_version string, pages array<struct<page_id: string, width: double, height: double, image_path: string, page_text: string,
   blocks: array<struct<block_id: string, type: string, bbox: array<double>, text: string, order_index: int>>>>"""
 
-RANKING = "sample_id string, id string, dataset string, ranked_page_ids array<string>, page_ids array<string>, scores array<struct<page_id: string, score: double>>, latency_s double, num_pages int, model string"
+RANKING = "sample_id string, id string, dataset string, ranked_page_ids array<string>, selected_page_ids array<string>, page_ids array<string>, top_page_ids array<string>, scores array<struct<page_id: string, score: double>>, latency_s double, num_pages int, model string"
 
 
 class BadRow(ValueError):
@@ -22,18 +24,48 @@ class BadRow(ValueError):
 def json_lines(spark: SparkSession, path: str | list[str], schema: str | StructType, strict: bool = False) -> DataFrame:
     """One object per line; blank lines are skipped. gz files are read as they are.
 
-    Strict sources fail on the first bad line; others drop it.
+    A bad line is an error, never lost. Strict sources are read once more
+    beforehand, so that the error names the file and line.
     """
-    mode = "FAILFAST" if strict else "DROPMALFORMED"
-    return spark.read.schema(schema).option("mode", mode).json(path)
+    if strict:
+        _refuse_bad_lines(spark, path)
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def _refuse_bad_lines(spark: SparkSession, path: str | list[str]) -> None:
+    """Raise :class:`BadRow` with file:line for a line that is no JSON object."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(strip(F.col("value")) != "")
+    bad = lines.where(F.try_parse_json("value").isNull() | ~strip(F.col("value")).startswith("{")).first()
+    if bad is None:
+        return
+    whole = spark.read.text(bad["file"], wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
+    place = whole.where(F.col("line") == bad["value"]).agg(F.min("n")).first()[0]
+    raise BadRow(f"{bad['file']}:{(place or 0) + 1}: not a JSON object")
 
 
 def page_number(c: Column, least: int | None = 1) -> Column:
-    """A tolerant whole number: null for what isn't one, or is below ``least``."""
-    n = F.trim(c.cast("string")).try_cast("double").try_cast("int")
+    """The whole number that a string spells, or null; below ``least`` null too."""
+    text = strip(c.cast("string"))
+    n = F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("int"))
+    return n if least is None else F.when(n >= least, n)
+
+
+def whole_number(c: Column, least: int | None = 1) -> Column:
+    """A number without its fraction; null below ``least``."""
+    n = c.try_cast("int")
     return n if least is None else F.when(n >= least, n)
 
 
+def sorted_pages(a: Column, least: int | None = 1) -> Column:
+    """Distinct tolerant page numbers, ascending."""
+    return F.array_sort(F.array_distinct(page_numbers(a, least)))
+
+
+def sorted_blocks(a: Column) -> Column:
+    """Distinct block ids that aren't blank, ascending."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(a, strip), lambda x: F.coalesce(x != "", F.lit(False)))))
+
+
 def page_numbers(a: Column, least: int | None = 1) -> Column:
     """Tolerant whole numbers in order, without those that fail."""
     return F.filter(F.transform(a, lambda x: page_number(x, least)), lambda x: x.isNotNull())
@@ -52,7 +84,7 @@ def store_blocks(pages: DataFrame) -> DataFrame:
     rows = pages.select("document_id", "page_id", "width", "height", F.posexplode("blocks").alias("pos", "b"))
     box = F.when((F.size("b.bbox") == 4) & (F.col("b.bbox")[2] > F.col("b.bbox")[0]) & (F.col("b.bbox")[3] > F.col("b.bbox")[1]), F.col("b.bbox"))
     return rows.select(
-        "document_id", "page_id", "width", "height", F.trim("b.block_id").alias("block_id"), F.coalesce("b.type", F.lit("")).alias("type"), box.alias("bbox"),
+        "document_id", "page_id", "width", "height", strip(F.col("b.block_id")).alias("block_id"), F.coalesce("b.type", F.lit("")).alias("type"), box.alias("bbox"),
         F.coalesce("b.text", F.lit("")).alias("text"), F.coalesce("b.order_index", "pos").alias("order_index"),
     ).where("block_id <> ''")
 
@@ -62,12 +94,29 @@ def ranked_pages(rows: DataFrame, dedup: bool = True) -> DataFrame:
     by_score = F.transform(
         F.array_sort(F.transform("scores", lambda s: F.struct((-s.score).alias("neg"), page_number(s.page_id).alias("page"))), None), lambda s: s.page
     )
-    given = [page_numbers(F.col(c)) for c in ("ranked_page_ids", "page_ids")]
+    given = [page_numbers(F.col(c)) for c in ("ranked_page_ids", "selected_page_ids", "page_ids", "top_page_ids")]
     options = [*given, F.filter(by_score, lambda p: p.isNotNull())]
     ranked = F.coalesce(*[F.when(F.size(o) > 0, o) for o in options], F.array().cast("array<int>"))
     return rows.select(F.coalesce("sample_id", "id").alias("sample_id"), (F.array_distinct(ranked) if dedup else ranked).alias("ranked"))
 
 
+def external_rankings(spark: SparkSession, path: str) -> DataFrame:
+    """(sample_id, ranked) of another system's file: JSON lines, a JSON list, or an object with ``predictions``.
+
+    Of a repeated sample one row stays; rows without an id or a page go.
+    """
+    if path.rstrip("/").endswith((".jsonl", ".jsonl.gz")):
+        rows = json_lines(spark, path, RANKING)
+    else:
+        one = StructType.fromDDL(RANKING)
+        both = StructType([*one.fields]).add("predictions", ArrayType(one))
+        held = spark.read.schema(both).option("multiLine", True).option("mode", "FAILFAST").json(path)
+        plain = held.where("predictions IS NULL").drop("predictions")
+        rows = plain.unionByName(held.where("predictions IS NOT NULL").select(F.explode("predictions").alias("p")).select("p.*"))
+    found = ranked_pages(rows).withColumn("sample_id", strip(F.col("sample_id"))).where("sample_id <> '' AND size(ranked) > 0")
+    return found.groupBy("sample_id").agg(F.max("ranked").alias("ranked"))
+
+
 def rankings(spark: SparkSession, paths: list[str], k: int | None = None) -> DataFrame:
     """Union of ranking files; of repeated samples the last file's row stays; truncated to k."""
     parts = [spark.read.schema(RANKING).json(p).withColumn("file", F.lit(i)) for i, p in enumerate(paths)]
@@ -94,6 +143,59 @@ def benchmark_metadata(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("index", "question", "doc_id", "doc_type", "answer_format", literal_list(F.col("evidence_sources")).alias("evidence_sources"), F.size(literal_list(F.col("image_path"))).alias("doc_pages"))
 
 
+def manifest_documents(rows: DataFrame) -> DataFrame:
+    """(document_id, page_id, image_path) of all manifests' pages; of a repeated page the first path stays.
+
+    rows: document_id, ordinal, image_paths. Pages are numbered by their file
+    names, else by their place.
+    """
+    pages = rows.select("document_id", "ordinal", F.posexplode("image_paths").alias("pos", "path"))
+    numbered = pages.withColumn("page_id", F.coalesce(image_page(F.col("path")), F.col("pos") + 1))
+    first = numbered.groupBy("document_id", "page_id").agg(F.min_by("path", F.struct("ordinal", "pos")).alias("image_path"))
+    return first.where("document_id <> ''")
+
+
+def pages_present(pages: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
+    """Pages whose image is in ``folder``; the listing alone is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    return pages.withColumn("file", F.element_at(F.split("image_path", "/"), -1)).join(listed.distinct(), "file", "left_semi").drop("file")
+
+
+def evidence_of(manifests: dict[str, DataFrame]) -> DataFrame:
+    """(task, sample_id, page_id, block_id, text_excerpt): every task's evidence, one row a piece."""
+    out = None
+    for task, rows in manifests.items():
+        e = rows.select(F.lit(task).alias("task"), "sample_id", F.explode("evidence").alias("e")).select("task", "sample_id", "e.page_id", "e.block_id", "e.text_excerpt")
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
+def judged(rows: DataFrame, strict: bool = True) -> DataFrame:
+    """Rows with ``correct``; a row without a verdict, or with an error, is refused, or null where not strict."""
+    from folioscope.operators.sets import expect
+
+    known = F.col("judge.verdict").isin("correct", "partial", "incorrect")
+    if strict:
+        expect(rows, unjudged=~F.coalesce(known, F.lit(False)))
+    return rows.withColumn("correct", F.when(known, F.col("judge.verdict") == "correct"))
+
+
+def page_layouts(pages: DataFrame) -> DataFrame:
+    """(document_id, page_id, width, height, ordered): block ids of a page in reading order."""
+    blocks = store_blocks(pages)
+    ordered = blocks.groupBy("document_id", "page_id", "width", "height").agg(F.array_sort(F.collect_list(F.struct("order_index", "block_id"))).alias("o"))
+    return ordered.select("document_id", "page_id", "width", "height", F.transform("o", lambda x: x.block_id).alias("ordered"))
+
+
+def document_bundle(pages: DataFrame) -> DataFrame:
+    """(document_id, block_id, page_id, text, page_text): texts in their quote form, found by block."""
+    from folioscope.functions.text import normalize_quote
+
+    texts = pages.select("document_id", "page_id", normalize_quote(F.col("page_text")).alias("page_text"))
+    blocks = store_blocks(pages).select("document_id", "page_id", "block_id", normalize_quote(F.col("text")).alias("text"))
+    return blocks.join(texts, ["document_id", "page_id"])
+
+
 def page_range(sample_id: Column) -> Column:
     """Pages of a ``:a-b`` suffix; null without one or where b < a."""
     a = F.nullif(F.regexp_extract(sample_id, r":(\d+)-(\d+)$", 1), F.lit("")).cast("int")
