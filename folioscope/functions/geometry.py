@@ -56,3 +56,18 @@ def box_features(x0: Column, y0: Column, x1: Column, y1: Column, w: Column, h: C
         "bbox_cx": F.when(ok, cx).otherwise(0.5), "bbox_cy": F.when(ok, cy).otherwise(0.5),
         "bbox_w": F.when(ok, bw).otherwise(1.0), "bbox_h": F.when(ok, bh).otherwise(1.0), "bbox_area": F.when(ok, bw * bh).otherwise(1.0),
     }
+
+
+def crop_box(box: Column, image_w: Column, image_h: Column, expand: float = 0.02) -> Column:
+    """A whole-pixel box widened by a share of its size, two pixels at least, within the image; null where nothing is left."""
+    ex = F.greatest(F.lit(2), F.bround((box["x1"] - box["x0"]) * expand).cast("long"))
+    ey = F.greatest(F.lit(2), F.bround((box["y1"] - box["y0"]) * expand).cast("long"))
+    x0, y0 = F.greatest(F.lit(0), box["x0"] - ex), F.greatest(F.lit(0), box["y0"] - ey)
+    x1, y1 = F.least(image_w.cast("long"), box["x1"] + ex), F.least(image_h.cast("long"), box["y1"] + ey)
+    return F.when((x1 > x0) & (y1 > y0), F.struct(x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1")))
+
+
+def crop_size(box: Column, scale: Column) -> Column:
+    """(w, h) of a crop brought down by ``scale``, a pixel at least."""
+    side = lambda a, b: F.when(scale < 1.0, F.greatest(F.lit(1), F.floor((b - a) * scale).cast("long"))).otherwise(b - a)
+    return F.struct(side(box["x0"], box["x1"]).alias("w"), side(box["y0"], box["y1"]).alias("h"))

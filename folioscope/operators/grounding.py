@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -88,3 +88,29 @@ def citation_validity(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def citation_scores(validity: DataFrame) -> DataFrame:
     return validity.groupBy("sample").agg(F.count("*").alias("n_citations"), F.avg("validity").alias("citation_score"), F.avg(F.col("exact").cast("double")).alias("exact_rate"))
+
+
+def canonical(column: str) -> Column:
+    """A prediction's JSON with the known fields alone, in their order; null where there is no object."""
+    parsed = F.from_json(repaired_json(column), PREDICTION)
+    return F.when(parsed.isNotNull(), F.to_json(parsed))
+
+
+def replace_result(column: str, result: Column) -> Column:
+    """The prediction with another result, its claims and evidence kept."""
+    parsed = F.from_json(repaired_json(column), PREDICTION)
+    return F.when(parsed.isNotNull(), F.to_json(F.struct(result.cast("string").alias("result"), parsed["claims"].alias("claims"), parsed["evidence"].alias("evidence"))))
+
+
+def with_gold_fallback(validity: DataFrame, units: DataFrame) -> DataFrame:
+    """Citations judged by the gold unit of their page or block where the store holds none of their page's blocks.
+
+    validity: rows of :func:`citation_validity`; units: (sample, page_id, block_id, quote).
+    """
+    gold = units.select("sample", "page_id", F.col("block_id").alias("g_block"), F.col("quote").alias("g_quote"))
+    held = validity.join(gold, ["sample", "page_id"], "left")
+    hit = contains_normal(F.col("g_quote"), normalize_quote(F.col("quote")))
+    keys = ["sample", "document_id", "n", "page_id", "block_id", "quote", "exact", "on_page", "validity"]
+    flags = held.groupBy(*keys).agg(F.coalesce(F.bool_or(hit & (F.col("g_block") == F.col("block_id"))), F.lit(False)).alias("gold_exact"), F.coalesce(F.bool_or(hit), F.lit(False)).alias("gold_page"))
+    better = F.when(F.col("gold_exact"), 1.0).when(F.col("gold_page"), 0.5).otherwise(0.0)
+    return flags.withColumn("validity", F.when(F.col("on_page"), F.col("validity")).otherwise(better)).withColumn("exact", F.col("exact") | (~F.col("on_page") & F.col("gold_exact"))).drop("gold_exact", "gold_page")

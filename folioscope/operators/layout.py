@@ -50,3 +50,18 @@ def line_blocks(lines: DataFrame, gap_factor: float = 1.2, min_overlap: float =
 
     columns = ["document_id", "page_id", "page_width", "x0", "y0", "x1", "y1", "text"]
     return lines.select(*columns).where(F.trim("text") != "").groupBy("document_id", "page_id").applyInPandas(one, BLOCKS)
+
+
+def recognised_blocks(lines: DataFrame, least_score: float = 0.5) -> DataFrame:
+    """Blocks of a recogniser's lines (polygon, text, score): scored, boxed, grouped, in reading order, spacing repaired, named.
+
+    lines: (document_id, page_id, page_width, polygon, text, score). A page whose
+    recognition failed has no line and no block.
+    """
+    from folioscope.functions.geometry import polygon_box
+    from folioscope.functions.text import repair_spacing
+
+    kept = lines.where((F.col("score") >= least_score) & (F.size("polygon") > 0)).withColumn("b", polygon_box(F.col("polygon")))
+    boxed = kept.select("document_id", "page_id", "page_width", "b.x0", "b.y0", "b.x1", "b.y1", "text")
+    name = F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("_b"), (F.col("block") + 1).cast("string"))
+    return line_blocks(boxed).withColumn("text", repair_spacing(F.col("text"))).withColumn("block_id", name)

@@ -128,3 +128,15 @@ def common_samples(arms: dict[str, DataFrame], key: str, value: str) -> DataFram
         stacked = part if stacked is None else stacked.unionByName(part)
     wide = stacked.groupBy(key).agg(F.count_distinct("arm").alias("n_arms"), *[F.max(F.when(F.col("arm") == a, F.col("v"))).alias(a) for a in arms])
     return wide.where(F.col("n_arms") == len(arms)).drop("n_arms")
+
+
+def win_share(rows: DataFrame, a: Column, b: Column) -> DataFrame:
+    """Over samples with both: share where b is larger, and the mean of b - a."""
+    both = rows.where(a.isNotNull() & b.isNotNull())
+    return both.agg(F.count("*").alias("n"), F.avg((b > a).cast("double")).alias("win_share"), F.avg((b - a).cast("double")).alias("mean_delta"))
+
+
+def paired_with_interval(rows: DataFrame, a: Column, b: Column, order: list[str], replicates: int = 10_000) -> DataFrame:
+    """:func:`paired_difference` over all rows, with the bootstrap interval of the mean."""
+    d = rows.select(*order, (b - a).cast("double").alias("d"))
+    return paired_difference(rows, a, b).crossJoin(bootstrap_mean(d, "d", order, replicates))  # one row each

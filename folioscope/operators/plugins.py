@@ -57,3 +57,31 @@ def rerank(candidates: DataFrame, group: str, cheap: str, keep: int, name: str,
 def error_reasons(rows: DataFrame, most: int = 5) -> DataFrame:
     """The commonest reasons, a report."""
     return rows.where(F.col("error").isNotNull()).groupBy(F.left("error", F.lit(60)).alias("reason")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(most)
+
+
+def rowwise(call_one: Callable[[dict], dict], threads: int = 1, retries: int = 0) -> Callable[[], Batch]:
+    """A factory for a plug-in that answers row by row, on a pool of threads, each row tried ``retries`` times more."""
+
+    def attempt(row: dict) -> dict:
+        for k in range(retries + 1):
+            try:
+                return call_one(row)
+            except Exception:
+                if k == retries:
+                    raise
+        raise AssertionError
+
+    def make() -> Batch:
+        from concurrent.futures import ThreadPoolExecutor
+
+        pool = ThreadPoolExecutor(threads)
+        return lambda batch: pd.DataFrame(list(pool.map(attempt, batch.to_dict("records"))))
+
+    return make
+
+
+def two_call(rows: DataFrame, extract: tuple[str, Callable[[], Batch], str], combine: tuple[str, Callable[[], Batch], str], columns: list[str]) -> DataFrame:
+    """A reader that first extracts, then combines: the second call sees the first one's outputs. (name, factory, output) each."""
+    first = apply(rows, extract[0], extract[1], columns, extract[2]).withColumnRenamed("error", "extract_error")
+    seen = [*columns, *[f.name for f in StructType.fromDDL(extract[2]).fields]]
+    return apply(first, combine[0], combine[1], seen, combine[2])

@@ -22,8 +22,8 @@ def cell_statistics(tokens: DataFrame, group: list[str], order: str) -> DataFram
     """
     s = F.greatest(F.col("score"), F.lit(0.0))
     own = Window.partitionBy(*group, "cell")
-    ranked = tokens.withColumn("s", s).withColumn("k", F.row_number().over(own.orderBy(F.col("s").desc(), order))).withColumn("m", F.count("*").over(own))
-    per = ranked.groupBy(*group, "cell").agg(F.avg("s").alias("mean"), F.sum("s").alias("mass"), F.max("s").alias("max"), top_mean(F.col("s"), F.col("k"), F.col("m")).alias("top_mean"), F.count("*").alias("count"))
+    ranked = tokens.withColumn("_s", s).withColumn("_k", F.row_number().over(own.orderBy(F.col("_s").desc(), order))).withColumn("_m", F.count("*").over(own))
+    per = ranked.groupBy(*group, "cell").agg(F.avg("_s").alias("mean"), F.sum("_s").alias("mass"), F.max("_s").alias("max"), top_mean(F.col("_s"), F.col("_k"), F.col("_m")).alias("top_mean"), F.count("*").alias("count"))
     total = tokens.groupBy(*group).agg(F.count("*").alias("total"))
     every = total.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1))))
     out = every.join(per, [*group, "cell"], "left")
@@ -33,8 +33,8 @@ def cell_statistics(tokens: DataFrame, group: list[str], order: str) -> DataFram
 def page_logits(tokens: DataFrame, group: list[str], order: str) -> DataFrame:
     """Half the top-quartile mean of a page's token scores and half its best cell's top-quartile mean."""
     own = Window.partitionBy(*group)
-    ranked = tokens.withColumn("k", F.row_number().over(own.orderBy(F.col("score").desc(), order))).withColumn("m", F.count("*").over(own))
-    page = ranked.groupBy(*group).agg(top_mean(F.col("score"), F.col("k"), F.col("m")).alias("top"))
+    ranked = tokens.withColumn("_k", F.row_number().over(own.orderBy(F.col("score").desc(), order))).withColumn("_m", F.count("*").over(own))
+    page = ranked.groupBy(*group).agg(top_mean(F.col("score"), F.col("_k"), F.col("_m")).alias("top"))
     best = cell_statistics(tokens, group, order).groupBy(*group).agg(F.max("top_mean").alias("cell_logit"))
     return page.join(best, group).select(*group, (0.5 * F.col("top") + 0.5 * F.col("cell_logit")).alias("logit"), "cell_logit")
 
@@ -58,12 +58,12 @@ def layer_page_stats(tokens: DataFrame, sample: str) -> DataFrame:
     share of gates below 0.5.
     """
     key = [sample, "layer", "page"]
-    token = tokens.groupBy(*key, "token").agg(F.max("score").alias("s"), F.bool_or("selected").alias("on"), F.avg("gate").alias("gate"))
+    token = tokens.groupBy(*key, "token").agg(F.max("score").alias("_s"), F.bool_or("selected").alias("on"), F.avg("gate").alias("gate"))
     own = Window.partitionBy(*key)
-    ranked = token.withColumn("k", F.row_number().over(own.orderBy(F.col("s").desc(), "token"))).withColumn("m", F.count("*").over(own))
+    ranked = token.withColumn("_k", F.row_number().over(own.orderBy(F.col("_s").desc(), "token"))).withColumn("_m", F.count("*").over(own))
     return ranked.groupBy(*key).agg(
-        F.count("*").alias("tokens"), F.count_if("on").alias("selected"), (F.count_if("on") / F.count("*").cast("double")).alias("selected_ratio"), F.max("s").alias("peak"),
-        top_mean(F.col("s"), F.col("k"), F.col("m")).alias("focus"), F.avg("gate").alias("gate_mean"), F.avg((F.col("gate") < 0.5).cast("double")).alias("gate_low"),
+        F.count("*").alias("tokens"), F.count_if("on").alias("selected"), (F.count_if("on") / F.count("*").cast("double")).alias("selected_ratio"), F.max("_s").alias("peak"),
+        top_mean(F.col("_s"), F.col("_k"), F.col("_m")).alias("focus"), F.avg("gate").alias("gate_mean"), F.avg((F.col("gate") < 0.5).cast("double")).alias("gate_low"),
     )
 
 

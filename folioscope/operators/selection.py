@@ -68,3 +68,41 @@ def keep_ratio(rows: DataFrame, group: list[str], score: str, tie: list[str], ra
     keep = F.greatest(F.lit(least), (F.bround(n * ratio) if half_even else F.floor(n * ratio)).cast("long"))
     rank = F.row_number().over(w.orderBy(F.col(score).desc(), *tie))
     return rows.withColumn("kept_rank", rank.cast("long")).withColumn("keep_n", keep).where("kept_rank <= keep_n")
+
+
+def block_stage(rows: DataFrame, sample: str, selector: str, k: int, rescored: str | None = None, seed: Column | None = None) -> DataFrame:
+    """The blocks that a reader gets beside its pages: none, the lexical or a model's best ``k``, or random ones, ranked."""
+    if selector == "none":
+        return rows.limit(0).withColumn("rank", F.lit(0).cast("long"))
+    order = [F.col("page_rank"), F.col("order_index")]
+    if selector == "lexical":
+        return top_k(rows, [sample], [F.col("lexical_score").desc(), *order], k)
+    if selector in ("model", "rerank"):
+        if rescored is None:
+            raise ValueError(f"{selector} needs the column of its scores")
+        return top_k(rows, [sample], [F.col(rescored).desc_nulls_last(), *order], k)
+    if selector == "random":
+        scored = rows.withColumn("_s", stable_score(seed if seed is not None else F.col(sample), F.col("page_id"), F.col("block_id")))
+        return top_k(scored, [sample], [F.col("_s").desc(), *order], k).drop("_s")
+    raise ValueError(f"unknown selector {selector!r}")
+
+
+def choose_store(recognised: DataFrame, layer: DataFrame, document: str = "document_id", required: bool = False) -> DataFrame:
+    """Blocks of the recognised store, and of the text layer for documents that it lacks, with ``source``.
+
+    With ``required`` a document of the text layer alone is an error.
+    """
+    from folioscope.operators.sets import expect
+
+    known = recognised.select(document).distinct()
+    rest = layer.join(known, document, "left_anti")
+    if required:
+        expect(rest, unrecognised=F.lit(True))
+    return recognised.withColumn("source", F.lit("ocr")).unionByName(rest.withColumn("source", F.lit("text_layer")))
+
+
+def spatial_keep(tokens: DataFrame, page: list[str], row: str, column: str, rows: int, columns: int) -> DataFrame:
+    """One token for each cell of a uniform rows x columns lattice over a page's grid: the first in it."""
+    extent = tokens.groupBy(*page).agg((F.max(row) + 1).alias("_h"), (F.max(column) + 1).alias("_w"))
+    cell = F.floor(F.col(row) * rows / F.col("_h")) * columns + F.floor(F.col(column) * columns / F.col("_w"))
+    return tokens.join(extent, page).withColumn("cell", cell.cast("long")).groupBy(*page, "cell").agg(F.min(F.struct(row, column)).alias("t")).select(*page, "cell", f"t.{row}", f"t.{column}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
@@ -30,3 +30,38 @@ def text_sketches(terms: DataFrame, key: str) -> DataFrame:
     held = summed.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     dense = F.transform(F.sequence(F.lit(0), F.lit(DIM - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0))
     return held.select(key, dense.alias("sketch"))
+
+
+def linear_score(features: list[Column], weights: list[float], bias: float = 0.0) -> Column:
+    """A linear scorer as one expression; weights are a model's, a few numbers."""
+    return sum((f * F.lit(float(w)) for f, w in zip(features, weights, strict=True)), F.lit(float(bias)))
+
+
+def yes_no_margin(yes: Column, no: Column) -> Column:
+    """Mean log-probability of the yes tokens less that of the no tokens; null where either has none."""
+    mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")) / F.size(a))
+    return mean(yes) - mean(no)
+
+
+def fit_selector(rows: DataFrame, features: list[str], label: str, rounds: int = 100):
+    """Class-weighted logistic regression: (weights, bias); a positive weighs as much as there are negatives to one."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    counts = rows.agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count("*").alias("n")).first()
+    if not counts["pos"] or counts["pos"] == counts["n"]:
+        raise ValueError("both labels are needed")
+    weight = F.when(F.col(label) == 1, float((counts["n"] - counts["pos"]) / counts["pos"])).otherwise(1.0)
+    ready = VectorAssembler(inputCols=features, outputCol="_x").transform(rows.withColumn("_w", weight).withColumn("_y", F.col(label).cast("double")))
+    model = LogisticRegression(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=rounds).fit(ready)
+    return model.coefficients.toArray().tolist(), float(model.intercept)
+
+
+def in_page_residual(rows: DataFrame, page: list[str], score: str, weights: tuple[float, float, float]) -> DataFrame:
+    """A block's score with a residual from its page's: mean, maximum and softmax-weighted mean, each with a weight."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*page)
+    peaked = rows.withColumn("_peak", F.max(score).over(w)).withColumn("_e", F.exp(F.col(score) - F.col("_peak")))
+    soft = F.sum(F.col("_e") * F.col(score)).over(w) / F.sum("_e").over(w)
+    return peaked.withColumn("context_score", F.col(score) + weights[0] * F.avg(score).over(w) + weights[1] * F.col("_peak") + weights[2] * soft).drop("_peak", "_e")

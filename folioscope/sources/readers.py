@@ -236,3 +236,25 @@ def numbers(cell: Column) -> Column:
     """All numbers in a cell, the typographic minus included."""
     plain = F.replace(cell, F.lit("−"), F.lit("-"))
     return F.transform(F.regexp_extract_all(plain, F.lit(r"[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"), F.lit(0)), lambda x: x.cast("double"))
+
+
+TRAINING = """id string, question string, answer string, images array<string>, input_page_ids array<string>, document_id string,
+  evidence array<struct<page_id: int, block_id: string, text_excerpt: string>>, benchmark string"""
+
+
+def training_examples(spark: SparkSession, path: str) -> DataFrame:
+    """Examples with an answer and an image; page ids default to the images' places."""
+    rows = json_lines(spark, path, TRAINING)
+    given = page_numbers(F.col("input_page_ids"))
+    places = F.sequence(F.lit(1), F.size("images"))
+    usable = rows.where((F.coalesce(strip(F.col("answer")), F.lit("")) != "") & (F.size("images") > 0))
+    return usable.withColumn("input_page_ids", F.when(F.size(given) == F.size("images"), given).otherwise(places))
+
+
+def latest_predictions(spark: SparkSession, path: str, schema: str, exists: bool) -> DataFrame:
+    """Judged rows by id, of a repeated id the last; a missing file has no rows."""
+    if not exists:
+        return spark.createDataFrame([], schema)
+    rows = json_lines(spark, path, schema).withColumn("_at", F.monotonically_increasing_id())
+    last = rows.groupBy("id").agg(F.max_by(F.struct(*[c for c in rows.columns if c not in ("id", "_at")]), "_at").alias("r"))
+    return last.select("id", "r.*")

@@ -43,3 +43,15 @@ def signed(value: float, digits: int = 3) -> str:
 
 def p_value(p: float) -> str:
     return "<1e-4" if p < 1e-4 else f"{p:.3g}"
+
+
+def store_by_document(pages: DataFrame, path: str, donors: DataFrame | None = None) -> None:
+    """A folder of JSON per document, and beside it the map of a deranged store (document_id, donor)."""
+    pages.write.partitionBy("document_id").json(f"{path}/documents")
+    if donors is not None:
+        donors.coalesce(1).write.json(f"{path}/_derangement")
+
+
+def report(title: str, sections: list[tuple[str, DataFrame, list[str]]], digits: int = 3) -> str:
+    """A markdown report: a table for each (heading, small aggregate, columns)."""
+    return "\n\n".join([f"# {title}", *[f"## {name}\n\n{markdown(rows, columns, digits)}" for name, rows, columns in sections]]) + "\n"

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,3 +31,28 @@ def windowed_rates(rows: DataFrame, time: str, verdict: str, window: str = "10 m
 def append(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Write a stream as Parquet until what is there is done."""
     return rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def repair(rows: DataFrame, regrade: Callable[[DataFrame], DataFrame], key: str, value: str, bad: Column, passes: int = 2) -> DataFrame:
+    """Bad rows graded again and replaced where the new grade is good, ``passes`` times at most. ``bad`` is over ``value``."""
+    from folioscope.operators.sets import patch
+
+    for _ in range(passes):
+        failing = rows.where(bad | F.col(value).isNull())
+        if failing.isEmpty():
+            break
+        fixes = regrade(failing)
+        good = fixes.where(~F.coalesce(bad, F.lit(True)) & F.col(value).isNotNull())
+        rows = patch(rows, good, key, value, bad, F.col("fix").isNotNull())
+    return rows
+
+
+def append_repaired(rows: DataFrame, path: str, checkpoint: str, regrade: Callable[[DataFrame], DataFrame], key: str, value: str, bad: Column, passes: int = 2) -> StreamingQuery:
+    """Write a stream, every micro-batch repaired before it is written; a batch that is run again replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        held = batch.persist()
+        repair(held, regrade, key, value, bad, passes).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        held.unpersist()
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -16,10 +16,16 @@ def write(path, lines):
 
 
 def test_json_lines(spark, tmp_path):
-    path = write(tmp_path / "a.jsonl", [{"id": "1"}, "", "{broken", {"id": "ü"}])
-    assert [r["id"] for r in readers.json_lines(spark, path, "id string").collect()] == ["1", "ü"]
-    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):
-        readers.json_lines(spark, path, "id string", strict=True).collect()
+    path = write(tmp_path / "a.jsonl", [{"id": "1"}, "", {"id": "ü"}])
+    for strict in (False, True):
+        assert [r["id"] for r in readers.json_lines(spark, path, "id string", strict=strict).collect()] == ["1", "ü"]
+    broken = write(tmp_path / "c.jsonl", [{"id": "1"}, "", "{broken", {"id": "ü"}])
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|malformed"):  # a bad line is never lost
+        readers.json_lines(spark, broken, "id string").collect()
+    with pytest.raises(readers.BadRow, match=r"c\.jsonl:3"):
+        readers.json_lines(spark, broken, "id string", strict=True)
+    with pytest.raises(readers.BadRow, match=r"d\.jsonl:1"):
+        readers.json_lines(spark, write(tmp_path / "d.jsonl", ["[1]"]), "id string", strict=True)
     with gzip.open(tmp_path / "b.jsonl.gz", "wt") as f:
         f.write('{"id": "z"}\n')
     assert readers.json_lines(spark, str(tmp_path / "b.jsonl.gz"), "id string").first()["id"] == "z"
@@ -38,7 +44,7 @@ def test_document_store(spark, tmp_path):
 
 
 def test_rankings(spark, tmp_path):
-    a = write(tmp_path / "a.jsonl", [{"sample_id": "s", "ranked_page_ids": ["3", "x", "3", "7.0"]}, {"id": "t", "scores": [{"page_id": "2", "score": 1.0}, {"page_id": "1", "score": 1.0}, {"page_id": "9", "score": 5}]}])
+    a = write(tmp_path / "a.jsonl", [{"sample_id": "s", "ranked_page_ids": ["3", "x", "3", "7.0", " 7 ", "1e3"]}, {"id": "t", "scores": [{"page_id": "2", "score": 1.0}, {"page_id": "1", "score": 1.0}, {"page_id": "9", "score": 5}]}])
     b = write(tmp_path / "b.jsonl", [{"sample_id": "s", "page_ids": ["5", "6"]}])
     got = {r["sample_id"]: r["ranked"] for r in readers.rankings(spark, [a, b], 2).collect()}
     assert got == {"s": [5, 6], "t": [9, 1]}
