@@ -401,11 +401,11 @@ def link_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     """:func:`link_components` of numbered rows (rid, doc_id, text)."""
     num, den = threshold
     text = rows.select("rid", "text")
-    described = written(rows.select("rid", "doc_id", "text").mapInArrow(lean(_describe(n)), "rid long, doc_id long, n long, f1 long, f2 long, cells binary"), "sets")
+    described = written(rows.select("rid", "doc_id", "text").mapInArrow(lean(_describe(n)), "rid long, doc_id long, n long, f1 long, f2 long, cells binary"), "sets", compression="zstd")
     full = described.where(F.col("n") > 0)
     classes = full.groupBy("n", "f1", "f2").agg(F.min("rid").alias("rep"))
     # rep is the least row with the same set; its cells stand for the class.
-    known = written(full.join(classes, ["n", "f1", "f2"]).select("rid", "rep", "n", "cells"), "classes")
+    known = written(full.join(classes, ["n", "f1", "f2"]).select("rid", "rep", "n", "cells"), "classes", compression="zstd")
     sets = known
 
     groups, seed, parts = None, 0, []
@@ -437,7 +437,7 @@ def link_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     def verified(pairs: DataFrame, least: int, label: str) -> DataFrame:
         with_b = pairs.join(text.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
         with_both = with_b.join(text.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-        return written(with_both.mapInArrow(lean(_verify(n, least, den)), "a long, b long, n_a long, n_b long, common long, difference binary"), label)
+        return written(with_both.mapInArrow(lean(_verify(n, least, den)), "a long, b long, n_a long, n_b long, common long, difference binary"), label, compression="zstd")
 
     def similar(least: int) -> Column:
         return F.expr(f"{den} * common >= {least} * (n_a + n_b - common)")
@@ -458,7 +458,7 @@ def link_rows(rows: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     comp = components(links, "joined")
 
     placed = sets.where("rid = rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("rep", "n", "cells", F.coalesce("component", "rep").alias("comp"))
-    placed = written(placed, "placed-sets")
+    placed = written(placed, "placed-sets", compression="zstd")
     release(rows.sparkSession)
 
     # Members of one lead in several components, by their differences from it.
