@@ -9,9 +9,9 @@ and 1, shifted so that 0.5 is the threshold of the best F1.
 A dictionary has two parts, both made by zstandard's trainer. Its base is trained
 on ordinary windows, so that plain prose costs the same under both. What
 follows is trained on the kind's own text: on the stretches whose byte strings
-are at least ``ratio`` times as frequent there as in the other kind's text, as
-whole texts of either kind are mostly prose that tells nothing (see the README
-for the figures). ``PAIRS`` such pairs, of several ratios and sizes, are compared.
+are held by at least ``ratio`` times the share of the other kind's rows, and by
+more of them than chance explains, as whole texts of either kind are mostly prose
+that tells nothing. ``PAIRS`` such pairs, of several ratios and sizes, are compared.
 
 Training reads at most ``SAMPLE`` labelled rows and ``SAMPLE_BYTES`` of text of
 each kind, those of least hash. The calibration is fitted across two halves, each
@@ -21,7 +21,8 @@ text is scored whole.
 Defined cases: a null or empty text has no window and gets the calibration's
 score of no evidence; rows with a null label or id are not learnt from; without
 rows of both kinds in both halves the score is the share of toxic rows (0 without
-rows); too little text to train on is a dictionary itself; a document with
+rows); too little text to train on is a dictionary itself; a kind without telling
+strings trains on its whole texts; a document with
 unlike labels is learnt from under each; ids may repeat; other columns are not
 read. Scoring is one pass without a shuffle.
 """
@@ -50,14 +51,16 @@ GRAM = 6
 
 @dataclass(frozen=True)
 class Pair:
-    """Bytes of the base and of a kind's own part, and the least ratio of frequencies."""
+    """Bytes of the base and of a kind's own part, and the least ratio of shares of rows."""
 
     base: int
     own: int
     ratio: float
 
 
-PAIRS = (Pair(4096, 1024, 16), Pair(8192, 1024, 24), Pair(4096, 700, 12))
+PAIRS = (Pair(4096, 1024, 6), Pair(8192, 1024, 4), Pair(2048, 700, 8))
+#: Least G statistic of a string that tells the kinds apart, at any number of rows.
+SIGNIFICANT = 20.0
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 #: Matches of six bytes and more, found greedily; nothing but the block in a frame that can be left out.
@@ -157,25 +160,39 @@ def _strings(data: bytes) -> np.ndarray:
     return out
 
 
-def _frequencies(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct strings and their share, counted a megabyte at a time."""
+def _rows_with(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings and the rows that hold them, counted some hundred rows at a time."""
     keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
     for i in range(0, len(rows), 400):
-        found, n = np.unique(np.concatenate([_strings(r) for r in rows[i: i + 400]]), return_counts=True)
+        found, n = np.unique(np.concatenate([np.unique(_strings(r)) for r in rows[i: i + 400]]), return_counts=True)
         keys, place = np.unique(np.concatenate([keys, found]), return_inverse=True)
         counts = np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
-    return keys, counts / max(1, counts.sum())
+    return keys, counts
 
 
-def _own_stretches(rows: list[bytes], own: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], floor: float, ratio: float) -> list[bytes]:
-    """The stretches of a kind's text, a byte wider on either side, whose strings are frequent there alone."""
-    keys, share = own
-    at = np.minimum(np.searchsorted(other[0], keys), max(0, len(other[0]) - 1))
-    elsewhere = np.where(other[0][at] == keys, other[1][at], 0.0) if len(other[0]) else np.zeros(len(keys))
-    kept = keys[share > ratio * (elsewhere + floor)]
-    out: list[bytes] = []
+def _likelihood(count: np.ndarray, rows: int, share: np.ndarray) -> np.ndarray:
+    share = np.clip(share, 1e-12, 1 - 1e-12)
+    return count * np.log(share) + (rows - count) * np.log(1 - share)
+
+
+def _telling(own: tuple[np.ndarray, np.ndarray], rows: int, other: tuple[np.ndarray, np.ndarray], rows_other: int, ratio: float) -> np.ndarray:
+    """Strings held by ``ratio`` times the share of the other kind's rows, beyond chance (G test)."""
+    keys, here = own
+    there = np.zeros(len(keys), np.int64)
+    if len(other[0]):
+        at = np.minimum(np.searchsorted(other[0], keys), len(other[0]) - 1)
+        there = np.where(other[0][at] == keys, other[1][at], 0)
+    both = (here + there) / max(1, rows + rows_other)
+    apart = _likelihood(here, rows, here / max(1, rows)) + _likelihood(there, rows_other, there / max(1, rows_other))
+    gain = 2 * (apart - _likelihood(here, rows, both) - _likelihood(there, rows_other, both))
+    return keys[(gain > SIGNIFICANT) & (here / max(1, rows) > ratio * (there + 0.5) / max(1, rows_other))]
+
+
+def _stretches(rows: list[bytes], kept: np.ndarray) -> list[bytes]:
+    """The stretches that these strings cover, a byte wider on either side; without strings, the rows."""
     if not len(kept):
-        return out
+        return rows
+    out: list[bytes] = []
     for data in rows:
         found = _strings(data)
         hit = kept[np.minimum(np.searchsorted(kept, found), len(kept) - 1)] == found
@@ -188,16 +205,19 @@ def _own_stretches(rows: list[bytes], own: tuple[np.ndarray, np.ndarray], other:
 
 
 def dictionaries(rows: list[tuple[str | None, int]], pairs: tuple[Pair, ...] = PAIRS) -> list[tuple[bytes, bytes]]:
-    """(ordinary, toxic) dictionaries of every pair from (text, label) rows."""
+    """(ordinary, toxic) dictionaries of every pair from (text, label) rows, both of one length."""
     plain = [[f" {' '.join(_WORDS((text or '').lower()))} ".encode() for text, y in rows if y == kind] for kind in (0, 1)]
-    shares = [_frequencies(p) for p in plain]
-    floors = [1 / max(1, sum(map(len, p))) for p in plain]
+    held = [_rows_with(p) for p in plain]
     prose = [w for text, y in rows if not y for w in windows(text, BASE_WINDOW, BASE_WINDOW)]
     bases = {size: _trained(prose, size, 48, 8) for size in {p.base for p in pairs}}
     out = []
     for p in pairs:
-        own = [_trained(_own_stretches(plain[k], shares[k], shares[1 - k], floors[1 - k], p.ratio), p.own, 16, 6) for k in (0, 1)]
-        out.append((bases[p.base] + own[0], bases[p.base] + own[1]))
+        kept = [_telling(held[k], len(plain[k]), held[1 - k], len(plain[1 - k]), p.ratio) for k in (0, 1)]
+        own = [_trained(_stretches(plain[k], kept[k]), p.own, 16, 6) for k in (0, 1)]
+        # Equal lengths put the base at equal distances, so that plain prose costs the same under both.
+        length = max(map(len, own))
+        plainly, toxic = (bases[p.base] + part.rjust(length, b"\0") for part in own)
+        out.append((plainly, toxic))
     return out
 
 
