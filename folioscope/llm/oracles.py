@@ -83,7 +83,38 @@ r(a, b) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.a, l.b FROM r JOIN l ON
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) m USING (doc_id)
 """
 
-SQL = {"op6_jaccard_join": OP6, "op9_decontamination": OP9, "op2_quality_rules": OP2, "op10_chat_format": OP10}
+_OP11_ROUND = """
+a{k} AS (
+  SELECT p.vec_id, any_value(p.label) AS label, p.part, any_value(p.v) AS v, arg_min(c.entry, d * 64 + c.entry) AS entry, min(d) AS d
+  FROM (SELECT p.*, c.entry, list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN c{k} c USING (part)) p
+  JOIN c{k} c USING (part, entry) GROUP BY p.vec_id, p.part
+)"""
+
+_OP11_UPDATE = """,
+s{k} AS (SELECT part, entry, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM (SELECT part, entry, v, unnest(range(1, len(v) + 1)) AS i FROM a{k}) GROUP BY ALL),
+c{next} AS (
+  SELECT part, entry, coalesce(m.v, c.v) AS v FROM c{k} c
+  LEFT JOIN (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{k} GROUP BY ALL) m USING (part, entry)
+),"""
+
+OP11 = (
+    """
+WITH kept AS (
+  SELECT vec_id, label, embedding, len(embedding) // 16 AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+p AS (SELECT vec_id, label, part, list_transform(embedding[part * w + 1:part * w + w], lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM kept, range(16) r(part)),
+c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM p QUALIFY entry < 64),"""
+    + "".join(_OP11_ROUND.format(k=k) + _OP11_UPDATE.format(k=k, next=k + 1) for k in range(2))
+    + _OP11_ROUND.format(k=2)
+    + """,
+f AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id),
+h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM f, h
+"""
+)
+
+SQL = {"op11_vector_codes": OP11, "op6_jaccard_join": OP6, "op9_decontamination": OP9, "op2_quality_rules": OP2, "op10_chat_format": OP10}
 
 
 def oracle_sql() -> dict[str, str]:

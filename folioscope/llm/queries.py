@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat_format, jaccard_join, language_id, packing, phrase_index, quality_ledger, suffix_dedup, token_count, token_table, toxicity
+from folioscope.llm import chat_format, jaccard_join, language_id, packing, phrase_index, quality_ledger, suffix_dedup, token_count, token_table, toxicity, vector_codes
 from folioscope.llm.common import crc_mod, fresh, prepare, table
 
 
@@ -86,6 +86,13 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(spark.read.parquet(path))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return vector_codes.label_errors(coded).select(
+        "vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(books.digest() if books else "").alias("codebooks_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -97,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 
