@@ -114,7 +114,35 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 """
 )
 
-SQL = {"op11_vector_codes": OP11, "op6_jaccard_join": OP6, "op9_decontamination": OP9, "op2_quality_rules": OP2, "op10_chat_format": OP10}
+#: crc32 of the id's decimal digits: each byte is folded in, then shifted out by eight steps (-1).
+_CRC = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ord(x), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"""
+
+OP12 = f"""
+WITH t AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+o AS (SELECT c, list({{'role': role, 'text': text}} ORDER BY k) AS xs FROM t GROUP BY c),
+g AS (SELECT c, xs, ({_CRC} % 6)::BIGINT AS h FROM o),
+b AS (SELECT g.c, list_concat(coalesce(p.xs, g.xs[1:0])[1:g.h], g.xs[g.h + 1:]) AS xs FROM g LEFT JOIN o p ON p.c = g.c - g.c % 100),
+m AS (SELECT c, xs, d, xs[1:d] AS path FROM (SELECT c, xs, unnest(range(0, len(xs) + 1)) AS d FROM b)),
+n AS (
+  SELECT path, d AS depth, min(c) AS conv_id, count(*) AS n_convs, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len(xs) = d) AS ends,
+    coalesce(length(any_value(path)[-1].text), 0) AS chars
+  FROM m GROUP BY path, d
+),
+kids AS (SELECT path[1:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (path)),
+sub AS (
+  SELECT path[1:e] AS path, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS e FROM f) GROUP BY 1
+)
+SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, sha256(coalesce(f.ends, '')) AS ends_sha256
+FROM f JOIN sub USING (path) LEFT JOIN n p ON f.depth > 0 AND p.path = f.path[1:f.depth - 1]
+"""
+
+SQL = {"op12_prefix_trie": OP12, "op11_vector_codes": OP11, "op6_jaccard_join": OP6, "op9_decontamination": OP9, "op2_quality_rules": OP2, "op10_chat_format": OP10}
 
 
 def oracle_sql() -> dict[str, str]:

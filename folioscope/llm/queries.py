@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat_format, jaccard_join, language_id, packing, phrase_index, quality_ledger, suffix_dedup, token_count, token_table, toxicity, vector_codes
+from folioscope.llm import chat_format, jaccard_join, language_id, packing, phrase_index, prefix_trie, quality_ledger, suffix_dedup, token_count, token_table, toxicity, vector_codes
 from folioscope.llm.common import crc_mod, fresh, prepare, table
 
 
@@ -93,6 +93,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -105,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_chat_format": op10_chat_format,
     "op11_vector_codes": op11_vector_codes,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 
