@@ -142,7 +142,18 @@ SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children,
 FROM f JOIN sub USING (path) LEFT JOIN n p ON f.depth > 0 AND p.path = f.path[1:f.depth - 1]
 """
 
-SQL = {"op12_prefix_trie": OP12, "op11_vector_codes": OP11, "op6_jaccard_join": OP6, "op9_decontamination": OP9, "op2_quality_rules": OP2, "op10_chat_format": OP10}
+#: These pages mark their articles; what SQL can't do, telling containers apart, is tested against plain versions.
+OP13 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*?)(</article>|$)', 1, 's') AS body FROM pages),
+b AS (SELECT page_id, url, regexp_split_to_array(regexp_replace(regexp_replace(body, '</?b>', '', 'g'), '<br[^>]*>', ' ', 'g'), '<[^>]*>') AS xs FROM a),
+c AS (
+  SELECT page_id, url, list_transform(xs, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS xs FROM b
+)
+SELECT page_id, url, array_to_string(list_filter(xs, lambda x: x <> ''), chr(10) || chr(10)) AS text,
+  length(array_to_string(list_filter(xs, lambda x: x <> ''), chr(10) || chr(10)))::BIGINT AS n_chars FROM c
+"""
+
+SQL = {"op13_main_text": OP13, "op12_prefix_trie": OP12, "op11_vector_codes": OP11, "op6_jaccard_join": OP6, "op9_decontamination": OP9, "op2_quality_rules": OP2, "op10_chat_format": OP10}
 
 
 def oracle_sql() -> dict[str, str]:

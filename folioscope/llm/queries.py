@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import chat_format, jaccard_join, language_id, packing, phrase_index, prefix_trie, quality_ledger, suffix_dedup, token_count, token_table, toxicity, vector_codes
+from folioscope.llm import chat_format, jaccard_join, language_id, main_text, packing, phrase_index, prefix_trie, quality_ledger, suffix_dedup, token_count, token_table, toxicity, vector_codes
 from folioscope.llm.common import crc_mod, fresh, prepare, table
 
 
@@ -97,6 +97,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat_format": op10_chat_format,
     "op11_vector_codes": op11_vector_codes,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_main_text": op13_main_text,
 }
 
 
