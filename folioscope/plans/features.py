@@ -9,7 +9,7 @@ from folioscope.operators import candidates as C
 from folioscope.plans import retrieval as R
 from folioscope.plans import surrogates as S
 from folioscope.plans.registry import register
-from folioscope.session import table
+from folioscope.session import table, written
 
 # Every page's stand-in scores are whole-number functions of document, page and cell.
 _STATS = """
@@ -21,9 +21,9 @@ stats AS (SELECT qid, doc_id, page_id, (doc_id + page_id) % 10 / 10.0::DOUBLE AS
 
 def _asked_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Blocks, the pages of each item's four best documents ranked in reading order, and the pages' scores."""
-    found, _ = R.candidates(spark, sf_dir)
-    blocks = S.blocks(spark, sf_dir).withColumnRenamed("doc_id", "document_id")
-    pages = found.groupBy("qid", F.col("doc_id").alias("document_id"), "doc_rank", "page_id").agg(F.count("*").alias("n"))
+    source, blocks = R.sources(spark, sf_dir)
+    blocks = written(blocks.withColumnRenamed("doc_id", "document_id"), "source-blocks")
+    pages = blocks.select("document_id", "page_id").distinct().join(source.withColumnRenamed("doc_id", "document_id"), "document_id")
     order = F.row_number().over(Window.partitionBy("qid").orderBy("doc_rank", "page_id")) - 1
     pages = pages.select("qid", "document_id", "page_id", order.cast("long").alias("page_rank"))
     d, p = F.col("document_id"), F.col("page_id")

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import geometry
 from folioscope.functions.text import tokens
-from folioscope.operators import metrics, retrieval
+from folioscope.operators import impact, metrics, retrieval
 from folioscope.plans import surrogates as S
 from folioscope.plans.registry import register
-from folioscope.session import table
+from folioscope.session import table, written
 
 _SCORES = f"""
 q AS (SELECT item_id AS qid, token, count(*) AS q_tf FROM (SELECT item_id, unnest({S.sql_tokens('text')}) AS token FROM benchmark) GROUP BY ALL),
@@ -22,21 +22,15 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DES
 """
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    asked = S.questions(spark, sf_dir)
-    terms = retrieval.term_counts(docs, ["doc_id"], F.col("text"), vocabulary=asked)
-    return retrieval.lexical_scores(asked, terms, docs.agg(F.count("*").alias("n_units")), ["doc_id"])
-
-
-def _order(unit: str = "doc_id"):
-    return [F.round("score", 6).desc(), F.col(unit)]
+def searched(spark: SparkSession, sf_dir: str, k: int, least_share: float | None = None) -> DataFrame:
+    """(qid, doc_id, score, matched, rank): each item's k best documents by the block-maxima index."""
+    index = written(impact.build(table(spark, sf_dir, "documents"), "doc_id", F.col("text")), "impact-index")
+    return impact.search(index, S.questions(spark, sf_dir), k, least_share).withColumnRenamed("unit", "doc_id")
 
 
 @register("retrieval_topk", f"WITH {_SCORES} SELECT qid, doc_id, rank, round(score, 6) AS score, matched FROM r WHERE rank <= 16")
 def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    best = retrieval.top_k(_scores(spark, sf_dir), ["qid"], _order(), 16)
-    return best.select("qid", "doc_id", "rank", F.round("score", 6).alias("score"), "matched")
+    return searched(spark, sf_dir, 16).select("qid", "doc_id", "rank", "score", "matched")
 
 
 @register(
@@ -53,10 +47,10 @@ def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: rank documents for every item, and evaluate the rankings at 4, 8 and 16."""
-    scores = _scores(spark, sf_dir)
+    scores = written(searched(spark, sf_dir, 16, 0.9), "searched")
     n_tokens = S.questions(spark, sf_dir).groupBy("qid").agg(F.count("*").alias("nq"))
     gold = scores.join(n_tokens, "qid").where("10 * matched >= 9 * nq").groupBy("qid").agg(F.collect_list("doc_id").alias("gold"))
-    ranked = retrieval.top_k(scores, ["qid"], _order(), 16).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda s: s.doc_id).alias("ranked"))
+    ranked = scores.where("rank <= 16").groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda s: s.doc_id).alias("ranked"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("set"), F.pmod("item_id", F.lit(3)).cast("string")).alias("dataset"))
     manifest = items.join(gold, "qid", "left").select(F.col("qid").alias("sample_id"), "dataset", F.coalesce("gold", F.array().cast("array<bigint>")).alias("gold"))
     out = metrics.evaluate_rankings(manifest, ranked.withColumnRenamed("qid", "sample_id"), (4, 8, 16), "dataset")
@@ -73,10 +67,19 @@ cs AS (SELECT qid, doc_id, block_id, sum(q_tf * least(3, tf) * (ln((1::DOUBLE +
 """
 
 
+def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(qid, doc_id, doc_rank) of each item's four best documents, ranked from 0, and the blocks of these documents.
+
+    The ranking is written, so Spark knows its size and picks the join with the texts by it.
+    """
+    source = written(searched(spark, sf_dir, 4).select("qid", "doc_id", (F.col("rank") - 1).alias("doc_rank")), "sources")
+    return source, S.blocks(spark, sf_dir, source.select("doc_id").distinct())
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Blocks of each item's four best documents (ranked from 0), and their scores within that set."""
-    source = retrieval.top_k(_scores(spark, sf_dir), ["qid"], _order(), 4).select("qid", "doc_id", (F.col("rank") - 1).alias("doc_rank"))
-    found = S.blocks(spark, sf_dir).join(source, "doc_id")
+    source, blocks = sources(spark, sf_dir)
+    found = written(blocks.join(source, "doc_id"), "candidates")
     terms = retrieval.term_counts(found, ["qid", "doc_id", "block_id"], F.col("text"))
     totals = found.groupBy("qid").agg(F.count("*").alias("n_units"))
     return found, retrieval.lexical_scores(S.questions(spark, sf_dir), terms, totals, ["doc_id", "block_id"], scope=["qid"])

@@ -35,9 +35,12 @@ def questions(spark: SparkSession, sf_dir: str, profile: str = "block") -> DataF
     return term_counts(items, ["qid"], F.col("text"), profile).withColumnRenamed("tf", "q_tf")
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, page_id, block_id, order_index, text, x0, y0, x1, y1, page_w, page_h"""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "text"))
+def blocks(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """doc_id, page_id, block_id, order_index, text, x0, y0, x1, y1, page_w, page_h; with ``only`` (doc_id) of these documents."""
+    docs = table(spark, sf_dir, "documents")
+    if only is not None:
+        docs = docs.join(only, "doc_id", "left_semi")
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n", "text"))
     n, d = F.col("n").cast("long"), F.col("doc_id")
     page = F.floor(n / 4).cast("long") + 1
     x0, y0 = F.pmod(d * 7 + n * 13, F.lit(120)), F.pmod(n, F.lit(4)) * 70 + F.pmod(d, F.lit(20))
