@@ -62,8 +62,7 @@ def candidate_rows(queries: DataFrame, pages: DataFrame, blocks: DataFrame, page
     without a shared token score 0. Document frequencies and their number are
     those of the query's own candidates. page_stats: (qid, document_id, page_id,
     page_score, page_focus, selected_ratio, coarse_block_scores, top_block_ids);
-    a page without any counts as 0. Token counts are joined to the blocks from
-    one shuffle by candidate; nothing is scored twice.
+    a page without any counts as 0.
     """
     key = ["qid", "document_id", "page_id", "block_id"]
     asked = queries.groupBy("qid").agg(F.count("*").alias("n_query"))
@@ -71,7 +70,9 @@ def candidate_rows(queries: DataFrame, pages: DataFrame, blocks: DataFrame, page
     own = ["document_id", "page_id"]
     found = pages.join(blocks.where("block_id <> ''"), own).join(in_page, own).join(asked, "qid")
     units = found.groupBy("qid").agg(F.count("*").alias("n_units"))
-    terms = term_counts(found.select(*key, "text"), key, F.col("text"))
+    # A page may serve many queries: its blocks' tokens are counted once, and only those that some query has.
+    counted = term_counts(blocks.join(pages.select(*own).distinct(), own, "left_semi").where("block_id <> ''"), [*own, "block_id"], F.col("text"), vocabulary=queries)
+    terms = counted.join(pages.select("qid", *own), own)
     scored = lexical_scores(queries, terms, units, key[1:], scope=["qid"])
     rows = found.join(scored, key, "left").withColumn("lexical_score", F.coalesce("score", F.lit(0.0))).withColumn("matched", F.coalesce("matched", F.lit(0).cast("long"))).drop("score")
     if page_stats is not None:

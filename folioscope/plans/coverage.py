@@ -127,11 +127,10 @@ def evenly_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, qid AS item_id, count(*) AS n_blocks, round(max(r), 6) AS best_block_recall FROM b GROUP BY ALL""")
 def store_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best block recall of an item's tokens over the blocks of its best documents."""
-    found, _ = R.candidates(spark, sf_dir)
+    found, terms = R.candidates(spark, sf_dir)
     asked = S.questions(spark, sf_dir)
     key = ["qid", "doc_id", "block_id"]
-    have = retrieval.term_counts(found, key, F.col("text"))
-    hits = have.join(asked, ["qid", "token"]).groupBy(*key).agg(F.sum(F.least("q_tf", "tf")).alias("hit"))
+    hits = terms.join(asked, ["qid", "token"]).groupBy(*key).agg(F.sum(F.least("q_tf", "tf")).alias("hit"))
     need = asked.groupBy("qid").agg(F.sum("q_tf").alias("need"))
     rows = found.select(*key).join(need, "qid").join(hits, key, "left").withColumn("r", F.coalesce("hit", F.lit(0)) / F.col("need").cast("double"))
     return rows.groupBy("doc_id", F.col("qid").alias("item_id")).agg(F.count("*").alias("n_blocks"), F.round(F.max("r"), 6).alias("best_block_recall"))

@@ -57,8 +57,8 @@ def packed_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM k WHERE rn <= 8 AND trim(text) <> '' GROUP BY qid""")
 def lexical_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item's eight best blocks packed to text, by page position then score."""
-    found, scores = R.candidates(spark, sf_dir)
-    rows = scores.join(found, ["qid", "doc_id", "block_id"])
+    found, terms = R.candidates(spark, sf_dir)
+    rows = R.candidate_scores(spark, sf_dir, found, terms).join(found, ["qid", "doc_id", "block_id"])
     rows = rows.withColumn("page_rank", F.col("doc_rank") * 100000 + F.col("page_id")).withColumn("lexical_score", F.round("score", 6))
     return selection.pack(selection.lexical_selection(rows, "qid", 8), "qid", 300).select("qid", "num_facts", "memory")
 

@@ -77,12 +77,22 @@ def sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Blocks of each item's four best documents (ranked from 0), and their scores within that set."""
+    """Blocks of each item's four best documents (ranked from 0), and how often they hold the items' tokens.
+
+    A document may serve many items: its blocks' tokens are counted once and then
+    meet the items.
+    """
     source, blocks = sources(spark, sf_dir)
-    found = written(blocks.join(source, "doc_id"), "candidates")
-    terms = retrieval.term_counts(found, ["qid", "doc_id", "block_id"], F.col("text"))
+    blocks = written(blocks, "source-blocks")
+    counted = retrieval.term_counts(blocks, ["doc_id", "block_id"], F.col("text"), vocabulary=S.questions(spark, sf_dir))
+    terms = counted.join(source.select("qid", "doc_id"), "doc_id").join(S.questions(spark, sf_dir).select("qid", "token"), ["qid", "token"], "left_semi")
+    return blocks.join(source, "doc_id"), terms
+
+
+def candidate_scores(spark: SparkSession, sf_dir: str, found: DataFrame, terms: DataFrame) -> DataFrame:
+    """Scores of candidates within their item's set."""
     totals = found.groupBy("qid").agg(F.count("*").alias("n_units"))
-    return found, retrieval.lexical_scores(S.questions(spark, sf_dir), terms, totals, ["doc_id", "block_id"], scope=["qid"])
+    return retrieval.lexical_scores(S.questions(spark, sf_dir), terms, totals, ["doc_id", "block_id"], scope=["qid"])
 
 
 @register("block_candidates", f"""WITH {_CANDIDATES}, nq AS (SELECT qid, count(*) AS nq FROM q GROUP BY qid)
@@ -91,7 +101,8 @@ def candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
       round(CASE WHEN x1 > x0 AND y1 > y0 THEN least(1, greatest(0, (x1 - x0) / page_w)) * least(1, greatest(0, (y1 - y0) / page_h)) ELSE 1 END, 6) AS bbox_area
     FROM cs JOIN c USING (qid, doc_id, block_id) JOIN nq USING (qid)""")
 def block_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, scores = candidates(spark, sf_dir)
+    found, terms = candidates(spark, sf_dir)
+    scores = candidate_scores(spark, sf_dir, found, terms)
     n_tokens = S.questions(spark, sf_dir).groupBy("qid").agg(F.count("*").alias("nq"))
     box = geometry.box_features(*[F.col(c) for c in ("x0", "y0", "x1", "y1", "page_w", "page_h")])
     return scores.join(found, ["qid", "doc_id", "block_id"]).join(n_tokens, "qid").select(
