@@ -4,7 +4,8 @@ Each language has probabilities over the pieces of a fixed public vocabulary. A
 word's likelihood is the sum over all ways to segment it into pieces, found by a
 forward pass; a text's is the product over its words, as no piece spans words. The
 probabilities are fitted by expectation-maximisation: a backward pass gives each
-piece's expected uses under all segmentations.
+piece's expected uses under all segmentations. A round is one Spark job over the
+sample's words; the driver holds the probabilities, whose number is the vocabulary's.
 
 Training reads at most ``SAMPLE`` rows and ``SAMPLE_BYTES`` of text per language,
 those of least hash of doc_id, and all their words; prediction reads every text
@@ -14,11 +15,14 @@ as in the vocabulary. Letters without a piece have a small fixed probability.
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows
 with a null language or id are not learnt from; without a language to learn, every
 text is ``und``; equal likelihoods go to the first language by name; ids may repeat,
-also with unlike languages, as a row is learnt from under its own; other columns are not read. Prediction is one pass without a shuffle.
+also with unlike languages, as a row is learnt from under its own; an empty table gives no rows, and a
+model without languages; words of any length are learnt from; other columns are not
+read. Prediction is one pass without a shuffle.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -26,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import bounded_sample, lean, prepare, texts
@@ -39,6 +43,8 @@ UND = "und"
 #: Words whose likelihoods a worker keeps, and the longest that are scored together.
 KEPT = 400_000
 TOGETHER = 36
+#: Words of one piece of training work, and what a piece used once counts.
+CHUNK, UNIT = 4000, 1 << 40
 _MARK = "▁"
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -70,17 +76,6 @@ class Model:
     pieces: dict[str, int]
     probabilities: np.ndarray
 
-    def lattice(self, word: str) -> list[tuple[int, int, int]]:
-        """(start, end, piece) of every piece in a marked word."""
-        get, n = self.pieces.get, len(word)
-        out = []
-        for i in range(n):
-            for j in range(i + 1, min(n, i + LONGEST) + 1):
-                k = get(word[i:j])
-                if k is not None:
-                    out.append((i, j, k))
-        return out
-
     def forward(self, word: str) -> list[float]:
         """Log-likelihood of a word in every language, over all segmentations."""
         word = _MARK + word
@@ -178,43 +173,112 @@ class Likelihoods:
         return self.rows[np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))].sum(0)
 
 
-def _expected(lattices: list[list[tuple[int, int, int]]], lengths: list[int], counts: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Expected uses of every piece over all segmentations of the counted words."""
-    used = np.zeros(len(p))
-    for edges, n, c in zip(lattices, lengths, counts.tolist(), strict=True):
-        alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
-        alpha[0] = beta[n] = 1.0
-        for i, j, k in edges:
-            alpha[j] += alpha[i] * p[k]
-        if not alpha[n]:
+def _expected(words: list[str], counts: list[int], index: dict[str, int], p: np.ndarray) -> np.ndarray:
+    """Expected uses of every piece over all segmentations of the counted words.
+
+    Words of one length go together; longer ones one by one, in logarithms, so that
+    none underflows. A letter without a piece is passed as in prediction, and counts
+    for no piece.
+    """
+    table = np.append(p, [0.0, UNCOVERED])
+    none, single = len(p), len(p) + 1
+    used = np.zeros(len(table))
+    by_length: dict[int, list[int]] = defaultdict(list)
+    for k, w in enumerate(words):
+        by_length[len(w) + 1].append(k)
+    for n, members in by_length.items():
+        if n > TOGETHER:
+            for k in members:
+                _expected_long(_MARK + words[k], counts[k], index, p, used)
             continue
-        for i, j, k in reversed(edges):
-            beta[i] += beta[j] * p[k]
-        scale = c / alpha[n]
-        for i, j, k in edges:
-            used[k] += alpha[i] * p[k] * beta[j] * scale
-    return used
-
-
-def train(rows: list[tuple[str | None, str]], pieces: list[str]) -> Model:
-    """Fit on (text, language) rows."""
+        spans = [(i, j) for i in range(n) for j in range(i + 1, min(n, i + LONGEST) + 1)]
+        for at in range(0, len(members), 2048):
+            some = members[at: at + 2048]
+            marked = [_MARK + words[k] for k in some]
+            alpha, beta, found = np.zeros((n + 1, len(some))), np.zeros((n + 1, len(some))), {}
+            alpha[0] = beta[n] = 1.0
+            for i, j in spans:
+                default = single if j == i + 1 else none
+                found[i, j] = np.fromiter((index.get(w[i:j], default) for w in marked), np.int64, len(some))
+                alpha[j] += alpha[i] * table[found[i, j]]
+            for i, j in reversed(spans):
+                beta[i] += beta[j] * table[found[i, j]]
+            each = np.asarray([counts[k] for k in some], float) / alpha[n]
+            for (i, j), k in found.items():
+                used += np.bincount(k, alpha[i] * table[k] * beta[j] * each, len(table))
+    return used[:none]
+
+
+def _expected_long(word: str, count: int, index: dict[str, int], p: np.ndarray, used: np.ndarray) -> None:
+    n, logs, uncovered = len(word), np.log(p).tolist(), math.log(UNCOVERED)
+
+    def edge(i: int, j: int) -> tuple[int | None, float]:
+        k = index.get(word[i:j])
+        return k, logs[k] if k is not None else uncovered if j == i + 1 else -math.inf
+
+    def summed(terms: list[float]) -> float:
+        peak = max(terms)
+        return peak + math.log(sum(math.exp(t - peak) for t in terms))
+
+    alpha, beta = [0.0] * (n + 1), [0.0] * (n + 1)
+    for j in range(1, n + 1):
+        alpha[j] = summed([alpha[i] + edge(i, j)[1] for i in range(max(0, j - LONGEST), j)])
+    for i in range(n - 1, -1, -1):
+        beta[i] = summed([beta[j] + edge(i, j)[1] for j in range(i + 1, min(n, i + LONGEST) + 1)])
+    for i in range(n):
+        for j in range(i + 1, min(n, i + LONGEST) + 1):
+            k, log = edge(i, j)
+            if k is not None:
+                used[k] += count * math.exp(alpha[i] + log + beta[j] - alpha[n])
+
+
+def _rounds(spark: SparkSession | None, chunks: list[tuple[int, list[str], list[int]]], index: dict[str, int], n: int) -> np.ndarray:
+    """Piece probabilities (pieces, languages) after all rounds over chunks (language, words, counts).
+
+    With a session the chunks are tasks' work; what comes back is one number per
+    piece and language. Expected uses are added up as integers, in any order alike.
+    """
+    p = np.full((len(index), n), 1 / max(1, len(index)))
+    if spark is not None and chunks:
+        work = spark.createDataFrame(chunks, "lang int, words array<string>, counts array<long>").repartition(spark.sparkContext.defaultParallelism)
+    for _ in range(ROUNDS):
+        total = np.zeros(p.shape, np.int64)
+        if spark is None:
+            for lang, words, counts in chunks:
+                total[:, lang] += np.round(_expected(words, counts, index, p[:, lang]) * UNIT).astype(np.int64)
+        elif chunks:
+            shared = spark.sparkContext.broadcast((index, p))
+
+            def count(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                index, p = shared.value
+                for b in batches:
+                    for lang, words, counts in zip(*(c.to_pylist() for c in b.columns)):
+                        used = np.round(_expected(words, counts, index, p[:, lang]) * UNIT).astype(np.int64)
+                        at = np.flatnonzero(used)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), lang, np.int32)), pa.array(at), pa.array(used[at])], ["lang", "piece", "used"])
+
+            for r in work.mapInArrow(lean(count), "lang int, piece long, used long").groupBy("lang", "piece").agg(F.sum("used").alias("used")).collect():
+                total[r["piece"], r["lang"]] = r["used"]
+            shared.unpersist()
+        used = total / UNIT + 0.01
+        p = used / used.sum(0)
+    return p
+
+
+def train(rows: list[tuple[str | None, str]], pieces: list[str], spark: SparkSession | None = None) -> Model:
+    """Fit on (text, language) rows: as Spark tasks, or in this process where no session is given."""
     words: dict[str, Counter] = defaultdict(Counter)
     for text, lang in rows:
         words[lang].update(_WORDS((text or "").lower()))
     languages = sorted(lang for lang in words if words[lang])
     index = {p: k for k, p in enumerate(pieces)}
-    model = Model(languages, index, np.zeros((len(pieces), len(languages))))
+    chunks = []
     for column, lang in enumerate(languages):
-        common = sorted(words[lang].items())
-        lattices = [model.lattice(_MARK + w) for w, _ in common]
-        lengths = [len(w) + 1 for w, _ in common]
-        counts = np.asarray([c for _, c in common], float)
-        p = np.full(len(pieces), 1 / len(pieces))
-        for _ in range(ROUNDS):
-            used = _expected(lattices, lengths, counts, p) + 0.01
-            p = used / used.sum()
-        model.probabilities[:, column] = p
-    return model
+        common = sorted(words[lang].items(), key=lambda x: (len(x[0]), x[0]))
+        for at in range(0, len(common), CHUNK):
+            some = common[at: at + CHUNK]
+            chunks.append((column, [w for w, _ in some], [c for _, c in some]))
+    return Model(languages, index, _rounds(spark, chunks, index, len(languages)))
 
 
 def sample(docs: DataFrame, learn: Column, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str | None, str]]:

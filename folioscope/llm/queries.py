@@ -60,7 +60,7 @@ def op7_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = language_id.vocabulary(tokenizer_path("piece_bpe_32k.model"))
-    model = language_id.train(language_id.sample(docs, crc_mod(3) != 1), pieces)
+    model = language_id.train(language_id.sample(docs, crc_mod(3) != 1), pieces, spark)
     return language_id.predict(docs, model).select("doc_id", (crc_mod(3) == 1).alias("held_out"), "lang_pred", "score")
 
 

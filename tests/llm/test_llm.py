@@ -557,6 +557,34 @@ def test_language_model_against_all_segmentations(spark):
         assert got[i] == (max(sorted(score), key=score.get) if t else "und")
 
 
+def test_long_and_uncovered_words_are_learnt_from(spark):
+    """A run of letters without blanks, and letters without a piece, tell a language as well."""
+    pieces = ["▁", "▁a", "a", "b", "ab", "c"]
+    for text in ("ab" * 40, "ab" * 250, "abßab" * 3, "ß" * 20 + "ab"):
+        model = language_id.train([(text, "x"), ("c" * 90, "y")], pieces)
+        x, y = model.probabilities[:, 0], model.probabilities[:, 1]
+        assert x[model.pieces["ab"]] > 3 * y[model.pieces["ab"]] and y[model.pieces["c"]] > 3 * x[model.pieces["c"]]
+    # In logarithms and together the sums are the same.
+    p = np.asarray([0.1, 0.2, 0.3, 0.15, 0.2, 0.05])
+    index = {q: k for k, q in enumerate(pieces)}
+    for word in ("abab", "aßb", "c"):
+        one = np.zeros(len(pieces) + 2)
+        language_id._expected_long("▁" + word, 3, index, p, one)
+        assert language_id._expected([word], [3], index, p) == pytest.approx(one[: len(pieces)])
+    rows = [("ab aab ba ab " + "ab" * 99, "x"), ("c ca bc", "y"), ("ab c", "y"), (None, "x")]
+    assert (language_id.train(rows, pieces, spark).probabilities == language_id.train(rows, pieces).probabilities).all()
+
+
+def test_language_id_of_an_empty_table_and_ties(spark):
+    docs = frame(spark, [])
+    pieces = ["▁", "▁a", "a"]
+    model = language_id.train(language_id.sample(docs, F.lit(True)), pieces, spark)
+    assert model.languages == [] and language_id.predict(docs, model).collect() == []
+    tie = language_id.train([("a aa", "y"), ("aa a", "x")], pieces)
+    got = language_id.predict(frame(spark, [(1, "a"), (2, "a" * 3_000)]), tie).collect()
+    assert [(r["lang_pred"], r["score"]) for r in got] == [("x", 0.5)] * 2
+
+
 def test_samples_keep_each_rows_own_label(spark):
     rows = [(1, "aaa", "x"), (1, "bbb", "y"), (1, "bbb", "y"), (2, None, "x"), (3, "z" * 600_000, "x"), (None, "n", "x"), (4, "d", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
