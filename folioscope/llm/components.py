@@ -26,6 +26,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
+#: Rounds grow with the logarithm of a component's width; beyond these something is wrong.
+ROUNDS = 200
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(id, component) for every id with an edge; component is the least id reachable.
 
@@ -34,12 +38,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """
     now = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, before = written(now, f"{label}-0"), None
-    for k in range(1, 200):
+    for k in range(1, ROUNDS):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             break
         before = mark
         now, old = written(_star(_star(now, True), False), f"{label}-{k}"), now
         discard(old)
+    else:
+        raise RuntimeError(f"components did not settle within {ROUNDS} rounds")
     roots = now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)

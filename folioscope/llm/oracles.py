@@ -13,17 +13,27 @@ dup AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n
 m AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
-    coalesce(dup.n_lines, 0) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_ascii_letters
+    coalesce(dup.n_lines, 0) AS n_lines, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_ascii_letters,
+    len(list_filter(ws, lambda x: regexp_matches(x, '[#*$%&|<>!]$'))) AS n_marked_words
   FROM d JOIN w USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN dup USING (doc_id)
 ),
 b AS (
   SELECT *,
     ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (100 * n_symbols > 20 * n_words)::BIGINT
       + 8 * (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)::BIGINT + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words))::BIGINT
-      + 32 * (n_ascii_letters >= 50 AND 100 * n_upper > 60 * n_ascii_letters)::BIGINT)::BIGINT AS fail_bits
+      + 32 * (n_ascii_letters >= 50 AND 100 * n_upper > 60 * n_ascii_letters)::BIGINT + 64 * (100 * n_marked_words > 50 * n_words)::BIGINT)::BIGINT AS fail_bits
   FROM m
-)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
+)"""
+ABLATIONS = OP2 + """,
+p(policy, version, mask) AS (VALUES ('base', 1, 3), ('production', 1, 127), ('production', 2, 63), ('no_markup', 1, 71), ('no_markup', 2, 7)),
+r(rule, bit) AS (VALUES ('few_words', 1), ('repeated_words', 2), ('symbol_heavy', 4), ('repeated_lines', 8), ('odd_word_length', 16), ('shouting', 32), ('marked_words', 64)),
+x AS (SELECT policy, version, mask, fail_bits & mask AS bits FROM b, p)
+SELECT policy, version, rule, count(*) AS n, count(*) FILTER (bits = 0) AS kept, bit_or(bits) AS any_bits, bit_and(bits) AS all_bits,
+  count(*) FILTER (bits & bit <> 0) AS n_failed, count(*) FILTER (bits = bit) AS n_only, count(*) FILTER (bits = 0 OR bits = bit) AS kept_without
+FROM x JOIN r ON mask & bit <> 0 GROUP BY ALL
+"""
+OP2 += """
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 63) = 0 AS kept, fail_bits FROM b
 """
 
 OP10 = r"""
@@ -52,7 +62,7 @@ SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha25
 
 OP9 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
-b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL),
 bw AS (
   SELECT DISTINCT item_id, least(10, len(ws)) AS k, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS g
   FROM (SELECT item_id, ws, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0)
@@ -153,7 +163,7 @@ SELECT page_id, url, array_to_string(list_filter(xs, lambda x: x <> ''), chr(10)
   length(array_to_string(list_filter(xs, lambda x: x <> ''), chr(10) || chr(10)))::BIGINT AS n_chars FROM c
 """
 
-SQL = {"op13_main_text": OP13, "op12_prefix_trie": OP12, "op11_vector_codes": OP11, "op6_jaccard_join": OP6, "op9_decontamination": OP9, "op2_quality_rules": OP2, "op10_chat_format": OP10}
+SQL = {"op13_main_text": OP13, "op12_prefix_trie": OP12, "op11_vector_codes": OP11, "op6_jaccard_join": OP6, "op9_decontamination": OP9, "op2_quality_rules": OP2, "quality_ablations": ABLATIONS, "op10_chat_format": OP10}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,8 +21,8 @@ Words are maximal runs of digits, letters a-z (A-Z lower-cased) and all
 characters from U+0080; terms are 64-bit fingerprints of a word's bytes. Ten
 consecutive terms must agree at consecutive places for a match.
 
-Defined cases: a null or empty text has no word; an item without words matches
-nothing; an item shorter than a window is one window; items with equal texts
+Defined cases: a null or empty text has no word; an item without words, or
+without an id, matches nothing; an item shorter than a window is one window; items with equal texts
 each count; repeated rows are judged one by one; empty tables give empty results
 (or no match); other columns are not read.
 """
@@ -107,6 +107,8 @@ def compile_items(items: Iterable[tuple[object, str | None]], window: int = WIND
         return [Windows(width, np.frombuffer(b"".join(rows), K.U).reshape(len(rows), width), list(rows.values())) for width, rows in sorted(found.items())]
 
     for name, text in items:
+        if name is None:  # no item
+            continue
         data = np.frombuffer((text or "").encode(), np.uint8)
         terms, _ = words_of(data, np.asarray([0, len(data)]))
         width = min(window, len(terms))

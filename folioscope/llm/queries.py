@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import chat_format, jaccard_join, language_id, main_text, packing, phrase_index, prefix_trie, quality_ledger, suffix_dedup, token_count, token_table, toxicity, vector_codes
-from folioscope.llm.common import crc_mod, fresh, prepare, table
+from folioscope.llm.common import crc_mod, fresh, prepare, table, written
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -31,6 +32,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version of every policy, rule by rule, from one ledger of bits."""
+    book = written(quality_ledger.ledger(table(spark, sf_dir, "documents")).select("fail_bits"), "ledger")
+    found = [quality_ledger.ablations(book, p) for p in quality_ledger.POLICIES]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
@@ -116,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_vector_codes": op11_vector_codes,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_main_text": op13_main_text,
+    "quality_ablations": quality_ablations,
 }
 
 

@@ -119,14 +119,17 @@ def test_quality_ledger(spark):
     per = [r.asDict() for r in quality_ledger.apply_policies(book).collect()]
     for r in per:
         assert r["base_v1"] == (not (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]))
-    ablation = {r["rule"]: r for r in quality_ledger.ablations(book).collect()}
     bits = [r["fail_bits"] for r in per]
-    for k, rule in enumerate(quality_ledger.RULES):
-        assert ablation[rule]["n_failed"] == sum(b >> k & 1 for b in bits)
-        assert ablation[rule]["n_only"] == sum(b == 1 << k for b in bits)
+    for policy in quality_ledger.POLICIES:
+        ablation = {r["rule"]: r for r in quality_ledger.ablations(book, policy).collect()}
+        assert set(ablation) == set(policy.rules)
+        for rule in policy.rules:
+            k = list(quality_ledger.RULES).index(rule)
+            assert ablation[rule]["n_failed"] == sum(b >> k & 1 for b in bits)
+            assert ablation[rule]["n_only"] == sum(b & policy.mask == 1 << k for b in bits)
     kept = quality_ledger.filter_documents(frame(spark, rows))
     assert kept.columns == frame(spark, rows).columns
-    assert kept.count() == sum(b == 0 for b in bits)
+    assert kept.count() == sum(b & quality_ledger.PRODUCTION.mask == 0 for b in bits)
     assert quality_ledger.ledger(frame(spark, [])).count() == 0
 
 
@@ -557,6 +560,31 @@ def test_language_model_against_all_segmentations(spark):
         assert got[i] == (max(sorted(score), key=score.get) if t else "und")
 
 
+def test_old_and_new_policies_read_one_ledger(spark):
+    """Bits keep their places; version 1 of production rejects texts whose words end in marks, version 2 keeps them."""
+    assert list(quality_ledger.RULES) == ["few_words", "repeated_words", "symbol_heavy", "repeated_lines", "odd_word_length", "shouting", "marked_words"]
+    rows = [(1, " ".join(f"word{k}!" for k in range(60))), (2, " ".join(f"word{k}" for k in range(60))), (3, "a b")]
+    book = {r["doc_id"]: r for r in quality_ledger.apply_policies(quality_ledger.ledger(frame(spark, rows))).collect()}
+    assert [book[k]["fail_bits"] for k in (1, 2)] == [64, 0] and book[3]["fail_bits"] & 1 and book[1]["n_marked_words"] == 60
+    assert [(book[k]["production_v1"], book[k]["production_v2"], book[k]["no_markup_v1"], book[k]["no_markup_v2"]) for k in (1, 2, 3)] == [(False, True, False, True), (True,) * 4, (False,) * 4]
+
+
+def test_an_item_without_id_is_no_item(spark):
+    text = " ".join(f"w{k}" for k in range(20))
+    docs = frame(spark, [(1, text), (2, f"{text} more")])
+    items = spark.createDataFrame([(None, text), (5, "w3 w4 w5 w6")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], list(r["items"])) for r in phrase_index.decontaminate(docs, items).select("row.doc_id", "n_hit", "items").collect()}
+    assert got == {1: (4, ["5"]), 2: (4, ["5"])}
+
+
+def test_components_that_do_not_settle_are_an_error(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r["component"] for r in components.components(edges).collect()} == {0}
+    monkeypatch.setattr(components, "ROUNDS", 2)
+    with pytest.raises(RuntimeError):
+        components.components(edges)
+
+
 def test_long_and_uncovered_words_are_learnt_from(spark):
     """A run of letters without blanks, and letters without a piece, tell a language as well."""
     pieces = ["▁", "▁a", "a", "b", "ab", "c"]
