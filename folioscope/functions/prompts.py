@@ -133,15 +133,3 @@ def grouped_memory(facts: Column, most: int = 0) -> Column:
         return F.concat(F.lit("【证据组"), (i + 1).cast("string"), F.lit(" · 第"), page.cast("string"), F.lit("页】\n"), F.array_join(lines, "\n"))
 
     return F.array_join(F.transform(pages, group), "\n")
-
-
-def judge_message(question: Column, answers: Column, pred: Column) -> Column:
-    """A grader's payload as JSON."""
-    return F.to_json(F.struct(question.alias("question"), answers.alias("answers"), pred.alias("prediction")))
-
-
-def refine_prompt(question: Column, snippets: Column, citation_score: Column) -> Column:
-    """A second question over the first three evidence snippets; null where no citation holds."""
-    some = F.slice(F.filter(snippets, lambda s: strip(F.coalesce(s, F.lit(""))) != ""), 1, 3)
-    listed = F.array_join(F.transform(some, lambda s, i: F.concat((i + 1).cast("string"), F.lit(". "), strip(s))), "\n")
-    return F.when((citation_score > 0) & (F.size(some) > 0), F.concat(F.lit("Question: "), strip(question), F.lit("\nEvidence:\n"), listed, F.lit("\nAnswer:")))

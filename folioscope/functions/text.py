@@ -64,13 +64,18 @@ def normalize_space(text: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfkc(text):
-    """Compatibility composition, for which there is no built-in."""
+def _composed(text):
     import unicodedata
 
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def nfkc(text: Column | str) -> Column:
+    """Compatibility composition, for which there is no built-in; ASCII texts, which it leaves alone, stay in the JVM."""
+    text = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
 def normalize_leak(text: Column) -> Column:
     """NFKC, lower case, everything but a-z and 0-9 to single spaces."""
     return squeeze(F.regexp_replace(F.lower(nfkc(F.coalesce(text, F.lit("")))), r"[^a-z0-9]+", " "))

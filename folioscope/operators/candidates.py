@@ -154,8 +154,13 @@ def block_key(page: Column, block: Column) -> Column:
 
 
 def attach_teacher(rows: DataFrame, teacher: DataFrame) -> DataFrame:
-    """``teacher_score`` from (qid, key, score), null where there is none, and its 0-based rank."""
-    known = teacher.groupBy("qid", "key").agg(F.last("score").alias("teacher_score"))
+    """``teacher_score`` from (qid, key, score), null where there is none, and its 0-based rank.
+
+    Of a repeated key the score of the last ``ordinal`` counts, where the teacher has
+    that column, else the highest.
+    """
+    one = F.max_by("score", "ordinal") if "ordinal" in teacher.columns else F.max("score")
+    known = teacher.groupBy("qid", "key").agg(one.alias("teacher_score"))
     out = rows.withColumn("key", block_key(F.col("page_id"), F.col("block_id"))).join(known, ["qid", "key"], "left").drop("key")
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("teacher_score").desc_nulls_last(), "page_rank", "order_index", "block_id")) - 1
     return out.withColumn("teacher_rank", F.when(F.col("teacher_score").isNotNull(), rank.cast("long")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.sets import Guards
+
 
 def degrade_ranking(top: Column, gold: Column, spare: Column, j: Column) -> Column:
     """Drop the j lowest gold pages and append the j lowest spare ones; the length stays."""
@@ -56,3 +58,24 @@ def ranges(value: Column, bounds: tuple[tuple[float, float], ...]) -> Column:
     for k in range(len(bounds) - 1, -1, -1):
         out = F.when(value.between(*bounds[k]), F.lit(k).cast("long")).otherwise(out)
     return out
+
+
+def guarded_arms(guards: Guards, name: str, arm: DataFrame, base: DataFrame, images: DataFrame, budget: int = 16, source: str = "ocr") -> DataFrame:
+    """One row per id of an arm, its base and its image run, with what must hold counted as it passes.
+
+    arm: (id, selected_page_ids, num_selected_pages, memory_block_source); base: (id);
+    images: (id, selected_page_ids). Guards: ``unpaired`` (ids that not all three have),
+    ``pages_moved``, ``budget_moved`` and ``other_source``. Sides meet once, by id.
+    """
+    sides = arm.select("id", F.lit(1).alias("side"), F.col("selected_page_ids").alias("pages"), "num_selected_pages", "memory_block_source")
+    sides = sides.unionByName(base.select("id", F.lit(2).alias("side")), allowMissingColumns=True)
+    sides = sides.unionByName(images.select("id", F.lit(4).alias("side"), F.col("selected_page_ids").alias("pages")), allowMissingColumns=True)
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c))).alias
+    rows = sides.groupBy("id").agg(
+        F.bit_or("side").alias("held"), of(1, "pages")("selected_page_ids"), of(4, "pages")("image_page_ids"), of(1, "num_selected_pages")("num_selected_pages"), of(1, "memory_block_source")("memory_block_source")
+    )
+    here = F.col("held").bitwiseAND(1) == 1
+    return guards.watch(
+        name, rows, unpaired=F.col("held") != 7, pages_moved=(F.col("held").bitwiseAND(5) == 5) & ~F.col("selected_page_ids").eqNullSafe(F.col("image_page_ids")),
+        budget_moved=here & ~F.col("num_selected_pages").eqNullSafe(F.lit(budget)), other_source=here & ~F.col("memory_block_source").eqNullSafe(F.lit(source)),
+    )

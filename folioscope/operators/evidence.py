@@ -83,8 +83,12 @@ def gold_stratum(n_hit: Column, n_gold: Column) -> Column:
 
 
 def expected_scores(expected: DataFrame, scores: DataFrame, key: str, missing: str) -> DataFrame:
-    """(sample, key, score, reason) for every expected id: the judge's score, snapped, or 0 with ``missing`` as reason."""
-    given = scores.groupBy("sample", key).agg(F.last(F.struct(F.coalesce(snap(F.col("score")), F.lit(0.0)).alias("score"), "reason")).alias("g"))
+    """(sample, key, score, reason) for every expected id: the judge's score, snapped, or 0 with ``missing`` as reason.
+
+    Of a repeated id the last ``ordinal`` counts, where scores have that column, else the highest score.
+    """
+    one = F.struct(F.coalesce(snap(F.col("score")), F.lit(0.0)).alias("score"), "reason")
+    given = scores.groupBy("sample", key).agg((F.max_by(one, "ordinal") if "ordinal" in scores.columns else F.max(one)).alias("g"))
     joined = expected.select("sample", key).distinct().join(given, ["sample", key], "left")
     return joined.select("sample", key, F.coalesce("g.score", F.lit(0.0)).alias("score"), F.when(F.col("g").isNull(), missing).otherwise(F.col("g.reason")).alias("reason"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from folioscope.functions.text import contains_normal, normalize_quote, strip
+from folioscope.functions.text import contains_normal, normalize_quote, snippet, strip
 
 PREDICTION = "struct<result: string, claims: array<struct<claim_id: string, text: string>>, evidence: array<struct<evidence_id: string, page_id: int, block_id: string, quote: string, supports: array<string>>>>"
 
@@ -49,10 +49,22 @@ def repair(text: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def repaired_json(text: pd.Series) -> pd.Series:
+def _repaired(text: pd.Series) -> pd.Series:
     return text.map(repair)
 
 
+def sound_json(column: str) -> Column:
+    """An answer from its first brace on, where that is JSON as it stands; null elsewhere."""
+    body = F.regexp_extract(F.col(column), r"(?s)\{.*", 0)
+    return F.when(F.try_parse_json(body).isNotNull() & (body != ""), body)
+
+
+def repaired_json(column: str) -> Column:
+    """The JSON object of an answer: sound ones as they are, read by the JVM, others repaired."""
+    sound = sound_json(column)
+    return F.coalesce(sound, _repaired(F.when(sound.isNull(), F.col(column))))
+
+
 def cited(predictions: DataFrame, column: str) -> DataFrame:
     """One row per cited piece of evidence of (sample, document_id, column)."""
     parsed = predictions.withColumn("p", F.from_json(repaired_json(column), PREDICTION))
@@ -90,6 +102,89 @@ def citation_scores(validity: DataFrame) -> DataFrame:
     return validity.groupBy("sample").agg(F.count("*").alias("n_citations"), F.avg("validity").alias("citation_score"), F.avg(F.col("exact").cast("double")).alias("exact_rate"))
 
 
+#: Labels of a citation and their scores, best first.
+EXACT, ON_PAGE, INVALID = "exact_block_quote", "page_quote_only", "invalid"
+
+
+def verified(evidence: DataFrame, pages: DataFrame, blocks: DataFrame, units: DataFrame) -> DataFrame:
+    """What holds each citation, by four places in turn.
+
+    The cited block (1); the text of the cited page (0.5); the first other block of
+    that page that holds the quote (0.5); the first gold unit of the sample on that
+    page, exact where its block is the cited one (1 or 0.5). Elsewhere it is invalid.
+
+    evidence: rows of :func:`complete`; pages: (document_id, page_id, page_text);
+    blocks: (document_id, page_id, block_id, order_index, text); units: (sample,
+    n_unit, page_id, block_id, text_excerpt). Rows with a null page meet nothing.
+    Containers meet a citation by document and page; the best one is kept before the
+    shuffle, so a page's texts are not gathered.
+    """
+    keys = ["sample", "document_id", "n"]
+    cited_rows = evidence.select(*keys, "evidence_id", "page_id", "block_id", "quote", "supports", normalize_quote(F.col("quote")).alias("q_form"))
+    own = ["document_id", "page_id"]
+    long = lambda c: F.col(c).cast("long")
+    none = lambda kind: F.lit(None).cast(kind)
+
+    of_pages = pages.select(*own, none("string").alias("c_block"), F.lit(2).alias("place"), F.lit(0).cast("long").alias("c_order"), F.col("page_text").alias("c_text"))
+    of_blocks = blocks.select(*own, F.col("block_id").alias("c_block"), F.lit(3).alias("place"), long("order_index").alias("c_order"), F.col("text").alias("c_text"))
+    in_store = cited_rows.join(of_pages.unionByName(of_blocks), own)
+    of_units = units.select("sample", "page_id", F.col("block_id").alias("c_block"), F.lit(4).alias("place"), long("n_unit").alias("c_order"), F.col("text_excerpt").alias("c_text"))
+    in_gold = cited_rows.join(of_units, ["sample", "page_id"])
+    met = in_store.unionByName(in_gold, allowMissingColumns=True)
+    met = met.where(contains_normal(normalize_quote(F.col("c_text")), F.col("q_form")))
+    same = F.coalesce(F.col("c_block") == F.col("block_id"), F.lit(False))
+    exact = same & F.col("place").isin(3, 4)
+    place = F.when(same & (F.col("place") == 3), 1).otherwise(F.col("place"))
+    best = F.struct(
+        F.when(exact, F.lit(EXACT)).otherwise(ON_PAGE).alias("label"), F.col("page_id").alias("matched_page_id"), F.col("c_block").alias("matched_block_id"), F.col("quote").alias("of"), F.col("c_text"), place.alias("by"),
+    )
+    found = met.groupBy(*keys).agg(F.min_by(best, F.struct(place, "c_order", "c_block")).alias("b"))
+    rows = cited_rows.drop("q_form").join(found, keys, "left")
+    label = F.coalesce("b.label", F.lit(INVALID))
+    whole = strip(F.coalesce("b.c_text", F.lit("")))
+    around = F.when(F.col("b.by") == 4, normalize_quote(whole)).otherwise(snippet(F.col("b.c_text"), F.col("b.of")))
+    return rows.select(
+        *keys, "evidence_id", "page_id", "block_id", "quote", "supports", label.alias("validation_label"),
+        F.when(label == EXACT, 1.0).when(label == ON_PAGE, 0.5).otherwise(0.0).alias("validation_score"),
+        F.col("b.matched_page_id").alias("matched_page_id"), F.col("b.matched_block_id").alias("matched_block_id"), F.coalesce(around, F.lit("")).alias("matched_snippet"), whole.alias("matched_snippet_raw"),
+    )
+
+
+def gold_units(units: DataFrame) -> DataFrame:
+    """Canonical evidence from gold units (sample, n_unit, evidence_id, fact_id, page_id, block_id, text_excerpt); blank ids are e1, e2, ..., and f1, f2, ..."""
+    named = lambda c, letter: F.coalesce(F.nullif(strip(F.col(c)), F.lit("")), F.concat(F.lit(letter), F.col("n_unit").cast("string")))
+    fact = named("fact_id", "f")
+    return units.select("sample", "n_unit", named("evidence_id", "e").alias("evidence_id"), fact.alias("fact_id"), "page_id", "block_id", "text_excerpt", F.col("text_excerpt").alias("quote"), F.array(fact).alias("supports"))
+
+
+def hard_evaluation(predictions: DataFrame, units: DataFrame, pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One row per prediction (sample, document_id, pred): its parsed result and what became of its citations.
+
+    available, result_text, citation_score (0 without citations, null where the
+    sample has no gold units), the shares of exact, page-only and invalid citations
+    (null without any), and ``verified_evidence`` in cited order. Of gold units that
+    share an evidence id the last one counts.
+    """
+    gold = gold_units(units)
+    canonical_units = gold.groupBy("sample", "evidence_id").agg(F.max_by(F.struct("page_id", "block_id", "quote", "supports"), "n_unit").alias("u")).select("sample", "evidence_id", "u.*")
+    available = gold.groupBy("sample").agg(F.count("*").alias("n_units"))
+    parsed = predictions.select("sample", "document_id", "pred", F.from_json(repaired_json("pred"), PREDICTION).alias("p"))
+    result = F.nullif(normalize_quote(F.col("p.result")), F.lit(""))
+    heads = parsed.select("sample", "document_id", F.coalesce(result, normalize_quote(F.col("pred"))).alias("result_text"), F.col("p").isNotNull().alias("structured"))
+    judged = verified(complete(cited(predictions, "pred").join(available, "sample", "left_semi"), canonical_units), pages, blocks, gold)
+    share = lambda label: F.avg((F.col("validation_label") == label).cast("double"))
+    one = F.struct("n", "evidence_id", "page_id", "block_id", "quote", "supports", "validation_score", "validation_label", "matched_page_id", "matched_block_id", "matched_snippet", "matched_snippet_raw")
+    per = judged.groupBy("sample").agg(
+        F.count("*").alias("n_evidence"), F.avg("validation_score").alias("score"), share(EXACT).alias("exact_rate"), share(ON_PAGE).alias("page_only_rate"), share(INVALID).alias("invalid_rate"),
+        F.array_sort(F.collect_list(one)).alias("verified_evidence"),  # as many as one answer cites
+    )
+    rows = heads.join(available, "sample", "left").join(per, "sample", "left")
+    return rows.select(
+        "sample", "document_id", F.coalesce(F.col("n_units") > 0, F.lit(False)).alias("available"), "structured", "result_text", F.coalesce("n_evidence", F.lit(0).cast("long")).alias("n_evidence"),
+        F.when(F.col("n_units") > 0, F.coalesce("score", F.lit(0.0))).alias("citation_score"), "exact_rate", "page_only_rate", "invalid_rate", "verified_evidence",
+    )
+
+
 def canonical(column: str) -> Column:
     """A prediction's JSON with the known fields alone, in their order; null where there is no object."""
     parsed = F.from_json(repaired_json(column), PREDICTION)

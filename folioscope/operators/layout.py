@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS = "document_id long, page_id long, block long, x0 double, y0 double, x1 double, y1 double, n_lines long, text string"
+BLOCKS = "document_id {document}, page_id {page}, block long, x0 double, y0 double, x1 double, y1 double, n_lines long, text string"
 
 
 def overlap(a: tuple, b: list) -> float:
@@ -36,9 +36,11 @@ def group_lines(lines: list[tuple[float, float, float, float, str]], gap_factor:
 def line_blocks(lines: DataFrame, gap_factor: float = 1.2, min_overlap: float = 0.3) -> DataFrame:
     """Blocks of every page, in two bands (left or whole width, right half), then by y.
 
-    lines: document_id, page_id, page_width, x0, y0, x1, y1, text. The merge is
-    sequential, so a page's lines meet in one task; a page bounds their number.
+    lines: document_id, page_id, page_width, x0, y0, x1, y1, text; ids of any kind.
+    The merge is sequential, so a page's lines meet in one task; a page bounds their number.
     """
+    kind = {c: lines.schema[c].dataType.simpleString() for c in ("document_id", "page_id")}
+    schema = BLOCKS.format(document=kind["document_id"], page=kind["page_id"])
 
     def one(page: pd.DataFrame) -> pd.DataFrame:
         rows = page.sort_values(["y0", "x0", "text"])
@@ -46,10 +48,10 @@ def line_blocks(lines: DataFrame, gap_factor: float = 1.2, min_overlap: float =
         half = float(page.page_width.iloc[0]) / 2
         found.sort(key=lambda b: (half > 0 and b[0] >= half, b[1]))
         d, p = page.document_id.iloc[0], page.page_id.iloc[0]
-        return pd.DataFrame([(d, p, k, *b[:4], len(b[4]), " ".join(b[4])) for k, b in enumerate(found)], columns=[c.split()[0] for c in BLOCKS.split(", ")])
+        return pd.DataFrame([(d, p, k, *b[:4], len(b[4]), " ".join(b[4])) for k, b in enumerate(found)], columns=[c.split()[0] for c in schema.split(", ")])
 
     columns = ["document_id", "page_id", "page_width", "x0", "y0", "x1", "y1", "text"]
-    return lines.select(*columns).where(F.trim("text") != "").groupBy("document_id", "page_id").applyInPandas(one, BLOCKS)
+    return lines.select(*columns).where(F.trim("text") != "").groupBy("document_id", "page_id").applyInPandas(one, schema)
 
 
 def recognised_blocks(lines: DataFrame, least_score: float = 0.5) -> DataFrame:

@@ -88,8 +88,8 @@ def bootstrap_index(rep: Column, i: Column, n: Column) -> Column:
 def bootstrap_mean(values: DataFrame, value: str, order: list[str], replicates: int = 10_000) -> DataFrame:
     """Percentile interval of the mean from resamples.
 
-    Values (a study's rows, far fewer than a corpus's) are held as one array per
-    row of the replicate grid; each replicate is summed where it lies.
+    For a study's rows, whose resamples must equal another program's by row number:
+    all values are one array. :func:`resampling.bootstrap_interval` gathers nothing.
     """
     held = values.where(F.col(value).isNotNull()).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda s: s[value].cast("double")).alias("v"))
     grid = values.sparkSession.range(replicates).withColumnRenamed("id", "rep").crossJoin(F.broadcast(held))
@@ -136,7 +136,9 @@ def win_share(rows: DataFrame, a: Column, b: Column) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.avg((b > a).cast("double")).alias("win_share"), F.avg((b - a).cast("double")).alias("mean_delta"))
 
 
-def paired_with_interval(rows: DataFrame, a: Column, b: Column, order: list[str], replicates: int = 10_000) -> DataFrame:
+def paired_with_interval(rows: DataFrame, a: Column, b: Column, replicates: int = 10_000, seed: int = 0) -> DataFrame:
     """:func:`paired_difference` over all rows, with the bootstrap interval of the mean."""
-    d = rows.select(*order, (b - a).cast("double").alias("d"))
-    return paired_difference(rows, a, b).crossJoin(bootstrap_mean(d, "d", order, replicates))  # one row each
+    from folioscope.operators.resampling import bootstrap_interval
+
+    d = rows.select((b - a).cast("double").alias("d"))
+    return paired_difference(rows, a, b).crossJoin(bootstrap_interval(d, "d", replicates, seed))  # one row each

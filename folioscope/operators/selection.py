@@ -16,7 +16,7 @@ def select_memory(rows: DataFrame, sample: str, selector: str, k: int = 16, seed
 
     ``random`` takes the k highest stable scores; ``random_chars`` takes rows in
     that order until the packed characters reach the column ``budget``, the row
-    that crosses it included; ``all`` keeps every row in reading order. Lexical
+    that crosses it included; a budget of 0 or less is an error; ``all`` keeps every row in reading order. Lexical
     selection is :func:`lexical_selection`.
     """
     if selector not in SELECTORS:
@@ -30,12 +30,12 @@ def select_memory(rows: DataFrame, sample: str, selector: str, k: int = 16, seed
     if budget is None:
         raise ValueError("random_chars needs a budget column")
     before = F.sum(packed_length(F.col("text"), cap)).over(Window.partitionBy(sample).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    return scored.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < F.col(budget)).drop("before")
+    return scored.withColumn("before", F.coalesce(before, F.lit(0))).where(F.when(F.col(budget) > 0, F.col("before") < F.col(budget)).otherwise(F.raise_error(F.lit("random_chars needs a budget above 0")).cast("boolean"))).drop("before")
 
 
 def lexical_selection(rows: DataFrame, sample: str, k: int) -> DataFrame:
-    """The k best by lexical_score, ties in page and block order."""
-    return top_k(rows.withColumn("sel_score", F.col("lexical_score")), [sample], [F.col("lexical_score").desc(), F.col("page_rank"), F.col("order_index")], k).drop("rank")
+    """The k best (one at least) by lexical_score, ties in page and block order."""
+    return top_k(rows.withColumn("sel_score", F.col("lexical_score")), [sample], [F.col("lexical_score").desc(), F.col("page_rank"), F.col("order_index")], max(1, k)).drop("rank")
 
 
 def lexical_char_budget(rows: DataFrame, sample: str, k: int, cap: int) -> DataFrame:

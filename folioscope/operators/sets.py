@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -21,6 +21,35 @@ def expect(rows: DataFrame, **violations: Column) -> DataFrame:
     return rows
 
 
+class Guards:
+    """Invariants of several tables, counted in the pass that yields each table's rows.
+
+    ``watch`` returns the same rows with counters on them; once the rows have been
+    written or collected, ``check`` raises for all that were broken. A
+    table that is read more than once counts in its first pass.
+    """
+
+    def __init__(self) -> None:
+        self._watched: dict[str, Observation] = {}
+
+    def watch(self, name: str, rows: DataFrame, **violations: Column) -> DataFrame:
+        if name in self._watched:
+            raise ValueError(f"{name!r} is watched already")
+        self._watched[name] = Observation(name)
+        return rows.observe(self._watched[name], F.count(F.lit(1)).alias("rows"), *[F.count_if(v).alias(k) for k, v in violations.items()])
+
+    def counts(self) -> dict[str, dict[str, int]]:
+        """Rows and violations by table, once an action has read each of them: until then this waits."""
+        return {n: o.get for n, o in self._watched.items()}
+
+    def check(self) -> dict[str, dict[str, int]]:
+        found = self.counts()
+        bad = [f"{n}.{k}: {v} rows" for n, c in found.items() for k, v in c.items() if k != "rows" and v]
+        if bad:
+            raise GuardError(", ".join(bad))
+        return found
+
+
 def deduplicate(rows: DataFrame, key: str, ordinal: list[str], on_duplicate: str = "first") -> DataFrame:
     """One row per key: the first or last by ``ordinal``, or an error on a repeat.
 

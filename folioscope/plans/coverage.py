@@ -23,13 +23,13 @@ def tolerant_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", readers.page_number(c).alias("page"))
 
 
-@register("parsed_ids", r"""WITH d AS (SELECT doc_id, 'doc' || doc_id || CASE WHEN doc_id % 3 > 0 THEN ':' || (doc_id % 7) || '-' || (doc_id % 5 + 3) ELSE '' END AS s, CASE WHEN doc_id % 2 = 0 THEN 'page_00' || (doc_id % 50) || '.png' ELSE 'scan_' || (doc_id % 9) || '.jpg' END AS f FROM documents)
-    SELECT doc_id, CASE WHEN doc_id % 3 > 0 AND doc_id % 5 + 3 >= doc_id % 7 THEN array_to_string(range(doc_id % 7, doc_id % 5 + 4), ',') END AS pages, regexp_extract(f, '(\d+)\.[a-z]+$', 1)::INT AS page FROM d""")
+@register("parsed_ids", r"""WITH d AS (SELECT doc_id, 'doc' || doc_id || CASE WHEN doc_id % 3 > 0 THEN ':' || (doc_id % 7) || '-' || (doc_id % 5 + 3) ELSE '' END AS s, CASE WHEN doc_id % 2 = 0 THEN 'page_00' || (doc_id % 50) || '.png' WHEN doc_id % 5 = 0 THEN 'x_12.pdf' ELSE 'scan_' || (doc_id % 9) || '.JpeG' END AS f FROM documents)
+    SELECT doc_id, CASE WHEN doc_id % 3 > 0 AND doc_id % 5 + 3 >= doc_id % 7 THEN array_to_string(range(doc_id % 7, doc_id % 5 + 4), ',') END AS pages, try_cast(regexp_extract(f, '_([0-9]+)\.(jpg|jpeg|png)$', 1, 'i') AS INT) AS page FROM d""")
 def parsed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = lambda n: F.pmod("doc_id", F.lit(n))
     text = lambda *parts: F.concat(*[p if hasattr(p, "cast") else F.lit(p) for p in parts])
     sample = text("doc", F.col("doc_id").cast("string"), F.when(m(3) > 0, text(":", m(7).cast("string"), "-", (m(5) + 3).cast("string"))).otherwise(""))
-    file = F.when(m(2) == 0, text("page_00", m(50).cast("string"), ".png")).otherwise(text("scan_", m(9).cast("string"), ".jpg"))
+    file = F.when(m(2) == 0, text("page_00", m(50).cast("string"), ".png")).when(m(5) == 0, "x_12.pdf").otherwise(text("scan_", m(9).cast("string"), ".JpeG"))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(readers.page_range(sample).cast("array<string>"), ",").alias("pages"), readers.image_page(file).alias("page"))
 
 

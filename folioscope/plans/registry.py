@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from folioscope.plans import controls, coverage, evaluation, features, layout, memory, retrieval, scoring, statistics, training  # noqa: F401
+    from folioscope.plans import controls, coverage, evaluation, features, grounded, layout, memory, retrieval, scorers, scoring, statistics, training  # noqa: F401

@@ -72,8 +72,8 @@ def page_numbers(a: Column, least: int | None = 1) -> Column:
 
 
 def document_store(spark: SparkSession, path: str, min_page_id: int | None = None) -> DataFrame:
-    """Pages of per-document JSON files: document_id, page_id, width, height, page_text, blocks."""
-    docs = spark.read.schema(DOCUMENT).option("multiLine", True).json(path)
+    """Pages of per-document JSON files: document_id, page_id, width, height, page_text, blocks. A broken file is an error."""
+    docs = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
     pages = docs.select("document_id", F.explode_outer("pages").alias("p"))
     rows = pages.select("document_id", page_number(F.col("p.page_id"), min_page_id).alias("page_id"), F.col("p.width").alias("width"), F.col("p.height").alias("height"), F.coalesce("p.page_text", F.lit("")).alias("page_text"), F.col("p.blocks").alias("blocks"))
     return rows.where(F.col("page_id").isNotNull())
@@ -89,44 +89,65 @@ def store_blocks(pages: DataFrame) -> DataFrame:
     ).where("block_id <> ''")
 
 
-def ranked_pages(rows: DataFrame, dedup: bool = True) -> DataFrame:
-    """(sample_id, ranked): the first non-empty of the ranking columns, else scores by (-score, page)."""
+def ranked_pages(rows: DataFrame, dedup: bool = True, kept: list[str] | None = None) -> DataFrame:
+    """(sample_id, ranked): the first non-empty of the ranking columns, else scores by (-score, page). Columns ``kept`` stay, ids as they are."""
     by_score = F.transform(
         F.array_sort(F.transform("scores", lambda s: F.struct((-s.score).alias("neg"), page_number(s.page_id).alias("page"))), None), lambda s: s.page
     )
     given = [page_numbers(F.col(c)) for c in ("ranked_page_ids", "selected_page_ids", "page_ids", "top_page_ids")]
     options = [*given, F.filter(by_score, lambda p: p.isNotNull())]
     ranked = F.coalesce(*[F.when(F.size(o) > 0, o) for o in options], F.array().cast("array<int>"))
-    return rows.select(F.coalesce("sample_id", "id").alias("sample_id"), (F.array_distinct(ranked) if dedup else ranked).alias("ranked"))
+    ids = ["sample_id", "id", *kept] if kept is not None else [F.coalesce("sample_id", "id").alias("sample_id")]
+    return rows.select(*ids, (F.array_distinct(ranked) if dedup else ranked).alias("ranked"))
+
+
+def external_ranked(rows: DataFrame) -> DataFrame:
+    """(sample_id, ranked) by ``ranked_page_ids`` in their order, else by scores, highest first, then page; any whole number is a page."""
+    scored = F.filter(F.transform("scores", lambda s: F.struct((-s.score).alias("neg"), page_number(s.page_id, None).alias("page"))), lambda s: s.neg.isNotNull() & s.page.isNotNull())
+    given, by_score = F.array_distinct(page_numbers(F.col("ranked_page_ids"), None)), F.transform(F.array_sort(scored), lambda s: s.page)
+    ranked = F.when(F.size(given) > 0, given).otherwise(F.coalesce(by_score, F.array().cast("array<int>")))
+    return rows.withColumn("ranked", ranked)
+
+
+def _in_file_order(rows: DataFrame) -> DataFrame:
+    """``rows`` of a reader with ``ordinal``, which sorts as the rows lie in their file."""
+    return rows.withColumn("ordinal", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.lit(0).alias("item")))
+
+
+def _named_sample(rows: DataFrame) -> DataFrame:
+    named = F.coalesce(F.nullif(F.col("sample_id"), F.lit("")), F.col("id"))
+    return rows.withColumn("sample_id", strip(named)).where("sample_id <> '' AND size(ranked) > 0")
 
 
 def external_rankings(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, ranked) of another system's file: JSON lines, a JSON list, or an object with ``predictions``.
 
-    Of a repeated sample one row stays; rows without an id or a page go.
+    Of a repeated sample the last row that ranks a page stays; rows without an id or
+    a page go, wherever they stand.
     """
     if path.rstrip("/").endswith((".jsonl", ".jsonl.gz")):
-        rows = json_lines(spark, path, RANKING)
+        rows = _in_file_order(json_lines(spark, path, RANKING))
     else:
         one = StructType.fromDDL(RANKING)
         both = StructType([*one.fields]).add("predictions", ArrayType(one))
-        held = spark.read.schema(both).option("multiLine", True).option("mode", "FAILFAST").json(path)
+        held = _in_file_order(spark.read.schema(both).option("multiLine", True).option("mode", "FAILFAST").json(path))
         plain = held.where("predictions IS NULL").drop("predictions")
-        rows = plain.unionByName(held.where("predictions IS NOT NULL").select(F.explode("predictions").alias("p")).select("p.*"))
-    found = ranked_pages(rows).withColumn("sample_id", strip(F.col("sample_id"))).where("sample_id <> '' AND size(ranked) > 0")
-    return found.groupBy("sample_id").agg(F.max("ranked").alias("ranked"))
+        listed = held.where("predictions IS NOT NULL").select("ordinal", F.posexplode("predictions").alias("pos", "p"))
+        rows = plain.unionByName(listed.select("p.*", F.col("ordinal").withField("item", F.col("pos")).alias("ordinal")))
+    found = _named_sample(external_ranked(rows))
+    return found.groupBy("sample_id").agg(F.max_by("ranked", "ordinal").alias("ranked"))
 
 
 def rankings(spark: SparkSession, paths: list[str], k: int | None = None) -> DataFrame:
-    """Union of ranking files; of repeated samples the last file's row stays; truncated to k."""
-    parts = [spark.read.schema(RANKING).json(p).withColumn("file", F.lit(i)) for i, p in enumerate(paths)]
+    """Union of ranking files, cut to k: of a repeated sample the last file's last row that ranks a page stays. A broken line is an error."""
+    parts = [_in_file_order(json_lines(spark, p, RANKING)).withColumn("file", F.lit(i)) for i, p in enumerate(paths)]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    held = rows.withColumn("sample_id", F.coalesce("sample_id", "id"))
-    last = held.groupBy("sample_id").agg(F.max_by(F.struct(*[c for c in held.columns if c != "sample_id"]), "file").alias("r")).select("sample_id", "r.*")
-    out = ranked_pages(last)
-    return out if k is None else out.withColumn("ranked", F.slice("ranked", 1, k))
+    kept = [c for c in rows.columns if c not in ("sample_id", "id")]
+    found = _named_sample(ranked_pages(rows, kept=kept))
+    out = found.groupBy("sample_id").agg(F.max_by("ranked", F.struct("file", "ordinal")).alias("ranked"))
+    return out if k is None else out.withColumn("ranked", F.slice("ranked", 1, max(1, k)))
 
 
 def literal_list(c: Column) -> Column:
@@ -204,8 +225,8 @@ def page_range(sample_id: Column) -> Column:
 
 
 def image_page(path: Column) -> Column:
-    """Page number of ``page_0012.png`` or ``..._12.jpg``."""
-    return F.nullif(F.regexp_extract(path, r"(?:page_|_)(\d+)\.[A-Za-z]+$", 1), F.lit("")).cast("int")
+    """Page number of ``page_0012.png`` or ``..._12.jpg`` (jpeg, png), in letters of either case; other files have none."""
+    return F.nullif(F.regexp_extract(path, r"(?i)_(\d+)\.(?:jpg|jpeg|png)$", 1), F.lit("")).cast("int")
 
 
 def page_and_block(name: Column) -> Column:

@@ -56,3 +56,35 @@ def append_repaired(rows: DataFrame, path: str, checkpoint: str, regrade: Callab
         held.unpersist()
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def append_versions(rows: DataFrame, path: str, checkpoint: str, key: str, value: str, bad: Column, ordinal: str) -> StreamingQuery:
+    """Write a stream of graded rows so that a later good grade replaces an earlier batch's row.
+
+    A micro-batch keeps one row a key, the last good one, else the last one, as
+    ``batch=<number>``; a batch that is run again replaces itself, so a restart neither
+    loses nor repeats rows. :func:`latest` merges batches by key and version. ``bad`` is
+    over ``value``; ``ordinal`` orders the rows of a batch.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        _best(batch.withColumn("batch", F.lit(number).cast("long")), key, value, bad, ordinal).drop("batch").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _best(rows: DataFrame, key: str, value: str, bad: Column, ordinal: str) -> DataFrame:
+    good = F.coalesce(~bad, F.lit(False)) & F.col(value).isNotNull()
+    whole = F.struct(*[c for c in rows.columns if c != key])
+    return rows.groupBy(key).agg(F.max_by(whole, F.struct(good, "batch", ordinal)).alias("row")).select(key, "row.*").select(rows.columns)
+
+
+def latest(spark: SparkSession, path: str, key: str, value: str, bad: Column, ordinal: str) -> DataFrame:
+    """One row a key over all batches of :func:`append_versions`: the last good one, else the last one, with its ``batch``."""
+    rows = spark.read.option("basePath", path).parquet(path).withColumn("batch", F.col("batch").cast("long"))
+    return _best(rows, key, value, bad, ordinal)
+
+
+def compacted(spark: SparkSession, path: str, out: str, key: str, value: str, bad: Column, ordinal: str) -> None:
+    """What :func:`latest` gives, as a table at ``out`` in the same form: one folder a batch that still has rows."""
+    latest(spark, path, key, value, bad, ordinal).write.partitionBy("batch").parquet(out)

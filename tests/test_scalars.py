@@ -121,8 +121,6 @@ def test_prompts(spark):
     facts = F.array(*[F.struct(F.lit(p).cast("long").alias("page_id"), F.lit(t).alias("text")) for p, t in ((2, "b\nc"), (1, "a"), (2, "d"), (3, " "))])
     assert one(spark, prompts.grouped_memory(facts)) == "【证据组1 · 第2页】\n  - b c\n  - d\n【证据组2 · 第1页】\n  - a"
     assert one(spark, prompts.grouped_memory(facts, 1)) == "【证据组1 · 第2页】\n  - b c\n  - d"
-    assert json.loads(one(spark, prompts.judge_message(base, array(["x"], "string"), F.lit("y")))) == {"question": "Q?", "answers": ["x"], "prediction": "y"}
-    assert one(spark, prompts.refine_prompt(base, array(["s1", " ", "s2"], "string"), F.lit(0.0))) is None and "2. s2" in one(spark, prompts.refine_prompt(base, array(["s1", " ", "s2"], "string"), F.lit(0.5)))
 
 
 def test_cells_and_geometry(spark):
@@ -256,7 +254,7 @@ def test_losses_and_scorers(spark):
     assert {r["context_score"] for r in soft} == {0.0}
     win = paired.win_share(spark.createDataFrame([(1.0, 2.0), (2.0, 1.0), (None, 3.0)], "a double, b double"), F.col("a"), F.col("b")).first()
     assert tuple(win) == (2, 0.5, 0.0)
-    both = paired.paired_with_interval(spark.createDataFrame([(i, 0.0, 1.0) for i in range(9)], "i long, a double, b double"), F.col("a"), F.col("b"), ["i"], 200).first()
+    both = paired.paired_with_interval(spark.createDataFrame([(i, 0.0, 1.0) for i in range(9)], "i long, a double, b double"), F.col("a"), F.col("b"), 200).first()
     assert both["mean_diff"] == both["lo"] == both["hi"] == 1.0
 
 
