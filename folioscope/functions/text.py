@@ -92,11 +92,21 @@ def compact(normal: Column) -> Column:
     return F.regexp_replace(F.lower(normal), r"[^0-9a-z\u4e00-\u9fff]+", "")
 
 
+def search_forms(normal: Column) -> Column:
+    """struct(low, bare) of a text in its quote form: what :func:`contains_forms` compares."""
+    return F.struct(F.lower(normal).alias("low"), compact(normal).alias("bare"))
+
+
+def contains_forms(container: Column, quote: Column) -> Column:
+    """Containment of texts by their search forms: as they are, else compact; a blank one never."""
+    asis = F.contains(container["low"], quote["low"])
+    bare = (quote["bare"] != "") & F.contains(container["bare"], quote["bare"])
+    return F.coalesce((container["low"] != "") & (quote["low"] != "") & (asis | bare), F.lit(False))
+
+
 def contains_normal(container: Column, quote: Column) -> Column:
-    """Containment of texts in their quote form: as they are, else compact; a blank one never."""
-    asis = F.contains(F.lower(container), F.lower(quote))
-    bare = (compact(quote) != "") & F.contains(compact(container), compact(quote))
-    return F.coalesce((container != "") & (quote != "") & (asis | bare), F.lit(False))
+    """Containment of texts in their quote form."""
+    return contains_forms(search_forms(container), search_forms(quote))
 
 
 def contains_quote(container: Column, quote: Column) -> Column:

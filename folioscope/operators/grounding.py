@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from folioscope.functions.text import contains_normal, normalize_quote, snippet, strip
+from folioscope.functions.text import contains_forms, contains_normal, normalize_quote, search_forms, snippet, strip
 
 PREDICTION = "struct<result: string, claims: array<struct<claim_id: string, text: string>>, evidence: array<struct<evidence_id: string, page_id: int, block_id: string, quote: string, supports: array<string>>>>"
 
@@ -89,9 +89,9 @@ def citation_validity(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
     The join is on document and page; a page's blocks are reduced to two flags
     per citation before anything else is kept.
     """
-    forms = blocks.select("document_id", "page_id", F.col("block_id").alias("b_block"), normalize_quote(F.col("text")).alias("b_form"))
-    rows = evidence.withColumn("q_form", normalize_quote(F.col("quote"))).join(forms, ["document_id", "page_id"], "left")
-    hit = contains_normal(F.col("b_form"), F.col("q_form"))
+    forms = blocks.select("document_id", "page_id", F.col("block_id").alias("b_block"), search_forms(normalize_quote(F.col("text"))).alias("b_forms"))
+    rows = evidence.withColumn("q_forms", search_forms(normalize_quote(F.col("quote")))).join(forms, ["document_id", "page_id"], "left")
+    hit = contains_forms(F.col("b_forms"), F.col("q_forms"))
     flags = rows.groupBy("sample", "document_id", "n", "page_id", "block_id", "quote").agg(
         F.coalesce(F.bool_or(hit & (F.col("b_block") == F.col("block_id"))), F.lit(False)).alias("exact"), F.coalesce(F.bool_or(hit), F.lit(False)).alias("on_page")
     )
@@ -120,18 +120,20 @@ def verified(evidence: DataFrame, pages: DataFrame, blocks: DataFrame, units: Da
     shuffle, so a page's texts are not gathered.
     """
     keys = ["sample", "document_id", "n"]
-    cited_rows = evidence.select(*keys, "evidence_id", "page_id", "block_id", "quote", "supports", normalize_quote(F.col("quote")).alias("q_form"))
+    cited_rows = evidence.select(*keys, "evidence_id", "page_id", "block_id", "quote", "supports", search_forms(F.col("quote")).alias("q_forms"))
     own = ["document_id", "page_id"]
     long = lambda c: F.col(c).cast("long")
     none = lambda kind: F.lit(None).cast(kind)
 
+    # Forms are made once a container, before containers meet citations.
+    with_forms = lambda c: c.withColumn("c_forms", search_forms(normalize_quote(F.col("c_text"))))
     of_pages = pages.select(*own, none("string").alias("c_block"), F.lit(2).alias("place"), F.lit(0).cast("long").alias("c_order"), F.col("page_text").alias("c_text"))
     of_blocks = blocks.select(*own, F.col("block_id").alias("c_block"), F.lit(3).alias("place"), long("order_index").alias("c_order"), F.col("text").alias("c_text"))
-    in_store = cited_rows.join(of_pages.unionByName(of_blocks), own)
+    in_store = cited_rows.join(with_forms(of_pages.unionByName(of_blocks)), own)
     of_units = units.select("sample", "page_id", F.col("block_id").alias("c_block"), F.lit(4).alias("place"), long("n_unit").alias("c_order"), F.col("text_excerpt").alias("c_text"))
-    in_gold = cited_rows.join(of_units, ["sample", "page_id"])
+    in_gold = cited_rows.join(with_forms(of_units), ["sample", "page_id"])
     met = in_store.unionByName(in_gold, allowMissingColumns=True)
-    met = met.where(contains_normal(normalize_quote(F.col("c_text")), F.col("q_form")))
+    met = met.where(contains_forms(F.col("c_forms"), F.col("q_forms"))).drop("c_forms", "q_forms")
     same = F.coalesce(F.col("c_block") == F.col("block_id"), F.lit(False))
     exact = same & F.col("place").isin(3, 4)
     place = F.when(same & (F.col("place") == 3), 1).otherwise(F.col("place"))
@@ -139,7 +141,7 @@ def verified(evidence: DataFrame, pages: DataFrame, blocks: DataFrame, units: Da
         F.when(exact, F.lit(EXACT)).otherwise(ON_PAGE).alias("label"), F.col("page_id").alias("matched_page_id"), F.col("c_block").alias("matched_block_id"), F.col("quote").alias("of"), F.col("c_text"), place.alias("by"),
     )
     found = met.groupBy(*keys).agg(F.min_by(best, F.struct(place, "c_order", "c_block")).alias("b"))
-    rows = cited_rows.drop("q_form").join(found, keys, "left")
+    rows = cited_rows.drop("q_forms").join(found, keys, "left")
     label = F.coalesce("b.label", F.lit(INVALID))
     whole = strip(F.coalesce("b.c_text", F.lit("")))
     around = F.when(F.col("b.by") == 4, normalize_quote(whole)).otherwise(snippet(F.col("b.c_text"), F.col("b.of")))

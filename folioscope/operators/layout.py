@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from statistics import median
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCKS = "document_id {document}, page_id {page}, block long, x0 double, y0 double, x1 double, y1 double, n_lines long, text string"
+#: Blocks sent at once, about.
+ROWS = 5_000
 
 
 def overlap(a: tuple, b: list) -> float:
@@ -42,16 +45,43 @@ def line_blocks(lines: DataFrame, gap_factor: float = 1.2, min_overlap: float =
     kind = {c: lines.schema[c].dataType.simpleString() for c in ("document_id", "page_id")}
     schema = BLOCKS.format(document=kind["document_id"], page=kind["page_id"])
 
-    def one(page: pd.DataFrame) -> pd.DataFrame:
-        rows = page.sort_values(["y0", "x0", "text"])
-        found = group_lines(list(zip(rows.x0, rows.y0, rows.x1, rows.y1, rows.text, strict=True)), gap_factor, min_overlap)
-        half = float(page.page_width.iloc[0]) / 2
-        found.sort(key=lambda b: (half > 0 and b[0] >= half, b[1]))
-        d, p = page.document_id.iloc[0], page.page_id.iloc[0]
-        return pd.DataFrame([(d, p, k, *b[:4], len(b[4]), " ".join(b[4])) for k, b in enumerate(found)], columns=[c.split()[0] for c in schema.split(", ")])
-
     columns = ["document_id", "page_id", "page_width", "x0", "y0", "x1", "y1", "text"]
-    return lines.select(*columns).where(F.trim("text") != "").groupBy("document_id", "page_id").applyInPandas(one, schema)
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def page_rows(page: tuple, width: float | None, rows: list[tuple]) -> Iterator[tuple]:
+        found = group_lines(rows, gap_factor, min_overlap)
+        half = (width or 0.0) / 2
+        found.sort(key=lambda b: (half > 0 and b[0] >= half, b[1]))
+        for k, b in enumerate(found):
+            yield *page, k, *b[:4], len(b[4]), " ".join(b[4])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, width, rows, out, kinds = None, None, [], [], None
+
+        def block_batch() -> pa.RecordBatch:
+            types = [*kinds, pa.int64(), *[pa.float64()] * 4, pa.int64(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in columns[:2]]
+            for d, p, w, *line in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if (d, p) != now:
+                    if rows:
+                        out.extend(page_rows(now, width, rows))
+                    now, width, rows = (d, p), w, []
+                rows.append(tuple(line))
+            if len(out) >= ROWS:
+                yield block_batch()
+                out = []
+        if rows:
+            out.extend(page_rows(now, width, rows))
+        if out:
+            yield block_batch()
+
+    # Pages stream by: a task holds the lines of one page, in order, and the blocks not yet sent.
+    keys = ["document_id", "page_id"]
+    kept = lines.select(*columns).where(F.trim("text") != "").repartition(*keys).sortWithinPartitions(*keys, "y0", "x0", "text")
+    return kept.mapInArrow(run, schema)
 
 
 def recognised_blocks(lines: DataFrame, least_score: float = 0.5) -> DataFrame:

@@ -27,7 +27,7 @@ _EVIDENCE = (
 _SQL = rf"""{S.SQL_BLOCKS},
 src AS (SELECT doc_id, coalesce(ln[1], '') AS l0, coalesce(ln[2], '') AS l1, coalesce(ln[3], '') AS l2 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ln FROM documents)),
 units AS (SELECT doc_id, 1 AS n_unit, 2 AS page_id, 'p2_b4' AS block_id, l0 AS excerpt FROM src UNION ALL SELECT doc_id, 2, 1, 'p1_b2', substr(l2, 1, 30) FROM src),
-ev AS ({" UNION ALL ".join(f"SELECT doc_id, {n} AS n, {p if p is not None else 1} AS page_id, '{b or 'p1_b2'}' AS block_id, trim(regexp_replace({'substr(l2, 1, 30)' if p is None else q}, '\s+', ' ', 'g')) AS quote FROM src" for n, (_, p, b, q) in enumerate(_EVIDENCE))}),
+ev AS ({" UNION ALL ".join(rf"SELECT doc_id, {n} AS n, {p if p is not None else 1} AS page_id, '{b or 'p1_b2'}' AS block_id, trim(regexp_replace({'substr(l2, 1, 30)' if p is None else q}, '\s+', ' ', 'g')) AS quote FROM src" for n, (_, p, b, q) in enumerate(_EVIDENCE))}),
 pt AS (SELECT doc_id, page_id, string_agg(text, chr(10) ORDER BY order_index) AS text FROM blocks GROUP BY ALL),
 box AS (
   SELECT doc_id, page_id, block_id, 3 AS place, order_index AS o, text FROM blocks UNION ALL SELECT doc_id, page_id, NULL, 2, 0, text FROM pt

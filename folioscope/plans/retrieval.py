@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import geometry
 from folioscope.functions.text import tokens
-from folioscope.operators import impact, metrics, retrieval
+from folioscope.operators import impact, metrics, retrieval, vector_lists
 from folioscope.plans import surrogates as S
 from folioscope.plans.registry import register
 from folioscope.session import table, written
@@ -131,7 +131,7 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine neighbours of a stated query set (ids divisible by 20) among all vectors."""
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("a"))
-    return retrieval.nearest(e.select("vec_id", "embedding"), q, 5)
+    return vector_lists.nearest(e.select("vec_id", "embedding"), q, 5)
 
 
 @register("late_interaction", """WITH q AS (SELECT label AS qid, vec_id AS q_pos, embedding AS a FROM embeddings WHERE vec_id % 20 = 0), p AS (SELECT vec_id // 10 AS page_id, embedding AS b FROM embeddings),
@@ -142,7 +142,7 @@ def late_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     q = e.where("vec_id % 20 = 0").select(F.col("label").alias("qid"), F.col("vec_id").alias("q_pos"), F.col("embedding").alias("q_vec"))
     pages = e.select(F.floor(F.col("vec_id") / 10).cast("long").alias("page_id"), F.col("embedding").alias("p_vec"))
-    return retrieval.late_interaction(q, pages, 4).select("qid", "page_id", F.round("score", 6).alias("score"), "rank")
+    return vector_lists.search(q, pages, 4).select("qid", "page_id", "score", "rank")
 
 
 @register("auroc", """WITH a AS (SELECT quality AS label, n_chars AS score, lang FROM labels JOIN documents USING (doc_id)),

@@ -181,7 +181,7 @@ def test_manifests(spark):
 
 
 def test_sources_of_documents(spark, tmp_path):
-    lists = [{"sample_id": "a", "top_page_ids": ["2"]}, {"id": " b ", "scores": [{"page_id": "1", "score": 0.1}, {"page_id": "3", "score": 0.9}]}, {"id": "", "page_ids": ["1"]}, {"id": "c"}]
+    lists = [{"sample_id": "a", "ranked_page_ids": ["2"]}, {"id": " b ", "scores": [{"page_id": "1", "score": 0.1}, {"page_id": "3", "score": 0.9}]}, {"id": "", "page_ids": ["1"]}, {"id": "c"}]
     (tmp_path / "x.jsonl").write_text("\n".join(map(json.dumps, lists)))
     (tmp_path / "y.json").write_text(json.dumps(lists, indent=1))
     (tmp_path / "z.json").write_text(json.dumps({"predictions": lists}, indent=1))
