@@ -45,7 +45,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.train(toxicity.sample(docs, labels, crc_mod(5) != 0))
+    model = toxicity.train(toxicity.sample(docs, labels, crc_mod(5) != 0), spark)
     return toxicity.score(docs, model).select("doc_id", (crc_mod(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

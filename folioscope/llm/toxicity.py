@@ -24,7 +24,7 @@ rows of both kinds in both halves the score is the share of toxic rows (0 withou
 rows); too little text to train on is a dictionary itself; a kind without telling
 strings trains on its whole texts; a document with
 unlike labels is learnt from under each; ids may repeat; other columns are not
-read. Scoring is one pass without a shuffle.
+read; an empty table of documents gives no rows. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm.common import bounded_sample, lean, prepare, texts
@@ -221,24 +221,65 @@ def dictionaries(rows: list[tuple[str | None, int]], pairs: tuple[Pair, ...] = P
     return out
 
 
-def train(rows: list[tuple[str | None, int]]) -> Model:
-    """Fit on (text, label) rows: the calibration across two halves, the dictionaries on both."""
+def _fitted(sets: list[list[tuple[str | None, int]]], spark: SparkSession | None) -> list[list[tuple[bytes, bytes]]]:
+    """:func:`dictionaries` of each set of rows, a set to a task where a session is given."""
+    if spark is None:
+        return [dictionaries(rows) for rows in sets]
+    shared = spark.sparkContext.broadcast(sets)  # the bounded sample, in halves and whole
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column("id").to_pylist():
+                plain, toxic = zip(*dictionaries(shared.value[k]))
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(plain)), pa.array(range(len(plain))), pa.array(plain, pa.binary()), pa.array(toxic, pa.binary())], ["k", "pair", "plain", "toxic"])
+
+    found = spark.range(0, len(sets), 1, len(sets)).mapInArrow(lean(fit), "k long, pair long, plain binary, toxic binary").collect()
+    shared.unpersist()
+    out: list[list[tuple[bytes, bytes]]] = [[] for _ in sets]
+    for r in sorted(found, key=lambda r: (r["k"], r["pair"])):
+        out[r["k"]].append((bytes(r["plain"]), bytes(r["toxic"])))
+    return out
+
+
+def _features(model: Model, rows: list[tuple[str | None, int]], spark: SparkSession | None) -> list[list[float]]:
+    """The features of each row's text, as tasks where a session is given."""
+    if spark is None:
+        return [model.features(text) for text, _ in rows]
+    shared = spark.sparkContext.broadcast((model, [text for text, _ in rows]))
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("id").to_pylist()
+            model, held = shared.value
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([model.features(held[k]) for k in ids], pa.list_(pa.float64()))], ["id", "x"])
+
+    found = spark.range(0, len(rows), 1, spark.sparkContext.defaultParallelism).mapInArrow(lean(rate), "id long, x array<double>").collect()
+    shared.unpersist()
+    return [r["x"] for r in sorted(found, key=lambda r: r["id"])]
+
+
+def train(rows: list[tuple[str | None, int]], spark: SparkSession | None = None) -> Model:
+    """Fit on (text, label) rows: the calibration across two halves, the dictionaries on both.
+
+    With a session, dictionaries and features are made by Spark tasks; the driver
+    solves the calibration, a few dozen numbers.
+    """
     labels = [int(y) for _, y in rows]
     prior = sum(labels) / len(labels) if labels else 0.0
     kinds = [[r for r in rows if r[1] == y] for y in (0, 1)]  # both halves get half of each kind
     halves = kinds[0][::2] + kinds[1][::2], kinds[0][1::2] + kinds[1][1::2]
     if any(len({y for _, y in half}) < 2 for half in halves):
         return Model(prior=prior)
+    fitted = _fitted([*halves, rows], spark)
     features, known = [], []
-    for one, other in (halves, halves[::-1]):
-        model = Model(dictionaries(one))
-        features += [model.features(text) for text, _ in other]
+    for mine, other in ((fitted[0], halves[1]), (fitted[1], halves[0])):
+        features += _features(Model(mine), other, spark)
         known += [y for _, y in other]
     truth = np.asarray(known, float)
     centre, scale, weights = (x.tolist() for x in _logistic(np.asarray(features), truth))
     found = Model(centre=centre, scale=scale, weights=weights).score(np.asarray(features))
     weights[-1] -= _threshold(found, truth)
-    return Model(dictionaries(rows), centre, scale, weights, prior)
+    return Model(fitted[2], centre, scale, weights, prior)
 
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, most: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[str | None, int]]:

@@ -499,6 +499,20 @@ def test_toxicity_dictionaries_are_trained():
     assert toxicity.windows("a b c", 2, 1) == [b" a b ", b" b c "] and toxicity.windows("1 2") == []
 
 
+def test_toxicity_trains_alike_as_tasks_and_here(spark):
+    rng = np.random.default_rng(5)
+    rows = [(sentence(rng, 40) + (" you scoundrel blockhead nitwitted" if k % 5 == 0 else ""), int(k % 5 == 0)) for k in range(120)]
+    here, tasks = toxicity.train(rows), toxicity.train(rows, spark)
+    assert here.dictionaries == tasks.dictionaries and here.weights == tasks.weights and here.centre == tasks.centre
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.score(frame(spark, []), here).collect() == []
+    empty = toxicity.train(toxicity.sample(frame(spark, []), labels, F.lit(True)), spark)
+    long = "plain words " * 60_000
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(frame(spark, [(1, long), (2, None)]), here).collect()}
+    assert got[1] == float(here.score(np.asarray([here.features(long)]))[0]) and 0 <= got[2] <= 1
+    assert [r["score"] for r in toxicity.score(frame(spark, [(1, "a")]), empty).collect()] == [0.0]
+
+
 def test_language_id(spark):
     rng = np.random.default_rng(0)
     parts = {"xx": ["ing", "the", "er", "tion"], "yy": ["sch", "ung", "keit", "ver"], "zz": ["eau", "oi", "ment", "que"]}
