@@ -113,15 +113,19 @@ def contains_quote(container: Column, quote: Column) -> Column:
     return contains_normal(normalize_quote(container), normalize_quote(quote))
 
 
-def snippet(container: Column, quote: Column, size: int = 220) -> Column:
-    """The quote with a third of ``size`` before it and half after; the head where it isn't found."""
-    text, wanted = normalize_quote(container), normalize_quote(quote)
+def snippet_of(text: Column, wanted: Column, size: int = 220) -> Column:
+    """:func:`snippet` of texts in their quote form."""
     at = F.instr(F.lower(text), F.lower(wanted))
     first = F.greatest(F.lit(0), at - 1 - size // 3)
     last = F.least(F.length(text), at - 1 + F.length(wanted) + size // 2)
     return F.when((wanted == "") | (at <= 0), F.substring(text, 1, size)).otherwise(F.substr(text, first + 1, last - first))
 
 
+def snippet(container: Column, quote: Column, size: int = 220) -> Column:
+    """The quote with a third of ``size`` before it and half after; the head where it isn't found."""
+    return snippet_of(normalize_quote(container), normalize_quote(quote), size)
+
+
 def repair_spacing(text: Column) -> Column:
     """Spaces that a recogniser dropped next to punctuation, put back."""
     after = F.regexp_replace(text, SPACE_AFTER, "$1 ")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from folioscope.functions.text import contains_forms, contains_normal, normalize_quote, search_forms, snippet, strip
+from folioscope.functions.text import contains_forms, contains_normal, normalize_quote, search_forms, snippet_of, strip
 
 PREDICTION = "struct<result: string, claims: array<struct<claim_id: string, text: string>>, evidence: array<struct<evidence_id: string, page_id: int, block_id: string, quote: string, supports: array<string>>>>"
 
@@ -89,8 +89,8 @@ def citation_validity(evidence: DataFrame, blocks: DataFrame) -> DataFrame:
     The join is on document and page; a page's blocks are reduced to two flags
     per citation before anything else is kept.
     """
-    forms = blocks.select("document_id", "page_id", F.col("block_id").alias("b_block"), search_forms(normalize_quote(F.col("text"))).alias("b_forms"))
-    rows = evidence.withColumn("q_forms", search_forms(normalize_quote(F.col("quote")))).join(forms, ["document_id", "page_id"], "left")
+    forms = blocks.select("document_id", "page_id", F.col("block_id").alias("b_block"), normalize_quote(F.col("text")).alias("b_norm")).withColumn("b_forms", search_forms(F.col("b_norm"))).drop("b_norm")
+    rows = evidence.withColumn("q_norm", normalize_quote(F.col("quote"))).withColumn("q_forms", search_forms(F.col("q_norm"))).drop("q_norm").join(forms, ["document_id", "page_id"], "left")
     hit = contains_forms(F.col("b_forms"), F.col("q_forms"))
     flags = rows.groupBy("sample", "document_id", "n", "page_id", "block_id", "quote").agg(
         F.coalesce(F.bool_or(hit & (F.col("b_block") == F.col("block_id"))), F.lit(False)).alias("exact"), F.coalesce(F.bool_or(hit), F.lit(False)).alias("on_page")
@@ -120,35 +120,34 @@ def verified(evidence: DataFrame, pages: DataFrame, blocks: DataFrame, units: Da
     shuffle, so a page's texts are not gathered.
     """
     keys = ["sample", "document_id", "n"]
-    cited_rows = evidence.select(*keys, "evidence_id", "page_id", "block_id", "quote", "supports", search_forms(F.col("quote")).alias("q_forms"))
+    said = ["evidence_id", "page_id", "block_id", "quote", "supports"]
     own = ["document_id", "page_id"]
-    long = lambda c: F.col(c).cast("long")
-    none = lambda kind: F.lit(None).cast(kind)
+    rows = evidence.select(*keys, *said).withColumn("q_forms", search_forms(F.col("quote")))
+    of_pages = pages.select(*own, F.lit(None).cast("string").alias("c_block"), F.lit(2).alias("place"), F.lit(0).cast("long").alias("c_order"), F.col("page_text").alias("c_text"))
+    of_blocks = blocks.select(*own, F.col("block_id").alias("c_block"), F.lit(3).alias("place"), F.col("order_index").cast("long").alias("c_order"), F.col("text").alias("c_text"))
+    of_units = units.select("sample", "page_id", F.col("block_id").alias("c_block"), F.lit(4).alias("place"), F.col("n_unit").cast("long").alias("c_order"), F.col("text_excerpt").alias("c_text"))
+
+    def best(met: DataFrame, name: str) -> DataFrame:
+        """The first container of each citation that holds its quote, as struct ``name``; citations stay without one."""
+        same = F.coalesce(F.col("c_block") == F.col("block_id"), F.lit(False))
+        exact = same & F.col("place").isin(3, 4)
+        order = F.struct(F.when(exact & (F.col("place") == 3), 1).otherwise(F.col("place")).alias("place"), "c_order", "c_block")
+        hit = contains_forms(F.col("c_forms"), F.col("q_forms"))
+        found = F.struct(exact.alias("exact"), F.col("place").alias("place"), F.col("c_block").alias("block"), F.col("c_text").alias("text"))
+        kept = [c for c in met.columns if c not in (*keys, "c_block", "place", "c_order", "c_text", "c_norm", "c_forms")]
+        out = met.groupBy(*keys).agg(F.any_value(F.struct(*kept)).alias("row"), F.min_by(found, F.when(hit, order)).alias(name))
+        return out.select(*keys, "row.*", name)
 
     # Forms are made once a container, before containers meet citations.
-    with_forms = lambda c: c.withColumn("c_forms", search_forms(normalize_quote(F.col("c_text"))))
-    of_pages = pages.select(*own, none("string").alias("c_block"), F.lit(2).alias("place"), F.lit(0).cast("long").alias("c_order"), F.col("page_text").alias("c_text"))
-    of_blocks = blocks.select(*own, F.col("block_id").alias("c_block"), F.lit(3).alias("place"), long("order_index").alias("c_order"), F.col("text").alias("c_text"))
-    in_store = cited_rows.join(with_forms(of_pages.unionByName(of_blocks)), own)
-    of_units = units.select("sample", "page_id", F.col("block_id").alias("c_block"), F.lit(4).alias("place"), long("n_unit").alias("c_order"), F.col("text_excerpt").alias("c_text"))
-    in_gold = cited_rows.join(with_forms(of_units), ["sample", "page_id"])
-    met = in_store.unionByName(in_gold, allowMissingColumns=True)
-    met = met.where(contains_forms(F.col("c_forms"), F.col("q_forms"))).drop("c_forms", "q_forms")
-    same = F.coalesce(F.col("c_block") == F.col("block_id"), F.lit(False))
-    exact = same & F.col("place").isin(3, 4)
-    place = F.when(same & (F.col("place") == 3), 1).otherwise(F.col("place"))
-    best = F.struct(
-        F.when(exact, F.lit(EXACT)).otherwise(ON_PAGE).alias("label"), F.col("page_id").alias("matched_page_id"), F.col("c_block").alias("matched_block_id"), F.col("quote").alias("of"), F.col("c_text"), place.alias("by"),
-    )
-    found = met.groupBy(*keys).agg(F.min_by(best, F.struct(place, "c_order", "c_block")).alias("b"))
-    rows = cited_rows.drop("q_forms").join(found, keys, "left")
-    label = F.coalesce("b.label", F.lit(INVALID))
-    whole = strip(F.coalesce("b.c_text", F.lit("")))
-    around = F.when(F.col("b.by") == 4, normalize_quote(whole)).otherwise(snippet(F.col("b.c_text"), F.col("b.of")))
-    return rows.select(
-        *keys, "evidence_id", "page_id", "block_id", "quote", "supports", label.alias("validation_label"),
-        F.when(label == EXACT, 1.0).when(label == ON_PAGE, 0.5).otherwise(0.0).alias("validation_score"),
-        F.col("b.matched_page_id").alias("matched_page_id"), F.col("b.matched_block_id").alias("matched_block_id"), F.coalesce(around, F.lit("")).alias("matched_snippet"), whole.alias("matched_snippet_raw"),
+    with_forms = lambda c: c.withColumn("c_norm", normalize_quote(F.col("c_text"))).withColumn("c_forms", search_forms(F.col("c_norm"))).drop("c_norm")
+    in_store = best(rows.join(with_forms(of_pages.unionByName(of_blocks)), own, "left"), "stored")
+    in_gold = best(in_store.join(with_forms(of_units), ["sample", "page_id"], "left"), "gold")
+    settled = in_gold.withColumn("b", F.coalesce("stored", "gold")).withColumn("raw", strip(F.coalesce("b.text", F.lit("")))).withColumn("form", normalize_quote(F.col("raw")))
+    label = F.when(F.col("b").isNull(), F.lit(INVALID)).when(F.col("b.exact"), F.lit(EXACT)).otherwise(ON_PAGE)
+    around = F.when(F.col("b.place") == 4, F.col("form")).otherwise(snippet_of(F.col("form"), F.col("quote")))
+    return settled.withColumn("validation_label", label).select(
+        *keys, *said, "validation_label", F.when(F.col("validation_label") == EXACT, 1.0).when(F.col("validation_label") == ON_PAGE, 0.5).otherwise(0.0).alias("validation_score"),
+        F.when(F.col("b").isNotNull(), F.col("page_id")).alias("matched_page_id"), F.col("b.block").alias("matched_block_id"), F.when(F.col("b").isNull(), "").otherwise(around).alias("matched_snippet"), F.col("raw").alias("matched_snippet_raw"),
     )
 
 

@@ -73,7 +73,11 @@ def page_numbers(a: Column, least: int | None = 1) -> Column:
 
 def document_store(spark: SparkSession, path: str, min_page_id: int | None = None) -> DataFrame:
     """Pages of per-document JSON files: document_id, page_id, width, height, page_text, blocks. A broken file is an error."""
-    docs = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return document_pages(spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path), min_page_id)
+
+
+def document_pages(docs: DataFrame, min_page_id: int | None = None) -> DataFrame:
+    """Pages of parsed documents; those without a page number go."""
     pages = docs.select("document_id", F.explode_outer("pages").alias("p"))
     rows = pages.select("document_id", page_number(F.col("p.page_id"), min_page_id).alias("page_id"), F.col("p.width").alias("width"), F.col("p.height").alias("height"), F.coalesce("p.page_text", F.lit("")).alias("page_text"), F.col("p.blocks").alias("blocks"))
     return rows.where(F.col("page_id").isNotNull())
