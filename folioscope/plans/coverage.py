@@ -87,11 +87,11 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", P.mode_prompt(F.col("text"), memory, "pages_memory").alias("prompt"), P.rerank_prompt(F.col("text"), memory).alias("rerank"))
 
 
-@register("group_context", """WITH r AS (SELECT source, doc_id, n_chars / 1000::DOUBLE AS s FROM documents), m AS (SELECT *, avg(s) OVER w AS mean_score, max(s) OVER w AS max_score FROM r WINDOW w AS (PARTITION BY source))
-    SELECT source, doc_id, round(mean_score, 6) AS mean_score, round(max_score, 6) AS max_score, round(exp(s - max_score) / sum(exp(s - max_score)) OVER (PARTITION BY source), 6) AS softmax FROM m""")
+@register("group_context", f"""WITH {S.SQL_BLOCKS}, r AS (SELECT doc_id, block_id, ln(1 + length(text))::DOUBLE AS s FROM blocks), m AS (SELECT *, avg(s) OVER w AS mean_score, max(s) OVER w AS max_score FROM r WINDOW w AS (PARTITION BY doc_id))
+    SELECT doc_id, block_id, round(mean_score, 6) AS mean_score, round(max_score, 6) AS max_score, round(exp(s - max_score) / sum(exp(s - max_score)) OVER (PARTITION BY doc_id), 6) AS softmax FROM m""")
 def group_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = losses.in_group_context(table(spark, sf_dir, "documents").select("source", "doc_id", (F.col("n_chars") / 1000.0).alias("s")), ["source"], "s")
-    return rows.select("source", "doc_id", *[F.round(c, 6).alias(c) for c in ("mean_score", "max_score", "softmax")])
+    rows = losses.in_group_context(S.blocks(spark, sf_dir).select("doc_id", "block_id", F.log1p(F.length("text").cast("double")).alias("s")), ["doc_id"], "s")
+    return rows.select("doc_id", "block_id", *[F.round(c, 6).alias(c) for c in ("mean_score", "max_score", "softmax")])
 
 
 @register("masked_means", """SELECT user_id, round(sum(value * (event_id % 2)) / greatest(sum(event_id % 2), 1), 9) AS masked_mean FROM events GROUP BY user_id""")

@@ -63,10 +63,11 @@ def lexical_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.pack(selection.lexical_selection(rows, "qid", 8), "qid", 300).select("qid", "num_facts", "memory")
 
 
-@register("ratio_kept", """WITH r AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS kept_rank, count(*) OVER (PARTITION BY source) AS n FROM documents)
-    SELECT source, doc_id, kept_rank, greatest(2, floor(n * 0.15)::BIGINT) AS keep_n FROM r WHERE kept_rank <= greatest(2, floor(n * 0.15)::BIGINT)""")
+@register("ratio_kept", f"""WITH {S.SQL_BLOCKS}, r AS (SELECT doc_id, block_id, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, order_index) AS kept_rank, count(*) OVER (PARTITION BY doc_id) AS n FROM blocks)
+    SELECT doc_id, block_id, kept_rank, greatest(2, floor(n * 0.15)::BIGINT) AS keep_n FROM r WHERE kept_rank <= greatest(2, floor(n * 0.15)::BIGINT)""")
 def ratio_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.keep_ratio(table(spark, sf_dir, "documents"), ["source"], "n_chars", ["doc_id"], 0.15, 2).select("source", "doc_id", "kept_rank", "keep_n")
+    rows = S.blocks(spark, sf_dir).select("doc_id", "block_id", "order_index", F.length("text").alias("chars"))
+    return selection.keep_ratio(rows, ["doc_id"], "chars", ["order_index"], 0.15, 2).select("doc_id", "block_id", "kept_rank", "keep_n")
 
 
 _SHARDS = "s AS (SELECT user_id AS id, event_id % 4 AS shard, event_id, value FROM events)"

@@ -154,13 +154,14 @@ def auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.auroc(rows, "label", "score", ["lang"]).withColumn("auroc", F.round("auroc", 6))
 
 
-@register("recall_at_budget", """WITH a AS (SELECT source, doc_id, quality AS gold, n_chars FROM labels JOIN documents USING (doc_id)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM a),
-    g AS (SELECT source, sum(gold) AS gold, sum(CASE WHEN rn <= 10 THEN gold ELSE 0 END) AS hit FROM r GROUP BY source HAVING sum(gold) > 0)
+@register("recall_at_budget", f"""WITH {S.SQL_BLOCKS}, a AS (SELECT doc_id, order_index, length(text) AS chars, len({S.sql_tokens('text')}) % 4 = 0 AS gold FROM blocks),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, order_index) AS rn FROM a),
+    g AS (SELECT doc_id, count(*) FILTER (gold) AS gold, count(*) FILTER (gold AND rn <= 3) AS hit FROM r GROUP BY doc_id HAVING count(*) FILTER (gold) > 0)
     SELECT count(*) AS n_groups, round(avg(hit / gold::DOUBLE), 6) AS recall, round(avg((hit = gold)::INT), 6) AS full_recall FROM g""")
 def recall_at_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
-    out = metrics.recall_at_budget(rows, "source", "quality", [F.col("n_chars").desc(), F.col("doc_id")], 10)
+    """How many of a document's marked lines are among its three longest."""
+    rows = S.blocks(spark, sf_dir).select("doc_id", "order_index", F.length("text").alias("chars"), (F.size(tokens(F.col("text"))) % 4 == 0).cast("int").alias("gold"))
+    out = metrics.recall_at_budget(rows, "doc_id", "gold", [F.col("chars").desc(), F.col("order_index")], 3)
     return out.select("n_groups", F.round("recall", 6).alias("recall"), F.round("full_recall", 6).alias("full_recall"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import tokens
 from folioscope.operators import losses, paired
 from folioscope.plans import surrogates as S
 from folioscope.plans.registry import register
@@ -109,17 +110,22 @@ def grader_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.rollup("lang").agg(F.count("*").alias("n"), F.round(F.avg((F.col("quality") == F.col("other")).cast("int")), 6).alias("agreement"), F.count_if(F.col("quality") > F.col("other")).alias("first_only"), F.count_if(F.col("quality") < F.col("other")).alias("second_only"))
 
 
-@register("softmax_loss", """WITH r AS (SELECT source, quality = 1 AS pos, n_chars / 10000::DOUBLE AS s FROM labels JOIN documents USING (doc_id)), m AS (SELECT source, max(s) AS peak FROM r GROUP BY source),
-    z AS (SELECT source, sum(CASE WHEN pos THEN exp(s - peak) ELSE 0 END) AS p, sum(exp(s - peak)) AS z FROM r JOIN m USING (source) GROUP BY source) SELECT source, round(ln(z / p), 6) AS loss FROM z WHERE p > 0""")
+_LINES = f"{S.SQL_BLOCKS}, r AS (SELECT doc_id, order_index AS block, len({S.sql_tokens('text')}) % 4 = 0 AS pos, ln(1 + length(text))::DOUBLE AS s FROM blocks)"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's lines as candidates: longer ones score higher, those with a number of words divisible by four are positive."""
+    return S.blocks(spark, sf_dir).select("doc_id", F.col("order_index").alias("block"), (F.size(tokens(F.col("text"))) % 4 == 0).alias("pos"), F.log1p(F.length("text").cast("double")).alias("s"))
+
+
+@register("softmax_loss", f"""WITH {_LINES}, m AS (SELECT doc_id, max(s) AS peak FROM r GROUP BY doc_id),
+    z AS (SELECT doc_id, sum(CASE WHEN pos THEN exp(s - peak) ELSE 0 END) AS p, sum(exp(s - peak)) AS z FROM r JOIN m USING (doc_id) GROUP BY doc_id) SELECT doc_id, round(ln(z / p), 6) + 0 AS loss FROM z WHERE p > 0""")
 def softmax_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
-    return losses.softmax_nll(rows, "source", F.col("quality") == 1, F.col("n_chars") / 10000.0).select("source", F.round("loss", 6).alias("loss"))
+    return losses.softmax_nll(_lines(spark, sf_dir), "doc_id", F.col("pos"), F.col("s")).select("doc_id", (F.round("loss", 6) + 0.0).alias("loss"))
 
 
-@register("hinge_loss", """WITH r AS (SELECT source, doc_id, quality = 1 AS pos, n_chars / 10000::DOUBLE AS s FROM labels JOIN documents USING (doc_id)),
-    n AS (SELECT source, s FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s DESC, doc_id) AS k FROM r WHERE NOT pos) WHERE k <= 3)
-    SELECT r.source, round(avg(greatest(0, 0.2::DOUBLE - r.s + n.s)), 6) AS loss FROM r JOIN n ON r.source = n.source AND r.pos GROUP BY r.source""")
+@register("hinge_loss", f"""WITH {_LINES}, n AS (SELECT doc_id, s FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, block) AS k FROM r WHERE NOT pos) WHERE k <= 3)
+    SELECT r.doc_id, round(avg(greatest(0, 0.2::DOUBLE - r.s + n.s)), 6) AS loss FROM r JOIN n ON r.doc_id = n.doc_id AND r.pos GROUP BY r.doc_id""")
 def hinge_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
-    out = losses.hinge_top_negatives(rows, "source", F.col("quality") == 1, F.col("n_chars") / 10000.0, ["doc_id"], 3, 0.2)
-    return out.select("source", F.round("loss", 6).alias("loss"))
+    out = losses.hinge_top_negatives(_lines(spark, sf_dir), "doc_id", F.col("pos"), F.col("s"), ["block"], 3, 0.2)
+    return out.select("doc_id", F.round("loss", 6).alias("loss"))

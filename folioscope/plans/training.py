@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions.text import tokens
 from folioscope.operators import losses, retention
 from folioscope.plans import surrogates as S
 from folioscope.plans.registry import register
@@ -47,42 +48,45 @@ def pseudo_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", retention.pseudo_grid(n).alias("g")).select("doc_id", "g.rows", "g.columns")
 
 
-_SCORED = "s AS (SELECT source, doc_id, quality = 1 AS pos, n_chars / 10000::DOUBLE AS s, CASE WHEN doc_id % 3 > 0 THEN doc_id % 10 / 5.0::DOUBLE END AS teacher FROM labels JOIN documents USING (doc_id))"
+# A document's lines are its candidates: longer ones score higher, those with a number of words divisible by four are positive,
+# and a teacher has seen those that are wider than 20.
+_SCORED = f"""{S.SQL_BLOCKS}, s AS (SELECT doc_id, order_index AS block, len({S.sql_tokens('text')}) % 4 = 0 AS pos, ln(1 + length(text))::DOUBLE AS s, CASE WHEN x1 - x0 > 20 THEN (x1 - x0) / 40 END AS teacher FROM blocks)"""
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
-    teacher = F.when(F.pmod("doc_id", F.lit(3)) > 0, F.pmod("doc_id", F.lit(10)) / 5.0)
-    return rows.select("source", "doc_id", (F.col("quality") == 1).alias("pos"), (F.col("n_chars") / 10000.0).alias("s"), teacher.alias("teacher"))
+    width = F.col("x1") - F.col("x0")
+    return S.blocks(spark, sf_dir).select(
+        "doc_id", F.col("order_index").alias("block"), (F.size(tokens(F.col("text"))) % 4 == 0).alias("pos"), F.log1p(F.length("text").cast("double")).alias("s"), F.when(width > 20, width / 40).alias("teacher")
+    )
 
 
-@register("budget_margin", f"""WITH {_SCORED}, c AS (SELECT source, count(*) FILTER (pos) AS np, count(*) FILTER (NOT pos) AS nn FROM s GROUP BY source), k AS (SELECT source, s, row_number() OVER (PARTITION BY source ORDER BY s DESC, doc_id) AS k FROM s WHERE NOT pos),
-    t AS (SELECT source, k.s AS threshold FROM k JOIN c USING (source) WHERE np > 0 AND nn > greatest(0, 12 - np) AND k = greatest(0, 12 - np) + 1) SELECT source, round(avg(greatest(0, 0.5::DOUBLE - s.s + threshold)), 6) AS loss, count(*) AS pairs FROM s JOIN t USING (source) WHERE pos GROUP BY source""")
+@register("budget_margin", f"""WITH {_SCORED}, c AS (SELECT doc_id, count(*) FILTER (pos) AS np, count(*) FILTER (NOT pos) AS nn FROM s GROUP BY doc_id), k AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, block) AS k FROM s WHERE NOT pos),
+    t AS (SELECT doc_id, k.s AS threshold FROM k JOIN c USING (doc_id) WHERE np > 0 AND nn > greatest(0, 2 - np) AND k = greatest(0, 2 - np) + 1) SELECT doc_id, round(avg(greatest(0, 0.5::DOUBLE - s.s + threshold)), 6) AS loss, count(*) AS pairs FROM s JOIN t USING (doc_id) WHERE pos GROUP BY doc_id""")
 def budget_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = losses.budget_margin(_scored(spark, sf_dir), "source", F.col("pos"), F.col("s"), ["doc_id"], 12, 0.5)
-    return out.select("source", F.round("loss", 6).alias("loss"), "pairs")
+    out = losses.budget_margin(_scored(spark, sf_dir), "doc_id", F.col("pos"), F.col("s"), ["block"], 2, 0.5)
+    return out.select("doc_id", F.round("loss", 6).alias("loss"), "pairs")
 
 
-@register("softplus_ranking", f"""WITH {_SCORED}, n AS (SELECT source, s AS neg FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s DESC, doc_id) AS k FROM s WHERE NOT pos) WHERE k <= 3)
-    SELECT source, round(avg(greatest(0.2::DOUBLE - s + neg, 0) + ln(1 + exp(-abs(0.2::DOUBLE - s + neg)))), 6) AS loss FROM s JOIN n USING (source) WHERE pos GROUP BY source""")
+@register("softplus_ranking", f"""WITH {_SCORED}, n AS (SELECT doc_id, s AS neg FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, block) AS k FROM s WHERE NOT pos) WHERE k <= 3)
+    SELECT doc_id, round(avg(greatest(0.2::DOUBLE - s + neg, 0) + ln(1 + exp(-abs(0.2::DOUBLE - s + neg)))), 6) AS loss FROM s JOIN n USING (doc_id) WHERE pos GROUP BY doc_id""")
 def softplus_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return losses.softplus_ranking(_scored(spark, sf_dir), "source", F.col("pos"), F.col("s"), ["doc_id"], 3, 0.2).select("source", F.round("loss", 6).alias("loss"))
+    return losses.softplus_ranking(_scored(spark, sf_dir), "doc_id", F.col("pos"), F.col("s"), ["block"], 3, 0.2).select("doc_id", F.round("loss", 6).alias("loss"))
 
 
-@register("soft_membership", f"""WITH {_SCORED}, k AS (SELECT source, doc_id, s, row_number() OVER (PARTITION BY source ORDER BY s DESC, doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM s), t AS (SELECT source, avg(s) AS threshold FROM k WHERE k IN (4, 5) GROUP BY source)
-    SELECT source, doc_id, round(CASE WHEN n <= 4 THEN 1 ELSE 1 / (1 + exp(-(s - threshold) / 0.5::DOUBLE)) END, 6)::DOUBLE AS membership FROM k LEFT JOIN t USING (source)""")
+@register("soft_membership", f"""WITH {_SCORED}, k AS (SELECT doc_id, block, s, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, block) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM s), t AS (SELECT doc_id, avg(s) AS threshold FROM k WHERE k IN (2, 3) GROUP BY doc_id)
+    SELECT doc_id, block, round(CASE WHEN n <= 2 THEN 1 ELSE 1 / (1 + exp(-(s - threshold) / 0.5::DOUBLE)) END, 6)::DOUBLE AS membership FROM k LEFT JOIN t USING (doc_id)""")
 def soft_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = losses.soft_membership(_scored(spark, sf_dir), "source", "s", ["doc_id"], 4, 0.5)
-    return out.select("source", "doc_id", F.round("membership", 6).alias("membership"))
+    out = losses.soft_membership(_scored(spark, sf_dir), "doc_id", "s", ["block"], 2, 0.5)
+    return out.select("doc_id", "block", F.round("membership", 6).alias("membership"))
 
 
-@register("boundary_negatives", f"""WITH {_SCORED}, c AS (SELECT source, count(*) FILTER (pos) AS np FROM s GROUP BY source), k AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY s DESC, doc_id) AS k FROM s WHERE NOT pos)
-    SELECT source, doc_id FROM k JOIN c USING (source) WHERE k > greatest(0, 6 - least(np, 6)) AND k <= greatest(0, 6 - least(np, 6)) + 2""")
+@register("boundary_negatives", f"""WITH {_SCORED}, c AS (SELECT doc_id, count(*) FILTER (pos) AS np FROM s GROUP BY doc_id), k AS (SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, block) AS k FROM s WHERE NOT pos)
+    SELECT doc_id, block FROM k JOIN c USING (doc_id) WHERE k > greatest(0, 2 - least(np, 2)) AND k <= greatest(0, 2 - least(np, 2)) + 2""")
 def boundary_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return losses.boundary_negatives(_scored(spark, sf_dir), "source", F.col("pos"), F.col("s"), ["doc_id"], 6, 2).select("source", "doc_id")
+    return losses.boundary_negatives(_scored(spark, sf_dir), "doc_id", F.col("pos"), F.col("s"), ["block"], 2, 2).select("doc_id", "block")
 
 
-@register("distillation_loss", f"""WITH {_SCORED}, h AS (SELECT source, s / 2 AS s, teacher / 2 AS q FROM s WHERE teacher IS NOT NULL), z AS (SELECT source, ln(sum(exp(s))) AS zs, ln(sum(exp(q))) AS zq, count(*) AS n FROM h GROUP BY source)
-    SELECT source, round(greatest(0, sum(exp(q - zq) * ((q - zq) - (s - zs)))) * 4 / any_value(n), 6) + 0 AS loss FROM h JOIN z USING (source) WHERE n >= 2 GROUP BY source""")
+@register("distillation_loss", f"""WITH {_SCORED}, h AS (SELECT doc_id, s / 2 AS s, teacher / 2 AS q FROM s WHERE teacher IS NOT NULL), z AS (SELECT doc_id, ln(sum(exp(s))) AS zs, ln(sum(exp(q))) AS zq, count(*) AS n FROM h GROUP BY doc_id)
+    SELECT doc_id, round(greatest(0, sum(exp(q - zq) * ((q - zq) - (s - zs)))) * 4 / any_value(n), 6) + 0 AS loss FROM h JOIN z USING (doc_id) WHERE n >= 2 GROUP BY doc_id""")
 def distillation_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return losses.distillation(_scored(spark, sf_dir), "source", F.col("s"), F.col("teacher"), 2.0).select("source", (F.round("loss", 6) + 0.0).alias("loss"))
+    return losses.distillation(_scored(spark, sf_dir), "doc_id", F.col("s"), F.col("teacher"), 2.0).select("doc_id", (F.round("loss", 6) + 0.0).alias("loss"))
