@@ -12,7 +12,7 @@
 A block is what block tags enclose; <br> is white space. In the winning container
 the blocks of menus, headers, footers, sidebars, notices, adverts, forms, scripts,
 styles and reader comments go, told by tag, role, class or id; a header that holds
-the article's heading stays. A part marked by its class or id alone that holds most
+the article's heading stays, inside an article element or named as the article's. A part marked by its class or id alone that holds most
 of a page's text is no such part, reader comments excepted. Where the winner is no
 article or main element, parts that read the same on all of a host's pages (five at
 least, while the winner's text differs) go too.
@@ -53,7 +53,7 @@ NOISE_TAGS = frozenset("nav footer aside form button select textarea dialog menu
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NOISE_WORDS = frozenset(
     "ad ads adbox adsense adsbygoogle adslot advert adverts advertisement advertising sponsor sponsored promo promotion promotions banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar share sharing social related recommended recommendations newsletter subscribe subscription "
+    "nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar aside footer masthead topbar toolbar share sharing social related recommended recommendations newsletter subscribe subscription "
     "signup login search searchbox widget widgets pagination pager skip paywall disclaimer form".split()
 )
 COMMENT_WORDS = frozenset("comment comments commentlist respond reply replies disqus discussion".split())
@@ -61,8 +61,8 @@ ARTICLE_WORDS = frozenset("article content entry post story main text body".spli
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
-#: Of an element: by its tag, by its class or id, by a class or id of reader comments.
-BY_TAG, BY_CLASS, BY_COMMENT = 1, 2, 4
+#: Of an element: by its tag, by its class or id, by a class or id of reader comments, as a header, as an article's header.
+BY_TAG, BY_CLASS, BY_COMMENT, HEADER, OWN_HEADER = 1, 2, 4, 8, 16
 PLAIN, MARKED, ARTICLE = 100, 110, 125
 #: Pages of a host from which a part that never changes is the host's, not the article's.
 SAME_PAGES = 5
@@ -88,6 +88,8 @@ def described(tag: str, attributes: str) -> tuple[str, int, int]:
         marks |= BY_COMMENT
     elif words & NOISE_WORDS and tag not in ("html", "body", "main", "article"):
         marks |= BY_CLASS
+    if (tag == "header" or "header" in words) and tag not in ("html", "body", "main", "article"):
+        marks |= OWN_HEADER if words & ARTICLE_WORDS - {"main", "body"} else HEADER
     weight = ARTICLE if tag in ("article", "main") or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody" else MARKED if words & ARTICLE_WORDS else PLAIN
     return ".".join([tag, *classes]), marks, weight
 
@@ -246,9 +248,9 @@ class Page:
             tag, marks = self.tag[e], self.marks[e]
             if above >= 0:
                 in_article[e] = in_article[above] or self.tag[above] in ("article", "main")
-            own = bool(marks & BY_COMMENT) or bool(marks & (BY_CLASS | BY_TAG)) and not (2 * chars[e] > chars[0] and (marks == BY_CLASS or tag == "form"))
-            if tag == "header":
-                own = own or not (in_article[e] and e in self.headed)
+            own = bool(marks & BY_COMMENT) or bool(marks & (BY_CLASS | BY_TAG)) and not (2 * chars[e] > chars[0] and (not marks & BY_TAG or tag == "form"))
+            if marks & (HEADER | OWN_HEADER):  # an article's own header holds its heading
+                own = own or not (e in self.headed and (in_article[e] or marks & OWN_HEADER))
             if tag in ("ul", "ol", "dl"):  # a menu by its make: links alone
                 own = own or links[e] >= 3 and linked[e] >= chars[e]
             self.noisy[e] = own or above >= 0 and self.noisy[above]

@@ -43,9 +43,10 @@ from folioscope.llm import kernel as K
 from folioscope.llm.common import lean, more_than_set, numbered, partitions, release, written
 
 SPAN, GRAM = 100, 32
-#: Rows whose suffixes are looked at for the splitters (about, chosen by hash), suffixes
-#: that one of them gives at most, and splitters per shuffle partition.
-SAMPLED_ROWS, PER_ROW, PER_PARTITION = 2000, 32, 8
+#: Rows whose suffixes are looked at for the splitters at least (about, chosen by hash),
+#: suffixes that one of them gives at most, and splitters per shuffle partition, while
+#: these are ``FINE`` at most; beyond that there is one a partition.
+SAMPLED_ROWS, PER_ROW, PER_PARTITION, FINE = 2000, 32, 8, 64_000
 #: Boundary runs of one gram compared in one task.
 HOT = 100_000
 
@@ -177,10 +178,11 @@ def _splitters(docs: DataFrame, span: int, gram: int, wanted: int) -> list[bytes
     """Quantiles of the leading bytes of the suffixes of rows chosen by hash.
 
     The executors read the rows and send leading bytes alone, ``PER_ROW`` of a
-    row at most, so that the driver holds a few megabytes however long they are.
+    row at most, about two for each splitter and 64,000 at least, so that the driver
+    holds 32 bytes a bucket however long they are.
     """
     n = docs.count()
-    every = -(-n // SAMPLED_ROWS) or 1
+    every = max(1, n // max(SAMPLED_ROWS, 2 * wanted // PER_ROW))
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,7 +324,8 @@ def repeats(docs: DataFrame, span: int = SPAN, gram: int = GRAM, hot_runs: int =
     if gram % 8 or gram < 16 or not gram <= span < gram + 127:
         raise ValueError("gram must be a multiple of 8 from 16 on, and span at least gram and less than gram + 127")
     parts = partitions(docs)
-    splitters = _splitters(docs, span, gram, parts * PER_PARTITION)
+    # Several buckets a partition even out small tables; large ones need no more than one.
+    splitters = _splitters(docs, span, gram, max(parts, min(parts * PER_PARTITION, FINE)))
     dealt = _emit(docs, splitters, span, gram).repartition(*more_than_set(docs, parts), "bucket")
     runs = written(dealt.mapInArrow(lean(_sorted_bucket(gram // 8)), "h long, rid long, at long"), "suffix-runs")
     del dealt

@@ -214,6 +214,14 @@ def test_host_votes(spark):
     assert (won["host"], won["label"], won["pages"], won["same"]) == ("h.example", "div.n#.post", 3, [])
 
 
+def test_headers_of_site_and_article():
+    text = "A sentence of the article that is long enough to be told from the rest of the page."
+    made = lambda top: main_text.Page(f'<body><div class="site-header"><h1>Site</h1></div><div class="post">{top}<p>{text}</p><div class="post-footer">Filed under x</div></div></body>').text()
+    assert made('<div class="post-header"><h1>Title</h1></div>') == f"Title\n\n{text}"
+    assert made('<header class="entry-header"><h2>Title</h2></header>') == f"Title\n\n{text}"
+    assert made('<div class="header"><h1>Title</h1></div>') == text and made('<div class="post-header">by someone</div>') == text
+
+
 def test_long_and_deep_pages():
     page = main_text.Page("<div>" * 3000 + "<p>deep down, some text" + "</div>" * 3000)
     assert page.text() == "deep down, some text"
