@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscope.functions import judge_requests as requests
 from folioscope.operators import studies
 from folioscope.plans import retrieval as R
 from folioscope.plans.registry import register
@@ -70,3 +71,13 @@ def selector_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda c: F.array_join(c.cast("array<string>"), ",")
     return items.withColumn("e", e).select("qid", text(F.col("e.selected")).alias("selected"), "e.used", "e.reason", text(F.col("e.missing")).alias("missing"), "e.n_ranked")
 
+
+
+@register("judge_requests", """SELECT conv_id, turn, json_object('model', 'gpt-5', 'instructions', 'Grade.', 'input', coalesce(text, ''), 'max_output_tokens', 8000, 'reasoning', json_object('effort', 'medium'))::VARCHAR AS body, coalesce(text, '') || '!' AS answer FROM conversations""")
+def judge_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for every turn, and the text of the answer that repeats it with a mark."""
+    said = F.coalesce("text", F.lit(""))
+    part = lambda t: F.struct(F.lit("output_text").alias("type"), t.alias("text"))
+    response = F.to_json(F.struct(F.array(F.struct(F.array(part(said), part(F.lit("!"))).alias("content"))).alias("output")))
+    rows = table(spark, sf_dir, "conversations")
+    return rows.select("conv_id", "turn", requests.body("responses", "gpt-5", "Grade.", said, "medium").alias("body"), requests.answer_text("responses", response).alias("answer"))

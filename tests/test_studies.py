@@ -1,5 +1,7 @@
 """Assembled studies against values worked out by hand."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,3 +38,19 @@ def test_external_selection(spark):
         "a": ([2, 1], True, None, [9, 8], 6), "b": ([1, 2], False, "no_valid_external_page", [9, 8, 9], 3), "c": ([1, 2], False, "missing_external_prediction", [], 0),
         "d": ([4], False, "no_valid_external_page", [], 0), "e": ([3, 1], True, None, [5], 5), "f": ([1], False, "no_valid_external_page", list(range(50, 60)), 20),
     }
+
+
+def test_judge_dialects(spark):
+    from folioscope.functions import judge_requests as J
+
+    one = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
+    assert J.endpoint("http://x/v1/", "chat") == "http://x/v1/chat/completions" and J.endpoint("http://x", "responses") == "http://x/responses"
+    assert json.loads(one(J.body("responses", "GPT-5", "rules", F.lit("é\n"), "high", 9))) == {"model": "GPT-5", "instructions": "rules", "input": "é\n", "max_output_tokens": 9, "reasoning": {"effort": "high"}}
+    assert "reasoning" not in one(J.body("responses", "other", "r", F.lit("u"), "high")) and "reasoning" not in one(J.body("responses", "gpt-5", "r", F.lit("u")))
+    assert json.loads(one(J.body("chat", "m", "r", F.lit("u"), "low"))) == {"model": "m", "max_tokens": 8000, "messages": [{"role": "system", "content": "r"}, {"role": "user", "content": "u"}]}
+    answer = {"output": [{"type": "reasoning"}, {"content": [{"type": "output_text", "text": "a"}, {"type": "refusal", "text": "x"}]}, {"content": [{"type": "output_text", "text": "b"}]}]}
+    assert one(J.answer_text("responses", F.lit(json.dumps(answer)))) == "ab" and one(J.answer_text("responses", F.lit("{}"))) == ""
+    assert one(J.answer_text("chat", F.lit('{"choices": [{"message": {"content": "yes"}}, {}]}'))) == "yes" and one(J.answer_text("chat", F.lit('{"choices": []}'))) == ""
+    for bad in (lambda: J.endpoint("x", "other"), lambda: J.body("chat", "m", "r", F.lit("u"), "huge")):
+        with pytest.raises(ValueError):
+            bad()
