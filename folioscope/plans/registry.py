@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from folioscope.plans import controls, coverage, evaluation, features, grounded, layout, memory, page_losses, retrieval, scorers, scoring, statistics, studies, training  # noqa: F401
+    from folioscope.plans import contents, controls, coverage, evaluation, features, grounded, layout, memory, page_losses, retrieval, scorers, scoring, statistics, studies, training  # noqa: F401
