@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import geometry
-from folioscope.functions.text import snippet
-from folioscope.operators import grounding, paired, retention, selection
+from folioscope.functions.text import snippet, tokens
+from folioscope.operators import evidence, grounding, paired, retention, selection
 from folioscope.plans import surrogates as S
 from folioscope.plans.registry import register
 from folioscope.session import table
@@ -106,3 +106,38 @@ def canonical_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("result"), F.array().cast("array<struct<claim_id:string,text:string>>").alias("claims"), F.array(one).alias("evidence")))
     rows = table(spark, sf_dir, "conversations").withColumn("pred", F.concat(F.lit("So: "), answer))
     return rows.select("conv_id", "turn", grounding.canonical("pred").alias("canonical"), grounding.replace_result("pred", F.upper("role")).alias("replaced"))
+
+
+_EVIDENCE = f"""{S.SQL_BLOCKS},
+b AS (SELECT doc_id, page_id, block_id, order_index, text, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, order_index) AS rn, len({S.sql_tokens('text')}) % 5 = 0 AS gold FROM blocks),
+a AS (
+  SELECT doc_id, list_distinct(list(page_id) FILTER (gold)) AS gold, list_sort(list(block_id) FILTER (gold)) AS blocks, list_sort(list(block_id) FILTER (gold AND page_id <= 3)) AS seen_blocks, list_distinct(list(page_id) FILTER (page_id <= 3)) AS given,
+    list_distinct(list(page_id) FILTER (rn <= 2)) AS kept, list(block_id) FILTER (rn <= 2) AS kept_blocks FROM b GROUP BY doc_id
+),
+v AS (SELECT lang, coalesce(gold, []) AS gold, coalesce(blocks, []) AS blocks, coalesce(seen_blocks, []) AS seen_blocks, given, kept, kept_blocks, list_filter(coalesce(gold, []), lambda p: p <= 3) AS seen, n_chars / 4.0::DOUBLE AS vt FROM a JOIN documents USING (doc_id)),
+m AS (
+  SELECT lang, vt, CASE WHEN len(gold) > 0 THEN len(list_intersect(gold, given)) / len(gold)::DOUBLE END AS ipr, CASE WHEN len(gold) > 0 THEN len(list_intersect(gold, kept)) / len(gold)::DOUBLE END AS pr, CASE WHEN len(seen) > 0 THEN len(list_intersect(seen, kept)) / len(seen)::DOUBLE END AS vpr,
+    CASE WHEN len(blocks) > 0 THEN len(list_intersect(blocks, kept_blocks)) / len(blocks)::DOUBLE END AS br, CASE WHEN len(seen_blocks) > 0 THEN len(list_intersect(seen_blocks, kept_blocks)) / len(seen_blocks)::DOUBLE END AS vbr, CASE WHEN len(blocks) > 0 THEN list_has_any(blocks, kept_blocks)::INT END AS hit FROM v
+),
+j AS (SELECT *, ipr IS NOT NULL AND pr IS NOT NULL AS judged FROM m)
+"""
+
+
+@register("content_coverage", f"""WITH {_EVIDENCE}
+    SELECT lang, count(*) FILTER (judged) AS n, count(*) FILTER (judged AND vpr IS NOT NULL) AS n_visible, count(*) FILTER (judged AND br IS NOT NULL) AS n_blocks, round(avg(ipr) FILTER (judged), 6) AS input_page_recall, round(avg(pr) FILTER (judged), 6) AS page_recall, round(avg((pr >= 1)::INT) FILTER (judged), 6) AS page_full_recall,
+      round(avg(vpr) FILTER (judged), 6) AS visible_page_recall, round(avg((vpr >= 1)::INT) FILTER (judged), 6) AS visible_page_full_recall, round(avg(br) FILTER (judged), 6) AS exact_block_recall, round(avg((br >= 1)::INT) FILTER (judged), 6) AS exact_block_full_recall, round(avg(vbr) FILTER (judged), 6) AS visible_exact_block_recall,
+      round(avg((vbr >= 1)::INT) FILTER (judged), 6) AS visible_exact_block_full_recall, round(avg(hit) FILTER (judged), 6) AS block_hit, round(avg(pr) FILTER (judged) / avg(vt), 8) AS efficiency, round(avg(vpr) FILTER (judged) / avg(vt), 8) AS visible_efficiency FROM j GROUP BY lang""")
+def content_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well a document's two longest lines, and their pages, cover its marked lines, by language."""
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "order_index"))
+    lines = S.blocks(spark, sf_dir).select("doc_id", "page_id", "block_id", order.alias("rn"), (F.size(tokens(F.col("text"))) % 5 == 0).alias("gold"))
+    of = lambda on, c: F.collect_list(F.when(on, c))
+    top, gold = F.col("rn") <= 2, F.col("gold")
+    rows = lines.groupBy("doc_id").agg(
+        of(gold, F.struct("page_id", "block_id")).alias("e"), F.array_distinct(of(F.col("page_id") <= 3, F.col("page_id"))).alias("given"), F.array_distinct(of(top, F.col("page_id"))).alias("kept"), of(top, F.col("block_id")).alias("kept_blocks")
+    )
+    rows = rows.join(table(spark, sf_dir, "documents").select("doc_id", "lang", (F.col("n_chars") / 4.0).alias("visual_tokens")), "doc_id")
+    found = evidence.coverage(F.col("e"), F.col("given"), F.col("kept"), F.col("kept_blocks"), F.transform("e", lambda x: x.block_id), F.col("kept_blocks"))
+    out = evidence.coverage_summary(rows.select("lang", "visual_tokens", *[c.alias(k) for k, c in found.items()]), ["lang"])
+    digits = {"efficiency": 8, "visible_efficiency": 8}
+    return out.select(*[c if c in ("lang", "n", "n_visible", "n_blocks") else F.round(c, digits.get(c, 6)).alias(c) for c in out.columns])
