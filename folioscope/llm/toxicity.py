@@ -30,6 +30,7 @@ read; an empty table of documents gives no rows. Scoring is one pass without a s
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -91,14 +92,14 @@ class Model:
 
     def _lengths(self):
         if "_pairs" not in self.__dict__:
-            self._pairs = [tuple(map(_compressor, pair)) for pair in self.dictionaries]
+            self._pairs = [tuple(map(_engine, pair)) for pair in self.dictionaries]
         return self._pairs
 
     def features(self, text: str | None) -> list[float]:
         cut = windows(text)
         out: list[float] = []
         for plain, toxic in self._lengths():
-            out += _summary([len(plain(w)) - len(toxic(w)) for w in cut])
+            out += _summary([a - b for a, b in zip(_sizes(plain, cut), _sizes(toxic, cut), strict=True)])
         return [*out, float(np.log1p(len(cut))) if cut else float("nan")]  # no window, no length to judge
 
     def score(self, rows: np.ndarray) -> np.ndarray:
@@ -106,17 +107,31 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ np.asarray(self.weights[:-1]) + self.weights[-1], -30, 30)))
 
 
+def _engine(dictionary: bytes) -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), compression_params=zstandard.ZstdCompressionParameters(**_PARAMETERS))
+
+
 def _compressor(dictionary: bytes):
-    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary), compression_params=zstandard.ZstdCompressionParameters(**_PARAMETERS)).compress
+    return _engine(dictionary).compress
+
+
+def _sizes(engine: zstandard.ZstdCompressor, cut: list[bytes]) -> list[int]:
+    """Compressed lengths of windows, each one a frame of its own, in one call."""
+    return [len(x) for x in engine.multi_compress_to_buffer(cut)] if cut else []
 
 
 def _summary(saved: list[int]) -> list[float]:
-    """The distribution of what a text's windows save."""
+    """The distribution of what a text's windows save. Sums are of whole or half numbers, so they are exact."""
     if not saved:
         return [0.0] * 8
-    x = np.sort(np.asarray(saved, float))
-    shares = [float((x >= k).mean()) for k in (2, 3, 5)]
-    return [float(x[-1]), float(x[-4:].mean()), float(x.mean()), float(np.maximum(x - np.median(x), 0).mean()), float(x[-max(1, len(x) // 10):].mean()), *shares]
+    x = sorted(saved)
+    n = len(x)
+    median = (x[(n - 1) // 2] + x[n // 2]) / 2
+    tenth = x[-max(1, n // 10):]
+    last = x[-4:]
+    above = sum(v - median for v in x[n // 2:] if v > median)
+    shares = [(n - bisect_left(x, k)) / n for k in (2, 3, 5)]
+    return [float(x[-1]), sum(last) / len(last), sum(x) / n, above / n, sum(tenth) / len(tenth), *shares]
 
 
 def _logistic(rows: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
