@@ -20,6 +20,8 @@ SPACE_BEFORE = r"(?<=[A-Za-z0-9À-ɏ])([(\[“‘])"
 
 #: White space as a regular-expression class body; ``\\s`` and trim() know ASCII's, or blanks, alone.
 WS = r"\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same characters one by one.
+BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 #: What an answer that abstains says, and marks of a final answer in order of preference.
 ABSTENTIONS = (
     r"not answerable|no information|does not (contain|provide|mention|include)|cannot be (determined|answered|found)|"
@@ -46,7 +48,7 @@ def tokens(text: Column, profile: str = "block") -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def squeeze(text: Column) -> Column:
