@@ -6,7 +6,9 @@ page) and many pages are worked through at once as matrices. Weights are a train
 model's arrays, a few kilobytes, whatever the number of rows.
 
 rows: (qid, document_id, page_id, block_id, ``features`` array<double>, and for the
-two scorers that read texts ``query_sketch`` and ``block_sketch`` array<double>).
+two scorers that read texts ``query_sketch`` and ``block_sketch`` array<double>, or
+``query_text`` and ``block_text``, whose sketches of :data:`vectors.DIM` numbers are
+then made where the page lies, so that only the texts are shuffled).
 A null array, or one of another length, counts as zeros.
 """
 
@@ -20,7 +22,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-PAGE = ("qid", "document_id", "page_id")
+from folioscope.operators.vectors import sketches
+
+PAGE =("qid", "document_id", "page_id")
+#: Pairs of rows of one page whose attention is worked out at once; a page with more goes alone.
+PAIRS = 1 << 17
 
 
 def silu(x: np.ndarray) -> np.ndarray:
@@ -73,6 +79,15 @@ class Segments:
         e = np.exp(x - self.spread(self.max(x)))
         return e / self.spread(self.sum(e))
 
+    def alike(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(rows by page and place, pages) of pages of equal size, as many at once as have ``PAIRS`` pairs of rows, one at least."""
+        for size in np.unique(self.sizes).tolist():
+            held = np.flatnonzero(self.sizes == size)
+            step = max(1, PAIRS // (size * size))
+            for at in range(0, len(held), step):
+                some = held[at : at + step]
+                yield self.starts[some][:, None] + np.arange(size), some
+
 
 @dataclass(frozen=True)
 class PageInteraction:
@@ -123,14 +138,15 @@ class Attention:
     heads: int
 
     def __call__(self, q: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """Of pages of equal size: q (pages, queries, width), k (pages, blocks, width)."""
         width = q.shape[-1]
         weights, biases = np.split(self.inner.weight, 3), np.split(self.inner.bias, 3)
-        cut = lambda x, i: (x @ weights[i].T + biases[i]).reshape(len(x), self.heads, width // self.heads).transpose(1, 0, 2)
+        cut = lambda x, i: (x @ weights[i].T + biases[i]).reshape(*x.shape[:2], self.heads, width // self.heads).transpose(0, 2, 1, 3)
         a, b, v = cut(q, 0), cut(k, 1), cut(k, 2)
-        logits = a @ b.transpose(0, 2, 1) / np.sqrt(width // self.heads)
+        logits = a @ b.transpose(0, 1, 3, 2) / np.sqrt(width // self.heads)
         e = np.exp(logits - logits.max(-1, keepdims=True))
         mixed = (e / e.sum(-1, keepdims=True)) @ v
-        return self.outer(mixed.transpose(1, 0, 2).reshape(len(q), width))
+        return self.outer(mixed.transpose(0, 2, 1, 3).reshape(*q.shape))
 
 
 @dataclass(frozen=True)
@@ -158,9 +174,8 @@ class CrossBlock:
         tokens = self.token_norm(hidden + asked)
         questions = self.query_norm(pages.mean(asked))
         context, mixed = np.empty_like(hidden), np.empty_like(hidden)
-        for p, (start, size) in enumerate(zip(pages.starts, pages.sizes)):  # attention is among the blocks of one page
-            at = slice(start, start + size)
-            context[at] = self.cross(questions[p : p + 1], tokens[at])
+        for at, held in pages.alike():  # attention is among the blocks of one page; pages of equal size go together
+            context[at] = self.cross(questions[held][:, None], tokens[at])
             heard = tokens[at] + context[at]
             mixed[at] = hidden[at] + self.own(heard, heard)
         mixed = mixed + self.ffn_out(silu(self.ffn_in(self.ffn_norm(mixed))))
@@ -181,13 +196,14 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 def score_blocks(rows: DataFrame, scorer, features: int, sketch: int = 0, page: tuple[str, ...] = PAGE) -> DataFrame:
     """(qid, document_id, page_id, block_id, score). Rows meet once, by page; a page's rows are held at once, in order of block_id."""
     keys = [*page, "block_id"]
-    wide = ["query_sketch", "block_sketch"] if sketch else []
+    from_texts = "block_text" in rows.columns
+    wide = [] if not sketch else ["query_text", "block_text"] if from_texts else ["query_sketch", "block_sketch"]
     picked = rows.select(*keys, "features", *wide).repartition(*page).sortWithinPartitions(*keys)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.select(*keys).schema)
 
     def scored(held: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
         x = _matrix(held.column("features"), features)
-        texts = [_matrix(held.column(c), sketch) for c in wide] or [None, None]
+        texts = [sketches(held.column(c)) if from_texts else _matrix(held.column(c), sketch) for c in wide] or [None, None]
         found = scorer(x, Segments(starts, held.num_rows), *texts)
         return pa.RecordBatch.from_arrays([*[held.column(c) for c in keys], pa.array(found, pa.float64())], [*keys, "score"])
 

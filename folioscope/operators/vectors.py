@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
+from folioscope.functions.text import BLOCK_STOP
+
 DIM = 64
 
 
@@ -32,6 +38,52 @@ def text_sketches(terms: DataFrame, key: str) -> DataFrame:
     return held.select(key, dense.alias("sketch"))
 
 
+#: Digests that a worker keeps of tokens met before.
+KEPT = 200_000
+_TOKENS = re.compile(r"[a-z0-9]+").findall
+_digests: dict[str, tuple[int, float]] = {}
+
+
+def _hashed(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and signs as of :func:`token_bucket`."""
+    if len(_digests) > KEPT:
+        _digests.clear()
+    for t in tokens:
+        if t not in _digests:
+            d = hashlib.blake2b(t.encode(), digest_size=8).digest()
+            _digests[t] = int.from_bytes(d[:4], "little") % DIM, 1.0 if d[4] % 2 == 0 else -1.0
+    found = [_digests[t] for t in tokens]
+    return np.asarray([b for b, _ in found], np.int64), np.asarray([s for _, s in found], np.float64)
+
+
+def counted_tokens(texts: list[str | None], stop: tuple[str, ...] = BLOCK_STOP) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, text, token, tf): how often the block profile's tokens occur in each text, by text and token number."""
+    number: dict[str, int] = {t: k for k, t in enumerate(stop)}
+    found = [_TOKENS((t or "").lower()) for t in texts]
+    owner = np.repeat(np.arange(len(found)), np.fromiter(map(len, found), np.int64, len(found)))
+    codes = np.fromiter((number.setdefault(t, len(number)) for words in found for t in words), np.int64, len(owner))
+    used = codes >= len(stop)
+    pairs, tf = np.unique(owner[used] * len(number) + codes[used], return_counts=True)
+    text, token = np.divmod(pairs, max(1, len(number)))
+    return list(number)[len(stop) :], text, token - len(stop), tf
+
+
+def sketched(n: int, tokens: list[str], text: np.ndarray, token: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    """Sketches of n texts, one a row, from what :func:`counted_tokens` found; zeros for a text without tokens."""
+    buckets, signs = _hashed(tokens)
+    sums = np.bincount(text * DIM + buckets[token], signs[token] * np.log1p(tf), n * DIM).reshape(n, DIM) if len(text) else np.zeros((n, DIM))
+    norm = np.sqrt((sums * sums).sum(1, keepdims=True))
+    return sums / np.where(norm > 0, norm, 1.0)
+
+
+def sketches(texts: pa.Array) -> np.ndarray:
+    """Sketches of texts as of :func:`text_sketches`, one a row; repeated texts are read once."""
+    known = texts.dictionary_encode()
+    made = sketched(len(known.dictionary), *counted_tokens(known.dictionary.to_pylist()))
+    at = np.asarray(pc.fill_null(known.indices, len(made)), np.int64)
+    return np.vstack([made, np.zeros((1, DIM))])[at]
+
+
 def linear_score(features: list[Column], weights: list[float], bias: float = 0.0) -> Column:
     """A linear scorer as one expression; weights are a model's, a few numbers."""
     return sum((f * F.lit(float(w)) for f, w in zip(features, weights, strict=True)), F.lit(float(bias)))
