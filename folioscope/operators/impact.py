@@ -31,9 +31,14 @@ from pyspark.sql import functions as F
 
 from folioscope.functions.text import BLOCK_STOP, PAGE_STOP
 from folioscope.operators.retrieval import idf, top_k
+from folioscope.session import bounded
 
 #: Units of a block (their slots are one byte), the highest impact, and rows of one output batch.
 BLOCK, HIGHEST, BATCH = 16, 3, 8192
+#: Units of a segment, and bytes of their text (a longer text is a segment of its own).
+SEGMENT, SEGMENT_BYTES = 2048, 4 << 20
+#: Options of the table that keeps an index: rows are large, so row groups are closed by their bytes from the first row on.
+STORED = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8"}
 #: Blocks of a segment that a query looks at before any can be skipped.
 FIRST = 2
 #: Query terms that are sent to the tasks at once; more are searched in several passes.
@@ -75,6 +80,17 @@ def _segment(units: list, texts: list, stop: pa.Array, shortest: int) -> tuple:
     return len(units), tokens, np.bincount(code, minlength=len(tokens)).tolist(), blocks
 
 
+def _parts(batch: pa.RecordBatch, most: int, most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """A batch of texts as segments of so many units and bytes at most, one unit at least."""
+    upto = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0), np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = upto[start - 1] if start else 0
+        end = min(start + most, max(start + 1, int(np.searchsorted(upto, before + most_bytes, "right"))))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def build(texts: DataFrame, unit: str, text: Column, profile: str = "block") -> DataFrame:
     """The index of ``texts``, one row per segment; write it to keep it. ``unit`` is an integer or string column."""
     stop, shortest = pa.array(_STOPS[profile], pa.string()), 2 if profile == "page" else 1
@@ -84,11 +100,13 @@ def build(texts: DataFrame, unit: str, text: Column, profile: str = "block") ->
     schema = pa.schema([("n_units", pa.int32()), ("tokens", pa.list_(pa.string())), ("df", pa.list_(pa.int32())), ("blocks", blocks)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for held in batches for part in _parts(held, *bounds)):
             if b.num_rows:
                 n, tokens, df, found = _segment(b.column("unit").to_pylist(), b.column("text").to_pylist(), stop, shortest)
                 yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.ListArray.from_arrays([0, len(tokens)], tokens), pa.array([df], schema.field("df").type), pa.array([found], blocks)], schema=schema)
 
+    bounded(texts.sparkSession)
+    bounds = SEGMENT, SEGMENT_BYTES
     rows = texts.select(F.col(unit).alias("unit"), text.cast("string").alias("text"))
     cores = texts.sparkSession.sparkContext.defaultParallelism
     if 0 < len(texts.inputFiles()) < cores:  # a few files may be a single task; many are left as they lie
@@ -203,7 +221,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, least_share: float | No
     least that share of a query's tokens, whatever their rank. Scores are rounded to
     six places, as they are compared. ``index`` is read twice.
     """
-    spark = index.sparkSession
+    spark = bounded(index.sparkSession)
     kind = index.schema["blocks"].dataType.elementType["units"].dataType.elementType.simpleString()
     known = weights(index, queries).join(queries.groupBy("qid").agg(F.count("*").alias("n_terms")), "qid")
     n_passes = max(1, -(-queries.count() // QUERY_TERMS))

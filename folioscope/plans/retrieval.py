@@ -24,7 +24,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DES
 
 def searched(spark: SparkSession, sf_dir: str, k: int, least_share: float | None = None) -> DataFrame:
     """(qid, doc_id, score, matched, rank): each item's k best documents by the block-maxima index."""
-    index = written(impact.build(table(spark, sf_dir, "documents"), "doc_id", F.col("text")), "impact-index")
+    index = written(impact.build(table(spark, sf_dir, "documents"), "doc_id", F.col("text")), "impact-index", **impact.STORED)
     return impact.search(index, S.questions(spark, sf_dir), k, least_share).withColumnRenamed("unit", "doc_id")
 
 

@@ -20,6 +20,16 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+#: Bytes of one Arrow batch handed to a Python worker.
+ARROW_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Bound what a Python worker is handed at once, however long the rows are."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
