@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import geometry as G
-from folioscope.functions.text import tokens
-from folioscope.operators import layout, metrics, vectors
-from folioscope.operators.retrieval import dot, term_counts
+from folioscope.operators import layout, meetings, metrics
 from folioscope.plans import surrogates as S
 from folioscope.plans.registry import register
 from folioscope.session import table
@@ -57,15 +55,5 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("sketch_similarity")
 def sketch_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed hashing sketches of items and of every document that shares a token with them, compared."""
-    rows, asked = table(spark, sf_dir, "documents").select("doc_id", "text"), S.questions(spark, sf_dir)
-    docs = vectors.text_sketches(term_counts(rows, ["doc_id"], F.col("text")), "doc_id")
-    items = vectors.text_sketches(asked.withColumnRenamed("q_tf", "tf"), "qid").withColumnRenamed("sketch", "q")
-    # Items are held as one row, so that a document's pairs are found where its text lies and shuffled as one array.
-    needs = asked.groupBy("qid").agg(F.collect_list("token").alias("need"))
-    held = needs.agg(F.collect_list(F.struct("qid", "need")).alias("items"), F.array_distinct(F.flatten(F.collect_list("need"))).alias("words"))
-    have = F.array(F.array_intersect(tokens(F.col("text")), F.col("words")))  # bound as a lambda's variable, so found once a text
-    shared = F.transform(have, lambda h: F.filter("items", lambda i: F.arrays_overlap(i.need, h)))[0]
-    found = rows.crossJoin(F.broadcast(held)).select("doc_id", F.transform(shared, lambda i: i.qid).alias("qids"))
-    pairs = found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("qids"))).alias("qids"))
-    joined = pairs.join(docs, "doc_id").select("doc_id", "sketch", F.explode("qids").alias("qid")).join(F.broadcast(items), "qid")
-    return joined.select("doc_id", "qid", F.round(dot(F.col("q"), F.col("sketch")), 6).alias("dot"))
+    docs = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", "text")
+    return meetings.meet(docs, "doc_id", S.questions(spark, sf_dir), sketch=True).select("doc_id", "qid", F.round("dot", 6).alias("dot"))
