@@ -106,3 +106,21 @@ def spatial_keep(tokens: DataFrame, page: list[str], row: str, column: str, rows
     extent = tokens.groupBy(*page).agg((F.max(row) + 1).alias("_h"), (F.max(column) + 1).alias("_w"))
     cell = F.floor(F.col(row) * rows / F.col("_h")) * columns + F.floor(F.col(column) * columns / F.col("_w"))
     return tokens.join(extent, page).withColumn("cell", cell.cast("long")).groupBy(*page, "cell").agg(F.min(F.struct(row, column)).alias("t")).select(*page, "cell", f"t.{row}", f"t.{column}")
+
+
+def spatial_keep_lines(lines: DataFrame, page: list[str], row: str, length: str, rows: int, columns: int) -> DataFrame:
+    """:func:`spatial_keep` of a grid whose lines are full: (page..., row, col, cell) from one row a line.
+
+    ``length`` is how many tokens stand in the line's columns 0, 1, ...; lines without
+    any don't count. Of a line at most one token for each column of the lattice can be
+    the first in a cell, and these alone are made, so tokens are never rows.
+    """
+    held = lines.where(F.col(length) > 0).select(*page, F.col(row).alias("_r"), F.col(length).cast("long").alias("_n"))
+    extent = held.groupBy(*page).agg((F.max("_r") + 1).alias("_h"), F.max("_n").alias("_w"))
+    # The first column c of the line with floor(c * columns / w) = k, where there is one.
+    first = lambda k: F.floor((k * F.col("_w") + (columns - 1)) / columns)
+    here = lambda k: (first(k) < F.col("_n")) & (F.floor(first(k) * columns / F.col("_w")) == k)
+    ks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(columns - 1).cast("long")), here)
+    met = held.join(extent, [c for c in page]).select(*page, "_r", "_w", (F.floor(F.col("_r") * rows / F.col("_h")) * columns).cast("long").alias("_c"), F.explode(ks).alias("_k"))
+    best = met.groupBy(*page, (F.col("_c") + F.col("_k")).alias("cell")).agg(F.min("_r").alias(row), F.min(first(F.col("_k"))).alias("col"))
+    return best

@@ -46,10 +46,9 @@ def retained_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, page_id, cell, row, col FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_id, cell ORDER BY row, col) AS rn FROM c) WHERE rn = 1""")
 def spatial_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's words on the grid of its lines: the first in each cell of a 3 x 3 lattice stays."""
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), F.lit(0))
-    rows = S.blocks(spark, sf_dir).select("doc_id", "page_id", F.pmod("order_index", F.lit(4)).alias("row"), F.posexplode(words).alias("pos", "word"))
-    tokens = rows.select("doc_id", "page_id", "row", F.col("pos").cast("long").alias("col"))
-    return selection.spatial_keep(tokens, ["doc_id", "page_id"], "row", "col", 3, 3)
+    words = F.regexp_count("text", F.lit("[A-Za-z0-9]+"))
+    lines = S.blocks(spark, sf_dir).select("doc_id", "page_id", F.pmod("order_index", F.lit(4)).alias("row"), words.alias("length"))
+    return selection.spatial_keep_lines(lines, ["doc_id", "page_id"], "row", "length", 3, 3)
 
 
 @register("chosen_stores", f"""WITH {S.SQL_BLOCKS}, g AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)
