@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from folioscope.session import bounded, written
+
 
 def chi2_tail(x: float) -> float:
     """P(chi-squared with one degree of freedom > x)."""
@@ -85,19 +90,87 @@ def bootstrap_index(rep: Column, i: Column, n: Column) -> Column:
     return F.pmod(F.pmod((rep + 1) * F.lit(1103515245) + (i + 1) * F.lit(12345) + (rep + 7) * (i + 3) * (i + 3) * F.lit(7919), F.lit(2147483647)), n)
 
 
+#: Values of one array of a bootstrap, and replicates that meet it at once.
+CHUNK, REPLICATES = 1 << 20, 50
+#: Places of a resample that are worked out at once.
+_PLACES = 1 << 16
+_PRIME = 2147483647
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    """x mod 2^31 - 1 of whole numbers below 2^63."""
+    for _ in range(2):
+        x = (x & _PRIME) + (x >> 31)
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def resample_sums(values: np.ndarray, start: int, n: int, reps: np.ndarray) -> np.ndarray:
+    """Of each replicate of n values the sum of those that are ``values``, which stand at ``start`` and after.
+
+    The row numbers are those of :func:`bootstrap_index`; every step is reduced, so that none overflows.
+    """
+    sums = np.zeros(len(reps))
+    shifts, steps = (((reps.astype(object) + 1) * 1103515245) % _PRIME).astype(np.int64), ((reps + 7) % _PRIME).astype(np.int64)
+    for at in range(0, n, _PLACES):
+        i = np.arange(at, min(at + _PLACES, n), dtype=np.int64)
+        square = _residue(_residue(_residue(i + 3) ** 2) * 7919)
+        line = _residue(_residue(i + 1) * 12345)
+        for k in range(len(reps)):
+            row = _residue(square * steps[k] + (line + shifts[k]))
+            if n < _PRIME:
+                row = row.astype(np.uint32)
+                row = row - row // np.uint32(n) * np.uint32(n)
+            if start == 0 and len(values) == n:
+                sums[k] += values[row].sum()
+            else:
+                row = row.astype(np.int64) - start
+                sums[k] += values[row[(row >= 0) & (row < len(values))]].sum()
+    return sums
+
+
+def _placed(values: DataFrame, value: str, order: list[str]) -> tuple[DataFrame, int]:
+    """(i, v) of the values that aren't null, numbered from 0 in order, and how many there are.
+
+    Ranges of the order are numbered side by side; only their sizes, a few numbers, pass the driver.
+    """
+    kept = values.where(F.col(value).isNotNull()).select(*order, value).repartitionByRange(*order, value).sortWithinPartitions(*order, value)
+    shards = written(kept.select(F.monotonically_increasing_id().alias("at"), F.col(value).cast("double").alias("v")), "bootstrap-values")
+    shard = F.shiftrightunsigned("at", 33)
+    sizes = shards.groupBy(shard.alias("shard")).agg(F.count("*").alias("n")).orderBy("shard").collect()
+    before, total = [], 0
+    for r in sizes:
+        before += [F.lit(r["shard"]), F.lit(total)]
+        total += r["n"]
+    if not total:
+        return shards.select(F.lit(0).alias("i"), "v"), 0
+    return shards.select((F.element_at(F.create_map(*before), shard) + F.col("at").bitwiseAND((1 << 33) - 1)).alias("i"), "v"), total
+
+
 def bootstrap_mean(values: DataFrame, value: str, order: list[str], replicates: int = 10_000) -> DataFrame:
     """Percentile interval of the mean from resamples.
 
     For a study's rows, whose resamples must equal another program's by row number:
-    all values are one array. :func:`resampling.bootstrap_interval` gathers nothing.
+    every replicate reads all row numbers, so the work is replicates times values. Values
+    lie in arrays of at most ``CHUNK``, and a task holds one of them.
+    :func:`resampling.bootstrap_interval` needs no row numbers.
     """
-    held = values.where(F.col(value).isNotNull()).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda s: s[value].cast("double")).alias("v"))
-    grid = values.sparkSession.range(replicates).withColumnRenamed("id", "rep").crossJoin(F.broadcast(held))
-    n = F.size("v").cast("long")
-    picked = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(F.col("v"), bootstrap_index(F.col("rep"), i, n).cast("int")))
-    means = grid.where(F.size("v") > 0).select((F.aggregate(picked, F.lit(0.0), lambda s, x: s + x) / n).alias("m"))
-    ordered = means.agg(F.sort_array(F.collect_list("m")).alias("m"))
-    at = lambda q: F.element_at("m", int(q * replicates) + 1)
+    spark = bounded(values.sparkSession)
+    placed, n = _placed(values, value, order)
+    chunks = placed.groupBy(F.floor(F.col("i") / CHUNK).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s.v).alias("v"))
+    grid = spark.range(0, replicates, REPLICATES, max(1, -(-replicates // REPLICATES))).select(F.col("id").alias("rep"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first, chunk, held = (b.column(c) for c in ("rep", "chunk", "v"))
+            for k in range(b.num_rows):
+                reps = np.arange(first[k].as_py(), min(first[k].as_py() + REPLICATES, replicates))
+                sums = resample_sums(np.asarray(held[k].values, np.float64), chunk[k].as_py() * CHUNK, n, reps)
+                yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(sums)], ["rep", "s"])
+
+    sums = grid.crossJoin(chunks).select("rep", "chunk", "v").mapInArrow(run, "rep long, s double")
+    means = sums.groupBy("rep").agg((F.sum("s") / max(1, n)).alias("m"))
+    ordered = means.agg(F.sort_array(F.collect_list("m")).alias("m"))  # one number a replicate
+    at = lambda q: F.get("m", F.lit(int(q * replicates)))
     return ordered.select(F.lit(replicates).cast("long").alias("replicates"), at(0.025).alias("lo"), at(0.975).alias("hi"))
 
 
