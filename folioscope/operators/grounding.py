@@ -116,8 +116,9 @@ def verified(evidence: DataFrame, pages: DataFrame, blocks: DataFrame, units: Da
     evidence: rows of :func:`complete`; pages: (document_id, page_id, page_text);
     blocks: (document_id, page_id, block_id, order_index, text); units: (sample,
     n_unit, page_id, block_id, text_excerpt). Rows with a null page meet nothing.
-    Containers meet a citation by document and page; the best one is kept before the
-    shuffle, so a page's texts are not gathered.
+    Containers meet a citation by document and page, and leave that join only where
+    they hold its quote; the best one is kept before the shuffle, so a page's texts are
+    not gathered.
     """
     keys = ["sample", "document_id", "n"]
     said = ["evidence_id", "page_id", "block_id", "quote", "supports"]
@@ -127,21 +128,23 @@ def verified(evidence: DataFrame, pages: DataFrame, blocks: DataFrame, units: Da
     of_blocks = blocks.select(*own, F.col("block_id").alias("c_block"), F.lit(3).alias("place"), F.col("order_index").cast("long").alias("c_order"), F.col("text").alias("c_text"))
     of_units = units.select("sample", "page_id", F.col("block_id").alias("c_block"), F.lit(4).alias("place"), F.col("n_unit").cast("long").alias("c_order"), F.col("text_excerpt").alias("c_text"))
 
-    def best(met: DataFrame, name: str) -> DataFrame:
+    def best(left: DataFrame, containers: DataFrame, on: list[str], name: str) -> DataFrame:
         """The first container of each citation that holds its quote, as struct ``name``; citations stay without one."""
-        same = F.coalesce(F.col("c_block") == F.col("block_id"), F.lit(False))
-        exact = same & F.col("place").isin(3, 4)
+        # Forms are made once a container; the join itself tells what holds a quote, so that nothing else comes out of it.
+        forms = containers.withColumn("c_norm", normalize_quote(F.col("c_text"))).withColumn("c_forms", search_forms(F.col("c_norm"))).drop("c_norm").withColumnsRenamed({c: f"c_{c}" for c in on})
+        meets = contains_forms(F.col("c_forms"), F.col("q_forms"))
+        for c in on:
+            meets &= F.col(c) == F.col(f"c_{c}")
+        met = left.join(forms, meets, "left")
+        exact = F.coalesce(F.col("c_block") == F.col("block_id"), F.lit(False)) & F.col("place").isin(3, 4)
         order = F.struct(F.when(exact & (F.col("place") == 3), 1).otherwise(F.col("place")).alias("place"), "c_order", "c_block")
-        hit = contains_forms(F.col("c_forms"), F.col("q_forms"))
         found = F.struct(exact.alias("exact"), F.col("place").alias("place"), F.col("c_block").alias("block"), F.col("c_text").alias("text"))
-        kept = [c for c in met.columns if c not in (*keys, "c_block", "place", "c_order", "c_text", "c_norm", "c_forms")]
-        out = met.groupBy(*keys).agg(F.any_value(F.struct(*kept)).alias("row"), F.min_by(found, F.when(hit, order)).alias(name))
+        kept = [c for c in left.columns if c not in keys]
+        out = met.groupBy(*keys).agg(F.any_value(F.struct(*kept)).alias("row"), F.min_by(found, F.when(F.col("place").isNotNull(), order)).alias(name))
         return out.select(*keys, "row.*", name)
 
-    # Forms are made once a container, before containers meet citations.
-    with_forms = lambda c: c.withColumn("c_norm", normalize_quote(F.col("c_text"))).withColumn("c_forms", search_forms(F.col("c_norm"))).drop("c_norm")
-    in_store = best(rows.join(with_forms(of_pages.unionByName(of_blocks)), own, "left"), "stored")
-    in_gold = best(in_store.join(with_forms(of_units), ["sample", "page_id"], "left"), "gold")
+    in_store = best(rows, of_pages.unionByName(of_blocks), own, "stored")
+    in_gold = best(in_store, of_units, ["sample", "page_id"], "gold")
     settled = in_gold.withColumn("b", F.coalesce("stored", "gold")).withColumn("raw", strip(F.coalesce("b.text", F.lit("")))).withColumn("form", normalize_quote(F.col("raw")))
     label = F.when(F.col("b").isNull(), F.lit(INVALID)).when(F.col("b.exact"), F.lit(EXACT)).otherwise(ON_PAGE)
     around = F.when(F.col("b.place") == 4, F.col("form")).otherwise(snippet_of(F.col("form"), F.col("quote")))
