@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from folioscope.functions.text import contains_forms, contains_normal, normalize_quote, search_forms, snippet_of, strip
+from folioscope.functions.text import contains_forms, contains_normal, nfkc, normalize_quote, quote_form, search_forms, snippet_of, strip
 
 PREDICTION = "struct<result: string, claims: array<struct<claim_id: string, text: string>>, evidence: array<struct<evidence_id: string, page_id: int, block_id: string, quote: string, supports: array<string>>>>"
 
@@ -131,7 +131,9 @@ def verified(evidence: DataFrame, pages: DataFrame, blocks: DataFrame, units: Da
     def best(left: DataFrame, containers: DataFrame, on: list[str], name: str) -> DataFrame:
         """The first container of each citation that holds its quote, as struct ``name``; citations stay without one."""
         # Forms are made once a container; the join itself tells what holds a quote, so that nothing else comes out of it.
-        forms = containers.withColumn("c_norm", normalize_quote(F.col("c_text"))).withColumn("c_forms", search_forms(F.col("c_norm"))).drop("c_norm").withColumnsRenamed({c: f"c_{c}" for c in on})
+        # Texts are dealt by the join's keys as they are: Python, which composes them, hides from Spark how they lie, so it comes before.
+        dealt = containers.withColumn("c_nfkc", nfkc(F.coalesce("c_text", F.lit("")))).repartition(*on)
+        forms = dealt.withColumn("c_norm", quote_form(F.col("c_nfkc"))).withColumn("c_forms", search_forms(F.col("c_norm"))).drop("c_norm", "c_nfkc").withColumnsRenamed({c: f"c_{c}" for c in on})
         meets = contains_forms(F.col("c_forms"), F.col("q_forms"))
         for c in on:
             meets &= F.col(c) == F.col(f"c_{c}")
@@ -143,9 +145,10 @@ def verified(evidence: DataFrame, pages: DataFrame, blocks: DataFrame, units: Da
         out = met.groupBy(*keys).agg(F.any_value(F.struct(*kept)).alias("row"), F.min_by(found, F.when(F.col("place").isNotNull(), order)).alias(name))
         return out.select(*keys, "row.*", name)
 
-    in_store = best(rows, of_pages.unionByName(of_blocks), own, "stored")
-    in_gold = best(in_store, of_units, ["sample", "page_id"], "gold")
-    settled = in_gold.withColumn("b", F.coalesce("stored", "gold")).withColumn("raw", strip(F.coalesce("b.text", F.lit("")))).withColumn("form", normalize_quote(F.col("raw")))
+    # The store's texts come last, so that they aren't moved on.
+    in_gold = best(rows, of_units, ["sample", "page_id"], "gold")
+    in_store = best(in_gold, of_pages.unionByName(of_blocks), own, "stored")
+    settled = in_store.withColumn("b", F.coalesce("stored", "gold")).withColumn("raw", strip(F.coalesce("b.text", F.lit("")))).withColumn("form", normalize_quote(F.col("raw")))
     label = F.when(F.col("b").isNull(), F.lit(INVALID)).when(F.col("b.exact"), F.lit(EXACT)).otherwise(ON_PAGE)
     around = F.when(F.col("b.place") == 4, F.col("form")).otherwise(snippet_of(F.col("form"), F.col("quote")))
     return settled.withColumn("validation_label", label).select(
